@@ -33,12 +33,18 @@ MAX_BUCKETS = 8192
 
 
 def _default_buckets(df: DataFrame, n_rows: int | None, rows_per_bucket: int) -> int:
-    spark = df.sparkSession
+    """Buckets from data size: one bucket while all rows fit one task's budget.
+
+    With one bucket the plain window / ``percentile`` path runs: its single task holds
+    at most ``rows_per_bucket`` rows, a proven bound. Larger inputs get
+    ceil(N / rows_per_bucket) buckets, at least the cluster's parallelism.
+    """
     if n_rows is None:
         n_rows = df.count()
-    par = spark.sparkContext.defaultParallelism
-    wanted = max(par, math.ceil(n_rows / max(rows_per_bucket, 1)))
-    return int(min(MAX_BUCKETS, max(1, wanted if n_rows > par else 1)))
+    if n_rows <= rows_per_bucket:
+        return 1
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return int(min(MAX_BUCKETS, max(par, math.ceil(n_rows / max(rows_per_bucket, 1)))))
 
 
 def _sort_key(key: str, descending: bool) -> Column:
@@ -47,18 +53,70 @@ def _sort_key(key: str, descending: bool) -> Column:
     return (F.lit(0.0) - k) if descending else (k + F.lit(0.0))
 
 
+def _lower_count(splits: Column, x: Column, steps: int) -> Column:
+    """Number of elements of the sorted array ``splits`` strictly below ``x``.
+
+    A binary search written with the built-in ``aggregate`` higher-order function:
+    ``steps`` = ceil(log2(len + 1)) iterations per row, all JVM side.
+    """
+    init = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.try_element_at(splits, mid + 1) < x
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(
+            below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), init, step)["lo"]
+
+
+def _grouped_buckets(work: DataFrame, skey: str, tie: str | None, by: list[str], p: int) -> DataFrame:
+    """Per-group boundaries: each group gets its own quantile splits (lazy, one row per group).
+
+    Bucket = 2 * (#splits < x) + (x equals a split): every split value — in particular
+    a value that holds a large share of its group — gets a bucket of its own, which
+    is then sub-split by ranges of the tie column.
+    """
+    accuracy = max(10_000, 20 * p)
+    fracs = [i / p for i in range(1, p)]
+    aggs = [F.array_sort(F.array_distinct(F.percentile_approx(skey, fracs, accuracy))).alias("_wl_sp")]
+    if tie is not None:
+        aggs.append(F.array_sort(F.array_distinct(
+            F.percentile_approx(F.col(tie).cast("double"), fracs, accuracy))).alias("_wl_tsp"))
+    splits = work.filter(F.col(skey).isNotNull()).groupBy(*by).agg(*aggs)
+    steps = math.ceil(math.log2(p + 1)) + 1
+    j = work.join(splits, on=by, how="left")
+    x = F.col(skey)
+    a = _lower_count(F.col("_wl_sp"), x, steps)
+    j = j.withColumn("_wl_a", a)
+    eq = F.coalesce(F.try_element_at(F.col("_wl_sp"), F.col("_wl_a") + 1) == x, F.lit(False))
+    major = F.when(x.isNull(), F.lit(2 * p + 2)).otherwise(2 * F.col("_wl_a") + eq.cast("int"))
+    if tie is not None:
+        sub = F.when(eq, _lower_count(F.col("_wl_tsp"), F.col(tie).cast("double"), steps)).otherwise(F.lit(0))
+        bucket = major.cast("bigint") * F.lit(p + 1) + sub
+        return j.withColumn(BUCKET, bucket.cast("bigint")).drop("_wl_sp", "_wl_tsp", "_wl_a")
+    return j.withColumn(BUCKET, major.cast("bigint")).drop("_wl_sp", "_wl_a")
+
+
 def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
-                      n_buckets: int | None = None, n_rows: int | None = None,
+                      by: list[str] | tuple = (), n_buckets: int | None = None, n_rows: int | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``_wl_bucket`` (bigint): bucket order equals the order of ``(key, tie)``.
+    """Add ``_wl_bucket`` (bigint): within each ``by`` group, bucket order equals the
+    order of ``(key, tie)``. NULL keys go to the last bucket (NULLS LAST).
 
-    NULL keys go to the last bucket (NULLS LAST in both directions).
+    Without ``by`` the boundaries are collected (P - 1 numbers) and applied with
+    ``Bucketizer``; with ``by`` every group gets its own boundaries (see
+    ``_grouped_buckets``), so groups on different scales are each spread evenly.
     """
+    by = list(by)
     p = n_buckets or _default_buckets(df, n_rows, rows_per_bucket)
     skey = "_wl_skey"
     work = df.withColumn(skey, _sort_key(key, descending))
     if p <= 1:
         return work.withColumn(BUCKET, F.lit(0).cast("bigint")).drop(skey)
+    if by:
+        return _grouped_buckets(work, skey, tie, by, p).drop(skey)
 
     accuracy = max(10_000, 20 * p)
     fracs = [i / p for i in range(1, p)]
@@ -123,7 +181,11 @@ def global_row_number(df: DataFrame, key: str, *, descending: bool = False, tie:
                       n_rows: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by by order by key, tie)`` for huge groups."""
     by = list(by)
-    b = add_order_buckets(df, key, descending=descending, tie=tie, n_buckets=n_buckets, n_rows=n_rows)
+    p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
+    if p <= 1:
+        w1 = Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
+        return df.withColumn(out, F.row_number().over(w1).cast("bigint"))
+    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
     off = _offsets(b, by, {"n": F.count(F.lit(1))})
     w = Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
     return (_join_offsets(b, off, by)
@@ -139,7 +201,12 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: b
     ``sums`` maps output column -> input column.
     """
     by = list(by)
-    b = add_order_buckets(df, key, descending=descending, tie=tie, n_buckets=n_buckets, n_rows=n_rows)
+    p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
+    if p <= 1:
+        w1 = (Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns({o: F.sum(F.col(src)).over(w1) for o, src in sums.items()})
+    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
     off = _offsets(b, by, {out: F.sum(F.col(src)) for out, src in sums.items()})
     w = (Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -160,7 +227,12 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
     """
     by = list(by)
     d = df.select(*by, F.col(col).cast("double").alias("_wl_x")).filter(F.col("_wl_x").isNotNull())
-    b = add_order_buckets(d, "_wl_x", n_buckets=n_buckets)
+    p = n_buckets or _default_buckets(d, None, ROWS_PER_BUCKET)
+    if p <= 1:
+        # every group fits one task: the exact built-in aggregate
+        return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                  F.percentile("_wl_x", [float(f) for f in fractions]).alias(out))
+    b = add_order_buckets(d, "_wl_x", by=by, n_buckets=p)
     per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_c"), F.min("_wl_x").alias("_mn"),
                                      F.max("_wl_x").alias("_mx"))
     w = Window.partitionBy(*by).orderBy(BUCKET)

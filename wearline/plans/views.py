@@ -7,6 +7,7 @@ EV = """ev AS (
 READINGS = """raw_readings AS (
     SELECT event_id AS product_id,
            event_type AS machine_type,
+           ts,
            295.0::DOUBLE + k % 10 AS air_temp_k,
            295.0::DOUBLE + k % 10 + 8.0::DOUBLE + hour(ts) % 5 AS process_temp_k,
            1200.0::DOUBLE + 15.0::DOUBLE * k AS rpm,

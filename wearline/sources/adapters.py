@@ -41,6 +41,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
     df = events.select(
         F.col("event_id").alias("product_id"),
         F.col("event_type").alias("machine_type"),
+        F.col("ts"),
         air.alias("air_temp_k"),
         process.alias("process_temp_k"),
         rpm.alias("rpm"),
