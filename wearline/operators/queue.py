@@ -135,6 +135,7 @@ def failure_mode_capture(scored: DataFrame, fraction: float = C.PRIMARY_REVIEW_F
                                 n_buckets)
     q = queue_counts(ranked, n_rows, [fraction], "machine_failure", flags)
     rows = [F.struct(F.lit(code).alias("failure_code"),
+                     F.col("reviewed_assets"),
                      F.col(f"total_{fl}").alias("holdout_failures"),
                      F.col(f"captured_{fl}").alias("captured_in_top_10_percent_queue"))
             for code, fl in flag_cols.items()]
@@ -142,6 +143,7 @@ def failure_mode_capture(scored: DataFrame, fraction: float = C.PRIMARY_REVIEW_F
     return out.select(
         "failure_code",
         failure_label(F.col("failure_code")).alias("label"),
+        "reviewed_assets",
         "holdout_failures",
         "captured_in_top_10_percent_queue",
         round4(safe_div0(F.col("captured_in_top_10_percent_queue"), F.col("holdout_failures")))
