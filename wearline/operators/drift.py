@@ -10,7 +10,7 @@ count with the epsilon share.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
@@ -36,10 +36,31 @@ def _clip(x: F.Column) -> F.Column:
     return F.when(x < F.lit(C.PSI_EPS), F.lit(C.PSI_EPS)).otherwise(x)
 
 
+def _psi_from_cells(cells: DataFrame) -> DataFrame:
+    """A13 over a small cell table (feature, ref_n, cur_n, ref_total, cur_total)."""
+    shares = cells.withColumns({
+        "ref_share": _clip(F.col("ref_n") / F.greatest(F.col("ref_total"), F.lit(1)).cast("double")),
+        "cur_share": _clip(F.col("cur_n") / F.greatest(F.col("cur_total"), F.lit(1)).cast("double")),
+    })
+    return shares.groupBy("feature").agg(
+        F.sum(_psi_terms(shares, [])).alias("_psi"),
+        F.min(F.least(F.col("ref_total"), F.col("cur_total"))).alias("_minside"))
+
+
+def _with_names(spark, features: list[str], per: DataFrame, psi: F.Column) -> DataFrame:
+    names = spark.createDataFrame([(f,) for f in features], "feature string")  # the feature list
+    return names.join(per.select("feature", psi.alias("psi")), "feature", "left").select(
+        "feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+
+
 def numeric_psi(reference: DataFrame, current: DataFrame, features: list[str],
                 buckets: int = C.PSI_BUCKETS, n_buckets: int | None = None) -> DataFrame:
     """Feature, psi (unrounded). Nulls dropped; reference quantile breakpoints,
-    unique, both ends opened; bins [a, b); fewer than 3 breakpoints or an empty side -> 0."""
+    unique, both ends opened; bins [a, b); fewer than 3 breakpoints or an empty side -> 0.
+
+    Jobs: breakpoints (one grouped exact quantile), one grouped count over both sides;
+    the rest works on the features x bins cell table.
+    """
     spark = reference.sparkSession
     ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
     cur = _long(current, features, CUR).filter(F.col("value").isNotNull())
@@ -51,50 +72,33 @@ def numeric_psi(reference: DataFrame, current: DataFrame, features: list[str],
     edges = edges.filter(F.col("m") >= 3)
     both = ref.unionByName(cur).join(F.broadcast(edges), "feature", "inner")  # one row per feature
     binned = both.withColumn("bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
-    counts = binned.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(
-        F.sum(F.when(F.col("side") == REF, F.col("n")).otherwise(0)).alias("ref_total"),
-        F.sum(F.when(F.col("side") == CUR, F.col("n")).otherwise(0)).alias("cur_total"))
+    wide = binned.groupBy("feature", "bin").agg(
+        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
+        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("m") - 2)).alias("bin"))
-    wide = counts.groupBy("feature", "bin").agg(
-        F.sum(F.when(F.col("side") == REF, F.col("n")).otherwise(0)).alias("ref_n"),
-        F.sum(F.when(F.col("side") == CUR, F.col("n")).otherwise(0)).alias("cur_n"))
-    cells = (grid.join(wide, ["feature", "bin"], "left").join(totals, "feature", "left")
-             .fillna(0, ["ref_n", "cur_n", "ref_total", "cur_total"]))
-    cells = cells.withColumns({
-        "ref_share": _clip(F.col("ref_n") / F.greatest(F.col("ref_total"), F.lit(1)).cast("double")),
-        "cur_share": _clip(F.col("cur_n") / F.greatest(F.col("cur_total"), F.lit(1)).cast("double")),
-    })
-    per = cells.groupBy("feature").agg(
-        F.sum(_psi_terms(cells, [])).alias("_psi"),
-        F.min(F.least(F.col("ref_total"), F.col("cur_total"))).alias("_minside"))
-    per = per.select("feature", F.when(F.col("_minside") > 0, F.col("_psi")).otherwise(F.lit(0.0)).alias("psi"))
-    names = spark.createDataFrame([(f,) for f in features], "feature string")  # the feature list
-    return names.join(per, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    cells = grid.join(wide, ["feature", "bin"], "left").fillna(0, ["ref_n", "cur_n"])
+    wf = Window.partitionBy("feature")  # over the small cell table
+    cells = cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
+    per = _psi_from_cells(cells)
+    return _with_names(spark, features, per, F.when(F.col("_minside") > 0, F.col("_psi")).otherwise(F.lit(0.0)))
 
 
 def categorical_psi(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """PSI over the union of categories; totals include NULL rows."""
+    """PSI over the union of categories; totals include NULL rows (one grouped count)."""
     def side(df, s):
         longf = df.select(*[F.col(c).cast("string").alias(c) for c in features]).unpivot(
             [], features, "feature", "category")
         return longf.withColumn("side", F.lit(s))
 
     both = side(reference, REF).unionByName(side(current, CUR))
-    totals = both.groupBy("feature").agg(
-        F.sum((F.col("side") == REF).cast("int")).alias("ref_total"),
-        F.sum((F.col("side") == CUR).cast("int")).alias("cur_total"))
-    wide = both.filter(F.col("category").isNotNull()).groupBy("feature", "category").agg(
-        F.sum((F.col("side") == REF).cast("int")).alias("ref_n"),
-        F.sum((F.col("side") == CUR).cast("int")).alias("cur_n"))
-    cells = wide.join(totals, "feature", "inner").withColumns({
-        "ref_share": _clip(F.col("ref_n") / F.greatest(F.col("ref_total"), F.lit(1)).cast("double")),
-        "cur_share": _clip(F.col("cur_n") / F.greatest(F.col("cur_total"), F.lit(1)).cast("double")),
-    })
-    per = cells.groupBy("feature").agg(F.sum(_psi_terms(cells, [])).alias("psi"))
-    spark = reference.sparkSession
-    names = spark.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(per, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    wide = both.groupBy("feature", "category").agg(
+        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
+        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
+    wf = Window.partitionBy("feature")  # categories per feature: a small table
+    cells = (wide.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
+             .filter(F.col("category").isNotNull()))
+    per = _psi_from_cells(cells)
+    return _with_names(reference.sparkSession, features, per, F.col("_psi"))
 
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],

@@ -52,53 +52,61 @@ def _score_counts(scored: DataFrame, label: str, score: str, by: list[str]) -> D
             .agg(F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
 
 
-def roc_auc(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
-            by: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
-    """Exact tie-aware ROC-AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N).
-
-    NULL when one class is absent. Unrounded column ``roc_auc``.
+def ranking_metrics(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
+                    by: list[str] | tuple = (), threshold: float = C.DECISION_THRESHOLD,
+                    n_buckets: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """Confusion cells, ROC-AUC and AP in one pass over the distinct scores.
+
+    1. collapse to one row per (group, score): positives, negatives (partial+final agg);
+    2. one running sum in descending score order: ctp, cfp (bucketed when large);
+    3. one aggregate:
+       AUC = 1 - sum(pos * (cfp - neg / 2)) / (P * N)  (negatives above plus half the tied),
+       AP  = sum(pos * ctp / (ctp + cfp)) / P           (step sum over distinct thresholds),
+       tp/fp = positives/negatives with score >= threshold, fn = P - tp, tn = N - fp.
+    The input row count bounds the number of distinct scores, so it sizes the buckets.
     """
     by = list(by)
+    if n_buckets is None and n_rows is None:
+        n_rows = scored.count()
     sc = _score_counts(scored, label, score, by)
-    cum = running_sums(sc, score, {"_cneg": "_neg"}, by=by, n_buckets=n_buckets)
-    below = F.col("_cneg") - F.col("_neg")
+    cum = running_sums(sc, score, {"_ctp": "_pos", "_cfp": "_neg"}, descending=True, by=by,
+                       n_buckets=n_buckets, n_rows=n_rows)
+    hit = F.col(score) >= F.lit(threshold)
     agg = cum.groupBy(*by).agg(
-        F.sum(F.col("_pos") * (below.cast("double") + F.col("_neg") / 2.0)).alias("_num"),
-        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
-    return agg.select(*by, F.when((F.col("_p") > 0) & (F.col("_n") > 0),
-                                  F.col("_num") / (F.col("_p") * F.col("_n")).cast("double"))
-                      .alias("roc_auc"))
+        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"),
+        F.sum(F.col("_pos") * (F.col("_cfp") - F.col("_neg") / 2.0)).alias("_mis"),
+        F.sum(F.col("_pos") * (F.col("_ctp") / (F.col("_ctp") + F.col("_cfp")).cast("double"))).alias("_apn"),
+        F.sum(F.when(hit, F.col("_pos")).otherwise(0)).alias("_tp"),
+        F.sum(F.when(hit, F.col("_neg")).otherwise(0)).alias("_fp"))
+    p, n = F.col("_p"), F.col("_n")
+    return agg.select(
+        *by,
+        (n - F.col("_fp")).cast("bigint").alias("tn"), F.col("_fp").cast("bigint").alias("fp"),
+        (p - F.col("_tp")).cast("bigint").alias("fn"), F.col("_tp").cast("bigint").alias("tp"),
+        F.when((p > 0) & (n > 0), F.lit(1.0) - F.col("_mis") / (p * n).cast("double")).alias("roc_auc"),
+        F.when(p > 0, F.col("_apn") / p.cast("double")).alias("average_precision"))
+
+
+def roc_auc(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
+            by: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
+    """Exact tie-aware ROC-AUC (NULL when one class is absent), unrounded ``roc_auc``."""
+    return ranking_metrics(scored, label, score, by, n_buckets=n_buckets).select(*by, "roc_auc")
 
 
 def average_precision(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
                       by: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
-    """AP = sum over distinct thresholds (desc) of (pos_t / P) * precision_t (no interpolation).
-
-    NULL when there are no positives. Unrounded column ``average_precision``.
-    """
-    by = list(by)
-    sc = _score_counts(scored, label, score, by)
-    cum = running_sums(sc, score, {"_ctp": "_pos", "_cfp": "_neg"}, descending=True, by=by,
-                       n_buckets=n_buckets)
-    prec = F.col("_ctp") / (F.col("_ctp") + F.col("_cfp")).cast("double")
-    agg = cum.groupBy(*by).agg(F.sum(F.col("_pos") * prec).alias("_num"), F.sum("_pos").alias("_p"))
-    return agg.select(*by, F.when(F.col("_p") > 0, F.col("_num") / F.col("_p").cast("double"))
-                      .alias("average_precision"))
+    """Step-sum average precision (NULL without positives), unrounded ``average_precision``."""
+    return ranking_metrics(scored, label, score, by, n_buckets=n_buckets).select(*by, "average_precision")
 
 
 def model_metrics(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
                   by: list[str] | tuple = ("model",), n_buckets: int | None = None) -> DataFrame:
     """One row per group with accuracy, roc_auc, pr_auc, precision, recall, f1 (4 places)."""
     by = list(by)
-    cm = binary_metrics_from_confusion(confusion(scored, label, score, by))
-    auc = roc_auc(scored, label, score, by, n_buckets)
-    ap = average_precision(scored, label, score, by, n_buckets)
-    if by:
-        out = cm.join(auc, by, "left").join(ap, by, "left")
-    else:
-        out = cm.crossJoin(auc).crossJoin(ap)
-    return out.select(*by, "accuracy", round4("roc_auc").alias("roc_auc"),
-                      round4("average_precision").alias("pr_auc"), "precision", "recall", "f1")
+    rm = ranking_metrics(scored, label, score, by, n_buckets=n_buckets)
+    cm = binary_metrics_from_confusion(rm)
+    return cm.select(*by, "accuracy", round4("roc_auc").alias("roc_auc"),
+                     round4("average_precision").alias("pr_auc"), "precision", "recall", "f1")
 
 
 def mean_and_pop_std(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
@@ -123,4 +131,4 @@ def lift_vs_baseline(model_value: F.Column, baseline_value: F.Column) -> F.Colum
 
 
 __all__ = ["confusion", "binary_metrics_from_confusion", "roc_auc", "average_precision",
-           "model_metrics", "mean_and_pop_std", "regression_scores", "lift_vs_baseline", "safe_div"]
+           "model_metrics", "ranking_metrics", "mean_and_pop_std", "regression_scores", "lift_vs_baseline", "safe_div"]
