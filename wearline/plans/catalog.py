@@ -1,4 +1,4 @@
 """All registered queries (importing the plan modules fills the registry)."""
 
-from wearline.plans import drift, live, rul, snapshot  # noqa: F401
+from wearline.plans import drift, live, models, rul, snapshot  # noqa: F401
 from wearline.plans.registry import OPERATORS, ORACLE, QUERIES  # noqa: F401
