@@ -127,7 +127,7 @@ def regression_scores(df: DataFrame, truth: str, pred: str, by: list[str] | tupl
 
 def lift_vs_baseline(model_value: F.Column, baseline_value: F.Column) -> F.Column:
     """Percent improvement of the model over the baseline (0 when the baseline is 0)."""
-    return safe_div0((baseline_value - model_value) * 100.0, baseline_value)
+    return safe_div0(baseline_value - model_value, baseline_value) * 100.0
 
 
 __all__ = ["confusion", "binary_metrics_from_confusion", "roc_auc", "average_precision",
