@@ -142,3 +142,31 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = C.RANDOM_SEED, id_col: s
     draws = spark.range(n).select(
         (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.lit(max(total, 1)) + 1).alias("_wl_ord"))
     return ranked.join(draws, "_wl_ord", "inner").drop("_wl_ord")
+
+
+def reference_histogram(reference: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,
+                        n_buckets: int | None = None):
+    """Frozen reference for windowed drift (R5): ``edges(feature, interior)`` and
+    ``shares(feature, bin, ref_share)`` with every bin present (empty bins share 0)."""
+    ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
+    fr = [i / buckets for i in range(buckets + 1)]
+    q = exact_quantiles(ref, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
+    bp = F.array_sort(F.array_distinct("q"))
+    edges = (q.select("feature", bp.alias("bp"))
+             .select("feature", F.size("bp").alias("m"), F.slice("bp", 2, F.greatest(F.size("bp") - 2, F.lit(0)))
+                     .alias("interior"))
+             .filter(F.col("m") >= 3))
+    binned = ref.join(F.broadcast(edges), "feature", "inner").withColumn(
+        "bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
+    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("ref_n"))
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("m") - 2)).alias("bin"))
+    cells = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["ref_n"])
+    total = F.sum("ref_n").over(Window.partitionBy("feature"))
+    shares = cells.select("feature", "bin", (F.col("ref_n") / F.greatest(total, F.lit(1)).cast("double"))
+                          .alias("ref_share"))
+    return edges.select("feature", "interior"), shares
+
+
+def dropped_columns(all_cols: DataFrame, kept: DataFrame, col: str = "sensor") -> DataFrame:
+    """The set difference of column names (e.g. sensors dropped as near-constant)."""
+    return all_cols.select(col).exceptAll(kept.select(col))

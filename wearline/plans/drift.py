@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wearline.functions import constants as C
 from wearline.operators import drift, features
 from wearline.plans.registry import register
-from wearline.plans.views import READINGS, with_
+from wearline.plans.views import CYCLES, READINGS, with_
 from wearline.sources.adapters import CATEGORICAL_FEATURES, DERIVED_FEATURES, NUMERIC_FEATURES, readings
 
 CUTOFF = "2024-01-16 00:00:00"
@@ -172,3 +172,61 @@ def q_bootstrap_drift(spark, sf_dir):
     ref, live = bootstrap_sides(spark, sf_dir)
     rep = drift.drift_report(ref, live, NUMERIC, CATEGORICAL_FEATURES)
     return rep.orderBy(F.col("psi").desc(), "feature")
+
+
+# --- R5 in batch form: PSI per daily window of the live side against the frozen reference ---
+
+WINDOW_SQL = f"""cur_wlong AS (
+    UNPIVOT (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {FEATS} FROM curd)
+    ON {FEATS} INTO NAME feature VALUE value
+),
+ref_bins AS (
+    SELECT r.feature, len(list_filter(e.interior, lambda x: x <= r.value)) AS bin
+    FROM ref_long r JOIN edges e USING (feature)
+),
+ref_cells AS (
+    SELECT g.feature, g.bin, coalesce(c.n, 0) AS ref_n
+    FROM grid g LEFT JOIN (SELECT feature, bin, count(*) AS n FROM ref_bins GROUP BY ALL) c USING (feature, bin)
+),
+ref_sh AS (SELECT feature, bin, ref_n / greatest(sum(ref_n) OVER (PARTITION BY feature), 1) AS ref_share FROM ref_cells),
+cur_bins AS (
+    SELECT c.window_start, c.feature, len(list_filter(e.interior, lambda x: x <= c.value)) AS bin
+    FROM cur_wlong c JOIN edges e USING (feature)
+),
+cur_counts AS (SELECT window_start, feature, bin, count(*) AS n FROM cur_bins GROUP BY ALL),
+cur_tot AS (SELECT window_start, feature, sum(n) AS cur_total FROM cur_counts GROUP BY ALL),
+wcells AS (
+    SELECT t.window_start, t.feature, r.bin, r.ref_share, coalesce(c.n, 0) / greatest(t.cur_total, 1) AS cur_share
+    FROM cur_tot t JOIN ref_sh r USING (feature)
+    LEFT JOIN cur_counts c ON c.window_start = t.window_start AND c.feature = t.feature AND c.bin = r.bin
+)"""
+
+
+@register("drift_by_window", ids="R5 A13 A14 W1", oracle=with_(READINGS, SIDES_SQL, psi_sql(), WINDOW_SQL) + """
+SELECT window_start, feature,
+       round(sum((greatest(cur_share, 1e-4::DOUBLE) - greatest(ref_share, 1e-4::DOUBLE))
+                 * ln(greatest(cur_share, 1e-4::DOUBLE) / greatest(ref_share, 1e-4::DOUBLE))), 4) AS psi
+FROM wcells GROUP BY window_start, feature""")
+def q_drift_by_window(spark, sf_dir):
+    from wearline.streaming.jobs import psi_per_window, windowed_bin_counts
+    ref, cur = sides(spark, sf_dir)
+    edges, shares = drift.reference_histogram(ref, NUMERIC)
+    counts = windowed_bin_counts(cur, edges, NUMERIC, window="1 day")  # the streaming job's step, run in batch
+    out = psi_per_window(counts, shares)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "feature",
+                      F.round("psi", 4).alias("psi"))
+
+
+@register("dropped_sensors", ids="U2 P7 A18", oracle=with_(CYCLES) + """,
+sstd AS (
+    SELECT sensor, coalesce(stddev_samp(value) > 1e-5::DOUBLE, false) AS kept
+    FROM (UNPIVOT (SELECT sensor_1, sensor_2, sensor_3, sensor_4 FROM cycles)
+          ON sensor_1, sensor_2, sensor_3, sensor_4 INTO NAME sensor VALUE value)
+    GROUP BY sensor
+)
+SELECT sensor FROM sstd EXCEPT ALL SELECT sensor FROM sstd WHERE kept""".replace("\n,\nsstd", ",\nsstd"))
+def q_dropped_sensors(spark, sf_dir):
+    from wearline.operators.features import sensor_std_table
+    from wearline.sources.adapters import SENSOR_COLUMNS, cycles
+    t = sensor_std_table(cycles(spark, sf_dir), SENSOR_COLUMNS)
+    return drift.dropped_columns(t, t.filter("kept"), "sensor")

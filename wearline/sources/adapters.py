@@ -67,10 +67,15 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycles_from_events(events: DataFrame) -> DataFrame:
-    """Run-to-failure table: unit = user_id, cycle = order of (ts, event_id) in the unit."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
-        F.col("user_id").alias("unit_number"),
+    """Run-to-failure table: unit = user_id, cycle = order of (ts, event_id) in the unit.
+
+    The unit column is named before the window, so every later per-unit window
+    (rolling features, RUL label, last cycle) reuses this one exchange.
+    """
+    base = events.select(F.col("user_id").alias("unit_number"), "ts", "event_id", "value", "props")
+    w = Window.partitionBy("unit_number").orderBy("ts", "event_id")
+    return base.select(
+        "unit_number",
         F.row_number().over(w).cast("int").alias("time_cycles"),
         F.col("value").alias("sensor_1"),
         _k().cast("double").alias("sensor_2"),
