@@ -99,3 +99,10 @@ def test_heuristic_rul(spark, risk, rul):
     r = spark.createDataFrame([(risk,)], "risk double").select(heuristic_rul("risk").alias("h")).first()
     expected = max(1, round(48 * (1 - risk)))  # Python round: half to even
     assert r.h == expected == rul
+
+
+def test_display_labels(spark):
+    from wearline.functions.columns import percent_label, thousands_label
+    r = spark.createDataFrame([(0.7773, 238000)], "s double, c long").select(
+        percent_label("s").alias("p"), thousands_label("c").alias("t")).first()
+    assert (r.p, r.t) == ("77.7%", "238,000")

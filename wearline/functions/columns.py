@@ -10,7 +10,7 @@ from wearline.functions import constants as C
 __all__ = [
     "safe_div", "safe_div0", "clip_lower", "clip_upper", "psi_verdict", "risk_band", "shift_id",
     "operator_name", "heuristic_rul", "failure_label", "flags_to_labels", "decision", "round4",
-    "gauge_band", "kelvin_to_celsius", "energy_cost_per_hour",
+    "gauge_band", "kelvin_to_celsius", "energy_cost_per_hour", "percent_label", "thousands_label",
 ]
 
 
@@ -104,3 +104,13 @@ def kelvin_to_celsius(x) -> Column:
 
 def energy_cost_per_hour(current, voltage) -> Column:
     return _c(current) * _c(voltage) * C.ENERGY_TARIFF / 1000.0
+
+
+def percent_label(x, decimals: int = 1):
+    """a share as a percent string, e.g. 0.7773 -> '77.7%'."""
+    return F.concat(F.format_number(_c(x) * 100.0, decimals), F.lit("%"))
+
+
+def thousands_label(x):
+    """an amount with thousands separators, e.g. 238000 -> '238,000'."""
+    return F.format_number(_c(x).cast("double"), 0)

@@ -50,3 +50,12 @@ def group_fold(unit_col: str, k: int = C.CV_FOLDS) -> Column:
 
 def group_folds(df: DataFrame, unit_col: str = "unit_number", k: int = C.CV_FOLDS) -> DataFrame:
     return df.withColumn("fold", group_fold(unit_col, k))
+
+
+def background_sample(df: DataFrame, n: int = C.BACKGROUND_SIZE, id_col: str = "product_id",
+                      seed: int = C.RANDOM_SEED) -> DataFrame:
+    """At most ``n`` rows without replacement, reproducible: the first n in hash order.
+
+    ``orderBy().limit(n)`` plans as TakeOrderedAndProject (n rows per task); the limit
+    is the sampling operator itself."""
+    return df.withColumn("_wl_hk", hash_key(id_col, seed)).orderBy("_wl_hk", id_col).limit(n).drop("_wl_hk")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "_wl_bucket"
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 8192
+MAX_BUCKETS = 65536  # offsets table <= 64k rows (~1 MB broadcast)
 
 
 def _default_buckets(df: DataFrame, n_rows: int | None, rows_per_bucket: int) -> int:
@@ -47,6 +47,12 @@ def _default_buckets(df: DataFrame, n_rows: int | None, rows_per_bucket: int) ->
     return int(min(MAX_BUCKETS, max(par, math.ceil(n_rows / max(rows_per_bucket, 1)))))
 
 
+def _accuracy(p: int) -> int:
+    """Sketch accuracy: boundary rank error <= N / (8P), i.e. buckets within ~12 % of target
+    (exactness never depends on it: offsets come from exact counts)."""
+    return max(10_000, 8 * p)
+
+
 def _sort_key(key: str, descending: bool) -> Column:
     # 0.0 - x / x + 0.0 fold -0.0 into 0.0, so Bucketizer and the sort agree on ties.
     k = F.col(key).cast("double")
@@ -78,7 +84,7 @@ def _grouped_buckets(work: DataFrame, skey: str, tie: str | None, by: list[str],
     a value that holds a large share of its group — gets a bucket of its own, which
     is then sub-split by ranges of the tie column.
     """
-    accuracy = max(10_000, 20 * p)
+    accuracy = _accuracy(p)
     fracs = [i / p for i in range(1, p)]
     aggs = [F.array_sort(F.array_distinct(F.percentile_approx(skey, fracs, accuracy))).alias("_wl_sp")]
     if tie is not None:
@@ -118,7 +124,7 @@ def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie:
     if by:
         return _grouped_buckets(work, skey, tie, by, p).drop(skey)
 
-    accuracy = max(10_000, 20 * p)
+    accuracy = _accuracy(p)
     fracs = [i / p for i in range(1, p)]
     qs = work.select(F.percentile_approx(skey, fracs, accuracy).alias("q")).first()["q"] or []
     qs = [float(v) for v in qs if v is not None and not math.isnan(v)]

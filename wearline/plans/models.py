@@ -7,6 +7,8 @@ import os
 import uuid
 
 from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
@@ -16,7 +18,7 @@ from wearline.ml import workflows as W
 from wearline.ml.evaluate import AveragePrecisionEvaluator
 from wearline.ml.importance import permutation_importance
 from wearline.ml.search import random_search
-from wearline.ml.split import stratified_folds
+from wearline.ml.split import group_folds, stratified_folds
 from wearline.operators import features, metrics, rul
 from wearline.plans.registry import register
 from wearline.session import ensure_checkpoint_dir
@@ -105,18 +107,41 @@ def q_model_roundtrip(spark, sf_dir):
         "product_id", round4("score").alias("score"), round4("reloaded").alias("reloaded"))
 
 
-@register("rul_model_eval", ids="M10 M18 W2 P5 W4 A9 A10")
-def q_rul_model_eval(spark, sf_dir):
+def _rul_frames(spark, sf_dir):
     cyc = cycles(spark, sf_dir)
     sensors = features.informative_columns(cyc, SENSOR_COLUMNS)
     feats = sensors + [f"{s}_roll_{k}" for s in sensors for k in ("mean", "std")]
     train = rul.add_train_rul(rul.add_rolling_features(cyc, sensors))
     test = rul.last_cycle_rows(rul.add_rolling_features(rul.truncate_units(cyc, 0.8), sensors))
+    return feats, train, test
+
+
+def _rul_pipeline(feats, estimator):
     stages = P.preprocessor(feats, [])[:-1] + [
-        __import__("pyspark.ml.feature", fromlist=["VectorAssembler"]).VectorAssembler(
-            inputCols=["_num_scaled"], outputCol=P.FEATURES_VEC),
-        P.regressor("rul", maxIter=20, maxDepth=4)]
-    model = Pipeline(stages=stages).fit(train)
+        VectorAssembler(inputCols=["_num_scaled"], outputCol=P.FEATURES_VEC), estimator]
+    return Pipeline(stages=stages)
+
+
+@register("rul_model_eval", ids="M10 M18 W2 P5 W4 A9 A10")
+def q_rul_model_eval(spark, sf_dir):
+    feats, train, test = _rul_frames(spark, sf_dir)
+    model = _rul_pipeline(feats, P.regressor("rul", maxIter=20, maxDepth=4)).fit(train)
     pred = model.transform(test).select("unit_number", "true_rul", F.col("prediction").alias("predicted_rul"))
     s = metrics.regression_scores(pred, "true_rul", "predicted_rul")
     return s.select("n_units", round4("rmse").alias("rmse"), round4("phm08_score").alias("phm08_score"))
+
+
+@register("rul_group_search", ids="M4 M12 M10 A9")
+def q_rul_group_search(spark, sf_dir):
+    """Random search for the RUL regressor with group folds: a unit never spans folds."""
+    feats, train, _ = _rul_frames(spark, sf_dir)
+    folded = group_folds(train, "unit_number")
+    est = P.regressor("rul", maxIter=10)
+    pipe = _rul_pipeline(feats, est)
+    ev = RegressionEvaluator(labelCol="rul", predictionCol="prediction", metricName="rmse")
+    _, results = random_search(pipe, est, folded, ev, n_iter=SEARCH_DRAWS)
+    rows = [(i, str(p["max_depth"]), float(p["learning_rate"]), float(p["l2_regularization"]),
+             int(p["max_leaf_nodes"]), float(m)) for i, (p, m) in enumerate(results)]
+    df = spark.createDataFrame(rows, "draw int, max_depth string, learning_rate double, l2_regularization double, "
+                                     "max_leaf_nodes int, cv_rmse double")
+    return df.withColumn("cv_rmse", round4("cv_rmse"))

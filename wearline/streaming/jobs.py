@@ -144,7 +144,8 @@ def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str]
                         watermark: str = "1 hour") -> DataFrame:
     """R5 step 1: counts per (window, feature, bin) with the reference's breakpoints
     (``edges``: feature, interior array — a static one-row-per-feature table)."""
-    longf = stream.withWatermark("ts", watermark).select(
+    src = stream.withWatermark("ts", watermark) if stream.isStreaming else stream  # batch twin: no watermark
+    longf = src.select(
         "ts", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
                                  for f in features])))
     j = longf.filter(F.col("value").isNotNull()).join(F.broadcast(edges), "feature", "inner")
