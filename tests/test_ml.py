@@ -55,3 +55,21 @@ def test_fingerprint_order_free(spark):
     a = W.fingerprint(r).first()
     b = W.fingerprint(r.orderBy(F.rand(3))).first()
     assert a.rows == b.rows and a.sha256 == b.sha256
+
+
+def test_sampled_shapley_sums_to_score_gap(spark):
+    from wearline.ml.shapley import sampled_shapley
+    from wearline.ml.split import background_sample
+    df = add_derived_features(readings(spark, SF001))
+    train, test = W.split_frames(df)
+    model, scored, _ = W.fit_score("boosting", train, test, ENH, CATEGORICAL_FEATURES, weight=None, maxIter=5)
+    top = scored.orderBy(F.col("score").desc(), "product_id").limit(3).select("product_id", *CATEGORICAL_FEATURES, *ENH)
+    bg = background_sample(train.select("product_id", *CATEGORICAL_FEATURES, *ENH), 50)
+    sh = sampled_shapley(model, top, bg, ENH, samples=16, keep=CATEGORICAL_FEATURES)
+    per = sh.groupBy("product_id").agg(F.sum("contribution").alias("s"), F.first("base_value").alias("b"),
+                                       F.first("predicted_probability").alias("p")).collect()
+    assert len(per) == 3
+    want = {r.product_id: r.score for r in scored.select("product_id", "score").collect()}
+    for r in per:
+        assert abs(r.s - (r.p - r.b)) < 1e-9  # telescoping: contributions sum to f(x) - base
+        assert abs(r.p - want[r.product_id]) < 1e-9  # the all-x coalition is the row itself

@@ -145,3 +145,24 @@ def q_rul_group_search(spark, sf_dir):
     df = spark.createDataFrame(rows, "draw int, max_depth string, learning_rate double, l2_regularization double, "
                                      "max_leaf_nodes int, cv_rmse double")
     return df.withColumn("cv_rmse", round4("cv_rmse"))
+
+
+SHAPLEY_SAMPLES = 64
+
+
+@register("sampled_shapley", ids="M16 U5 T3 W6 A23")
+def q_sampled_shapley(spark, sf_dir):
+    """Attribution of the 10 highest-risk holdout rows against a 200-row background."""
+    from wearline.ml.shapley import sampled_shapley
+    from wearline.ml.split import background_sample
+    from wearline.operators.attribution import top_k_per_row
+    train, test = _frames(spark, sf_dir)
+    model, scored, _ = W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None, **FAST)
+    top = scored.orderBy(F.col("score").desc(), "product_id").limit(C.TOP_RISK_ROWS).drop("score", "probability",
+                                                                                          "rawPrediction", "prediction")
+    top = top.select("product_id", *CATEGORICAL_FEATURES, *ENHANCED)
+    bg = background_sample(train.select("product_id", *CATEGORICAL_FEATURES, *ENHANCED), C.BACKGROUND_SIZE)
+    sh = sampled_shapley(model, top, bg, ENHANCED, samples=SHAPLEY_SAMPLES, keep=CATEGORICAL_FEATURES)
+    t = top_k_per_row(sh, "product_id", C.TOP_FEATURES_PER_ROW)
+    return t.select("product_id", round4("predicted_probability").alias("predicted_probability"), "feature",
+                    round4("contribution").alias("contribution"), "feature_rank")
