@@ -65,12 +65,19 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     if name not in ORACLE:
         res["status"] = "rows-only"
         return res
-    dp = con.execute(ORACLE[name]).df()
+    rel = con.execute(ORACLE[name])
+    duck_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    dp = rel.df()
     res["duck_rows"] = len(dp)
     res["duck_sec"] = round(time.time() - t1, 2)
     if sorted(sp.columns) != sorted(dp.columns):
         res["status"] = f"COLUMNS differ spark={sorted(sp.columns)} duck={sorted(dp.columns)}"
         return res
+    want = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    bad_types = {c: (t, duck_types.get(c)) for c, t in s_schema if want.get(t, t.upper()) != duck_types.get(c)}
+    if bad_types:
+        res["status"] = f"TYPES differ {bad_types}"
+        return res
     a, b = rows_of(sp), rows_of(dp)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT differs"

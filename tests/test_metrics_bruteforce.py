@@ -114,3 +114,16 @@ def test_exact_quantiles_vs_percentile(spark):
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", fr).alias("q")).collect()}
     for g in want:
         assert got[g] == pytest.approx(want[g], abs=1e-9)
+
+
+@pytest.mark.parametrize("nb", [3, 8])
+def test_queue_selection_equals_full_rank(spark, nb):
+    from wearline.operators import queue
+    from wearline.sources.adapters import readings
+    r = readings(spark, "/root/testdata/sf0.001")
+    r = r.withColumn("risk", F.when(F.col("product_id") % 3 == 0, F.lit(0.5)).otherwise(F.col("risk")))  # hot value
+    fr = [0.001, 0.05, 0.1, 0.15, 0.5, 1.0]
+    a = queue.queue_counts_by_selection(r, fr, extra_flags=["twf"], n_buckets=nb).orderBy("review_fraction").collect()
+    ranked, n = queue.rank_queue(r.select("product_id", "risk", "machine_failure", "twf"))
+    b = queue.queue_counts(ranked, n, fr, "machine_failure", ["twf"]).orderBy("review_fraction").collect()
+    assert [tuple(x) for x in a] == [tuple(y) for y in b]

@@ -62,13 +62,65 @@ def queue_counts(ranked: DataFrame, n_rows: int, fractions: list[float], label:
     return row.select(*keep, F.inline(F.array(*stack)))
 
 
+def queue_counts_by_selection(scored: DataFrame, fractions: list[float], score: str = "risk",
+                              label: str = "machine_failure", id_col: str = "product_id",
+                              extra_flags: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
+    """Same output as ``queue_counts`` without ranking every row.
+
+    The order (score desc, id asc) is cut into range buckets; one aggregate gives each
+    bucket's row count and failure counts (a P-row table). A budget of n rows takes
+    whole buckets up to the one holding position n, and only that "cut" bucket (at most
+    one per fraction) is sorted to take its first n - offset rows. At scale this is one
+    scan plus a tiny aggregate plus sorting <= len(fractions) buckets, instead of a full
+    shuffle and sort of all rows.
+    """
+    from pyspark.sql import Window
+
+    from wearline.operators.rank import BUCKET, ROWS_PER_BUCKET, _default_buckets, add_order_buckets
+    cols = [label, *extra_flags]
+    n_rows = scored.count()
+    p = n_buckets or _default_buckets(scored, n_rows, ROWS_PER_BUCKET)
+    if p <= 1:
+        ranked = global_row_number(scored, score, descending=True, tie=id_col, out=QUEUE_RANK, n_buckets=1)
+        return queue_counts(ranked, n_rows, fractions, label, extra_flags)
+    b = add_order_buckets(scored.select(id_col, score, *cols), score, descending=True, tie=id_col, n_buckets=p)
+    per = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("bigint").alias(f"_s_{c}") for c in cols])
+    w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # over <= P rows
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    budgets = b.sparkSession.createDataFrame(
+        [(i, float(f), budget_size(n_rows, f)) for i, f in enumerate(fractions)], "_i int, review_fraction double, _b long")
+    grid = budgets.crossJoin(F.broadcast(per))  # fractions x buckets: both tiny, bounded by P
+    full = (grid.filter(F.col("_off") + F.col("_n") <= F.col("_b"))
+            .groupBy("_i").agg(*[F.sum(f"_s_{c}").alias(f"_f_{c}") for c in cols]))
+    cut = grid.filter((F.col("_off") < F.col("_b")) & (F.col("_off") + F.col("_n") > F.col("_b"))).select(
+        "_i", BUCKET, (F.col("_b") - F.col("_off")).alias("_k"))
+    # sort only the cut buckets (semi join on a table of <= len(fractions) rows)
+    hot = b.join(F.broadcast(cut.select(BUCKET).distinct()), BUCKET, "left_semi")
+    wr = Window.partitionBy(BUCKET).orderBy(F.col(score).desc_nulls_last(), F.col(id_col).asc())
+    hot = hot.withColumn("_r", F.row_number().over(wr))
+    part = (hot.join(F.broadcast(cut), BUCKET, "inner").filter(F.col("_r") <= F.col("_k"))
+            .groupBy("_i").agg(*[F.sum(c).alias(f"_c_{c}") for c in cols]))
+    totals = per.agg(*[F.sum(f"_s_{c}").cast("bigint").alias(f"total_{c}") for c in cols])
+    out = (budgets.join(full, "_i", "left").join(part, "_i", "left").crossJoin(F.broadcast(totals)))
+    got = {c: (F.coalesce(F.col(f"_f_{c}"), F.lit(0)) + F.coalesce(F.col(f"_c_{c}"), F.lit(0))).cast("bigint")
+           for c in cols}
+    return out.select(
+        F.lit(n_rows).cast("bigint").alias("total_rows"),
+        F.col(f"total_{label}").alias("total_failures"),
+        *[F.col(f"total_{fl}") for fl in extra_flags],
+        "review_fraction",
+        F.least(F.col("_b"), F.lit(n_rows)).cast("bigint").alias("reviewed_assets"),
+        got[label].alias("captured_failures"),
+        *[got[fl].alias(f"captured_{fl}") for fl in extra_flags],
+    )
+
+
 def review_queue(scored: DataFrame, score: str = "risk", label: str = "machine_failure",
                  id_col: str = "product_id", fractions: list[float] | None = None,
                  n_buckets: int | None = None) -> DataFrame:
     """Per budget the reviewed count, captures, capture rate, yields and lift."""
     fractions = fractions or C.REVIEW_FRACTIONS
-    ranked, n_rows = rank_queue(scored.select(id_col, score, label), score, id_col, n_buckets)
-    q = queue_counts(ranked, n_rows, fractions, label)
+    q = queue_counts_by_selection(scored, fractions, score, label, id_col, n_buckets=n_buckets)
     base = safe_div0(F.col("total_failures"), F.col("total_rows"))
     yld = F.col("captured_failures") / F.col("reviewed_assets")
     return q.select(
@@ -99,8 +151,7 @@ def capture_curve(scored: DataFrame, fractions: list[float], score: str = "risk"
                   label: str = "machine_failure", id_col: str = "product_id",
                   n_buckets: int | None = None) -> DataFrame:
     """Cumulative capture at each fraction, with the (0, 0) origin and the random diagonal."""
-    ranked, n_rows = rank_queue(scored.select(id_col, score, label), score, id_col, n_buckets)
-    q = queue_counts(ranked, n_rows, fractions, label)
+    q = queue_counts_by_selection(scored, fractions, score, label, id_col, n_buckets=n_buckets)
     pts = q.select(
         F.col("review_fraction").alias("fraction"),
         round4(safe_div0(F.col("captured_failures"), F.col("total_failures"))).alias("capture"),
@@ -131,9 +182,7 @@ def failure_mode_capture(scored: DataFrame, fraction: float = C.PRIMARY_REVIEW_F
     """Per failure mode, holdout failures and those inside the shared queue."""
     flag_cols = flag_cols or {c: c.lower() for c in C.FAILURE_CODES}
     flags = list(flag_cols.values())
-    ranked, n_rows = rank_queue(scored.select(id_col, score, "machine_failure", *flags), score, id_col,
-                                n_buckets)
-    q = queue_counts(ranked, n_rows, [fraction], "machine_failure", flags)
+    q = queue_counts_by_selection(scored, [fraction], score, "machine_failure", id_col, flags, n_buckets)
     rows = [F.struct(F.lit(code).alias("failure_code"),
                      F.col("reviewed_assets"),
                      F.col(f"total_{fl}").alias("holdout_failures"),
