@@ -10,7 +10,7 @@ from wearline.functions import constants as C
 __all__ = [
     "safe_div", "safe_div0", "clip_lower", "clip_upper", "psi_verdict", "risk_band", "shift_id",
     "operator_name", "heuristic_rul", "failure_label", "flags_to_labels", "decision", "round4",
-    "gauge_band", "kelvin_to_celsius", "energy_cost_per_hour", "percent_label", "thousands_label",
+    "gauge_band", "kelvin_to_celsius", "energy_cost_per_hour", "percent_label", "thousands_label", "after_first_separator",
 ]
 
 
@@ -114,3 +114,8 @@ def percent_label(x, decimals: int = 1):
 def thousands_label(x):
     """an amount with thousands separators, e.g. 238000 -> '238,000'."""
     return F.format_number(_c(x).cast("double"), 0)
+
+
+def after_first_separator(x, sep: str = "__"):
+    """the text after the first ``sep``; the whole text when ``sep`` is absent."""
+    return F.element_at(F.split(_c(x), sep, 2), -1)

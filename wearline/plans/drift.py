@@ -144,7 +144,7 @@ def q_psi_categorical(spark, sf_dir):
     return drift.categorical_psi(ref, cur, CATEGORICAL_FEATURES).select("feature", F.round("psi", 4).alias("psi"))
 
 
-@register("drift_report", ids="A16 P10 T4 U3", oracle=with_(READINGS, SIDES_SQL, psi_sql()) +
+@register("drift_report", ids="A16 P10 T4 U3 F2", oracle=with_(READINGS, SIDES_SQL, psi_sql()) +
           "SELECT * FROM report ORDER BY psi DESC, feature")
 def q_drift_report(spark, sf_dir):
     ref, cur = sides(spark, sf_dir)
@@ -159,7 +159,7 @@ SELECT (SELECT count(*) FROM refd) AS reference_rows, (SELECT count(*) FROM curd
 FROM report WHERE verdict <> 'no_significant_drift'"""
 
 
-@register("drift_summary", ids="A16 S6", oracle=with_(READINGS, SIDES_SQL, psi_sql()) + SUMMARY_SQL)
+@register("drift_summary", ids="A16 P6", oracle=with_(READINGS, SIDES_SQL, psi_sql()) + SUMMARY_SQL)
 def q_drift_summary(spark, sf_dir):
     ref, cur = sides(spark, sf_dir)
     rep = drift.drift_report(ref, cur, NUMERIC, CATEGORICAL_FEATURES)

@@ -40,7 +40,7 @@ def q_model_benchmark(spark, sf_dir):
     return W.benchmark(train, test, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
 
 
-@register("final_model_metrics", ids="M9 M14 A4 A5 A6 A7 P4")
+@register("final_model_metrics", ids="M9 M14 A4 A5 A6 A7 P4 J8")
 def q_final_model_metrics(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
     _, scored, _ = W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None, **FAST)
@@ -63,7 +63,7 @@ def q_search(spark, sf_dir):
     return df.withColumn("cv_pr_auc", round4("cv_pr_auc"))
 
 
-@register("per_mode_models", ids="M13 M11 A5 A6 A7 W5")
+@register("per_mode_models", ids="M13 M11 A5 A6 A7 W5 P6")
 def q_per_mode_models(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
     return W.per_mode_models(train, test, ENHANCED, CATEGORICAL_FEATURES)

@@ -105,7 +105,7 @@ def _eval_frames(spark, sf_dir):
     return cyc, test, pred, scored
 
 
-@register("rul_eval", ids="J6 A9 A10 A11 A12 M18 W4", oracle=with_(CYCLES, EVAL_SQL) + """
+@register("rul_eval", ids="J6 A9 A10 A11 A12 M18 W4 F6", oracle=with_(CYCLES, EVAL_SQL) + """
 SELECT n_units, round(model_rmse, 4) AS model_rmse, round(model_phm08, 4) AS model_phm08,
        round(baseline_rmse, 4) AS baseline_rmse, round(baseline_phm08, 4) AS baseline_phm08,
        round(CASE WHEN baseline_rmse <> 0 THEN (baseline_rmse - model_rmse) / baseline_rmse * 100.0 ELSE 0.0 END, 4) AS rmse_lift_pct,

@@ -29,3 +29,20 @@ def assert_contract(df: DataFrame, required: list[str] | None = None, ranges: di
     if failed and raise_on_violation:
         raise AssertionError(f"contract violated: {report}")
     return report
+
+
+def contract_report(df: DataFrame, ranges: dict, min_rows: int = 0) -> DataFrame:
+    """S10 as a lazy one-row frame: row count, per-rule violation counts and ``ok``."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for c, (lo, hi) in ranges.items():
+        bad = F.col(c).isNull()
+        if lo is not None:
+            bad = bad | (F.col(c) < lo)
+        if hi is not None:
+            bad = bad | (F.col(c) > hi)
+        aggs.append(F.sum(bad.cast("int")).cast("bigint").alias(f"{c}_violations"))
+    r = df.agg(*aggs)
+    ok = F.col("rows") >= F.lit(min_rows)
+    for c in ranges:
+        ok = ok & (F.col(f"{c}_violations") == 0)
+    return r.withColumn("ok", ok)

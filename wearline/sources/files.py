@@ -86,6 +86,6 @@ def load_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, S
     return out
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
+def write_result(df: DataFrame, path: str, fmt: str = "json", **options) -> None:
     """Result sink; Spark creates the parent directories."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    df.write.mode("overwrite").format(fmt).options(**options).save(path)
