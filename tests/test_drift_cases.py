@@ -90,3 +90,16 @@ def test_bootstrap_sample_exact_n(spark):
     assert s.count() == 1000
     assert s.select("product_id").distinct().count() < 500  # with replacement
     assert s.groupBy().agg(F.min("product_id"), F.max("product_id")).first()[0] >= 1
+
+
+def test_merged_pass_equals_separate(spark):
+    rng = np.random.default_rng(9)
+    a = [(float(x), str(c)) for x, c in zip(np.round(rng.normal(0, 1, 400), 2), rng.choice(list("LMH"), 400))]
+    b = [(float(x), str(c)) for x, c in zip(np.round(rng.normal(0.5, 1, 300), 2), rng.choice(list("LMHX"), 300))]
+    b += [(None, None)] * 5
+    r = spark.createDataFrame(a, "x double, t string")
+    c = spark.createDataFrame(b, "x double, t string")
+    merged = {row.feature: row.psi for row in drift.psi_all(r, c, ["x"], ["t"]).collect()}
+    assert merged["x"] == pytest.approx(drift.numeric_psi(r, c, ["x"]).first().psi, abs=1e-12)
+    assert merged["t"] == pytest.approx(drift.categorical_psi(r, c, ["t"]).first().psi, abs=1e-12)
+    assert merged["x"] == pytest.approx(_psi_numpy(np.array([v for v, _ in a]), np.array([v for v, _ in b[:-5]])), abs=1e-9)

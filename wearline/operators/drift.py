@@ -101,17 +101,58 @@ def categorical_psi(reference: DataFrame, current: DataFrame, features: list[str
     return _with_names(reference.sparkSession, features, per, F.col("_psi"))
 
 
+def psi_all(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
+            buckets: int = C.PSI_BUCKETS, n_buckets: int | None = None) -> DataFrame:
+    """A14 and A15 in one pass: feature, psi (unrounded) for numeric and categorical features.
+
+    One long table holds both sides: numeric values get their bin (breakpoints broadcast,
+    one row per feature), categorical values keep their label, and a single grouped count
+    gives every cell; empty numeric bins come from the breakpoints. Numeric totals drop
+    NULLs and an empty side gives 0; categorical totals count NULL rows (the reference's
+    semantics for each).
+    """
+    spark = reference.sparkSession
+    ref_num = _long(reference, numeric, REF).filter(F.col("value").isNotNull())
+    fr = [i / buckets for i in range(buckets + 1)]
+    q = exact_quantiles(ref_num, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
+    bp = F.array_sort(F.array_distinct("q"))
+    edges = (q.select("feature", bp.alias("bp"))
+             .select("feature", F.size("bp").alias("m"), F.slice("bp", 2, F.greatest(F.size("bp") - 2, F.lit(0)))
+                     .alias("interior"))
+             .filter(F.col("m") >= 3))
+
+    def side(df, s_):
+        arr = ([F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                         F.lit(None).cast("string").alias("category")) for f in numeric]
+               + [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("value"),
+                           F.col(c).cast("string").alias("category")) for c in categorical])
+        return df.select(F.inline(F.array(*arr))).withColumn("side", F.lit(s_))
+
+    is_cat = F.col("feature").isin(categorical) if categorical else F.lit(False)
+    both = side(reference, REF).unionByName(side(current, CUR)).filter(is_cat | F.col("value").isNotNull())
+    j = both.join(F.broadcast(edges.select("feature", "interior")), "feature", "left")  # one row per feature
+    j = j.filter(is_cat | F.col("interior").isNotNull())  # numeric features with < 3 breakpoints: psi 0
+    key = F.when(is_cat, F.col("category")).otherwise(
+        F.size(F.filter("interior", lambda e: e <= F.col("value"))).cast("string"))
+    wide = j.withColumn("key", key).groupBy("feature", "key").agg(
+        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
+        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
+    grid = edges.select("feature", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 2),
+                                                         lambda b: b.cast("string"))).alias("key"))
+    num_cells = grid.join(wide, ["feature", "key"], "left").fillna(0, ["ref_n", "cur_n"])
+    cells = num_cells.unionByName(wide.filter(is_cat))
+    wf = Window.partitionBy("feature")  # over the small cell table
+    cells = (cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
+             .filter(F.col("key").isNotNull()))
+    per = _psi_from_cells(cells).withColumn("_cat", F.col("feature").isin(categorical) if categorical else F.lit(False))
+    psi = F.when(F.col("_cat") | (F.col("_minside") > 0), F.col("_psi")).otherwise(F.lit(0.0))
+    return _with_names(spark, numeric + categorical, per, psi)
+
+
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
                  n_buckets: int | None = None) -> DataFrame:
-    """A16 long form: feature, psi (4 places), verdict; sort by psi desc then feature."""
-    parts = []
-    if numeric:
-        parts.append(numeric_psi(reference, current, numeric, n_buckets=n_buckets))
-    if categorical:
-        parts.append(categorical_psi(reference, current, categorical))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    """A16 long form: feature, psi (4 places), verdict."""
+    allp = psi_all(reference, current, numeric, categorical, n_buckets=n_buckets)
     return allp.select("feature", round4("psi").alias("psi"), psi_verdict(F.col("psi")).alias("verdict"))
 
 
