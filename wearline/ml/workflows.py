@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +19,15 @@ from wearline.operators.rank import global_row_number
 
 def split_frames(df: DataFrame, label: str = "machine_failure", seed: int = C.RANDOM_SEED,
                  weight_mode: str = "balanced"):
-    """Stratified 80/20 split; training rows carry a class-weight column. Both persisted
-    (iterative solvers read them many times)."""
+    """Stratified 80/20 split; training rows carry a class-weight column.
+
+    Both sides are checkpointed to the shared ``spark.checkpoint.dir``: iterative solvers
+    read them many times, the lineage (split ranks, weights) is cut, and a lost executor
+    re-reads the files instead of recomputing the split."""
     s = stratified_split(df, label=label, seed=seed)
     train = features.class_weights(s.filter("is_test = 0"), label, mode=weight_mode)
     test = s.filter("is_test = 1")
-    return train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
+    return train.checkpoint(eager=True), test.checkpoint(eager=True)
 
 
 def fit_score(kind: str, train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str],
@@ -110,8 +112,6 @@ def robustness(df: DataFrame, numeric: list[str], categorical: list[str], seeds:
         _, scored, _ = fit_score("boosting", train, test, numeric, categorical, label, None, **params)
         m = metrics.model_metrics(scored, label, "score", by=[])
         rows.append(m.select(F.lit(seed).alias("split_seed"), "roc_auc", "pr_auc", "f1"))
-        train.unpersist()
-        test.unpersist()
     per = rows[0]
     for r in rows[1:]:
         per = per.unionByName(r)
