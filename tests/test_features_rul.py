@@ -65,3 +65,23 @@ def test_wear_reset(spark):
                                "machine_id int, tick_id int, ts string, wear_inc double, tool_change boolean")
     w = telemetry.wear_with_reset(df.withColumn("ts", F.col("ts").cast("timestamp")))
     assert [r.tool_wear_min for r in w.orderBy("tick_id").collect()] == [1.0, 3.0, 0.0, 1.5]
+
+
+@pytest.mark.parametrize("nb", [None, 6])
+def test_running_windows_bucketed_equal_plain(spark, nb):
+    from pyspark.sql import Window
+    from wearline.sources.adapters import telemetry as tele
+    t = tele(spark, "/root/testdata/sf0.001")
+    t = t.withColumn("machine_id", F.when(F.col("tick_id") % 3 == 0, F.lit(7)).otherwise(F.col("machine_id")))  # hot
+    w = Window.partitionBy("machine_id").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    want = t.select("tick_id", F.sum("production_inc").over(w).cast("bigint").alias("p"),
+                    F.round(F.sum("downtime_s").over(w), 6).alias("d"))
+    got = telemetry.running_totals(t, n_buckets=nb).select("tick_id", F.col("production_total").alias("p"),
+                                                            F.round("downtime_total_s", 6).alias("d"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    g = t.withColumn("_g", F.sum(F.col("tool_change").cast("int")).over(w))
+    w2 = Window.partitionBy("machine_id", "_g").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    want2 = g.select("tick_id", F.round(F.sum(F.when(F.col("tool_change"), 0.0).otherwise(F.col("wear_inc")))
+                                        .over(w2), 6).alias("w"))
+    got2 = telemetry.wear_with_reset(t, n_buckets=nb).select("tick_id", F.round("tool_wear_min", 6).alias("w"))
+    assert got2.exceptAll(want2).count() == 0 and want2.exceptAll(got2).count() == 0
