@@ -85,3 +85,22 @@ def test_running_windows_bucketed_equal_plain(spark, nb):
                                         .over(w2), 6).alias("w"))
     got2 = telemetry.wear_with_reset(t, n_buckets=nb).select("tick_id", F.round("tool_wear_min", 6).alias("w"))
     assert got2.exceptAll(want2).count() == 0 and want2.exceptAll(got2).count() == 0
+
+
+@pytest.mark.parametrize("nb,hot", [(None, None), (4, 50)])
+def test_rolling_hot_unit_halo(spark, nb, hot):
+    from pyspark.sql import Window
+    from wearline.sources.adapters import cycles
+    c = cycles(spark, "/root/testdata/sf0.001")
+    # one unit with a third of all rows: re-number its cycles so they stay unique
+    c = c.withColumn("unit_number", F.when(F.col("unit_number") % 3 == 0, F.lit(999)).otherwise(F.col("unit_number")))
+    c = c.withColumn("time_cycles", F.row_number().over(Window.partitionBy("unit_number").orderBy("time_cycles",
+                                                                                                   "sensor_1")))
+    w = Window.partitionBy("unit_number").orderBy("time_cycles").rowsBetween(-4, 0)
+    want = c.select("unit_number", "time_cycles", F.round(F.avg("sensor_1").over(w), 9).alias("m"),
+                    F.round(F.coalesce(F.stddev_samp("sensor_1").over(w), F.lit(0.0)), 9).alias("s"))
+    got = rul.add_rolling_features(c, ["sensor_1"], 5, n_buckets=nb, hot_threshold=hot).select(
+        "unit_number", "time_cycles", F.round("sensor_1_roll_mean", 9).alias("m"),
+        F.round("sensor_1_roll_std", 9).alias("s"))
+    assert got.count() == c.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

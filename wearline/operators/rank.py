@@ -277,3 +277,55 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
     return (res.groupBy(*by, "n")
             .agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_qs"))
             .select(*by, "n", F.transform("_qs", lambda s: s["_q"]).alias(out)))
+
+
+def hot_keys(df: DataFrame, by: list[str], threshold: int) -> DataFrame:
+    """Keys holding more than ``threshold`` rows, as a small frame (at most N / threshold
+    rows: a proven bound, so callers may broadcast it)."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_wl_cnt")).filter(F.col("_wl_cnt") > threshold).select(*by)
+
+
+def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] | tuple,
+                   n_buckets: int | None = None, hot_threshold: int | None = None,
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rows frame ``[-(window - 1), 0]`` per group in ``key`` order, exact, skew-safe.
+
+    ``exprs(w)`` returns ``{name: Column}`` over the window spec ``w``. Groups of ordinary
+    size use the plain window. A group above ``hot_threshold`` rows is cut into key-range
+    buckets; each bucket also receives the ``window - 1`` rows that precede it (its halo,
+    found by exact per-group row numbers and an equi-join), the frame is evaluated per
+    bucket and halo rows are dropped — so a unit holding a third of all rows is spread over
+    many tasks and every frame still sees exactly its preceding rows. ``key`` must be
+    unique within a group (a cycle number, a timestamp with tie-free ticks).
+    """
+    by = list(by)
+    n_rows = None
+    if n_buckets is None:
+        n_rows = df.count()
+        n_buckets = _default_buckets(df, n_rows, rows_per_bucket)
+    w_plain = Window.partitionBy(*by).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
+    if n_buckets <= 1:
+        return df.withColumns(exprs(w_plain))
+    threshold = hot_threshold or rows_per_bucket
+    hot = F.broadcast(hot_keys(df, by, threshold))  # bounded by N / threshold rows
+    normal = df.join(hot, by, "left_anti").withColumns(exprs(w_plain))
+    hot_rows = df.join(hot, by, "left_semi")
+    b = add_order_buckets(hot_rows, key, by=by, n_buckets=n_buckets)
+    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_wl_n"))
+    wo = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(wo), F.lit(0)))  # per hot group: small
+    wr = Window.partitionBy(*by, BUCKET).orderBy(key)
+    ranked = (b.join(per, [*by, BUCKET], "inner")
+              .withColumn("_wl_rn", F.row_number().over(wr) + F.col("_wl_off")))
+    # halo: the window - 1 rows before each bucket's first row, relabelled to that bucket
+    halo_pos = per.filter(F.col("_wl_off") > 0).select(
+        *by, F.col(BUCKET).alias("_wl_target"),
+        F.explode(F.sequence(F.greatest(F.col("_wl_off") - (window - 2), F.lit(1)), F.col("_wl_off"))).alias("_wl_rn"))
+    halo = (ranked.drop(BUCKET).join(halo_pos, [*by, "_wl_rn"], "inner")
+            .withColumnRenamed("_wl_target", BUCKET).withColumn("_wl_halo", F.lit(True)))
+    own = ranked.withColumn("_wl_halo", F.lit(False))
+    both = own.unionByName(halo)
+    wb = Window.partitionBy(*by, BUCKET).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
+    hot_out = (both.withColumns(exprs(wb)).filter(~F.col("_wl_halo"))
+               .drop(BUCKET, "_wl_n", "_wl_off", "_wl_rn", "_wl_halo"))
+    return normal.unionByName(hot_out)
