@@ -48,6 +48,8 @@ def test_trajectory_arrays_aligned(spark):
     t = rul.trajectories(rows).first()
     assert len(t.cycles) == len(t.predicted_rul) == len(t.true_rul_extrapolated) == 5
     assert list(t.cycles) == [1, 2, 3, 4, 5]
+    segs = rul.trajectories(rows, max_len=2).orderBy("segment").collect()  # bounded arrays, nothing dropped
+    assert [list(x.cycles) for x in segs] == [[1, 2], [3, 4], [5]]
 
 
 def test_oee_floors(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
-from wearline.ml import pipeline as P
+from wearline.ml import estimators as P
 from wearline.ml import workflows as W
 from wearline.ml.importance import permutation_importance
 from wearline.ml.split import group_folds, stratified_folds, stratified_split

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import failure_label, round4, safe_div0
-from wearline.ml import pipeline as P
+from wearline.ml import estimators as P
 from wearline.ml.split import stratified_split
 from wearline.operators import features, metrics
 from wearline.operators.rank import global_row_number

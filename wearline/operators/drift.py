@@ -163,8 +163,8 @@ def drift_summary(report: DataFrame, reference: DataFrame, current: DataFrame) -
                       F.sort_array(F.collect_list(F.struct((-F.col("psi")).alias("k"), F.col("feature"))))
                       .alias("_d"))  # at most one entry per feature
     rows = reference.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(
-        current.agg(F.count(F.lit(1)).alias("live_batch_rows")))
-    return rows.crossJoin(agg).select(
+        F.broadcast(current.agg(F.count(F.lit(1)).alias("live_batch_rows"))))  # one row each
+    return rows.crossJoin(F.broadcast(agg)).select(  # one row each
         "reference_rows", "live_batch_rows", (F.col("n_drifted") > 0).alias("drift_detected"), "n_drifted",
         F.concat_ws("|", F.transform("_d", lambda s: s["feature"])).alias("drifted_features"))
 

@@ -257,7 +257,8 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
     pos = targets.select(*by, "_i", F.explode(F.array(
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_p")),
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_p")))).alias("_s")).select(*by, "_i", "_s.*")
-    loc = pos.join(per.drop("n"), on=by, how="inner") if by else pos.crossJoin(per.drop("n"))
+    # targets (2F rows per group) against bucket stats (<= P rows per group): small tables only
+    loc = pos.join(per.drop("n"), on=by, how="inner") if by else pos.crossJoin(F.broadcast(per.drop("n")))
     loc = loc.filter((F.col("_p") > F.col("_off")) & (F.col("_p") <= F.col("_off") + F.col("_c")))
     direct = loc.filter(F.col("_mn") == F.col("_mx")).select(*by, "_i", "_side", F.col("_mn").alias("_v"))
     need = loc.filter(F.col("_mn") != F.col("_mx")).select(*by, BUCKET, "_i", "_side",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import round4
-from wearline.ml import pipeline as P
+from wearline.ml import estimators as P
 from wearline.ml import workflows as W
 from wearline.ml.evaluate import AveragePrecisionEvaluator
 from wearline.ml.importance import permutation_importance
@@ -82,7 +82,7 @@ def q_permutation_importance(spark, sf_dir):
 def q_robustness(spark, sf_dir):
     df = features.add_derived_features(readings(spark, sf_dir))
     per, summary = W.robustness(df, ENHANCED, CATEGORICAL_FEATURES, **FAST)
-    return per.crossJoin(summary)
+    return per.crossJoin(F.broadcast(summary))  # one summary row: proven bound
 
 
 @register("feature_delta", ids="A25 P1")

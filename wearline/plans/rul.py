@@ -116,7 +116,7 @@ def q_rul_eval(spark, sf_dir):
     m = metrics.regression_scores(scored, "true_rul", "predicted_rul")
     b = metrics.regression_scores(scored, "true_rul", "baseline").select(
         F.col("rmse").alias("baseline_rmse"), F.col("phm08_score").alias("baseline_phm08"))
-    j = m.crossJoin(b)
+    j = m.crossJoin(F.broadcast(b))  # one row each: proven bound
     return j.select("n_units", round4("rmse").alias("model_rmse"), round4("phm08_score").alias("model_phm08"),
                     round4("baseline_rmse").alias("baseline_rmse"), round4("baseline_phm08").alias("baseline_phm08"),
                     round4(metrics.lift_vs_baseline(F.col("rmse"), F.col("baseline_rmse"))).alias("rmse_lift_pct"),
@@ -131,7 +131,7 @@ def q_median_baseline(spark, sf_dir):
     _, _, _, scored = _eval_frames(spark, sf_dir)
     b = metrics.regression_scores(scored, "true_rul", "baseline")
     v = scored.agg(F.first("baseline").alias("baseline_rul"))
-    return b.crossJoin(v).select("n_units", round4("baseline_rul").alias("baseline_rul"),
+    return b.crossJoin(F.broadcast(v)).select(  # one row each"n_units", round4("baseline_rul").alias("baseline_rul"),
                                  round4("rmse").alias("baseline_rmse"), round4("phm08_score").alias("baseline_phm08"))
 
 

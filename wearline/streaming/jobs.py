@@ -27,7 +27,7 @@ def live_scoring(stream: DataFrame, model=None, wear_col: str = "tool_wear_min")
     without one the closed-form wear x torque risk is used."""
     d = add_derived_features(stream)
     if model is not None:
-        from wearline.ml.pipeline import positive_probability
+        from wearline.ml.estimators import positive_probability
         d = positive_probability(model.transform(d), "risk")
     else:
         x = F.col("torque_nm") * F.col(wear_col) / 11000.0
