@@ -19,6 +19,7 @@ HEADLINE = [
     "queue_roi", "review_queue", "failure_mode_rank", "model_rank", "binary_metrics", "calibration",
     "strat_split", "drift_report", "bootstrap_drift", "rolling_features", "rul_eval", "oee", "wear_reset",
     "running_totals", "cost_by_mode", "importance_share", "mean_abs_contribution", "derived_features",
+    "orders_review_queue", "lineitem_ranking_metrics",
 ]
 
 

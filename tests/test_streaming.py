@@ -98,3 +98,22 @@ def test_windowed_drift_stream(spark, scratch):
     a = {(r.window_start, r.feature): round(r.psi, 9) for r in psi.collect()}
     b = {(r.window_start, r.feature): round(r.psi, 9) for r in want.collect()}
     assert a == b and len(a) == 12
+
+
+def test_live_scoring_with_fitted_model(spark, scratch):
+    from wearline.ml import workflows as W
+    from wearline.operators.features import add_derived_features
+    from wearline.sources.adapters import CATEGORICAL_FEATURES, DERIVED_FEATURES, NUMERIC_FEATURES, readings
+    train, test = W.split_frames(add_derived_features(readings(spark, SF001)))
+    model, _, _ = W.fit_score("logistic", train, test, NUMERIC_FEATURES + DERIVED_FEATURES, CATEGORICAL_FEATURES,
+                              maxIter=30)
+    batch_in, src = _land_daily_files(spark, scratch)
+    s = _flat_source(spark, src).withColumn("tool_wear_min", F.col("wear_inc") * 10)
+    q = write_stream(jobs.live_scoring(s, model).select("tick_id", "risk", "rul_hours", "risk_band"),
+                     "memory", "model_score_out", os.path.join(scratch, "ck6"))
+    q.awaitTermination(300)
+    mem = spark.table("model_score_out")
+    got = {r.tick_id: r.risk for r in mem.collect()}
+    want_df = jobs.live_scoring(batch_in.withColumn("tool_wear_min", F.col("wear_inc") * 10), model)
+    want = {r.tick_id: r.risk for r in want_df.select("tick_id", "risk").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
