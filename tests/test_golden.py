@@ -106,3 +106,13 @@ def test_display_labels(spark):
     r = spark.createDataFrame([(0.7773, 238000)], "s double, c long").select(
         percent_label("s").alias("p"), thousands_label("c").alias("t")).first()
     assert (r.p, r.t) == ("77.7%", "238,000")
+
+
+def test_band_edges(spark):
+    from wearline.functions import constants as C
+    from wearline.functions.columns import gauge_band, risk_band
+    df = spark.createDataFrame([(v,) for v in (75.0, 75.1, 90.0, 90.1)], "x double")
+    assert [r[0] for r in df.select(gauge_band("x", C.SPINDLE_BANDS, "success")).collect()] == [
+        "success", "warning", "warning", "danger"]  # strict >
+    rf = spark.createDataFrame([(v,) for v in (0.2999, 0.3, 0.5999, 0.6)], "r double")
+    assert [r[0] for r in rf.select(risk_band("r")).collect()] == ["LOW", "MEDIUM", "MEDIUM", "HIGH"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
-from wearline.functions.columns import (energy_cost_per_hour, heuristic_rul, kelvin_to_celsius, operator_name,
-                                        risk_band, shift_id)
+from wearline.functions.columns import (energy_cost_per_hour, gauge_band, heuristic_rul, kelvin_to_celsius,
+                                        operator_name, risk_band, shift_id)
 from wearline.operators import telemetry
 from wearline.operators.features import add_derived_features
 from wearline.plans.registry import register
@@ -98,13 +98,18 @@ live AS (
 @register("risk_band", ids="R1 P11 P15 P2 M14", oracle=with_(TELEMETRY, LIVE_SQL) + f"""
 SELECT tick_id, round(x / (1.0 + x), 4) AS risk_score,
        CASE WHEN x / (1.0 + x) * 100.0 < 30.0 THEN 'LOW' WHEN x / (1.0 + x) * 100.0 < 60.0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band,
-       CAST(greatest(1, round_even({float(C.MAX_RUL_HOURS)!r}::DOUBLE * (1.0 - x / (1.0 + x)), 0)) AS BIGINT) AS rul_hours
+       CAST(greatest(1, round_even({float(C.MAX_RUL_HOURS)!r}::DOUBLE * (1.0 - x / (1.0 + x)), 0)) AS BIGINT) AS rul_hours,
+       CASE WHEN spindle_load > 90 THEN 'danger' WHEN spindle_load > 75 THEN 'warning' ELSE 'success' END AS spindle_band,
+       CASE WHEN hydraulic_pressure > 140 THEN 'danger' WHEN hydraulic_pressure > 120 THEN 'warning' ELSE 'primary' END
+           AS pressure_band
 FROM live""")
 def q_risk_band(spark, sf_dir):
     w = telemetry.wear_with_reset(telemetry_view(spark, sf_dir)).withColumnRenamed("tool_wear_min", "wear")
     r = live_risk(w)
     return r.select("tick_id", F.round("risk", 4).alias("risk_score"), risk_band("risk").alias("risk_band"),
-                    heuristic_rul("risk").alias("rul_hours"))
+                    heuristic_rul("risk").alias("rul_hours"),
+                    gauge_band("spindle_load", C.SPINDLE_BANDS, "success").alias("spindle_band"),
+                    gauge_band("hydraulic_pressure", C.PRESSURE_BANDS, "primary").alias("pressure_band"))
 
 
 @register("shift", ids="P12 P16 F10", oracle=with_(TELEMETRY) + f"""

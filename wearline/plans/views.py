@@ -54,7 +54,9 @@ TELEMETRY = """telemetry AS (
            CAST(event_type = 'error' AS INTEGER) AS scrap_inc,
            CASE WHEN event_type = 'error' THEN value / 50.0::DOUBLE ELSE 0.0::DOUBLE END AS downtime_s,
            0.5::DOUBLE + (k % 21) / 10.0::DOUBLE AS wear_inc,
-           event_type = 'signup' AS tool_change
+           event_type = 'signup' AS tool_change,
+           60.0::DOUBLE + k % 36 AS spindle_load,
+           115.0::DOUBLE + k % 34 AS hydraulic_pressure
     FROM ev
 )"""
 

@@ -106,6 +106,8 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
         F.when(is_error, F.col("value") / 50.0).otherwise(F.lit(0.0)).alias("downtime_s"),
         (F.lit(0.5) + (k % 21) / 10.0).alias("wear_inc"),
         (F.col("event_type") == "signup").alias("tool_change"),
+        (F.lit(60.0) + (k % 36)).alias("spindle_load"),
+        (F.lit(115.0) + (k % 34)).alias("hydraulic_pressure"),
     )
 
 

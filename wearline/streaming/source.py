@@ -20,6 +20,8 @@ TELEMETRY_SCHEMA = StructType([
     StructField("downtime_s", DoubleType()),
     StructField("wear_inc", DoubleType()),
     StructField("tool_change", BooleanType()),
+    StructField("spindle_load", DoubleType()),
+    StructField("hydraulic_pressure", DoubleType()),
 ])
 
 
