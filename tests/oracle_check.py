@@ -16,6 +16,8 @@ import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare doubles bit for bit
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -32,12 +34,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
-    if isinstance(v, float):
+    if isinstance(v, (float, np.floating)):
+        v = float(v)
         if math.isnan(v):
             return None
-        return round(v, 9)
-    if isinstance(v, (np.floating,)):
-        return round(float(v), 9)
+        return v if STRICT else round(v, 9)
     if isinstance(v, (np.integer,)):
         return int(v)
     if isinstance(v, (list, tuple, np.ndarray)):

@@ -131,8 +131,9 @@ def q_median_baseline(spark, sf_dir):
     _, _, _, scored = _eval_frames(spark, sf_dir)
     b = metrics.regression_scores(scored, "true_rul", "baseline")
     v = scored.agg(F.first("baseline").alias("baseline_rul"))
-    return b.crossJoin(F.broadcast(v)).select(  # one row each"n_units", round4("baseline_rul").alias("baseline_rul"),
-                                 round4("rmse").alias("baseline_rmse"), round4("phm08_score").alias("baseline_phm08"))
+    return b.crossJoin(F.broadcast(v)).select(  # one row each
+        "n_units", round4("baseline_rul").alias("baseline_rul"),
+        round4("rmse").alias("baseline_rmse"), round4("phm08_score").alias("baseline_phm08"))
 
 
 @register("trajectories", ids="M17 P17 F14 J6", oracle=with_(CYCLES, EVAL_SQL) + f"""
