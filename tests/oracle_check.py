@@ -31,30 +31,31 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _norm(v):
+def _norm(v, strict=None):
+    strict = STRICT if strict is None else strict
     if v is None:
         return None
     if isinstance(v, (float, np.floating)):
         v = float(v)
         if math.isnan(v):
             return None
-        return v if STRICT else round(v, 9)
+        return v if strict else round(v, 9)
     if isinstance(v, (np.integer,)):
         return int(v)
     if isinstance(v, (list, tuple, np.ndarray)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, strict) for x in v)
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
     return v
 
 
-def rows_of(df: pd.DataFrame) -> list[tuple]:
+def rows_of(df: pd.DataFrame, strict=None) -> list[tuple]:
     cols = sorted(df.columns)
-    out = [tuple(_norm(r[c]) for c in cols) for _, r in df.iterrows()]
+    out = [tuple(_norm(r[c], strict) for c in cols) for _, r in df.iterrows()]
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-def compare(spark, name: str, sf_dir: str, con=None) -> dict:
+def compare(spark, name: str, sf_dir: str, con=None, strict=None) -> dict:
     from wearline.plans.catalog import ORACLE, QUERIES
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -79,7 +80,7 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     if bad_types:
         res["status"] = f"TYPES differ {bad_types}"
         return res
-    a, b = rows_of(sp), rows_of(dp)
+    a, b = rows_of(sp, strict), rows_of(dp, strict)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT differs"
         return res

@@ -17,7 +17,7 @@ def _con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, name):
-    r = compare(spark, name, SF001, _con())
+    r = compare(spark, name, SF001, _con(), strict=True)  # doubles bit for bit
     assert r["status"] == "ok", r
 
 
