@@ -106,3 +106,12 @@ def test_rolling_hot_unit_halo(spark, nb, hot):
         F.round("sensor_1_roll_std", 9).alias("s"))
     assert got.count() == c.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_scale_conf_sizes():
+    from wearline.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4)  # 100 TB
+    assert c["spark.sql.shuffle.partitions"] == "200000" and c["spark.sql.files.maxPartitionBytes"] == "256m"
+    small = scale_conf(10 * 1024 ** 3, executor_cores=8, executor_memory_gb=4)
+    # 4 GB over 8 cores leaves ~307 MB per task: the target drops to a third of that
+    assert small["spark.sql.files.maxPartitionBytes"] == "102m" and small["spark.sql.shuffle.partitions"] == "200"

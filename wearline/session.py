@@ -48,3 +48,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scale_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16,
+               target_partition_mb: int = 256) -> dict:
+    """Configuration sized for the input volume (e.g. 100 TB on a 1000-executor cluster).
+
+    * shuffle partitions: input / target size, so a reducer holds ~``target_partition_mb``
+      of shuffled data, capped at 200k (the driver tracks map output per reducer; at
+      100 TB a reducer then holds ~0.5 GB); AQE coalesces small partitions and splits
+      skewed ones at run time;
+    * scan splits: ``maxPartitionBytes`` at the same target, so a task never reads more
+      than that from parquet;
+    * a task's share of execution memory (~60 % of the heap over the cores) is kept at
+      several times the target size, so sorts and aggregations spill rarely;
+    * skew join: a partition 5x the median and above 4x the target is split.
+    """
+    target = target_partition_mb * 1024 * 1024
+    partitions = max(200, min(200_000, -(-int(input_bytes) // target)))
+    per_task_mb = executor_memory_gb * 1024 * 0.6 / max(executor_cores, 1)
+    if per_task_mb < 3 * target_partition_mb:
+        target_partition_mb = max(64, int(per_task_mb // 3))
+        target = target_partition_mb * 1024 * 1024
+        partitions = max(200, min(200_000, -(-int(input_bytes) // target)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+    }
