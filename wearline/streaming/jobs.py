@@ -167,3 +167,21 @@ def psi_per_window(counts: DataFrame, reference_shares: DataFrame) -> DataFrame:
     r = F.when(F.col("ref_share") < C.PSI_EPS, F.lit(C.PSI_EPS)).otherwise(F.col("ref_share"))
     return (cells.groupBy(F.col("w.start").alias("window_start"), "feature")
             .agg(F.sum((c - r) * F.log(c / r)).alias("psi")))
+
+
+def start_drift_monitor(stream: DataFrame, edges: DataFrame, shares: DataFrame, features: list[str],
+                        out_path: str, checkpoint: str, window: str = "1 day", watermark: str = "1 hour",
+                        available_now: bool = True):
+    """R5 end to end: windowed bin counts as a stateful stream (update mode); in each
+    micro-batch (``foreachBatch``) the updated windows' PSI against the frozen reference
+    shares is appended to ``out_path`` with the batch id. The latest row per
+    (window_start, feature) is the current PSI of that window."""
+    counts = windowed_bin_counts(stream, edges, features, window, watermark)
+
+    def per_batch(batch_df: DataFrame, batch_id: int) -> None:
+        psi = psi_per_window(batch_df, shares).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        psi.write.mode("append").parquet(out_path)
+
+    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(per_batch)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
