@@ -182,15 +182,38 @@ def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: list[str]) -> Dat
     return bucketed.join(small, on=[*by, BUCKET], how="inner")
 
 
+def _split_hot(df: DataFrame, by: list[str], n_rows: int | None, p: int):
+    """Groups larger than one bucket's share (N / P rows) are "hot"; returns (hot, normal)
+    frames. The hot-key table has at most P rows (a proven bound), so it is broadcast."""
+    if n_rows is None:
+        n_rows = df.count()
+    threshold = max(1, n_rows // p)
+    hot = F.broadcast(hot_keys(df, by, threshold))
+    return df.join(hot, by, "left_semi"), df.join(hot, by, "left_anti")
+
+
 def global_row_number(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
                       by: list[str] | tuple = (), out: str = "rn", n_buckets: int | None = None,
                       n_rows: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (partition by by order by key, tie)`` for huge groups."""
+    """Exact ``row_number() over (partition by by order by key, tie)`` for huge groups.
+
+    With grouping columns only groups above one bucket's share are bucketed; ordinary
+    groups take the plain window (many small groups need no boundaries)."""
     by = list(by)
+    if n_buckets is None and n_rows is None:
+        n_rows = df.count()
     p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
+    w1 = Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
     if p <= 1:
-        w1 = Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
         return df.withColumn(out, F.row_number().over(w1).cast("bigint"))
+    if by:
+        hot, normal = _split_hot(df, by, n_rows, p)
+        plain = normal.withColumn(out, F.row_number().over(w1).cast("bigint"))
+        return plain.unionByName(_bucketed_row_number(hot, key, descending, tie, by, out, p))
+    return _bucketed_row_number(df, key, descending, tie, by, out, p)
+
+
+def _bucketed_row_number(df, key, descending, tie, by, out, p):
     b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
     off = _offsets(b, by, {"n": F.count(F.lit(1))})
     w = Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
@@ -204,14 +227,25 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: b
                  n_rows: int | None = None) -> DataFrame:
     """Exact running sums (rows frame, inclusive) in ``(key, tie)`` order.
 
-    ``sums`` maps output column -> input column.
+    ``sums`` maps output column -> input column. With grouping columns only groups above
+    one bucket's share are bucketed; ordinary groups take the plain window.
     """
     by = list(by)
+    if n_buckets is None and n_rows is None:
+        n_rows = df.count()
     p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
+    w1 = (Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if p <= 1:
-        w1 = (Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumns({o: F.sum(F.col(src)).over(w1) for o, src in sums.items()})
+    if by:
+        hot, normal = _split_hot(df, by, n_rows, p)
+        plain = normal.withColumns({o: F.sum(F.col(src)).over(w1) for o, src in sums.items()})
+        return plain.unionByName(_bucketed_running_sums(hot, key, sums, descending, tie, by, p))
+    return _bucketed_running_sums(df, key, sums, descending, tie, by, p)
+
+
+def _bucketed_running_sums(df, key, sums, descending, tie, by, p):
     b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
     off = _offsets(b, by, {out: F.sum(F.col(src)) for out, src in sums.items()})
     w = (Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
