@@ -3,7 +3,6 @@
 import contextlib
 import io
 
-from pyspark.sql import functions as F
 
 from tests.conftest import SF01
 from wearline.operators import rul

@@ -25,8 +25,8 @@ def _long(df: DataFrame, cols: list[str], side: int) -> DataFrame:
     return sel.unpivot([], cols, "feature", "value").withColumn("side", F.lit(side))
 
 
-def _psi_terms(counts: DataFrame, keys: list[str]) -> F.Column:
-    """A13 term per bin: shares clipped below at eps, (c - r) * ln(c / r)."""
+def _psi_term() -> F.Column:
+    """A13 term per bin over clipped shares: (c - r) * ln(c / r)."""
     r = F.col("ref_share")
     c = F.col("cur_share")
     return (c - r) * F.log(c / r)
@@ -43,7 +43,7 @@ def _psi_from_cells(cells: DataFrame) -> DataFrame:
         "cur_share": _clip(F.col("cur_n") / F.greatest(F.col("cur_total"), F.lit(1)).cast("double")),
     })
     return shares.groupBy("feature").agg(
-        F.sum(_psi_terms(shares, [])).alias("_psi"),
+        F.sum(_psi_term()).alias("_psi"),
         F.min(F.least(F.col("ref_total"), F.col("cur_total"))).alias("_minside"))
 
 

@@ -224,7 +224,7 @@ sstd AS (
           ON sensor_1, sensor_2, sensor_3, sensor_4 INTO NAME sensor VALUE value)
     GROUP BY sensor
 )
-SELECT sensor FROM sstd EXCEPT ALL SELECT sensor FROM sstd WHERE kept""".replace("\n,\nsstd", ",\nsstd"))
+SELECT sensor FROM sstd EXCEPT ALL SELECT sensor FROM sstd WHERE kept""")
 def q_dropped_sensors(spark, sf_dir):
     from wearline.operators.features import sensor_std_table
     from wearline.sources.adapters import SENSOR_COLUMNS, cycles

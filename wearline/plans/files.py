@@ -107,7 +107,7 @@ SELECT 'scenario__risk_queue' AS metric_key, 'risk_queue' AS metric,
        format('{{:,}}', CAST(reactive AS BIGINT)) AS reactive_label,
        format('{{:,}}', CAST(reactive - queue_cost AS BIGINT)) AS savings_label,
        format('{{:.1f}}', round((reactive - queue_cost) / reactive, 4) * 100.0) || '%' AS savings_share_label
-FROM c""".replace("\n,\nbudgets", ",\nbudgets"))
+FROM c""")
 def q_cost_display(spark, sf_dir):
     r = readings(spark, sf_dir)
     q = queue.queue_counts_by_selection(r, [C.PRIMARY_REVIEW_FRACTION])

@@ -148,7 +148,7 @@ SELECT r.unit_number, r.time_cycles,
                   WHEN median - r.time_cycles > {C.RUL_CAP} THEN {float(C.RUL_CAP)!r}::DOUBLE
                   ELSE median - r.time_cycles END, 4) AS predicted_rul,
        CAST(f.final_cycle - r.time_cycles + f.true_rul AS DOUBLE) AS true_rul_extrapolated
-FROM rows_ r JOIN final f USING (unit_number)""".replace("\n, units", ",\nunits"))
+FROM rows_ r JOIN final f USING (unit_number)""")
 def q_trajectories(spark, sf_dir):
     cyc = cycles(spark, sf_dir)
     test = rul.truncate_units(cyc, KEEP)
