@@ -15,6 +15,7 @@ from wearline.ml import estimators as P
 from wearline.ml.split import stratified_split
 from wearline.operators import features, metrics
 from wearline.operators.rank import global_row_number
+from wearline.session import ensure_checkpoint_dir
 
 
 def split_frames(df: DataFrame, label: str = "machine_failure", seed: int = C.RANDOM_SEED,
@@ -24,6 +25,7 @@ def split_frames(df: DataFrame, label: str = "machine_failure", seed: int = C.RA
     Both sides are checkpointed to the shared ``spark.checkpoint.dir``: iterative solvers
     read them many times, the lineage (split ranks, weights) is cut, and a lost executor
     re-reads the files instead of recomputing the split."""
+    ensure_checkpoint_dir(df.sparkSession)  # the session's shared folder (set only when unset)
     s = stratified_split(df, label=label, seed=seed)
     train = features.class_weights(s.filter("is_test = 0"), label, mode=weight_mode)
     test = s.filter("is_test = 1")
