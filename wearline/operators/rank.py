@@ -21,6 +21,7 @@ re-evaluation (no dependence on ``spark_partition_id``).
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_wl_bucket"
-ROWS_PER_BUCKET = 2_000_000
+# rows one task may sort / hold; override (e.g. tiny values in tests) with WEARLINE_ROWS_PER_BUCKET
+ROWS_PER_BUCKET = int(os.environ.get("WEARLINE_ROWS_PER_BUCKET", "2000000"))
 MAX_BUCKETS = 65536  # offsets table <= 64k rows (~1 MB broadcast)
 
 
@@ -107,7 +109,7 @@ def _grouped_buckets(work: DataFrame, skey: str, tie: str | None, by: list[str],
 
 def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
                       by: list[str] | tuple = (), n_buckets: int | None = None, n_rows: int | None = None,
-                      rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                      rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``_wl_bucket`` (bigint): within each ``by`` group, bucket order equals the
     order of ``(key, tie)``. NULL keys go to the last bucket (NULLS LAST).
 
@@ -116,7 +118,7 @@ def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie:
     ``_grouped_buckets``), so groups on different scales are each spread evenly.
     """
     by = list(by)
-    p = n_buckets or _default_buckets(df, n_rows, rows_per_bucket)
+    p = n_buckets or _default_buckets(df, n_rows, rows_per_bucket or ROWS_PER_BUCKET)
     skey = "_wl_skey"
     work = df.withColumn(skey, _sort_key(key, descending))
     if p <= 1:
@@ -322,7 +324,7 @@ def hot_keys(df: DataFrame, by: list[str], threshold: int) -> DataFrame:
 
 def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] | tuple,
                    n_buckets: int | None = None, hot_threshold: int | None = None,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   rows_per_bucket: int | None = None) -> DataFrame:
     """Rows frame ``[-(window - 1), 0]`` per group in ``key`` order, exact, skew-safe.
 
     ``exprs(w)`` returns ``{name: Column}`` over the window spec ``w``. Groups of ordinary
@@ -334,10 +336,9 @@ def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] |
     unique within a group (a cycle number, a timestamp with tie-free ticks).
     """
     by = list(by)
-    n_rows = None
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     if n_buckets is None:
-        n_rows = df.count()
-        n_buckets = _default_buckets(df, n_rows, rows_per_bucket)
+        n_buckets = _default_buckets(df, df.count(), rows_per_bucket)
     w_plain = Window.partitionBy(*by).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
     if n_buckets <= 1:
         return df.withColumns(exprs(w_plain))
