@@ -103,3 +103,18 @@ def test_merged_pass_equals_separate(spark):
     assert merged["x"] == pytest.approx(drift.numeric_psi(r, c, ["x"]).first().psi, abs=1e-12)
     assert merged["t"] == pytest.approx(drift.categorical_psi(r, c, ["t"]).first().psi, abs=1e-12)
     assert merged["x"] == pytest.approx(_psi_numpy(np.array([v for v, _ in a]), np.array([v for v, _ in b[:-5]])), abs=1e-9)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 20), min_size=3, max_size=80), st.lists(st.integers(0, 20), min_size=1, max_size=80))
+def test_psi_properties(spark, a, b):
+    r, c = _frames(spark, a, b)
+    same = drift.psi_all(r, r, ["x"], []).first().psi
+    other = drift.psi_all(r, c, ["x"], []).first().psi
+    assert same == 0.0
+    assert other >= 0.0
+    assert other == pytest.approx(_psi_numpy(np.array(a, float), np.array(b, float)), abs=1e-9)
