@@ -12,7 +12,8 @@ def _psi_numpy(ref, cur, buckets=10, eps=1e-4):
     cur = cur[~np.isnan(cur)]
     if len(ref) == 0 or len(cur) == 0:
         return 0.0
-    bp = np.unique(np.quantile(ref, np.linspace(0, 1, buckets + 1)))
+    import pandas as pd
+    bp = np.unique(pd.Series(ref).quantile(np.linspace(0, 1, buckets + 1)).values)  # as the reference computes it
     if len(bp) < 3:
         return 0.0
     bp[0], bp[-1] = -np.inf, np.inf

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import round4
-from wearline.operators.rank import exact_quantiles
+from wearline.operators.rank import exact_quantiles, quantile_grid
 
 
 def calibration_bins(scored: DataFrame, score: str = "risk", label: str = "machine_failure",
                      n_bins: int = 10, by: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
     """Unrounded per-bin rows: ``bin, n, predicted_probability_bin, actual_failure_rate``."""
     by = list(by)
-    fr = [i / n_bins for i in range(n_bins + 1)]
+    fr = quantile_grid(n_bins, percent=True)
     edges = exact_quantiles(scored, score, fr, by=by, out="_edges", n_buckets=n_buckets)
     interior = F.slice("_edges", 2, n_bins - 1)
     # one row per group: broadcast is bounded by the number of groups (1 with no grouping)

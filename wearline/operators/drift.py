@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import psi_verdict, round4
-from wearline.operators.rank import exact_quantiles, global_row_number
+from wearline.operators.rank import exact_quantiles, global_row_number, quantile_grid
 
 REF, CUR = 0, 1
 
@@ -64,7 +64,7 @@ def numeric_psi(reference: DataFrame, current: DataFrame, features: list[str],
     spark = reference.sparkSession
     ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
     cur = _long(current, features, CUR).filter(F.col("value").isNotNull())
-    fr = [i / buckets for i in range(buckets + 1)]
+    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
     q = exact_quantiles(ref, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
     bp = F.array_sort(F.array_distinct("q"))
     edges = q.select("feature", bp.alias("bp")).select(
@@ -113,7 +113,7 @@ def psi_all(reference: DataFrame, current: DataFrame, numeric: list[str], catego
     """
     spark = reference.sparkSession
     ref_num = _long(reference, numeric, REF).filter(F.col("value").isNotNull())
-    fr = [i / buckets for i in range(buckets + 1)]
+    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
     q = exact_quantiles(ref_num, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
     bp = F.array_sort(F.array_distinct("q"))
     edges = (q.select("feature", bp.alias("bp"))
@@ -190,7 +190,7 @@ def reference_histogram(reference: DataFrame, features: list[str], buckets: int
     """Frozen reference for windowed drift (R5): ``edges(feature, interior)`` and
     ``shares(feature, bin, ref_share)`` with every bin present (empty bins share 0)."""
     ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
-    fr = [i / buckets for i in range(buckets + 1)]
+    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
     q = exact_quantiles(ref, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
     bp = F.array_sort(F.array_distinct("q"))
     edges = (q.select("feature", bp.alias("bp"))

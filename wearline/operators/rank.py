@@ -49,6 +49,17 @@ def _default_buckets(df: DataFrame, n_rows: int | None, rows_per_bucket: int) ->
     return int(min(MAX_BUCKETS, max(par, math.ceil(n_rows / max(rows_per_bucket, 1)))))
 
 
+def quantile_grid(n: int, percent: bool = False) -> list[float]:
+    """The fractions 0, 1/n, ..., 1 exactly as ``numpy.linspace(0, 1, n + 1)`` makes them
+    (i * (1/n), e.g. 0.7000000000000001): interpolated quantiles at these fractions can
+    differ from those at i / n in the last bits, which creates or merges breakpoints on
+    tied data. ``percent=True`` reproduces ``numpy.percentile(x, grid * 100)``."""
+    grid = np.linspace(0.0, 1.0, n + 1)
+    if percent:
+        grid = (grid * 100.0) / 100.0
+    return [float(v) for v in grid]
+
+
 def _accuracy(p: int) -> int:
     """Sketch accuracy: boundary rank error <= N / (8P), i.e. buckets within ~12 % of target
     (exactness never depends on it: offsets come from exact counts)."""

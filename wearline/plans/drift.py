@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.operators import drift, features
+from wearline.operators.rank import quantile_grid
 from wearline.plans.registry import register
 from wearline.plans.views import CYCLES, READINGS, with_
 from wearline.sources.adapters import CATEGORICAL_FEATURES, DERIVED_FEATURES, NUMERIC_FEATURES, readings
@@ -59,7 +60,7 @@ live_src AS (SELECT o.* EXCLUDE (ord) FROM ordered o JOIN draws d USING (ord)),
 {_derived('readings', 'refd')},
 {_derived('live_src', 'curd', shift=True)}"""
 
-FR = [i / C.PSI_BUCKETS for i in range(C.PSI_BUCKETS + 1)]
+FR = quantile_grid(C.PSI_BUCKETS, percent=True)
 FEATS = ", ".join(NUMERIC)
 NAMES = ", ".join(f"'{f}'" for f in NUMERIC)
 
