@@ -52,9 +52,11 @@ def wear_with_reset(df: DataFrame, machine: str = MACHINE, ts: str = TS, tick: s
     t = _time_key(df, ts).withColumns({
         "_wl_chg": F.col("tool_change").cast("int"),
         "_wl_inc": F.when(F.col("tool_change"), F.lit(0.0)).otherwise(F.col("wear_inc"))})
-    g = running_sums(t, "_wl_t", {"_wl_grp": "_wl_chg"}, tie=tick, by=[machine], n_buckets=n_buckets)
+    n_rows = None if n_buckets else t.count()  # both passes see the same rows: count once
+    g = running_sums(t, "_wl_t", {"_wl_grp": "_wl_chg"}, tie=tick, by=[machine], n_buckets=n_buckets,
+                     n_rows=n_rows)
     w = running_sums(g, "_wl_t", {"tool_wear_min": "_wl_inc"}, tie=tick, by=[machine, "_wl_grp"],
-                     n_buckets=n_buckets)
+                     n_buckets=n_buckets, n_rows=n_rows)
     return w.drop("_wl_t", "_wl_chg", "_wl_inc", "_wl_grp")
 
 
