@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import quality
+from wearline.llm import hmm, quality
+from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
 QUERIES: dict = {}
@@ -20,3 +21,13 @@ def register(fn):
 def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@register
+def op10_sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(pieces.MODEL), with_ids=False)
+
+
+@register
+def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
