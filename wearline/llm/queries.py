@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import hmm, quality
+from wearline.llm import hmm, mixing, quality
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -31,3 +31,11 @@ def op10_sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+ORACLE["op5_sainte_lague_mix"] = mixing.ORACLE
