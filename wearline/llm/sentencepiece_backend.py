@@ -10,7 +10,7 @@ unit is encoded once, in multithreaded batches, and a text's ids are those of it
 Without that property the unit is the whole text.
 
 Parity with the sentencepiece library is verified for every document: each of its units is encoded
-by both, and sentencepiece's decoding of the ids must give back the normalised text.
+by both libraries, must get the same ids, and must be given back by decoding them.
 
 Defined results: null and empty texts have no ids and decode to the empty text; characters without
 a piece become byte pieces; texts of any length are processed whole in bounded slices; columns
@@ -34,7 +34,9 @@ from wearline.llm.common import arrow_map
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: characters worked on at once, distinct units a worker remembers
-SLICE, REMEMBER = 1 << 21, 300_000
+SLICE, REMEMBER = 1 << 20, 500_000
+#: units encoded as one pre-split text, and at once
+GROUP, BATCH = 1000, 20_000
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -101,17 +103,25 @@ class Codec:
         proto = parse(model)
         self.tokenizer = build(model)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.byte_ids = np.array([i for i, p in enumerate(proto.pieces) if p.type == _BYTE], np.int32)
+        bytes_ = np.array([p.type == _BYTE for p in proto.pieces])
+        self.is_byte = bytes_
+        #: UTF-8 bytes that each piece stands for
+        self.width = np.where(bytes_, 1, [len(p.piece.encode()) for p in proto.pieces])
         self.prefix = MARK if proto.normalizer_spec.add_dummy_prefix else ""
         plain = not (proto.normalizer_spec.remove_extra_whitespaces or proto.normalizer_spec.precompiled_charsmap)
         inside = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
         user = any(p.type == _USER for p in proto.pieces)
-        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if plain and not inside and not user else None
+        cuts = plain and bytes_.any() and not inside and not user
+        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if cuts else None
         if self.units:
             self.unit_tokenizer = Tokenizer(self.tokenizer.model)
             self.unit_tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        #: unit -> its ids, whether both libraries agree on them, what they decode to
-        self.known: dict[str, tuple[tuple[int, ...], bool, str]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: unit -> its number; by number: where its ids start in ``flat``, and whether both libraries agree and decoding gives it back
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.good = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
 
     def normalise(self, text: str) -> str:
         if self.units is None:
@@ -122,16 +132,47 @@ class Codec:
         """What decoding a text's ids has to give."""
         return self.normalise(text).replace(MARK, " ").removeprefix(" " if self.prefix else "")
 
+    def _one(self, unit: str) -> tuple[list[int], bool]:
+        """A unit by itself: ids, and whether all agrees."""
+        ours = self.unit_tokenizer.encode(unit, add_special_tokens=False).ids
+        peer = self.peer.encode(unit.removeprefix(self.prefix)) if unit != self.prefix else [self.peer.piece_to_id(MARK)]
+        return ours, ours == peer and self.unit_tokenizer.decode(ours, skip_special_tokens=False) == unit.replace(MARK, " ")
+
     def _learn(self, units: set[str]) -> None:
+        """Encode the units not known yet: groups of them in one multithreaded batch, checked group by group
+        (units one after another are a text too), a group that differs unit by unit."""
         if len(self.known) > REMEMBER:
-            self.known.clear()
+            self._forget()
         new = [u for u in units if u not in self.known]
-        if new:
-            ours = [e.ids for e in self.unit_tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        for at in range(0, len(new), BATCH):
+            groups = [new[i:i + GROUP] for i in range(at, min(at + BATCH, len(new)), GROUP)]
+            ours = [e.ids for e in self.unit_tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)]
+            whole = ["".join(g) for g in groups]
             back = self.unit_tokenizer.decode_batch(ours, skip_special_tokens=False)
-            peers = self.peer.encode([u.removeprefix(self.prefix) for u in new], num_threads=2)  # it adds the prefix itself
-            lone = [self.peer.piece_to_id(MARK)]
-            self.known.update((u, (tuple(a), a == (b if u != self.prefix else lone), d)) for u, a, b, d in zip(new, ours, peers, back, strict=True))
+            # the units of a group that don't begin with a marker would run together, as a text's first unit may
+            apart = [all(u[0] == MARK for u in g) and not any(a[-1] == MARK for a in g) for g in groups]
+            peers = self.peer.encode([w.removeprefix(self.prefix) for w in whole], num_threads=2)
+            for g, ids, w, d, p, fit in zip(groups, ours, whole, back, peers, apart, strict=True):
+                got, ends = np.array(ids, np.int32), np.cumsum([len(u.encode()) for u in g])
+                have = np.cumsum(self.width[got])
+                last = np.searchsorted(have, ends)
+                if fit and ids == p and d == w.replace(MARK, " ") and len(have) and have[-1] == ends[-1] and (have[last] == ends).all():
+                    self._add(g, got, last + 1, np.ones(len(g), bool))
+                else:
+                    single = [self._one(u) for u in g]
+                    self._add(g, np.concatenate([np.array(x, np.int32) for x, _ in single]), np.cumsum([len(x) for x, _ in single]), np.array([ok for _, ok in single]))
+
+    def _add(self, units: list[str], ids: np.ndarray, ends: np.ndarray, good: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.start.append(self.start[-1][-1] + ends)
+        self.flat.append(ids)
+        self.good.append(good)
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for name in ("flat", "start", "good"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        return self.flat[0], self.start[0], self.good[0]
 
     def _cut(self, text: str) -> list[str]:
         """A normalised text in slices that end where a unit does."""
@@ -144,28 +185,26 @@ class Codec:
             at = end.start() + 1
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, str]]:
-        """Ids of each text, whether both libraries agree on them, and the text they decode to."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """Ids of each text, and whether both libraries agree on them and decode them to the text."""
         if self.units is None:
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             peers, back = self.peer.encode(texts, num_threads=2), self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-            return [(np.array(a, np.int32), a == b, d) for a, b, d in zip(ours, peers, back, strict=True)]
-        out = []
-        cut = [self._cut(self.normalise(t)) for t in texts]
-        small = [self.units(c[0]) if len(c) == 1 else None for c in cut]
-        self._learn(set(chain.from_iterable(u for u in small if u)))
-        for pieces, units in zip(cut, small, strict=True):
-            ids, same, back = [], True, []
-            for piece in pieces:
-                if units is None or len(pieces) > 1:
-                    units = self.units(piece)
-                    self._learn(set(units))
-                got = [self.known[u] for u in units]
-                ids.append(np.fromiter(chain.from_iterable(g[0] for g in got), np.int32))
-                same = same and all(g[1] for g in got)
-                back += [g[2] for g in got]
-            out.append((np.concatenate(ids) if len(ids) > 1 else ids[0], same, "".join(back).removeprefix(" " if self.prefix else "")))
-        return out
+            return [(np.array(a, np.int32), a == b and d == self.plain(t)) for a, b, d, t in zip(ours, peers, back, texts, strict=True)]
+        out: list[list] = [[] for _ in texts]
+        pieces = [(i, piece) for i, t in enumerate(texts) for piece in self._cut(self.normalise(t))]
+        for a, b in slices([len(p) for _, p in pieces]):
+            units = [self.units(p) for _, p in pieces[a:b]]
+            self._learn(set(chain.from_iterable(units)))
+            flat, start, good = self._tables()
+            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64)
+            n = start[at + 1] - start[at]
+            ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            edge = np.cumsum([len(u) for u in units])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for (i, _), lo, hi in zip(pieces[a:b], edge - [len(u) for u in units], edge, strict=True):
+                out[i].append((ids[ends[lo]:ends[hi]], bool(good[at[lo:hi]].all())))
+        return [(p[0][0] if len(p) == 1 else np.concatenate([x for x, _ in p]), all(ok for _, ok in p)) for p in out]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -208,16 +247,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             texts = column.slice(a, b - a).to_pylist()
             got = tool.encode(texts)
             arrays = [g[0] for g in got]
-            decoded = [g[2] for g in got]
-            back = tool.peer.decode([x.tolist() for x in arrays])
-            want = [tool.plain(t) for t in texts]
+            # where every unit decodes to itself, so does the text
+            decoded = [tool.plain(t) if g[1] else tool.decode([g[0]])[0] for g, t in zip(got, texts, strict=True)]
             cols = {
                 "doc_id": ids_of.slice(a, b - a), "n_tokens": [len(x) for x in arrays],
-                "n_fallback": [int(np.isin(x, tool.byte_ids).sum()) for x in arrays],
+                "n_fallback": [int(tool.is_byte[x].sum()) for x in arrays],
                 "ids_sha256": [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in arrays],
                 "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
-                "round_trip": [x == y for x, y in zip(decoded, want, strict=True)],
-                "parity": [g[1] and x == y for g, x, y in zip(got, back, want, strict=True)],
+                "round_trip": [d == tool.plain(t) for d, t in zip(decoded, texts, strict=True)],
+                "parity": [g[1] for g in got],
             }
             yield cols | ({"ids": arrays, "decoded": decoded} if with_ids else {})
 
