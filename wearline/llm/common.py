@@ -110,6 +110,45 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Words:
+    """The words of many texts at once: a buffer with the texts one after another, and of each word its
+    document's row, first byte and end."""
+
+    roller = Roller()
+
+    def __init__(self, data: list[bytes], lower: bool = False):
+        buffer = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+        self.buffer = _LOWER[buffer] if lower else buffer
+        edge = np.diff(np.concatenate([[True], _SPACE[buffer], [True]]).astype(np.int8))
+        self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        lengths = np.array([len(x) + 1 for x in data], np.int64)
+        self.base = np.cumsum(lengths) - lengths
+        self.doc = np.searchsorted(self.base, self.start, side="right") - 1
+        self.count = np.bincount(self.doc, minlength=len(data))
+        self.first = np.cumsum(self.count) - self.count
+
+    def hashes(self) -> np.ndarray:
+        return self.roller.slices(self.roller.prefix(self.buffer), self.start, self.end)
+
+
+def sliced(data: list[bytes], limit: int = 1 << 22):
+    """Consecutive ranges of rows of about ``limit`` bytes (one row at least)."""
+    start, held = 0, 0
+    for i, x in enumerate(data):
+        held += len(x)
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(data):
+        yield start, len(data)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table: one row ``(node, component)`` per
     node that has a link, ``component`` the smallest node reachable.
@@ -128,10 +167,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     seen = mark(link)
     for _ in range(max_rounds if seen[0] else 0):
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # staged, so that either side of the joins is an exchange of its own and a hub's rows can be split
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v")
+        large = stage(large.distinct(), "large")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         link = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = mark(link)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import edit_fingerprint, hmm, mixing, privacy, quality
+from wearline.llm import edit_fingerprint, hmm, minhash, mixing, privacy, quality
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -49,3 +49,8 @@ def op7_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_edit_embedding_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
