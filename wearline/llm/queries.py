@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import edit_fingerprint, hmm, minhash, mixing, privacy, quality
+from wearline.llm import edit_fingerprint, hmm, minhash, mixing, privacy, quality, suffix_trees
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -54,3 +54,8 @@ def op3_edit_embedding_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.dedup_windows(table(spark, sf_dir, "documents"))
