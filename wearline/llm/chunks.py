@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from wearline.llm.common import arrow_schema, partitions, stage, text_column, to_batch
 from wearline.session import ensure_checkpoint_dir
 
-LEAST, MOST = 1 << 20, 1 << 25
+LEAST, MOST = 1 << 20, 1 << 23
 _LAST = np.iinfo(np.int64).max
 
 
