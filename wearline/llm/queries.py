@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import edit_fingerprint, hmm, minhash, mixing, prefix_free, privacy, quality, suffix_trees
+from wearline.llm import edit_fingerprint, hmm, lattice, minhash, mixing, prefix_free, privacy, quality, suffix_trees
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -64,3 +64,8 @@ def op8_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_classes(table(spark, sf_dir, "embeddings"))
