@@ -219,3 +219,11 @@ def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, band
     out = marks.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each class; of rows that agree in id and text one stays. Columns as they were."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = classes(docs, width, num, den).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").withColumn("_key", key)
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")

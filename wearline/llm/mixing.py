@@ -118,6 +118,17 @@ def mix(docs: DataFrame, limit: int = LIMIT, shard_words: int = SHARD_WORDS, blo
         "doc_id", "source", "size", "source_size", "target", (F.col("_passes") * F.col("size") + more).cast("long").alias("taken"))
 
 
+def materialise(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix has them: every row as often as its words are taken, to the nearest whole number (a
+    document without words once). Columns as they were."""
+    got = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("_taken"))
+    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (size == F.col("_size"))
+    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(1).cast("int")
+    return docs.join(got, same).withColumn("_n", F.explode(F.sequence(F.lit(0), times))).where("_n > 0").select(*docs.columns)
+
+
 #: the same rows for DuckDB, straight from the definition: every quotient is listed and ranked
 ORACLE = r"""
 WITH sized AS (
