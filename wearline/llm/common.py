@@ -149,6 +149,42 @@ def sliced(data: list[bytes], limit: int = 1 << 22):
         yield start, len(data)
 
 
+#: links that one task may join
+LOCAL_LINKS = 1 << 20
+
+
+def arrow_map_all(df: DataFrame, fn: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """``fn`` on a table of a size that is known to fit one task."""
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        rows = list(batches)
+        if rows:
+            yield to_batch(fn(pa.Table.from_batches(rows)), arrow)
+
+    return df.coalesce(1).mapInArrow(run, schema)
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest row reachable over the links (a, b) for each of ``n`` rows."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        m = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, m)
+        np.minimum.at(low, b, m)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _classes(links: pa.Table) -> dict:
+    u, v = (np.array(links.column(c).to_pylist()) for c in ("u", "v"))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    low = least_reachable(at[:len(u)], at[len(u):], len(nodes))
+    return {"node": nodes.tolist(), "component": nodes[low].tolist()}
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table: one row ``(node, component)`` per
     node that has a link, ``component`` the smallest node reachable.
@@ -156,6 +192,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternating large-star / small-star rounds (each at most as many links as before), all
     joins and aggregations on Spark; every round is staged in the shared folder, and the
     loop ends when a round leaves the links as they were (compared by an order-free hash).
+    A table of at most ``LOCAL_LINKS`` distinct links (16 MB) needs no rounds: one task joins them.
     Null ends and self links are ignored; an empty table gives an empty result.
     """
     link = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
@@ -165,7 +202,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = mark(link)
-    for _ in range(max_rounds if seen[0] else 0):
+    if seen[0] <= LOCAL_LINKS:
+        kind = link.schema["u"].dataType.simpleString()
+        return stage(arrow_map_all(link, _classes, f"node {kind}, component {kind}"), "components")
+    for _ in range(max_rounds):
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # staged, so that either side of the joins is an exchange of its own and a hub's rows can be split
         low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -180,7 +220,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
         seen = now
     else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     return link.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         link.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

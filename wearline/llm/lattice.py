@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import arrow_map, arrow_schema, components, mix, partitions, stage, to_batch
+from wearline.llm.common import arrow_map, arrow_schema, components, least_reachable, mix, partitions, stage, to_batch
 
 TABLES, BLOCKS, PROBES, SCALE, BLOCK = 12, 3, 4, 0.45, 256
 
@@ -102,19 +102,6 @@ def meets(ha, hb, pa_, pb) -> np.ndarray:
     return (ha == hb) | (pa_ == hb[..., None]).any(-1) | (pb == ha[..., None]).any(-1)
 
 
-def classes_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest row reachable over the links (a, b) for each of ``n`` rows."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def near_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", column: str = "embedding",
                  tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
@@ -185,7 +172,7 @@ def near_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         rank = np.argsort(order, kind="stable")  # rows in order of ids, so that the smallest row is the smallest id
         place_ = np.empty(len(rank), np.int64)
         place_[rank] = np.arange(len(rank))
-        low = classes_of(place_[a], place_[b], len(rank))
+        low = least_reachable(place_[a], place_[b], len(rank))
         used = np.unique(np.concatenate([a, b]))
         return {"rep": order[used], "links": counts[used], "low": order[rank[low[place_[used]]]]}
 

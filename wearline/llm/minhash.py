@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wearline.llm.common import Words, arrow_map, arrow_schema, components, mix, partitions, sliced, stage, text_column, texts, to_batch
 
-BANDS, ROWS, CIRCLE, BLOCK = 40, 6, 1 << 20, 128
+BANDS, ROWS, CIRCLE, BLOCK = 40, 6, 1 << 20, 512
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,56 +110,61 @@ class Group:
         return den * both >= num * (self.n + len(shingles) - both)
 
     def links(self, num: int, den: int) -> list[tuple[int, int]]:
-        """Pairs of rows that join the members into their classes: all links of each member outside the
-        largest of a few stars, and that star's."""
+        """Pairs of rows that join the members into their classes, one for each member beyond the first of
+        its class. Found from the star of one pivot (the largest of a few) and all links of every member
+        outside it, which are used as they are found and not listed."""
         m = len(self.sets)
         if m < 2:
             return []
         tries = {i: self.linked(self.sets[i], num, den) for i in range(0, m, max(1, m // 4))}
         pivot = max(tries, key=lambda i: tries[i].sum())
-        out = [(pivot, int(j)) for j in np.flatnonzero(tries[pivot]) if j != pivot]
+        low = np.arange(m)
+        low[tries[pivot]] = np.flatnonzero(tries[pivot])[0]
         for i in np.flatnonzero(~tries[pivot]).tolist():
-            got = tries[i] if i in tries else self.linked(self.sets[i], num, den)
-            out += [(i, int(j)) for j in np.flatnonzero(got) if j != i]
-        return out
+            got = np.flatnonzero(tries[i] if i in tries else self.linked(self.sets[i], num, den))
+            ends = np.unique(np.append(low[got], low[i]))
+            if len(ends) > 1:
+                low[np.isin(low, ends)] = ends[0]
+        return [(int(j), i) for i, j in enumerate(low) if i != j]
 
 
 def _blocks(members: DataFrame, docs: DataFrame, width: int, num: int, den: int, kind: str, cross: bool = False) -> DataFrame:
-    """Links ``(a, b)`` within the blocks of ``members (rep, component, block[, foreign])``; the rows of a block
-    come to one task in order. With ``cross``, members marked foreign are compared with the others."""
+    """Links ``(a, b)`` within the blocks of ``members (rep, component, block[, foreign, cls])``; the rows of a block
+    come to one task in order. With ``cross``, members marked foreign are compared with the others, and linked
+    once with each class of theirs."""
     spark = docs.sparkSession
     schema = arrow_schema(f"a {kind}, b {kind}")
     rows = members.join(docs.select(F.col("doc_id").alias("rep"), text_column(docs).alias("text")), "rep")
     parts = partitions(spark)
     to = F.pmod(F.xxhash64("component") + F.col("block"), F.lit(parts)).cast("int")
-    names = ["component", "block", "rep", "foreign", "text"]
-    rows = rows.withColumn("foreign", F.col("foreign") if cross else F.lit(False)).select(*names)
+    names = ["component", "block", "rep", "foreign", "cls", "text"]
+    rows = rows.withColumns({} if cross else {"foreign": F.lit(False), "cls": F.col("rep")}).select(*names)
 
-    def work(ids: list, foreign: list, data: list[bytes]) -> dict | None:
+    def work(ids: list, foreign: list, cls: list, data: list[bytes]) -> dict:
         sets = shingle_sets(data, width)
         if cross:
             own = [i for i, f in enumerate(foreign) if not f]
-            group = Group([sets[i] for i in own])
-            got = [(i, own[int(j)]) for i, f in enumerate(foreign) if f for j in np.flatnonzero(group.linked(sets[i], num, den))]
+            group, (_, kind_of) = Group([sets[i] for i in own]), np.unique([cls[i] for i in own], return_inverse=True)
+            got = []
+            for i in (i for i, f in enumerate(foreign) if f):
+                hit = np.flatnonzero(group.linked(sets[i], num, den)) if own else []
+                got += [(i, own[int(hit[k])]) for k in np.unique(kind_of[hit], return_index=True)[1]] if len(hit) else []
         else:
             got = Group(sets).links(num, den)
         got = [(ids[i], ids[j]) for i, j in got if ids[i] != ids[j]]
         return {"a": [x for x, _ in got], "b": [y for _, y in got]}
 
     def run(batches):
-        key, ids, foreign, data = None, [], [], []
+        key, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in names]
-            for component, block, rep, other, text in zip(*cols, strict=True):
-                if (component, block) != key:
-                    if len(ids) > 1:
-                        yield to_batch(work(ids, foreign, data), schema)
-                    key, ids, foreign, data = (component, block), [], [], []
-                ids.append(rep)
-                foreign.append(other)
-                data.append(text)
-        if len(ids) > 1:
-            yield to_batch(work(ids, foreign, data), schema)
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:2] != key:
+                    if len(group) > 1:
+                        yield to_batch(work(*(list(c) for c in list(zip(*group))[2:])), schema)
+                    key, group = row[:2], []
+                group.append(row)
+        if len(group) > 1:
+            yield to_batch(work(*(list(c) for c in list(zip(*group))[2:])), schema)
 
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -193,8 +198,8 @@ def verified(candidates: DataFrame, docs: DataFrame, width: int, num: int, den:
     largest = now.groupBy("grp", "cls").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("largest"))
     now = stage(now.join(largest, "grp"), "classes")
     out = now.where("cls <> largest")
-    foreign = out.select("rep", F.col("grp").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("foreign"))
-    own = now.join(out.select("grp").distinct(), "grp", "left_semi").select("rep", F.col("grp").alias("component"), "block", F.lit(False).alias("foreign"))
+    foreign = out.select("rep", F.col("grp").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("foreign"), "cls")
+    own = now.join(out.select("grp").distinct(), "grp", "left_semi").select("rep", F.col("grp").alias("component"), "block", F.lit(False).alias("foreign"), "cls")
     return stage(links.unionByName(_blocks(own.unionByName(foreign), docs, width, num, den, kind, cross=True)), "links")
 
 
