@@ -28,7 +28,10 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, -1])
+def test_components(spark, monkeypatch, local):
+    from wearline.llm import common
+    monkeypatch.setattr(common, "LOCAL_LINKS", local)
     rnd = random.Random(3)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(400, 450)] + [(None, 3), (7, None), (9, 9)]
     union = Union({x for e in edges for x in e if x is not None})
