@@ -30,10 +30,11 @@ def _flat_source(spark, src):
 
 def test_wear_stream_equals_batch(spark, scratch):
     batch_in, src = _land_daily_files(spark, scratch)
-    stream = jobs.wear_tracking(_flat_source(spark, src))
+    _closed(spark, batch_in).filter("machine_id = -1").coalesce(1).write.parquet(os.path.join(src, "day=999"))
+    stream = jobs.wear_tracking(_flat_source(spark, src), watermark="1 second")
     q = write_stream(stream, "memory", "wear_out", os.path.join(scratch, "ck1"), mode="append")
     q.awaitTermination(300)
-    got = spark.table("wear_out").select("tick_id", "machine_id", "tool_change",
+    got = spark.table("wear_out").filter("machine_id >= 0").select("tick_id", "machine_id", "tool_change",
                                          F.round("tool_wear_min", 6).alias("w"))
     want = T.wear_with_reset(batch_in).select("tick_id", "machine_id", "tool_change",
                                               F.round("tool_wear_min", 6).alias("w"))
@@ -80,26 +81,6 @@ def test_live_scoring_stream(spark, scratch):
     assert set(r[0] for r in out.select("risk_band").distinct().collect()) <= {"LOW", "MEDIUM", "HIGH"}
 
 
-def test_windowed_drift_stream(spark, scratch):
-    from wearline.operators import drift
-    batch_in, src = _land_daily_files(spark, scratch)
-    feats = ["torque_nm", "rpm"]
-    edges, shares = drift.reference_histogram(batch_in, feats)
-    stream = jobs.windowed_bin_counts(_flat_source(spark, src), edges, feats, window="1 day")
-    q = write_stream(stream, "memory", "drift_counts", os.path.join(scratch, "ck5"), mode="update")
-    q.awaitTermination(300)
-    mem = spark.table("drift_counts")
-    # joins against the memory sink's table hit an internal planner error in this Spark
-    # build: materialise the (small) sink output first
-    out = spark.createDataFrame(mem.collect(), mem.schema)
-    last = out.groupBy("w", "feature", "bin").agg(F.max("n").alias("n"))  # counts only grow
-    psi = jobs.psi_per_window(last, shares)
-    want = jobs.psi_per_window(jobs.windowed_bin_counts(batch_in, edges, feats, window="1 day"), shares)
-    a = {(r.window_start, r.feature): round(r.psi, 9) for r in psi.collect()}
-    b = {(r.window_start, r.feature): round(r.psi, 9) for r in want.collect()}
-    assert a == b and len(a) == 12
-
-
 def test_live_scoring_with_fitted_model(spark, scratch):
     from wearline.ml import workflows as W
     from wearline.operators.features import add_derived_features
@@ -119,19 +100,51 @@ def test_live_scoring_with_fitted_model(spark, scratch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
-def test_drift_monitor_foreach_batch(spark, scratch):
+def _closed(spark, t):
+    """The feed and a last tick of no machine far behind it, which lets the watermark pass all others."""
+    end = t.agg(F.max("ts")).first()[0]
+    last = t.limit(1).withColumns({"machine_id": F.lit(-1).cast("long"), "ts": (F.lit(end) + F.expr("INTERVAL 2 DAYS")).cast("timestamp")})
+    return t.unionByName(last.select(*t.columns))
+
+
+def _latest(spark, out):
     from pyspark.sql import Window
+    res = spark.read.parquet(out)
+    newest = F.max("batch_id").over(Window.partitionBy("window_start", "feature"))
+    return {(r.window_start, r.feature): round(r.psi, 9) for r in res.withColumn("_m", newest).filter("batch_id = _m").collect()}
+
+
+def test_wear_stream_takes_late_ticks_and_nulls(spark, scratch):
+    """One second late inside the watermark, a NULL increment, an empty file."""
+    cols = [f.name for f in TELEMETRY_SCHEMA.fields]
+    t = telemetry(spark, SF001).select(*cols).withColumn("wear_inc", F.when(F.col("tick_id") % 7 == 0, F.lit(None)).otherwise(F.col("wear_inc")))
+    day = _closed(spark, t)
+    files = [t.filter("tick_id % 3 = 1"), t.filter("false"), t.filter("tick_id % 3 <> 1"), day.filter("machine_id = -1")]
+    src = os.path.join(scratch, "late")
+    for i, f in enumerate(files):
+        f.coalesce(1).write.parquet(os.path.join(src, f"day={i}"))
+    q = write_stream(jobs.wear_tracking(_flat_source(spark, src), watermark="100 days"), "memory", "late_out", os.path.join(scratch, "ckl"))
+    q.awaitTermination(300)
+    assert spark.table("late_out").count() == 0  # nothing has passed so long a watermark
+    q = write_stream(jobs.wear_tracking(read_telemetry_stream(spark, os.path.join(src, "day=*")), watermark="1 second"), "memory", "all_out", os.path.join(scratch, "ckm"))
+    q.awaitTermination(300)
+    got = {(r.machine_id, r.tick_id): round(r.tool_wear_min, 9) for r in spark.table("all_out").collect()}
+    want = {(r.machine_id, r.tick_id): round(r.tool_wear_min, 9) for r in T.wear_with_reset(t).collect()}
+    assert {k: v for k, v in got.items() if k[0] != -1} == want
+
+
+def test_drift_monitor_one_window_over_three_files(spark, scratch):
     from wearline.operators import drift
-    batch_in, src = _land_daily_files(spark, scratch)
-    feats = ["torque_nm"]
+    batch_in, _ = _land_daily_files(spark, scratch)
+    feats = ["torque_nm", "rpm"]
     edges, shares = drift.reference_histogram(batch_in, feats)
-    out = os.path.join(scratch, "psi_out")
-    q = jobs.start_drift_monitor(_flat_source(spark, src), edges, shares, feats, out, os.path.join(scratch, "ck7"))
-    q.awaitTermination(300)
-    res = spark.read.parquet(out)
-    latest = res.withColumn("_m", F.max("batch_id").over(Window.partitionBy("window_start", "feature"))) \
-        .filter(F.col("batch_id") == F.col("_m"))
-    want = jobs.psi_per_window(jobs.windowed_bin_counts(batch_in, edges, feats, window="1 day"), shares)
-    a = {(r.window_start, r.feature): round(r.psi, 9) for r in latest.collect()}
-    b = {(r.window_start, r.feature): round(r.psi, 9) for r in want.collect()}
-    assert a == b and len(a) == 6
+    want = jobs.psi_per_window(jobs.windowed_bin_counts(batch_in, edges, window="1 day"), edges, shares)
+    want = {(r.window_start, r.feature): round(r.psi, 9) for r in want.collect()}
+    for name, order in (("in", [0, 1, 2]), ("out", [2, 0, 1])):
+        src = os.path.join(scratch, f"thirds-{name}")
+        for i, part in enumerate(order):
+            batch_in.filter(F.floor(F.hour("ts") / 8) == part).coalesce(1).write.parquet(os.path.join(src, f"day={i}"))
+        out = os.path.join(scratch, f"psi-{name}")
+        q = jobs.start_drift_monitor(_flat_source(spark, src), edges, shares, out, os.path.join(scratch, f"ckd-{name}"), watermark="30 days")
+        q.awaitTermination(300)
+        assert _latest(spark, out) == want and len(want) == 12

@@ -29,7 +29,8 @@ def stratified_split(df: DataFrame, label: str = "machine_failure", id_col: str
     ranked = global_row_number(keyed, "_wl_hk", tie=id_col, by=[label], out="_wl_r", n_buckets=n_buckets)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_wl_nc"))  # one row per class
     n_test = F.round(F.lit(float(test_size)) * F.col("_wl_nc"), 0).cast("bigint")
-    return (ranked.join(F.broadcast(sizes), label, "inner")
+    sizes = sizes.withColumnRenamed(label, "_wl_class")  # rows without a label are a class of their own
+    return (ranked.join(sizes, ranked[label].eqNullSafe(F.col("_wl_class")), "inner").drop("_wl_class")
             .withColumn("is_test", (F.col("_wl_r") <= n_test).cast("int"))
             .drop("_wl_hk", "_wl_r", "_wl_nc"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import round4
-from wearline.operators.rank import exact_quantiles, quantile_grid
+from wearline.operators.rank import cleaned, exact_quantiles, quantile_grid
 
 
 def calibration_bins(scored: DataFrame, score: str = "risk", label: str = "machine_failure",
@@ -22,9 +22,9 @@ def calibration_bins(scored: DataFrame, score: str = "risk", label: str = "machi
     fr = quantile_grid(n_bins, percent=True)
     edges = exact_quantiles(scored, score, fr, by=by, out="_edges", n_buckets=n_buckets)
     interior = F.slice("_edges", 2, n_bins - 1)
-    # one row per group: broadcast is bounded by the number of groups (1 with no grouping)
     e = edges.select(*by, interior.alias("_int"))
-    joined = scored.join(F.broadcast(e), by, "inner") if by else scored.crossJoin(F.broadcast(e))
+    scored = scored.withColumn(score, cleaned(scored, score)).filter(F.col(score).isNotNull())
+    joined = scored.join(e, by, "inner") if by else scored.crossJoin(F.broadcast(e))  # one row
     binned = joined.withColumn("bin", F.size(F.filter("_int", lambda x: x < F.col(score))))
     return (binned.groupBy(*by, "bin")
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(score)).alias("predicted_probability_bin"),

@@ -1,16 +1,17 @@
 """Population Stability Index drift checks: A13 PSI from counts, A14 numeric PSI,
 A15 categorical PSI, A16 drift report, U4 exact-n bootstrap sample, P10 verdicts.
 
-All features are handled in one job: the features are unpivoted to a long table,
-breakpoints come from one grouped exact-quantile selection (one row per feature,
-broadcast: bounded by the feature list), and one grouped count over both sides
-gives every bin. Empty bins are generated from the breakpoints, because they
-count with the epsilon share.
+The breakpoints are fixed first (one grouped exact quantile; features x 11 numbers come to the
+driver, a bound that does not depend on the data) and stand in the next plan as literals: one
+partial-and-final aggregate over both sides then counts every bin of every feature, with no
+unpivoting, no join and no shuffle of rows. NaN counts as NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
@@ -20,9 +21,43 @@ from wearline.operators.rank import exact_quantiles, global_row_number, quantile
 REF, CUR = 0, 1
 
 
-def _long(df: DataFrame, cols: list[str], side: int) -> DataFrame:
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return sel.unpivot([], cols, "feature", "value").withColumn("side", F.lit(side))
+def breakpoints(reference: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,
+                n_buckets: int | None = None) -> dict[str, list[float]]:
+    """Interior breakpoints per feature: the reference's distinct quantiles without the two ends, which
+    are opened. Features with fewer than three distinct quantiles are left out."""
+    sel = reference.select(*[F.col(c).cast("double").alias(c) for c in features])
+    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
+    q = exact_quantiles(sel.unpivot([], features, "feature", "value"), "value", fr, by=["feature"], n_buckets=n_buckets)
+    out = {}
+    for r in q.collect():  # features x (buckets + 1) numbers
+        bp = sorted(set(r["q"]))
+        if len(bp) >= 3:
+            out[r["feature"]] = bp[1:-1]
+    return {f: out[f] for f in features if f in out}
+
+
+def bin_counts(bp: dict[str, list[float]], when: dict[str, Column | None]) -> list[Column]:
+    """Aggregates ``<name>__<feature>__<bin>``: rows of each bin [a, b), for each named condition."""
+    out = []
+    for name, cond in when.items():
+        for f, interior in bp.items():
+            edges = [-math.inf, *interior, math.inf]
+            x = F.col(f).cast("double")
+            known = x.isNotNull() & ~F.isnan(x)
+            for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                inside = known if cond is None else known & cond
+                inside = inside if lo == -math.inf else inside & (x >= F.lit(lo))
+                inside = inside if hi == math.inf else inside & (x < F.lit(hi))
+                out.append(F.count_if(inside).alias(f"{name}__{f}__{i}"))
+    return out
+
+
+def cells_of(bp: dict[str, list[float]], names: list[str], columns: list[str]) -> Column:
+    """The wide counts as an array of (feature, bin, one column per name)."""
+    rows = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("bin"),
+                     *[F.col(f"{n}__{f}__{i}").cast("long").alias(c) for n, c in zip(names, columns)])
+            for f, interior in bp.items() for i in range(len(interior) + 1)]
+    return F.array(*rows)
 
 
 def _psi_term() -> F.Column:
@@ -53,47 +88,38 @@ def _with_names(spark, features: list[str], per: DataFrame, psi: F.Column) -> Da
         "feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def numeric_psi(reference: DataFrame, current: DataFrame, features: list[str],
-                buckets: int = C.PSI_BUCKETS, n_buckets: int | None = None) -> DataFrame:
-    """Feature, psi (unrounded). Nulls dropped; reference quantile breakpoints,
-    unique, both ends opened; bins [a, b); fewer than 3 breakpoints or an empty side -> 0.
+def _both(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    return reference.select(*features, F.lit(REF).alias("_side")).unionByName(current.select(*features, F.lit(CUR).alias("_side")))
 
-    Jobs: breakpoints (one grouped exact quantile), one grouped count over both sides;
-    the rest works on the features x bins cell table.
-    """
-    spark = reference.sparkSession
-    ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
-    cur = _long(current, features, CUR).filter(F.col("value").isNotNull())
-    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
-    q = exact_quantiles(ref, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
-    bp = F.array_sort(F.array_distinct("q"))
-    edges = q.select("feature", bp.alias("bp")).select(
-        "feature", F.size("bp").alias("m"), F.slice("bp", 2, F.greatest(F.size("bp") - 2, F.lit(0))).alias("interior"))
-    edges = edges.filter(F.col("m") >= 3)
-    both = ref.unionByName(cur).join(F.broadcast(edges), "feature", "inner")  # one row per feature
-    binned = both.withColumn("bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
-    wide = binned.groupBy("feature", "bin").agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
-        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("m") - 2)).alias("bin"))
-    cells = grid.join(wide, ["feature", "bin"], "left").fillna(0, ["ref_n", "cur_n"])
+
+def _numeric_cells(reference: DataFrame, current: DataFrame, features: list[str], buckets: int,
+                   n_buckets: int | None) -> DataFrame | None:
+    bp = breakpoints(reference, features, buckets, n_buckets)
+    if not bp:
+        return None
+    sides = {"r": F.col("_side") == REF, "c": F.col("_side") == CUR}
+    wide = _both(reference, current, list(bp)).agg(*bin_counts(bp, sides))  # one row
+    cells = wide.select(F.inline(cells_of(bp, ["r", "c"], ["ref_n", "cur_n"])))
     wf = Window.partitionBy("feature")  # over the small cell table
-    cells = cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
+    return cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
+
+
+def numeric_psi(reference: DataFrame, current: DataFrame, features: list[str],
+                buckets: int = C.PSI_BUCKETS, n_buckets: int | None = None) -> DataFrame:
+    """Feature, psi (unrounded). NULL and NaN dropped; reference quantile breakpoints, unique, both
+    ends opened; bins [a, b); fewer than 3 breakpoints or an empty side -> 0."""
+    cells = _numeric_cells(reference, current, features, buckets, n_buckets)
+    if cells is None:
+        return reference.sparkSession.createDataFrame([(f, 0.0) for f in features], "feature string, psi double")
     per = _psi_from_cells(cells)
-    return _with_names(spark, features, per, F.when(F.col("_minside") > 0, F.col("_psi")).otherwise(F.lit(0.0)))
+    return _with_names(reference.sparkSession, features, per, F.when(F.col("_minside") > 0, F.col("_psi")).otherwise(F.lit(0.0)))
 
 
 def categorical_psi(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """PSI over the union of categories; totals include NULL rows (one grouped count)."""
-    def side(df, s):
-        longf = df.select(*[F.col(c).cast("string").alias(c) for c in features]).unpivot(
-            [], features, "feature", "category")
-        return longf.withColumn("side", F.lit(s))
-
-    both = side(reference, REF).unionByName(side(current, CUR))
-    wide = both.groupBy("feature", "category").agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
-        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
+    sel = _both(reference, current, features).select("_side", *[F.col(c).cast("string").alias(c) for c in features])
+    wide = sel.unpivot(["_side"], features, "feature", "category").groupBy("feature", "category").agg(
+        F.count_if(F.col("_side") == REF).alias("ref_n"), F.count_if(F.col("_side") == CUR).alias("cur_n"))
     wf = Window.partitionBy("feature")  # categories per feature: a small table
     cells = (wide.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
              .filter(F.col("category").isNotNull()))
@@ -103,50 +129,11 @@ def categorical_psi(reference: DataFrame, current: DataFrame, features: list[str
 
 def psi_all(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
             buckets: int = C.PSI_BUCKETS, n_buckets: int | None = None) -> DataFrame:
-    """A14 and A15 in one pass: feature, psi (unrounded) for numeric and categorical features.
-
-    One long table holds both sides: numeric values get their bin (breakpoints broadcast,
-    one row per feature), categorical values keep their label, and a single grouped count
-    gives every cell; empty numeric bins come from the breakpoints. Numeric totals drop
-    NULLs and an empty side gives 0; categorical totals count NULL rows (the reference's
-    semantics for each).
-    """
-    spark = reference.sparkSession
-    ref_num = _long(reference, numeric, REF).filter(F.col("value").isNotNull())
-    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
-    q = exact_quantiles(ref_num, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
-    bp = F.array_sort(F.array_distinct("q"))
-    edges = (q.select("feature", bp.alias("bp"))
-             .select("feature", F.size("bp").alias("m"), F.slice("bp", 2, F.greatest(F.size("bp") - 2, F.lit(0)))
-                     .alias("interior"))
-             .filter(F.col("m") >= 3))
-
-    def side(df, s_):
-        arr = ([F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-                         F.lit(None).cast("string").alias("category")) for f in numeric]
-               + [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("value"),
-                           F.col(c).cast("string").alias("category")) for c in categorical])
-        return df.select(F.inline(F.array(*arr))).withColumn("side", F.lit(s_))
-
-    is_cat = F.col("feature").isin(categorical) if categorical else F.lit(False)
-    both = side(reference, REF).unionByName(side(current, CUR)).filter(is_cat | F.col("value").isNotNull())
-    j = both.join(F.broadcast(edges.select("feature", "interior")), "feature", "left")  # one row per feature
-    j = j.filter(is_cat | F.col("interior").isNotNull())  # numeric features with < 3 breakpoints: psi 0
-    key = F.when(is_cat, F.col("category")).otherwise(
-        F.size(F.filter("interior", lambda e: e <= F.col("value"))).cast("string"))
-    wide = j.withColumn("key", key).groupBy("feature", "key").agg(
-        F.sum((F.col("side") == REF).cast("long")).alias("ref_n"),
-        F.sum((F.col("side") == CUR).cast("long")).alias("cur_n"))
-    grid = edges.select("feature", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 2),
-                                                         lambda b: b.cast("string"))).alias("key"))
-    num_cells = grid.join(wide, ["feature", "key"], "left").fillna(0, ["ref_n", "cur_n"])
-    cells = num_cells.unionByName(wide.filter(is_cat))
-    wf = Window.partitionBy("feature")  # over the small cell table
-    cells = (cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
-             .filter(F.col("key").isNotNull()))
-    per = _psi_from_cells(cells).withColumn("_cat", F.col("feature").isin(categorical) if categorical else F.lit(False))
-    psi = F.when(F.col("_cat") | (F.col("_minside") > 0), F.col("_psi")).otherwise(F.lit(0.0))
-    return _with_names(spark, numeric + categorical, per, psi)
+    """Feature, psi (unrounded) for numeric and categorical features; one aggregate each.
+    Numeric totals drop NULLs and an empty side gives 0; categorical totals count NULL rows (the
+    reference's semantics for each)."""
+    out = numeric_psi(reference, current, numeric, buckets, n_buckets)
+    return out.unionByName(categorical_psi(reference, current, categorical)) if categorical else out
 
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
@@ -186,26 +173,18 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = C.RANDOM_SEED, id_col: s
 
 
 def reference_histogram(reference: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,
-                        n_buckets: int | None = None):
-    """Frozen reference for windowed drift (R5): ``edges(feature, interior)`` and
-    ``shares(feature, bin, ref_share)`` with every bin present (empty bins share 0)."""
-    ref = _long(reference, features, REF).filter(F.col("value").isNotNull())
-    fr = quantile_grid(buckets, percent=True)  # pandas quantile goes through numpy percentile
-    q = exact_quantiles(ref, "value", fr, by=["feature"], out="q", n_buckets=n_buckets)
-    bp = F.array_sort(F.array_distinct("q"))
-    edges = (q.select("feature", bp.alias("bp"))
-             .select("feature", F.size("bp").alias("m"), F.slice("bp", 2, F.greatest(F.size("bp") - 2, F.lit(0)))
-                     .alias("interior"))
-             .filter(F.col("m") >= 3))
-    binned = ref.join(F.broadcast(edges), "feature", "inner").withColumn(
-        "bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
-    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("ref_n"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("m") - 2)).alias("bin"))
-    cells = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["ref_n"])
-    total = F.sum("ref_n").over(Window.partitionBy("feature"))
-    shares = cells.select("feature", "bin", (F.col("ref_n") / F.greatest(total, F.lit(1)).cast("double"))
-                          .alias("ref_share"))
-    return edges.select("feature", "interior"), shares
+                        n_buckets: int | None = None) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """Frozen reference for windowed drift (R5): interior breakpoints and bin shares per feature (empty
+    bins share 0), as plain numbers whose count is fixed by features and buckets."""
+    bp = breakpoints(reference, features, buckets, n_buckets)
+    if not bp:
+        return {}, {}
+    row = reference.agg(*bin_counts(bp, {"r": None})).first()
+    shares = {}
+    for f, interior in bp.items():
+        n = [row[f"r__{f}__{i}"] for i in range(len(interior) + 1)]
+        shares[f] = [v / float(max(sum(n), 1)) for v in n]
+    return bp, shares
 
 
 def dropped_columns(all_cols: DataFrame, kept: DataFrame, col: str = "sensor") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import decision, round4, safe_div, safe_div0
-from wearline.operators.rank import running_sums
+from wearline.operators.rank import cleaned, running_sums
 
 
 def confusion(scored: DataFrame, label: str = "machine_failure", score: str = "risk",
@@ -47,6 +47,7 @@ def binary_metrics_from_confusion(cm: DataFrame) -> DataFrame:
 
 def _score_counts(scored: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     y = F.col(label).cast("bigint")
+    scored = scored.withColumn(score, cleaned(scored, score))
     return (scored.filter(F.col(score).isNotNull())
             .groupBy(*by, score)
             .agg(F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))

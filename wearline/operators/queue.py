@@ -68,7 +68,7 @@ def queue_counts_by_selection(scored: DataFrame, fractions: list[float], score:
     """Same output as ``queue_counts`` without ranking every row.
 
     The order (score desc, id asc) is cut into range buckets; one aggregate gives each
-    bucket's row count and failure counts (a P-row table). A budget of n rows takes
+    bucket's row count and failure counts (a P-row table). An empty input gives no rows. A budget of n rows takes
     whole buckets up to the one holding position n, and only that "cut" bucket (at most
     one per fraction) is sorted to take its first n - offset rows. At scale this is one
     scan plus a tiny aggregate plus sorting <= len(fractions) buckets, instead of a full
@@ -76,13 +76,15 @@ def queue_counts_by_selection(scored: DataFrame, fractions: list[float], score:
     """
     from pyspark.sql import Window
 
-    from wearline.operators.rank import BUCKET, ROWS_PER_BUCKET, _default_buckets, add_order_buckets
+    from wearline.operators import rank
+    from wearline.operators.rank import BUCKET, KEY, add_order_buckets
     cols = [label, *extra_flags]
     n_rows = scored.count()
-    p = n_buckets or _default_buckets(scored, n_rows, ROWS_PER_BUCKET)
-    if p <= 1:
+    p = n_buckets or rank._default_buckets(scored, n_rows, rank.ROWS_PER_BUCKET)
+    if p <= 1 or not n_rows:  # nothing to review: no rows
         ranked = global_row_number(scored, score, descending=True, tie=id_col, out=QUEUE_RANK, n_buckets=1)
-        return queue_counts(ranked, n_rows, fractions, label, extra_flags)
+        counts = queue_counts(ranked, n_rows, fractions, label, extra_flags)
+        return counts if n_rows else counts.limit(0)
     b = add_order_buckets(scored.select(id_col, score, *cols), score, descending=True, tie=id_col, n_buckets=p)
     per = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("bigint").alias(f"_s_{c}") for c in cols])
     w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # over <= P rows
@@ -96,7 +98,7 @@ def queue_counts_by_selection(scored: DataFrame, fractions: list[float], score:
         "_i", BUCKET, (F.col("_b") - F.col("_off")).alias("_k"))
     # sort only the cut buckets (semi join on a table of <= len(fractions) rows)
     hot = b.join(F.broadcast(cut.select(BUCKET).distinct()), BUCKET, "left_semi")
-    wr = Window.partitionBy(BUCKET).orderBy(F.col(score).desc_nulls_last(), F.col(id_col).asc())
+    wr = Window.partitionBy(BUCKET).orderBy(F.col(KEY).desc_nulls_last(), F.col(id_col).asc_nulls_last())
     hot = hot.withColumn("_r", F.row_number().over(wr))
     part = (hot.join(F.broadcast(cut), BUCKET, "inner").filter(F.col("_r") <= F.col("_k"))
             .groupBy("_i").agg(*[F.sum(c).alias(f"_c_{c}") for c in cols]))
@@ -169,7 +171,8 @@ def top_queue(scored: DataFrame, n: int = C.TOP_QUEUE_ASSETS, score: str = "risk
     ``orderBy().limit(n)`` plans as ``TakeOrderedAndProject``: each task keeps n rows.
     """
     from wearline.functions.columns import flags_to_labels
-    return (scored.orderBy(F.col(score).desc_nulls_last(), F.col(id_col).asc())
+    from wearline.operators.rank import cleaned
+    return (scored.orderBy(cleaned(scored, score).desc_nulls_last(), F.col(id_col).asc_nulls_last())
             .limit(n)
             .select(F.col(id_col), round4(score).alias("risk_score"),
                     F.col("machine_failure").cast("int").alias("machine_failure"),

@@ -1,45 +1,41 @@
-"""Exact global order statistics without a single-task sort.
-
-A ``Window`` with no ``partitionBy`` moves every row into one task, and a window
-partitioned by a label is nearly as bad when one class holds most rows. Here the
-order is cut into range buckets instead:
-
-1. bucket boundaries come from ``percentile_approx`` of the sort key (one pass,
-   ``P - 1`` numbers collected: bounded by ``max_buckets``);
-2. a key value that fills more than one bucket on its own ("heavy" value) is
-   isolated in its own bucket and sub-split by ranges of the tie-break column,
-   so a value holding a third of all rows is still spread over many tasks;
-3. rows are bucketed with ``Bucketizer`` (binary search, JVM side);
-4. exact per-bucket counts (a ``P``-row table) give each bucket its offset;
-5. ``row_number`` / running sums inside each bucket plus the offset.
-
-The result is exact whatever the boundary error: boundaries only decide where a
-row is processed, offsets come from exact counts. Deterministic across
-re-evaluation (no dependence on ``spark_partition_id``).
+"""Exact order statistics without a single-task sort: one ordering contract for every size.
+
+The order is (key, tie): NaN keys count as NULL, NULLs come last in both directions, -0.0 equals
+0.0, and keys and ties may be of any orderable type (strings included). Small inputs (at most
+``ROWS_PER_BUCKET`` rows, a proven bound) take a plain window; larger ones are cut into range
+buckets, with the same result to the last bit:
+
+1. ``repartitionByRange`` on (groups, key, tie) deals the rows to ordered buckets. A hot group or a
+   value that a third of all rows hold spans many buckets, because groups and ties are part of
+   the range key. The dealt rows are written to the shared folder once, so that every later use
+   reads the same buckets (range bounds come from a sample and may change when recomputed);
+2. exact per-bucket counts and sums (a P-row table) give each bucket its offset;
+3. ``row_number`` / running sums inside each bucket plus the offset.
+
+Sums of doubles run over decimals (12 places), so they do not depend on the buckets.
 """
 
 from __future__ import annotations
 
 import math
-import os
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.session import stage
+
 BUCKET = "_wl_bucket"
-# rows one task may sort / hold; override (e.g. tiny values in tests) with WEARLINE_ROWS_PER_BUCKET
-ROWS_PER_BUCKET = int(os.environ.get("WEARLINE_ROWS_PER_BUCKET", "2000000"))
+KEY = "_wl_key"
+ROWS_PER_BUCKET = 2_000_000  # rows one task may sort or hold
 MAX_BUCKETS = 65536  # offsets table <= 64k rows (~1 MB broadcast)
+EXACT = "decimal(38,12)"
 
 
 def _default_buckets(df: DataFrame, n_rows: int | None, rows_per_bucket: int) -> int:
     """Buckets from data size: one bucket while all rows fit one task's budget.
 
-    With one bucket the plain window / ``percentile`` path runs: its single task holds
-    at most ``rows_per_bucket`` rows, a proven bound. Larger inputs get
-    ceil(N / rows_per_bucket) buckets, at least the cluster's parallelism.
+    Larger inputs get ceil(N / rows_per_bucket) buckets, at least the cluster's parallelism.
     """
     if n_rows is None:
         n_rows = df.count()
@@ -60,123 +56,31 @@ def quantile_grid(n: int, percent: bool = False) -> list[float]:
     return [float(v) for v in grid]
 
 
-def _accuracy(p: int) -> int:
-    """Sketch accuracy: boundary rank error <= N / (8P), i.e. buckets within ~12 % of target
-    (exactness never depends on it: offsets come from exact counts)."""
-    return max(10_000, 8 * p)
-
-
-def _sort_key(key: str, descending: bool) -> Column:
-    # 0.0 - x / x + 0.0 fold -0.0 into 0.0, so Bucketizer and the sort agree on ties.
-    k = F.col(key).cast("double")
-    return (F.lit(0.0) - k) if descending else (k + F.lit(0.0))
-
-
-def _lower_count(splits: Column, x: Column, steps: int) -> Column:
-    """Number of elements of the sorted array ``splits`` strictly below ``x``.
-
-    A binary search written with the built-in ``aggregate`` higher-order function:
-    ``steps`` = ceil(log2(len + 1)) iterations per row, all JVM side.
-    """
-    init = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
-
-    def step(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.try_element_at(splits, mid + 1) < x
-        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(
-            below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
-            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), init, step)["lo"]
-
+def cleaned(df: DataFrame, col: str) -> Column:
+    """The ordering key: NaN as NULL and -0.0 as 0.0 for floating point, anything else as it is."""
+    if df.schema[col].dataType.simpleString() in ("double", "float"):
+        return F.when(~F.isnan(col), F.col(col) + F.lit(0.0)).cast(df.schema[col].dataType)
+    return F.col(col)
 
-def _grouped_buckets(work: DataFrame, skey: str, tie: str | None, by: list[str], p: int) -> DataFrame:
-    """Per-group boundaries: each group gets its own quantile splits (lazy, one row per group).
 
-    Bucket = 2 * (#splits < x) + (x equals a split): every split value — in particular
-    a value that holds a large share of its group — gets a bucket of its own, which
-    is then sub-split by ranges of the tie column.
-    """
-    accuracy = _accuracy(p)
-    fracs = [i / p for i in range(1, p)]
-    aggs = [F.array_sort(F.array_distinct(F.percentile_approx(skey, fracs, accuracy))).alias("_wl_sp")]
-    if tie is not None:
-        aggs.append(F.array_sort(F.array_distinct(
-            F.percentile_approx(F.col(tie).cast("double"), fracs, accuracy))).alias("_wl_tsp"))
-    splits = work.filter(F.col(skey).isNotNull()).groupBy(*by).agg(*aggs)
-    steps = math.ceil(math.log2(p + 1)) + 1
-    j = work.join(splits, on=by, how="left")
-    x = F.col(skey)
-    a = _lower_count(F.col("_wl_sp"), x, steps)
-    j = j.withColumn("_wl_a", a)
-    eq = F.coalesce(F.try_element_at(F.col("_wl_sp"), F.col("_wl_a") + 1) == x, F.lit(False))
-    major = F.when(x.isNull(), F.lit(2 * p + 2)).otherwise(2 * F.col("_wl_a") + eq.cast("int"))
+def _order(descending: bool, tie: str | None) -> list[Column]:
+    cols = [F.col(KEY).desc_nulls_last() if descending else F.col(KEY).asc_nulls_last()]
     if tie is not None:
-        sub = F.when(eq, _lower_count(F.col("_wl_tsp"), F.col(tie).cast("double"), steps)).otherwise(F.lit(0))
-        bucket = major.cast("bigint") * F.lit(p + 1) + sub
-        return j.withColumn(BUCKET, bucket.cast("bigint")).drop("_wl_sp", "_wl_tsp", "_wl_a")
-    return j.withColumn(BUCKET, major.cast("bigint")).drop("_wl_sp", "_wl_a")
+        cols.append(F.col(tie).asc_nulls_last())
+    return cols
 
 
 def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
                       by: list[str] | tuple = (), n_buckets: int | None = None, n_rows: int | None = None,
                       rows_per_bucket: int | None = None) -> DataFrame:
-    """Add ``_wl_bucket`` (bigint): within each ``by`` group, bucket order equals the
-    order of ``(key, tie)``. NULL keys go to the last bucket (NULLS LAST).
-
-    Without ``by`` the boundaries are collected (P - 1 numbers) and applied with
-    ``Bucketizer``; with ``by`` every group gets its own boundaries (see
-    ``_grouped_buckets``), so groups on different scales are each spread evenly.
-    """
-    by = list(by)
+    """Add ``_wl_key`` (the cleaned key) and ``_wl_bucket`` (bigint): within each ``by`` group, bucket
+    order equals the order of ``(key, tie)``. One range shuffle, staged; with one bucket nothing moves."""
     p = n_buckets or _default_buckets(df, n_rows, rows_per_bucket or ROWS_PER_BUCKET)
-    skey = "_wl_skey"
-    work = df.withColumn(skey, _sort_key(key, descending))
+    work = df.withColumn(KEY, cleaned(df, key))
     if p <= 1:
-        return work.withColumn(BUCKET, F.lit(0).cast("bigint")).drop(skey)
-    if by:
-        return _grouped_buckets(work, skey, tie, by, p).drop(skey)
-
-    accuracy = _accuracy(p)
-    fracs = [i / p for i in range(1, p)]
-    qs = work.select(F.percentile_approx(skey, fracs, accuracy).alias("q")).first()["q"] or []
-    qs = [float(v) for v in qs if v is not None and not math.isnan(v)]
-    uniq, counts = np.unique(np.array(qs, dtype=float), return_counts=True) if qs else (np.array([]), np.array([]))
-    # A value that fills two or more quantile slots holds over 1/P of the rows: give it a
-    # bucket of its own (and, with a tie column, sub-split it by tie ranges).
-    heavy = [float(v) for v, c in zip(uniq, counts) if c >= 2]
-
-    splits = set(float(v) for v in uniq)
-    for h in heavy:
-        splits.add(h)
-        splits.add(float(np.nextafter(h, np.inf)))
-    splits = [-math.inf] + sorted(s for s in splits if math.isfinite(s)) + [math.inf]
-    b1 = Bucketizer(splits=splits, inputCol="_wl_sk_nan", outputCol="_wl_b1", handleInvalid="keep")
-    work = work.withColumn("_wl_sk_nan", F.coalesce(F.col(skey), F.lit(float("nan"))))
-    work = b1.transform(work)
-
-    if heavy and tie is not None:
-        tq = (work.filter(F.col(skey).isin(heavy))
-              .select(F.percentile_approx(F.col(tie).cast("double"), fracs, accuracy).alias("q")).first()["q"]) or []
-        tsplits = sorted(set(float(v) for v in tq if v is not None and math.isfinite(v)))
-        tsplits = [-math.inf] + tsplits + [math.inf]
-        width = len(tsplits)  # number of sub-buckets is len - 1; width leaves room
-        b2 = Bucketizer(splits=tsplits, inputCol="_wl_tie_d", outputCol="_wl_b2", handleInvalid="keep")
-        work = work.withColumn("_wl_tie_d", F.coalesce(F.col(tie).cast("double"), F.lit(float("nan"))))
-        work = b2.transform(work)
-        sub = F.when(F.col(skey).isin(heavy), F.col("_wl_b2")).otherwise(F.lit(0.0))
-        bucket = (F.col("_wl_b1") * F.lit(width) + sub).cast("bigint")
-        work = work.withColumn(BUCKET, bucket).drop("_wl_tie_d", "_wl_b2")
-    else:
-        work = work.withColumn(BUCKET, F.col("_wl_b1").cast("bigint"))
-    return work.drop("_wl_b1", "_wl_sk_nan", skey)
-
-
-def _order(key: str, descending: bool, tie: str | None) -> list[Column]:
-    cols = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()]
-    if tie is not None:
-        cols.append(F.col(tie).asc_nulls_last())
-    return cols
+        return work.withColumn(BUCKET, F.lit(0).cast("bigint"))
+    ranged = work.repartitionByRange(p, *[F.col(c) for c in by], *_order(descending, tie))
+    return stage(ranged.withColumn(BUCKET, F.spark_partition_id().cast("bigint")), "ranges")
 
 
 def _offsets(bucketed: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -190,49 +94,42 @@ def _offsets(bucketed: DataFrame, by: list[str], sums: dict[str, Column]) -> Dat
 def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
     # With no grouping the offset table has at most MAX_BUCKETS rows: a proven bound,
     # so it is broadcast. With grouping columns the size depends on the number of
-    # groups; AQE decides from runtime statistics.
-    small = F.broadcast(offsets) if not by else offsets
-    return bucketed.join(small, on=[*by, BUCKET], how="inner")
-
-
-def _split_hot(df: DataFrame, by: list[str], n_rows: int | None, p: int):
-    """Groups larger than one bucket's share (N / P rows) are "hot"; returns (hot, normal)
-    frames. The hot-key table has at most P rows (a proven bound), so it is broadcast."""
-    if n_rows is None:
-        n_rows = df.count()
-    threshold = max(1, n_rows // p)
-    hot = F.broadcast(hot_keys(df, by, threshold))
-    return df.join(hot, by, "left_semi"), df.join(hot, by, "left_anti")
+    # groups; AQE decides from runtime statistics. Groups may be NULL.
+    off = offsets.select(*[F.col(c).alias(f"_wl_j_{c}") for c in by], F.col(BUCKET).alias("_wl_j"),
+                         *[c for c in offsets.columns if c.startswith("_wl_off_")])
+    on = F.col(BUCKET) == F.col("_wl_j")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_wl_j_{c}"))
+    return bucketed.join(F.broadcast(off) if not by else off, on, "inner").drop("_wl_j", *[f"_wl_j_{c}" for c in by])
 
 
 def global_row_number(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
                       by: list[str] | tuple = (), out: str = "rn", n_buckets: int | None = None,
                       n_rows: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (partition by by order by key, tie)`` for huge groups.
-
-    With grouping columns only groups above one bucket's share are bucketed; ordinary
-    groups take the plain window (many small groups need no boundaries)."""
+    """Exact ``row_number() over (partition by by order by key, tie)`` for groups of any size."""
     by = list(by)
-    if n_buckets is None and n_rows is None:
-        n_rows = df.count()
-    p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
-    w1 = Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
-    if p <= 1:
-        return df.withColumn(out, F.row_number().over(w1).cast("bigint"))
-    if by:
-        hot, normal = _split_hot(df, by, n_rows, p)
-        plain = normal.withColumn(out, F.row_number().over(w1).cast("bigint"))
-        return plain.unionByName(_bucketed_row_number(hot, key, descending, tie, by, out, p))
-    return _bucketed_row_number(df, key, descending, tie, by, out, p)
-
-
-def _bucketed_row_number(df, key, descending, tie, by, out, p):
-    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
+    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=n_buckets, n_rows=n_rows)
+    if _one_bucket(b):
+        w = Window.partitionBy(*by).orderBy(*_order(descending, tie))
+        return b.withColumn(out, F.row_number().over(w).cast("bigint")).drop(BUCKET, KEY)
     off = _offsets(b, by, {"n": F.count(F.lit(1))})
-    w = Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
+    w = Window.partitionBy(*by, BUCKET).orderBy(*_order(descending, tie))
     return (_join_offsets(b, off, by)
             .withColumn(out, (F.row_number().over(w) + F.col("_wl_off_n")).cast("bigint"))
-            .drop(BUCKET, "_wl_off_n"))
+            .drop(BUCKET, KEY, "_wl_off_n"))
+
+
+def _one_bucket(bucketed: DataFrame) -> bool:
+    """Whether the bucket column is the literal of an input that fits one bucket."""
+    return not bucketed.schema[BUCKET].nullable
+
+
+def _summand(df: DataFrame, col: str) -> tuple[Column, str | None]:
+    """What is summed, and the type the sum goes back to: doubles are summed as decimals."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(col), F.col(col)).try_cast(EXACT), "double"
+    return F.col(col), None
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: bool = False,
@@ -240,139 +137,151 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: b
                  n_rows: int | None = None) -> DataFrame:
     """Exact running sums (rows frame, inclusive) in ``(key, tie)`` order.
 
-    ``sums`` maps output column -> input column. With grouping columns only groups above
-    one bucket's share are bucketed; ordinary groups take the plain window.
+    ``sums`` maps output column -> input column.
     """
     by = list(by)
-    if n_buckets is None and n_rows is None:
-        n_rows = df.count()
-    p = n_buckets or _default_buckets(df, n_rows, ROWS_PER_BUCKET)
-    w1 = (Window.partitionBy(*by).orderBy(*_order(key, descending, tie))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if p <= 1:
-        return df.withColumns({o: F.sum(F.col(src)).over(w1) for o, src in sums.items()})
-    if by:
-        hot, normal = _split_hot(df, by, n_rows, p)
-        plain = normal.withColumns({o: F.sum(F.col(src)).over(w1) for o, src in sums.items()})
-        return plain.unionByName(_bucketed_running_sums(hot, key, sums, descending, tie, by, p))
-    return _bucketed_running_sums(df, key, sums, descending, tie, by, p)
-
-
-def _bucketed_running_sums(df, key, sums, descending, tie, by, p):
-    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=p)
-    off = _offsets(b, by, {out: F.sum(F.col(src)) for out, src in sums.items()})
-    w = (Window.partitionBy(*by, BUCKET).orderBy(*_order(key, descending, tie))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=n_buckets, n_rows=n_rows)
+    what = {o: _summand(df, src) for o, src in sums.items()}
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    if _one_bucket(b):
+        w = Window.partitionBy(*by).orderBy(*_order(descending, tie)).rowsBetween(*frame)
+        return b.withColumns({o: _back(F.sum(c).over(w), t) for o, (c, t) in what.items()}).drop(BUCKET, KEY)
+    off = _offsets(b, by, {o: F.sum(c) for o, (c, _) in what.items()})
+    w = Window.partitionBy(*by, BUCKET).orderBy(*_order(descending, tie)).rowsBetween(*frame)
     res = _join_offsets(b, off, by)
-    for out, src in sums.items():
-        res = res.withColumn(out, F.sum(F.col(src)).over(w) + F.col(f"_wl_off_{out}"))
-    return res.drop(BUCKET, *[f"_wl_off_{o}" for o in sums])
+    total = {o: _back(F.sum(c).over(w) + F.col(f"_wl_off_{o}"), t) for o, (c, t) in what.items()}
+    return res.withColumns(total).drop(BUCKET, KEY, *[f"_wl_off_{o}" for o in sums])
+
+
+def _back(c: Column, kind: str | None) -> Column:
+    return c.cast(kind) if kind else c
+
+
+def segmented_sum(df: DataFrame, key: str, value: str, reset: str, out: str, *, tie: str | None = None,
+                  by: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
+    """Running sum of ``value`` per group that starts again at 0 on every row whose boolean ``reset`` is
+    true (that row's own value does not count). NULL values count 0.
+
+    One pass over the dealt rows: inside a bucket a sum per stretch between resets; each bucket leaves
+    (has it a reset, sum since its last one), and a scan over those few rows gives every bucket what is
+    carried into the stretch before its first reset.
+    """
+    by = list(by)
+    b = add_order_buckets(df, key, tie=tie, by=by, n_buckets=n_buckets)
+    order = _order(False, tie)
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    is_reset = F.coalesce(F.col(reset), F.lit(False))
+    part = [*by, BUCKET]
+    rows = b.withColumn("_wl_seg", F.sum(is_reset.cast("int")).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)))
+    inc = F.when(is_reset | F.isnan(value), F.lit(0)).otherwise(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).cast(EXACT)
+    rows = rows.withColumn("_wl_inc", inc).withColumn(
+        "_wl_sum", F.sum("_wl_inc").over(Window.partitionBy(*part, "_wl_seg").orderBy(*order).rowsBetween(*frame)))
+    if _one_bucket(b):
+        return rows.withColumn(out, F.col("_wl_sum").cast("double")).drop("_wl_seg", "_wl_inc", "_wl_sum", BUCKET, KEY)
+    per = rows.groupBy(*part, "_wl_seg").agg(F.sum("_wl_inc").alias("_wl_t")).groupBy(*part).agg(
+        F.max("_wl_seg").alias("_wl_last"), F.max_by("_wl_t", "_wl_seg").alias("_wl_tail"))
+    before = Window.partitionBy(*by).orderBy(BUCKET)
+    # stretches of buckets that begin with one that has a reset; what such a stretch has gathered so far
+    per = per.withColumn("_wl_run", F.sum((F.col("_wl_last") > 0).cast("int")).over(before.rowsBetween(*frame)))
+    so_far = F.sum("_wl_tail").over(Window.partitionBy(*by, "_wl_run").orderBy(BUCKET).rowsBetween(*frame))
+    per = per.withColumn("_wl_so_far", so_far).withColumn("_wl_off_c", F.coalesce(F.lag("_wl_so_far").over(before), F.lit(0).cast(EXACT)))
+    res = _join_offsets(rows, per.select(*by, BUCKET, "_wl_off_c"), by)
+    carried = F.when(F.col("_wl_seg") == 0, F.col("_wl_off_c")).otherwise(F.lit(0).cast(EXACT))
+    return res.withColumn(out, (F.col("_wl_sum") + carried).cast("double")).drop("_wl_seg", "_wl_inc", "_wl_sum", "_wl_off_c", BUCKET, KEY)
+
+
+def _between(lo: Column, hi: Column, frac: Column) -> Column:
+    """The one interpolation formula of all quantiles."""
+    return lo + frac * (hi - lo)
 
 
 def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list[str] | tuple = (),
                     out: str = "q", n_buckets: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (``percentile`` / ``quantile_cont``) by selection.
+    """Exact linear-interpolation quantiles by selection; NULL and NaN are ignored.
 
-    No full sort: bucket counts locate each target position; a bucket holding a
-    single value (every heavy value) answers directly; only the at most
-    ``2 * len(fractions)`` buckets per group that hold a target are ranked.
-    NULLs are ignored. Returns one row per group: ``by..., n, <out> array<double>``.
+    No full sort: bucket counts locate each target position; a bucket holding a single value
+    answers directly; only the at most ``2 * len(fractions)`` buckets per group that hold a
+    target are ranked. Returns one row per group: ``by..., n, <out> array<double>``.
     """
     by = list(by)
-    d = df.select(*by, F.col(col).cast("double").alias("_wl_x")).filter(F.col("_wl_x").isNotNull())
+    d = df.select(*by, F.col(col).cast("double").alias("_wl_x")).filter(F.col("_wl_x").isNotNull() & ~F.isnan("_wl_x"))
     p = n_buckets or _default_buckets(d, None, ROWS_PER_BUCKET)
+    fr = F.array(*[F.lit(float(f)) for f in fractions])
     if p <= 1:
-        # every group fits one task: the exact built-in aggregate
-        return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                  F.percentile("_wl_x", [float(f) for f in fractions]).alias(out))
-    b = add_order_buckets(d, "_wl_x", by=by, n_buckets=p)
-    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_c"), F.min("_wl_x").alias("_mn"),
-                                     F.max("_wl_x").alias("_mx"))
+        s = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.col("_wl_x") + F.lit(0.0))).alias("_s"))
+
+        def at(f):
+            h = (F.col("n") - 1).cast("double") * f
+            lo = F.floor(h).cast("int")
+            return _between(F.element_at("_s", lo + 1), F.element_at("_s", F.least(lo + 2, F.col("n").cast("int"))), h - lo.cast("double"))
+
+        # a global aggregate of no rows is one row: none as for groups
+        return s.filter(F.col("n") > 0).select(*by, "n", F.transform(fr, at).alias(out))
+    # equal values may be dealt to several buckets: any order among them serves
+    b = add_order_buckets(d.withColumn("_wl_any", F.monotonically_increasing_id()), "_wl_x", tie="_wl_any", by=by, n_buckets=p).drop("_wl_any")
+    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_c"), F.min(KEY).alias("_mn"), F.max(KEY).alias("_mx"))
     w = Window.partitionBy(*by).orderBy(BUCKET)
     per = per.select(*by, BUCKET, "_c", "_mn", "_mx",
                      (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
                      F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                      .alias("n"))
-    per = per.withColumn("_off", F.coalesce("_off", F.lit(0)))
+    per = stage(per.withColumn("_off", F.coalesce("_off", F.lit(0))), "bucket-counts")
     # target 1-based positions per fraction: lo = floor(h) + 1, hi = lo + 1 (capped at n)
-    fr = F.array(*[F.lit(float(f)) for f in fractions])
     groups = per.select(*by, "n").distinct()
     targets = groups.select(*by, "n", F.posexplode(fr).alias("_i", "_f"))
     targets = targets.withColumn("_h", (F.col("n") - 1).cast("double") * F.col("_f"))
     targets = targets.withColumn("_lo", F.floor("_h").cast("bigint") + 1)
     targets = targets.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("n")))
-    pos = targets.select(*by, "_i", F.explode(F.array(
+    pos = targets.select(*by, "n", "_i", "_h", "_lo", F.explode(F.array(
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_p")),
-        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_p")))).alias("_s")).select(*by, "_i", "_s.*")
+        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_p")))).alias("_s")).select(*by, "n", "_i", "_h", "_lo", "_s.*")
     # targets (2F rows per group) against bucket stats (<= P rows per group): small tables only
     loc = pos.join(per.drop("n"), on=by, how="inner") if by else pos.crossJoin(F.broadcast(per.drop("n")))
-    loc = loc.filter((F.col("_p") > F.col("_off")) & (F.col("_p") <= F.col("_off") + F.col("_c")))
-    direct = loc.filter(F.col("_mn") == F.col("_mx")).select(*by, "_i", "_side", F.col("_mn").alias("_v"))
-    need = loc.filter(F.col("_mn") != F.col("_mx")).select(*by, BUCKET, "_i", "_side",
-                                                           (F.col("_p") - F.col("_off")).alias("_k"))
-    # rank only the buckets that hold a target (semi join on a table of <= 2F rows per group)
+    loc = stage(loc.filter((F.col("_p") > F.col("_off")) & (F.col("_p") <= F.col("_off") + F.col("_c")))
+                .withColumn("_k", F.col("_p") - F.col("_off")), "targets")
+    # rank only the buckets that hold a target and more than one value
+    need = loc.filter(F.col("_mn") != F.col("_mx"))
     hot = b.join(need.select(*by, BUCKET).distinct(), on=[*by, BUCKET], how="left_semi")
-    wr = Window.partitionBy(*by, BUCKET).orderBy("_wl_x")
-    hot = hot.withColumn("_k", F.row_number().over(wr).cast("bigint"))
-    picked = hot.join(need, on=[*by, BUCKET, "_k"], how="inner").select(*by, "_i", "_side",
-                                                                         F.col("_wl_x").alias("_v"))
-    vals = direct.unionByName(picked)
-    lohi = vals.groupBy(*by, "_i").agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-                                       F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"))
-    res = lohi.join(targets.select(*by, "n", "_i", "_h", "_lo"), on=[*by, "_i"], how="inner")
+    hot = hot.withColumn("_k", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY)).cast("bigint"))
+    picked = need.join(hot.select(*by, BUCKET, "_k", F.col(KEY).alias("_v")), on=[*by, BUCKET, "_k"], how="inner")
+    cols = [*by, "n", "_i", "_h", "_lo", "_side", "_v"]
+    vals = loc.filter(F.col("_mn") == F.col("_mx")).withColumn("_v", F.col("_mn")).select(*cols).unionByName(picked.select(*cols))
+    lohi = vals.groupBy(*by, "n", "_i", "_h", "_lo").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"))
     frac = F.col("_h") - (F.col("_lo") - 1).cast("double")
-    res = res.withColumn("_q", F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo")))
+    res = lohi.withColumn("_q", _between(F.col("_vlo"), F.col("_vhi"), frac))
     return (res.groupBy(*by, "n")
             .agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_qs"))
             .select(*by, "n", F.transform("_qs", lambda s: s["_q"]).alias(out)))
 
 
-def hot_keys(df: DataFrame, by: list[str], threshold: int) -> DataFrame:
-    """Keys holding more than ``threshold`` rows, as a small frame (at most N / threshold
-    rows: a proven bound, so callers may broadcast it)."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_wl_cnt")).filter(F.col("_wl_cnt") > threshold).select(*by)
-
-
 def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] | tuple,
-                   n_buckets: int | None = None, hot_threshold: int | None = None,
-                   rows_per_bucket: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Rows frame ``[-(window - 1), 0]`` per group in ``key`` order, exact, skew-safe.
 
-    ``exprs(w)`` returns ``{name: Column}`` over the window spec ``w``. Groups of ordinary
-    size use the plain window. A group above ``hot_threshold`` rows is cut into key-range
-    buckets; each bucket also receives the ``window - 1`` rows that precede it (its halo,
-    found by exact per-group row numbers and an equi-join), the frame is evaluated per
-    bucket and halo rows are dropped — so a unit holding a third of all rows is spread over
+    ``exprs(w)`` returns ``{name: Column}`` over the window spec ``w``. Inputs above one bucket are
+    cut into key ranges; each bucket also receives the ``window - 1`` rows that precede it in its
+    group (its halo, found by exact row numbers and an equi-join), the frame is evaluated per
+    bucket and halo rows are dropped, so a unit holding a third of all rows is spread over
     many tasks and every frame still sees exactly its preceding rows. ``key`` must be
     unique within a group (a cycle number, a timestamp with tie-free ticks).
     """
     by = list(by)
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    if n_buckets is None:
-        n_buckets = _default_buckets(df, df.count(), rows_per_bucket)
-    w_plain = Window.partitionBy(*by).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
-    if n_buckets <= 1:
-        return df.withColumns(exprs(w_plain))
-    threshold = hot_threshold or rows_per_bucket
-    hot = F.broadcast(hot_keys(df, by, threshold))  # bounded by N / threshold rows
-    normal = df.join(hot, by, "left_anti").withColumns(exprs(w_plain))
-    hot_rows = df.join(hot, by, "left_semi")
-    b = add_order_buckets(hot_rows, key, by=by, n_buckets=n_buckets)
-    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_wl_n"))
-    wo = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(wo), F.lit(0)))  # per hot group: small
-    wr = Window.partitionBy(*by, BUCKET).orderBy(key)
-    ranked = (b.join(per, [*by, BUCKET], "inner")
-              .withColumn("_wl_rn", F.row_number().over(wr) + F.col("_wl_off")))
+    b = add_order_buckets(df, key, by=by, n_buckets=n_buckets)
+    if _one_bucket(b):
+        return df.withColumns(exprs(Window.partitionBy(*by).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)))
+    per = stage(_offsets(b, by, {"n": F.count(F.lit(1))}), "offsets")
+    ranked = _join_offsets(b, per, by).withColumn(
+        "_wl_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(F.col(KEY).asc_nulls_last())) + F.col("_wl_off_n")).drop("_wl_off_n")
     # halo: the window - 1 rows before each bucket's first row, relabelled to that bucket
-    halo_pos = per.filter(F.col("_wl_off") > 0).select(
-        *by, F.col(BUCKET).alias("_wl_target"),
-        F.explode(F.sequence(F.greatest(F.col("_wl_off") - (window - 2), F.lit(1)), F.col("_wl_off"))).alias("_wl_rn"))
-    halo = (ranked.drop(BUCKET).join(halo_pos, [*by, "_wl_rn"], "inner")
+    halo_pos = per.filter(F.col("_wl_off_n") > 0).select(
+        *[F.col(c).alias(f"_wl_j_{c}") for c in by], F.col(BUCKET).alias("_wl_target"),
+        F.explode(F.sequence(F.greatest(F.col("_wl_off_n") - (window - 2), F.lit(1)), F.col("_wl_off_n"))).alias("_wl_at"))
+    on = F.col("_wl_rn") == F.col("_wl_at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_wl_j_{c}"))
+    halo = (ranked.drop(BUCKET).join(halo_pos, on, "inner").drop("_wl_at", *[f"_wl_j_{c}" for c in by])
             .withColumnRenamed("_wl_target", BUCKET).withColumn("_wl_halo", F.lit(True)))
-    own = ranked.withColumn("_wl_halo", F.lit(False))
-    both = own.unionByName(halo)
+    both = ranked.withColumn("_wl_halo", F.lit(False)).unionByName(halo)
     wb = Window.partitionBy(*by, BUCKET).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
-    hot_out = (both.withColumns(exprs(wb)).filter(~F.col("_wl_halo"))
-               .drop(BUCKET, "_wl_n", "_wl_off", "_wl_rn", "_wl_halo"))
-    return normal.unionByName(hot_out)
+    return both.withColumns(exprs(wb)).filter(~F.col("_wl_halo")).drop(BUCKET, KEY, "_wl_rn", "_wl_halo")

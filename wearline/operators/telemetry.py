@@ -12,52 +12,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
-from wearline.operators.rank import running_sums
+from wearline.operators.rank import running_sums, segmented_sum
 
 MACHINE, TS, TICK = "machine_id", "ts", "tick_id"
 
 
-def _running(order_cols: list[str], part: list[str]) -> Window:
-    return (Window.partitionBy(*part).orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _time_key(df: DataFrame, ts: str) -> DataFrame:
-    # event time as a double (epoch seconds, microseconds exact below 2^53) for range buckets
-    return df.withColumn("_wl_t", F.col(ts).cast("timestamp").cast("double"))
-
-
 def running_totals(df: DataFrame, machine: str = MACHINE, ts: str = TS, tick: str = TICK,
                    n_buckets: int | None = None) -> DataFrame:
     """Running production, scrap and downtime per machine in (ts, tick) order.
 
     Exact running sums through ``rank.running_sums``: a machine that holds a large share of
     all ticks is cut into time-range buckets with exact offsets, not sent to one task."""
-    t = _time_key(df, ts)
-    r = running_sums(t, "_wl_t", {"production_total": "production_inc", "scrap_total": "scrap_inc",
-                                  "downtime_total_s": "downtime_s"}, tie=tick, by=[machine], n_buckets=n_buckets)
+    r = running_sums(df, ts, {"production_total": "production_inc", "scrap_total": "scrap_inc",
+                              "downtime_total_s": "downtime_s"}, tie=tick, by=[machine], n_buckets=n_buckets)
     return r.withColumns({"production_total": F.col("production_total").cast("bigint"),
-                          "scrap_total": F.col("scrap_total").cast("bigint")}).drop("_wl_t")
+                          "scrap_total": F.col("scrap_total").cast("bigint")})
 
 
 def wear_with_reset(df: DataFrame, machine: str = MACHINE, ts: str = TS, tick: str = TICK,
                     n_buckets: int | None = None) -> DataFrame:
-    """Wear accumulates ``wear_inc`` per tick and is 0 at a tool change; the tick
-    after a change starts again from its own increment.
-
-    reset group = running count of tool changes; wear = running sum of increments of the
-    non-change ticks inside (machine, group). Both are exact bucketed running sums, so
-    neither a hot machine nor a long stretch without tool change lands in one task.
-    """
-    t = _time_key(df, ts).withColumns({
-        "_wl_chg": F.col("tool_change").cast("int"),
-        "_wl_inc": F.when(F.col("tool_change"), F.lit(0.0)).otherwise(F.col("wear_inc"))})
-    n_rows = None if n_buckets else t.count()  # both passes see the same rows: count once
-    g = running_sums(t, "_wl_t", {"_wl_grp": "_wl_chg"}, tie=tick, by=[machine], n_buckets=n_buckets,
-                     n_rows=n_rows)
-    w = running_sums(g, "_wl_t", {"tool_wear_min": "_wl_inc"}, tie=tick, by=[machine, "_wl_grp"],
-                     n_buckets=n_buckets, n_rows=n_rows)
-    return w.drop("_wl_t", "_wl_chg", "_wl_inc", "_wl_grp")
+    """Wear accumulates ``wear_inc`` per tick (NULL counts 0) and is 0 at a tool change; the tick
+    after a change starts again from its own increment. One segmented sum (``rank.segmented_sum``), so
+    neither a hot machine nor a long stretch without tool change lands in one task."""
+    return segmented_sum(df, ts, "wear_inc", "tool_change", "tool_wear_min", tie=tick, by=[machine], n_buckets=n_buckets)
 
 
 def recent_n(df: DataFrame, n: int = C.RECENT_READINGS, machine: str = MACHINE, ts: str = TS,

@@ -203,7 +203,7 @@ wcells AS (
 )"""
 
 
-@register("drift_by_window", ids="R5 A13 A14 W1", oracle=with_(READINGS, SIDES_SQL, psi_sql(), WINDOW_SQL) + """
+@register("drift_by_window", ids="A13 A14 W1", oracle=with_(READINGS, SIDES_SQL, psi_sql(), WINDOW_SQL) + """
 SELECT window_start, feature,
        round(sum((greatest(cur_share, 1e-4::DOUBLE) - greatest(ref_share, 1e-4::DOUBLE))
                  * ln(greatest(cur_share, 1e-4::DOUBLE) / greatest(ref_share, 1e-4::DOUBLE))), 4) AS psi
@@ -212,8 +212,8 @@ def q_drift_by_window(spark, sf_dir):
     from wearline.streaming.jobs import psi_per_window, windowed_bin_counts
     ref, cur = sides(spark, sf_dir)
     edges, shares = drift.reference_histogram(ref, NUMERIC)
-    counts = windowed_bin_counts(cur, edges, NUMERIC, window="1 day")  # the streaming job's step, run in batch
-    out = psi_per_window(counts, shares)
+    counts = windowed_bin_counts(cur, edges, window="1 day")  # the streaming job's step, run in batch
+    out = psi_per_window(counts, edges, shares)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "feature",
                       F.round("psi", 4).alias("psi"))
 

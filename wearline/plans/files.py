@@ -64,8 +64,8 @@ def q_truth_join(spark, sf_dir):
     test = rul.truncate_units(cycles(spark, sf_dir), KEEP)
     last = rul.last_cycle_rows(test)
     path = _scratch(spark, "truth-txt")
-    # the truth file is positional: one line per unit in unit order, in one file
-    last.orderBy("unit_number").select(F.col("true_rul").cast("string")).coalesce(1).write.text(path)
+    # the truth is positional: one line per unit in unit order, part files in range order
+    last.orderBy("unit_number").select(F.col("true_rul").cast("string")).write.text(path)
     truth = files.read_truth(spark, path)
     j = rul.join_truth_by_position(last.select("unit_number", "time_cycles"), truth)
     return j.select("unit_number", "time_cycles", "rul")

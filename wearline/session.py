@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,13 +21,21 @@ DEFAULT_CONF = {
 
 
 def get_spark(app: str = "wearline", cpus: int | str = "*", shuffle_partitions: int | None = None,
-              extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on, UTC time and the UI off."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+              extra: dict | None = None, master: str | None = None) -> SparkSession:
+    """Build (or reuse) a session with AQE on, UTC time and the UI off.
+
+    ``master`` names the cluster; without it, and where the submit environment names none, the
+    session is local on ``cpus`` threads."""
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (8 if cpus == "*" else cpus))
-    conf.setdefault("spark.driver.memory", os.environ.get("WEARLINE_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
+    builder = SparkSession.builder.appName(app)
+    if master or "spark.master" not in {k for k, _ in SparkConf().getAll()}:
+        builder = builder.master(master or f"local[{cpus}]")
+        if not master:
+            conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions or (8 if cpus == "*" else cpus)))
+            conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -37,19 +47,37 @@ def get_spark(app: str = "wearline", cpus: int | str = "*", shuffle_partitions:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only when
-    it is unset (tests, local runs) a fresh scratch folder is created.
+    On a cluster the setting names a shared folder and must be set. Only a local session
+    (tests, single machine) gets a fresh scratch folder when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
     path = tempfile.mkdtemp(prefix="wearline-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one computation, cut lineage, files that
+    survive a lost executor."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wearline-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its own file system (the default one for a path without scheme)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scale_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16,
                target_partition_mb: int = 256) -> dict:
     """Configuration sized for the input volume (e.g. 100 TB on a 1000-executor cluster).

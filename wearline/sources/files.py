@@ -3,12 +3,12 @@ S4 JSON documents, S5 artifact bundles, S6 result sink."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
+from wearline.session import path_exists
+
 # Snapshot CSV header -> our column names (header text as it appears in the file)
 SNAPSHOT_COLUMNS = {
     "UDI": ("udi", LongType()),
@@ -58,11 +58,15 @@ def read_cycles_text(spark: SparkSession, path: str) -> DataFrame:
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """S3: one number per line; line n (1-based) belongs to the n-th unit in unit order.
 
-    The line number is made at read time with ``zipWithIndex`` (consecutive, unlike
-    ``monotonically_increasing_id``); the truth file has one line per unit."""
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    indexed = lines.rdd.zipWithIndex().map(lambda r: (int(r[1]) + 1, int(float(r[0][0].strip()))))
-    return spark.createDataFrame(indexed, "unit_ordinal long, rul int")
+    Each file is read as one text and its lines are numbered in it; files follow each other by name, as
+    Spark writes the parts of a sorted frame. Offsets of files come from their line counts (a row a file)."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_f"), "value")
+    lines = text.select("_f", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("_i", "_v"))
+    counts = lines.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1))  # over files
+    offsets = counts.select(F.col("_f").alias("_g"), F.coalesce(before, F.lit(0)).alias("_o"))
+    return lines.join(offsets, F.col("_f") == F.col("_g")).select(
+        (F.col("_o") + F.col("_i") + 1).cast("long").alias("unit_ordinal"), F.trim("_v").cast("double").cast("int").alias("rul"))
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -77,7 +81,7 @@ def load_bundle(spark: SparkSession, paths: dict[str, str], schemas: dict[str, S
     out = {}
     for name, schema in schemas.items():
         p = paths.get(name)
-        if p and (os.path.exists(p) or "://" in p):
+        if p and path_exists(spark, p):
             out[name] = read_json_documents(spark, p, schema)
         elif name in required:
             raise FileNotFoundError(f"required artifact {name!r} missing at {p}")

@@ -14,6 +14,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType,
 
 from wearline.functions import constants as C
 from wearline.functions.columns import heuristic_rul, risk_band
+from wearline.operators.drift import bin_counts
 from wearline.operators.features import add_derived_features
 from wearline.operators.telemetry import oee_columns
 
@@ -59,44 +60,48 @@ WEAR_OUT = StructType([
     StructField("tool_change", BooleanType()), StructField("tool_wear_min", DoubleType()),
 ])
 WEAR_STATE = StructType([
-    StructField("wear", DoubleType()), StructField("last_ts", TimestampType()),
-    StructField("last_tick", LongType()), StructField("late_dropped", LongType()),
+    StructField("wear", DoubleType()),
+    StructField("ticks", ArrayType(LongType())), StructField("micros", ArrayType(LongType())),
+    StructField("changes", ArrayType(BooleanType())), StructField("incs", ArrayType(DoubleType())),
 ])
 
 
 def _wear_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "tick_id"], kind="mergesort")
+    """Ticks wait in the state until the watermark has passed them, then they are taken in (ts, tick) order:
+    whatever is late within the watermark is in its place. NULL increments count 0."""
+    wear, held = 0.0, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, float)]
     if state.exists:
-        wear0, last_ts, last_tick, late = state.get
-        last_ts = pd.Timestamp(last_ts)
-        fresh = (pdf["ts"] > last_ts) | ((pdf["ts"] == last_ts) & (pdf["tick_id"] > last_tick))
-        late += int((~fresh).sum())
-        pdf = pdf[fresh]
-    else:
-        wear0, late = 0.0, 0
-    if pdf.empty:
-        if state.exists:
-            state.update((wear0, last_ts.to_pydatetime(), int(last_tick), int(late)))
-        return
-    change = pdf["tool_change"].to_numpy(dtype=bool)
-    inc = np.where(change, 0.0, pdf["wear_inc"].to_numpy(dtype=float))
-    grp = np.cumsum(change)
-    wear = pd.Series(inc).groupby(grp).cumsum().to_numpy()
-    wear = np.where(grp == 0, wear + wear0, wear)  # the open segment continues from the state
-    out = pd.DataFrame({"machine_id": key[0], "tick_id": pdf["tick_id"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-                        "tool_change": change, "tool_wear_min": wear})
-    last = pdf.iloc[-1]
-    state.update((float(wear[-1]), pd.Timestamp(last["ts"]).to_pydatetime(), int(last["tick_id"]), int(late)))
-    yield out
+        wear, *lists = state.get
+        held = [np.array(x, d) for x, d in zip(lists, (np.int64, np.int64, bool, float))]
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            new = [pdf["tick_id"].to_numpy(np.int64), pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(),
+                   pdf["tool_change"].fillna(False).to_numpy(bool), pdf["wear_inc"].fillna(0.0).to_numpy(float)]
+            held = [np.concatenate(x) for x in zip(held, new)]
+    mark = state.getCurrentWatermarkMs() * 1000
+    order = np.lexsort((held[0], held[1]))
+    held = [x[order] for x in held]
+    n = int(np.searchsorted(held[1], mark, side="right"))
+    if n:
+        out = np.empty(n)
+        for i in range(n):
+            wear = 0.0 if held[2][i] else wear + held[3][i]
+            out[i] = wear
+        yield pd.DataFrame({"machine_id": key[0], "tick_id": held[0][:n], "ts": held[1][:n].astype("datetime64[us]"),
+                            "tool_change": held[2][:n], "tool_wear_min": out})
+    rest = [x[n:] for x in held]
+    state.update((float(wear), *[x.tolist() for x in rest]))
+    if len(rest[1]):  # come back when the watermark has passed the first that waits
+        state.setTimeoutTimestamp(max(int(rest[1][0] // 1000) - 1, state.getCurrentWatermarkMs() + 1))
 
 
 def wear_tracking(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Wear per machine that accumulates and resets on a tool change; equals batch W9
-    when each machine's ticks arrive in time order. Ticks older than the machine's last
-    processed tick are dropped and counted in the state."""
+    """Wear per machine that accumulates and resets on a tool change; equals batch W9 on all ticks that
+    are not later than the watermark. A tick is emitted when the watermark has passed it; a machine's state
+    is its wear and the ticks of one watermark delay."""
     s = stream.withWatermark("ts", watermark).select("machine_id", "tick_id", "ts", "tool_change", "wear_inc")
     return s.groupBy("machine_id").applyInPandasWithState(
-        _wear_state_fn, WEAR_OUT, WEAR_STATE, "append", GroupStateTimeout.NoTimeout)
+        _wear_state_fn, WEAR_OUT, WEAR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- R4 last-N readings (keyed state holding at most N rows) ----------------------------------------
@@ -140,47 +145,44 @@ def recent_readings(stream: DataFrame, n: int = C.RECENT_READINGS) -> DataFrame:
 # --- R5 windowed drift against a frozen reference ------------------------------------------------
 
 
-def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str], window: str = "1 day",
+def windowed_bin_counts(stream: DataFrame, edges: dict[str, list[float]], window: str = "1 day",
                         watermark: str = "1 hour") -> DataFrame:
-    """R5 step 1: counts per (window, feature, bin) with the reference's breakpoints
-    (``edges``: feature, interior array — a static one-row-per-feature table)."""
+    """R5 step 1: one row per window with the counts of every bin of every feature (breakpoints of the
+    frozen reference as literals). The row is the window's whole state, so an update of a window
+    carries all its bins, also those that did not change."""
     src = stream.withWatermark("ts", watermark) if stream.isStreaming else stream  # batch twin: no watermark
-    longf = src.select(
-        "ts", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                                 for f in features])))
-    j = longf.filter(F.col("value").isNotNull()).join(F.broadcast(edges), "feature", "inner")
-    binned = j.withColumn("bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
-    return (binned.groupBy(F.window("ts", window).alias("w"), "feature", "bin")
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def psi_per_window(counts: DataFrame, reference_shares: DataFrame) -> DataFrame:
-    """R5 step 2 (batch, e.g. inside ``foreachBatch``): PSI per (window, feature) against the
-    frozen reference shares (feature, bin, ref_share); empty bins count with epsilon."""
-    from pyspark.sql import Window
-    wf = Window.partitionBy("w", "feature")
-    cur = counts.withColumn("cur_total", F.sum("n").over(wf))
-    grid = cur.select("w", "feature", "cur_total").distinct().join(reference_shares, "feature", "inner")
-    cells = grid.join(cur.select("w", "feature", "bin", "n"), ["w", "feature", "bin"], "left").fillna(0, ["n"])
-    c = F.col("n") / F.greatest(F.col("cur_total"), F.lit(1)).cast("double")
-    c = F.when(c < C.PSI_EPS, F.lit(C.PSI_EPS)).otherwise(c)
-    r = F.when(F.col("ref_share") < C.PSI_EPS, F.lit(C.PSI_EPS)).otherwise(F.col("ref_share"))
-    return (cells.groupBy(F.col("w.start").alias("window_start"), "feature")
-            .agg(F.sum((c - r) * F.log(c / r)).alias("psi")))
-
-
-def start_drift_monitor(stream: DataFrame, edges: DataFrame, shares: DataFrame, features: list[str],
+    return src.groupBy(F.window("ts", window).alias("w")).agg(*bin_counts(edges, {"n": None}))
+
+
+def psi_per_window(counts: DataFrame, edges: dict[str, list[float]], shares: dict[str, list[float]]) -> DataFrame:
+    """R5 step 2 (batch, e.g. inside ``foreachBatch``): PSI per (window, feature) against the frozen
+    reference shares; empty bins count with epsilon, features without values in a window give no row."""
+    eps = C.PSI_EPS
+    rows = []
+    for f, interior in edges.items():
+        n = [F.col(f"n__{f}__{i}") for i in range(len(interior) + 1)]
+        total = sum(n[1:], n[0])
+        psi = F.lit(0.0)
+        for c, r in zip(n, shares[f]):
+            cur, ref = F.greatest(c / F.greatest(total, F.lit(1)).cast("double"), F.lit(eps)), F.lit(max(float(r), eps))
+            psi = psi + (cur - ref) * F.log(cur / ref)
+        rows.append(F.struct(F.lit(f).alias("feature"), total.alias("n"), psi.alias("psi")))
+    out = counts.select(F.col("w.start").alias("window_start"), F.inline(F.array(*rows)))
+    return out.filter(F.col("n") > 0).select("window_start", "feature", "psi")
+
+
+def start_drift_monitor(stream: DataFrame, edges: dict[str, list[float]], shares: dict[str, list[float]],
                         out_path: str, checkpoint: str, window: str = "1 day", watermark: str = "1 hour",
                         available_now: bool = True):
     """R5 end to end: windowed bin counts as a stateful stream (update mode); in each
     micro-batch (``foreachBatch``) the updated windows' PSI against the frozen reference
-    shares is appended to ``out_path`` with the batch id. The latest row per
-    (window_start, feature) is the current PSI of that window."""
-    counts = windowed_bin_counts(stream, edges, features, window, watermark)
+    shares is written to ``out_path`` under the batch id (a repeated batch replaces its own rows).
+    The latest row per (window_start, feature) is the current PSI of that window."""
+    counts = windowed_bin_counts(stream, edges, window, watermark)
 
     def per_batch(batch_df: DataFrame, batch_id: int) -> None:
-        psi = psi_per_window(batch_df, shares).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        psi.write.mode("append").parquet(out_path)
+        psi = psi_per_window(batch_df, edges, shares)
+        psi.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(per_batch)
     w = w.trigger(availableNow=True) if available_now else w
