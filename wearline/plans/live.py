@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
-from wearline.functions.columns import (energy_cost_per_hour, gauge_band, heuristic_rul, kelvin_to_celsius,
-                                        operator_name, risk_band, shift_id)
+from wearline.functions.columns import energy_cost_per_hour, gauge_band, kelvin_to_celsius, operator_name, shift_id
 from wearline.operators import telemetry
-from wearline.operators.features import add_derived_features
 from wearline.plans.registry import register
 from wearline.plans.views import TELEMETRY, with_
 from wearline.sources.adapters import telemetry as telemetry_view
@@ -17,13 +15,6 @@ FMT = "yyyy-MM-dd HH:mm:ss"
 DFMT = "%Y-%m-%d %H:%M:%S"
 
 
-def live_risk(df):
-    """Closed-form live score on the derived features (stand-in for the fitted model)."""
-    d = add_derived_features(df.withColumn("tool_wear_min", F.col("wear")))
-    x = F.col("torque_nm") * F.col("tool_wear_min") / 11000.0
-    return d.withColumn("risk", x / (1.0 + x))
-
-
 WEAR_SQL = """wearg AS (
     SELECT *, sum(CAST(tool_change AS INTEGER)) OVER (PARTITION BY machine_id ORDER BY ts, tick_id
                                                      ROWS UNBOUNDED PRECEDING) AS grp
@@ -50,20 +41,41 @@ def q_running_totals(spark, sf_dir):
                     F.round("downtime_total_s", 4).alias("downtime_total_s"))
 
 
-@register("wear_reset", ids="W9 R3", oracle=with_(TELEMETRY, WEAR_SQL) +
+@register("wear_reset", ids="W9", oracle=with_(TELEMETRY, WEAR_SQL) +
           "SELECT tick_id, machine_id, tool_change, round(wear, 4) AS tool_wear_min FROM wear")
 def q_wear_reset(spark, sf_dir):
     w = telemetry.wear_with_reset(telemetry_view(spark, sf_dir))
     return w.select("tick_id", "machine_id", "tool_change", F.round("tool_wear_min", 4).alias("tool_wear_min"))
 
 
-@register("recent_n", ids="W7 R4", oracle=with_(TELEMETRY) + f"""
+@register("recent_n", ids="W7", oracle=with_(TELEMETRY) + f"""
 SELECT machine_id, tick_id, CAST(row_number() OVER (PARTITION BY machine_id ORDER BY ts DESC, tick_id DESC) AS INTEGER) AS recency
 FROM telemetry QUALIFY recency <= {C.RECENT_READINGS}""")
 def q_recent_n(spark, sf_dir):
     return telemetry.recent_n(telemetry_view(spark, sf_dir)).select("machine_id", "tick_id", "recency")
 
 
+@register("recent_events", ids="W7", oracle=with_(TELEMETRY) + f"""
+SELECT machine_id, tick_id, machine_type AS event,
+       CAST(row_number() OVER (PARTITION BY machine_id ORDER BY ts DESC, tick_id DESC) AS INTEGER) AS recency
+FROM telemetry WHERE tool_change OR scrap_inc > 0 QUALIFY recency <= {C.RECENT_EVENTS}""")
+def q_recent_events(spark, sf_dir):
+    """The last events (scrap, tool change) of each machine."""
+    events = telemetry_view(spark, sf_dir).filter("tool_change or scrap_inc > 0")
+    return telemetry.recent_n(events, C.RECENT_EVENTS).select("machine_id", "tick_id", F.col("machine_type").alias("event"), "recency")
+
+
+@register("chart_points", ids="W7", oracle=with_(TELEMETRY) + f"""
+SELECT machine_id, tick_id, CAST(row_number() OVER (PARTITION BY machine_id ORDER BY ts, tick_id) AS INTEGER) AS position, torque_nm
+FROM (SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY ts DESC, tick_id DESC) <= {C.CHART_POINTS})""")
+def q_chart_points(spark, sf_dir):
+    """The chart's sliding window: each machine's last points, oldest first."""
+    from pyspark.sql import Window
+    last = telemetry.recent_n(telemetry_view(spark, sf_dir), C.CHART_POINTS)
+    position = F.row_number().over(Window.partitionBy("machine_id").orderBy(F.col("recency").desc()))
+    return last.select("machine_id", "tick_id", position.cast("int").alias("position"), "torque_nm")
+
+
 OEE_SQL = """og AS (
     SELECT machine_id, time_bucket(INTERVAL '1 hour', ts) AS window_start,
            CAST(sum(production_inc) AS BIGINT) AS production, CAST(sum(scrap_inc) AS BIGINT) AS scrap,
@@ -78,7 +90,7 @@ o2 AS (
 )"""
 
 
-@register("oee", ids="A24 R2 F10", oracle=with_(TELEMETRY, OEE_SQL) + f"""
+@register("oee", ids="A24 F10", oracle=with_(TELEMETRY, OEE_SQL) + f"""
 SELECT machine_id, strftime(window_start, '{DFMT}') AS window_start, production, scrap, round(downtime_s, 4) AS downtime_s,
        round(a * 100, 2) AS availability, round(p * 100, 2) AS performance, round(q * 100, 2) AS quality,
        round(a * p * q * 100, 2) AS oee
@@ -95,7 +107,7 @@ live AS (
 )"""
 
 
-@register("risk_band", ids="R1 P11 P15 P2 M14", oracle=with_(TELEMETRY, LIVE_SQL) + f"""
+@register("risk_band", ids="P11 P15 P2", oracle=with_(TELEMETRY, LIVE_SQL) + f"""
 SELECT tick_id, round(x / (1.0 + x), 4) AS risk_score,
        CASE WHEN x / (1.0 + x) * 100.0 < 30.0 THEN 'LOW' WHEN x / (1.0 + x) * 100.0 < 60.0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_band,
        CAST(greatest(1, round_even({float(C.MAX_RUL_HOURS)!r}::DOUBLE * (1.0 - x / (1.0 + x)), 0)) AS BIGINT) AS rul_hours,
@@ -104,10 +116,9 @@ SELECT tick_id, round(x / (1.0 + x), 4) AS risk_score,
            AS pressure_band
 FROM live""")
 def q_risk_band(spark, sf_dir):
-    w = telemetry.wear_with_reset(telemetry_view(spark, sf_dir)).withColumnRenamed("tool_wear_min", "wear")
-    r = live_risk(w)
-    return r.select("tick_id", F.round("risk", 4).alias("risk_score"), risk_band("risk").alias("risk_band"),
-                    heuristic_rul("risk").alias("rul_hours"),
+    from wearline.streaming.jobs import live_scoring
+    r = live_scoring(telemetry.wear_with_reset(telemetry_view(spark, sf_dir)))
+    return r.select("tick_id", F.round("risk", 4).alias("risk_score"), "risk_band", "rul_hours",
                     gauge_band("spindle_load", C.SPINDLE_BANDS, "success").alias("spindle_band"),
                     gauge_band("hydraulic_pressure", C.PRESSURE_BANDS, "primary").alias("pressure_band"))
 
