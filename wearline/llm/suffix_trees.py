@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from wearline.llm.chunks import ask, answer, bucket_count, bucket_edges, covered, pack, packed_answers, sliding_min, small, told, unpack
 from wearline.llm.common import Words, arrow_map, mix
 
-WINDOW, PREFIX, HEAVY = 20, 8, 4096
+WINDOW, PREFIX, HEAVY = 20, 8, 64
 _PLACE = np.uint64((1 << 28) - 1)
 _ODD = np.random.default_rng(21).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
