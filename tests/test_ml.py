@@ -65,7 +65,7 @@ def test_sampled_shapley_sums_to_score_gap(spark):
     model, scored, _ = W.fit_score("boosting", train, test, ENH, CATEGORICAL_FEATURES, weight=None, maxIter=5)
     top = scored.orderBy(F.col("score").desc(), "product_id").limit(3).select("product_id", *CATEGORICAL_FEATURES, *ENH)
     bg = background_sample(train.select("product_id", *CATEGORICAL_FEATURES, *ENH), 50)
-    sh = sampled_shapley(model, top, bg, ENH, samples=16, keep=CATEGORICAL_FEATURES)
+    sh = sampled_shapley(model, top, bg, ENH + CATEGORICAL_FEATURES, samples=16)
     per = sh.groupBy("product_id").agg(F.sum("contribution").alias("s"), F.first("base_value").alias("b"),
                                        F.first("predicted_probability").alias("p")).collect()
     assert len(per) == 3

@@ -65,3 +65,14 @@ def test_ranking_metrics_single_collapse(spark):
     from wearline.operators.metrics import ranking_metrics
     p = plan(ranking_metrics(readings(spark, SF01), n_rows=10), "simple")
     assert p.count("HashAggregate(keys=[risk") >= 1 and "Window" in p
+
+
+def scans(df) -> int:
+    return plan(df, "simple").count("FileScan")
+
+
+def test_few_scans_on_the_bucketed_path(spark, monkeypatch):
+    from wearline.operators import rank
+    monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 1000)
+    for name in ("drift_report", "wear_reset", "running_totals"):
+        assert scans(QUERIES[name](spark, SF01)) <= 4, name

@@ -4,9 +4,10 @@ dataset fingerprint (A27)."""
 
 from __future__ import annotations
 
+import platform
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
@@ -65,7 +66,7 @@ def benchmark(train: DataFrame, test: DataFrame, numeric: list[str], categorical
 
 def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str],
                     flag_cols: dict[str, str] | None = None, id_col: str = "product_id",
-                    min_positives: int = C.MIN_MODE_POSITIVES, fraction: float = C.PRIMARY_REVIEW_FRACTION) -> DataFrame:
+                    min_positives: int = C.MIN_MODE_POSITIVES, fraction: float = C.PRIMARY_REVIEW_FRACTION, **params) -> DataFrame:
     """One weighted boosting model per failure mode (modes with < 5 training positives
     are skipped); metrics and capture at the 10 % budget in one grouped pass over the union."""
     flag_cols = flag_cols or {c: c.lower() for c in C.FAILURE_CODES}
@@ -76,7 +77,7 @@ def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categ
             continue
         weighted = features.class_weights(train.drop("weight"), col, mode="ratio")
         _, scored, _ = fit_score("boosting", weighted, test, numeric, categorical, label=col, weight="weight",
-                                 maxDepth=4, minInstancesPerNode=5)
+                                 maxDepth=4, minInstancesPerNode=5, **params)
         parts.append(scored.select(id_col, F.col(col).alias("y"), "score", F.lit(code).alias("failure_code"),
                                    F.lit(int(pos[code])).cast("bigint").alias("train_failures")))
     if not parts:
@@ -87,8 +88,8 @@ def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categ
     rm = metrics.binary_metrics_from_confusion(metrics.ranking_metrics(allp, "y", "score", by=["failure_code"]))
     # capture at the budget: exact per-mode rank by score (bucketed), n = max(1, ceil(N f))
     ranked = global_row_number(allp, "score", descending=True, tie=id_col, by=["failure_code"], out="_r")
-    n = F.count(F.lit(1)).over(Window.partitionBy("failure_code"))
-    cap = (ranked.withColumn("_n", F.greatest(F.lit(1), F.ceil(n * F.lit(float(fraction)))))
+    sizes = allp.groupBy("failure_code").agg(F.count(F.lit(1)).alias("_rows"))  # a row per mode
+    cap = (ranked.join(sizes, "failure_code").withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.lit(float(fraction)))))
            .groupBy("failure_code").agg(
                F.first("train_failures").alias("train_failures"),
                F.sum("y").cast("bigint").alias("holdout_failures"),
@@ -135,10 +136,20 @@ def feature_delta(train: DataFrame, test: DataFrame, raw: list[str], enhanced: l
                          for c in ("roc_auc", "pr_auc", "f1")], *wide.columns)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free dataset hash (sum of per-row xxhash64 as a decimal,
-    hashed with SHA-256). Unlike the reference's, it does not depend on row order."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
-    agg = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("_h"))
-    return agg.select("rows", F.sha2(F.col("_h").cast("string"), 256).alias("sha256"),
-                      F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("computed_at_utc"))
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Row count and an order-free dataset hash: SHA-256 of the sum, over all rows, of the first 60
+    bits of the MD5 of the row's text (numbers as decimals of six places), which any engine can repeat."""
+    columns = columns or df.columns
+    text = [F.coalesce((F.col(c).cast("decimal(30,6)") if df.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint")
+                        else F.col(c)).cast("string"), F.lit("")) for c in columns]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("decimal(38,0)")
+    agg = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("_h"))
+    return agg.select("rows", F.sha2(F.col("_h").cast("string"), 256).alias("sha256"))
+
+
+def model_card(df: DataFrame, columns: list[str], dataset: str, seed: int = C.RANDOM_SEED) -> DataFrame:
+    """The fingerprint with dataset name, seed, library versions and time of the run."""
+    return fingerprint(df, columns).select(
+        F.lit(dataset).alias("dataset"), "rows", "sha256", F.lit(seed).alias("seed"),
+        F.lit(df.sparkSession.version).alias("spark_version"), F.lit(platform.python_version()).alias("python_version"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("computed_at_utc"))

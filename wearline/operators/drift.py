@@ -3,8 +3,7 @@ A15 categorical PSI, A16 drift report, U4 exact-n bootstrap sample, P10 verdicts
 
 The breakpoints are fixed first (one grouped exact quantile; features x 11 numbers come to the
 driver, a bound that does not depend on the data) and stand in the next plan as literals: one
-partial-and-final aggregate over both sides then counts every bin of every feature, with no
-unpivoting, no join and no shuffle of rows. NaN counts as NULL.
+partial-and-final aggregate over both sides then counts every bin of every feature. NaN counts as NULL.
 """
 
 from __future__ import annotations
@@ -52,12 +51,15 @@ def bin_counts(bp: dict[str, list[float]], when: dict[str, Column | None]) -> li
     return out
 
 
-def cells_of(bp: dict[str, list[float]], names: list[str], columns: list[str]) -> Column:
-    """The wide counts as an array of (feature, bin, one column per name)."""
-    rows = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("bin"),
-                     *[F.col(f"{n}__{f}__{i}").cast("long").alias(c) for n, c in zip(names, columns)])
-            for f, interior in bp.items() for i in range(len(interior) + 1)]
-    return F.array(*rows)
+def bin_of(x: Column, interior: list[float]) -> Column:
+    """The bin [a, b) of a value as comparisons with literals, halving the breakpoints; NULL and NaN have none."""
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(float(interior[mid])), below(lo, mid)).otherwise(below(mid + 1, hi))
+
+    return F.when(x.isNotNull() & ~F.isnan(x), below(0, len(interior)))
 
 
 def _psi_term() -> F.Column:
@@ -97,9 +99,12 @@ def _numeric_cells(reference: DataFrame, current: DataFrame, features: list[str]
     bp = breakpoints(reference, features, buckets, n_buckets)
     if not bp:
         return None
-    sides = {"r": F.col("_side") == REF, "c": F.col("_side") == CUR}
-    wide = _both(reference, current, list(bp)).agg(*bin_counts(bp, sides))  # one row
-    cells = wide.select(F.inline(cells_of(bp, ["r", "c"], ["ref_n", "cur_n"])))
+    places = [F.struct(F.lit(f).alias("feature"), bin_of(F.col(f).cast("double"), interior).alias("bin")) for f, interior in bp.items()]
+    binned = _both(reference, current, list(bp)).select("_side", F.inline(F.array(*places))).filter(F.col("bin").isNotNull())
+    counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("_side") == REF).alias("ref_n"), F.count_if(F.col("_side") == CUR).alias("cur_n"))
+    grid = reference.sparkSession.createDataFrame(  # features x bins: empty ones count too
+        [(f, i) for f, interior in bp.items() for i in range(len(interior) + 1)], "feature string, bin int")
+    cells = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["ref_n", "cur_n"])
     wf = Window.partitionBy("feature")  # over the small cell table
     return cells.withColumns({"ref_total": F.sum("ref_n").over(wf), "cur_total": F.sum("cur_n").over(wf)})
 

@@ -10,10 +10,11 @@ telemetry (live feed: production, scrap, downtime, tool changes) from ``events``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
+from wearline.operators.rank import global_row_number
 from wearline.sources.tables import table
 
 NUMERIC_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
@@ -69,14 +70,15 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cycles_from_events(events: DataFrame) -> DataFrame:
     """Run-to-failure table: unit = user_id, cycle = order of (ts, event_id) in the unit.
 
-    The unit column is named before the window, so every later per-unit window
-    (rolling features, RUL label, last cycle) reuses this one exchange.
+    Cycles are numbered by ``rank.global_row_number``, so a unit that holds a third of all events is
+    spread over many buckets; inputs of one bucket take a plain window on the unit, whose
+    exchange every later per-unit window reuses.
     """
     base = events.select(F.col("user_id").alias("unit_number"), "ts", "event_id", "value", "props")
-    w = Window.partitionBy("unit_number").orderBy("ts", "event_id")
+    base = global_row_number(base, "ts", tie="event_id", by=["unit_number"], out="time_cycles")
     return base.select(
         "unit_number",
-        F.row_number().over(w).cast("int").alias("time_cycles"),
+        F.col("time_cycles").cast("int").alias("time_cycles"),
         F.col("value").alias("sensor_1"),
         _k().cast("double").alias("sensor_2"),
         F.hour("ts").cast("double").alias("sensor_3"),
