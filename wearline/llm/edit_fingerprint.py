@@ -189,7 +189,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own = F.struct(F.col("slot").alias("slot"), F.lit(False).alias("halo"))
     out = marked.withColumn("_to", F.explode(F.when(is_first, F.array(own, F.struct(F.col("before").alias("slot"), F.lit(True).alias("halo")))).otherwise(F.array(own))))
     out = out.select("doc_id", "th", "text", "_to.slot", "_to.halo")
-    return out.repartition(parts, "slot").sortWithinPartitions("slot", "halo", F.col("doc_id").isNull(), "doc_id", "th")
+    return out.repartitionById(parts, F.pmod(F.col("slot"), F.lit(parts)).cast("int")).sortWithinPartitions("slot", "halo", F.col("doc_id").isNull(), "doc_id", "th")
 
 
 def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import edit_fingerprint, hmm, lattice, minhash, mixing, prefix_free, privacy, quality, suffix_trees
+from wearline.llm import edit_fingerprint, hmm, lattice, minhash, mixing, oracles, prefix_free, privacy, quality, suffix_trees
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -69,3 +69,6 @@ def op6_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_classes(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE |= {"op2_lattice_neighbours": oracles.OP2, "op4_circulant_minhash": oracles.OP4, "op6_prefix_free_parse": oracles.OP6, "op8_prefix_suffix_trees": oracles.OP8}
