@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
-One pass over the texts gives each document ``D`` transformed statistics. The class means and
-covariances come from one aggregate of first and second moments over all labelled training
+One pass over the texts gives each document ``D`` transformed statistics. Statistics of a short text say
+little, so each is drawn towards the training rows' mean by the weight words / (words + ``FULL``). The class
+means and covariances come from one aggregate of first and second moments over all labelled training
 rows (no sample). Each covariance is shrunk towards the pooled one and towards a multiple of
 the identity; its Cholesky factor is computed once and travels with the scoring function, which
 needs only a triangular solve for each block of rows.
@@ -28,6 +29,7 @@ STATISTICS = ("bytes", "words", "word_length", "longest_word", "upper", "digits"
               "line_ends", "beyond_ascii", "distinct_words", "distinct_pairs", "same_next", "top_word", "deflated",
               "entropy", "distinct_lines", "capitals")
 D = len(STATISTICS)
+FULL = 40.0
 #: bytes counted together, in the order of their statistics
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"-()?", b"#$%&*+/<=>@[\\]^_`{}~", b"!", b"|", b"\n\r"]
 
@@ -69,12 +71,20 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return arrow_map(rows, of, f"doc_id {kind}, text_hash bigint, x array<double>")
 
 
-def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class 0 and 1: count, mean and covariance of ``x``; one partial-and-final aggregate whose
-    result is two rows of fixed width."""
-    at = [F.col("x")[i] for i in range(D)]
+def weights(x: np.ndarray) -> np.ndarray:
+    """How much the statistics of each row count, by its number of words."""
+    words = np.expm1(x[:, 1:2])
+    return words / (words + FULL)
+
+
+def moments(rows: DataFrame, center: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Per class 0 and 1: count, mean and covariance of the statistics drawn towards ``center``; one
+    partial-and-final aggregate whose result is two rows of fixed width."""
+    weight = F.expm1(F.col("x")[1]) / (F.expm1(F.col("x")[1]) + FULL)
+    drawn = [(F.lit(float(center[i])) + (F.col("x")[i] - F.lit(float(center[i]))) * weight).alias(f"z{i}") for i in range(D)]
+    at = [F.col(f"z{i}") for i in range(D)]
     sums = [F.sum(at[i]) for i in range(D)] + [F.sum(at[i] * at[j]) for i in range(D) for j in range(i, D)]
-    got = rows.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()
+    got = rows.where("label in (0, 1)").select("label", *drawn).groupBy("label").agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()
     out = {}
     for r in got:
         s, n = np.array(r.s), r.n
@@ -88,7 +98,8 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 class Discriminant:
     """Two Gaussians with shrunken covariances; ``score`` is the posterior of class 1."""
 
-    def __init__(self, parts: dict, pooled: float = 0.15, ridge: float = 0.02):
+    def __init__(self, parts: dict, pooled: float = 0.15, ridge: float = 0.02, center: np.ndarray | None = None):
+        self.center = center
         self.only = None if len(parts) == 2 else (float(next(iter(parts))) if parts else 0.5)
         if self.only is not None:
             return
@@ -106,6 +117,8 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.only is not None:
             return np.full(len(x), self.only)
+        if self.center is not None:
+            x = self.center + (x - self.center) * weights(x)
         logs = [const - 0.5 * ((((x - mean) / self.scale) @ solve) ** 2).sum(1) for mean, solve, const in self.parts]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -114,7 +127,9 @@ def fit(features: DataFrame, labels: DataFrame, target: str = "quality", held_ou
     """Learn from every labelled row whose crc32(doc_id as text) mod ``folds`` is not ``held_out``."""
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(target).alias("label"))
     train = features.where(~fold_is("doc_id", held_out, folds)).join(known, "doc_id").select("x", "label")
-    return Discriminant(moments(train))
+    center = train.where("label in (0, 1)").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(D)])).first()[0]
+    center = np.array([v or 0.0 for v in center])  # of no rows: nulls
+    return Discriminant(moments(train, center), center=center)
 
 
 def fold_is(column: str, held_out: int, folds: int):
