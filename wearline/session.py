@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 
-from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -29,7 +29,7 @@ def get_spark(app: str = "wearline", cpus: int | str = "*", shuffle_partitions:
     conf = dict(DEFAULT_CONF)
     conf.update(extra or {})
     builder = SparkSession.builder.appName(app)
-    if master or "spark.master" not in {k for k, _ in SparkConf().getAll()}:
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:  # set where spark-submit started this program
         builder = builder.master(master or f"local[{cpus}]")
         if not master:
             conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions or (8 if cpus == "*" else cpus)))
