@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wearline.functions import constants as C
 from wearline.functions.columns import failure_label, round4, safe_div0
 from wearline.ml import estimators as P
+from wearline.ml.parallel import side_by_side
 from wearline.ml.split import stratified_split
 from wearline.operators import features, metrics
 from wearline.operators.rank import global_row_number
@@ -71,15 +72,17 @@ def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categ
     are skipped); metrics and capture at the 10 % budget in one grouped pass over the union."""
     flag_cols = flag_cols or {c: c.lower() for c in C.FAILURE_CODES}
     pos = train.agg(*[F.sum(F.col(c)).cast("bigint").alias(code) for code, c in flag_cols.items()]).first()
-    parts = []
-    for code, col in flag_cols.items():
-        if (pos[code] or 0) < min_positives:
-            continue
+
+    def one(mode):
+        code, col = mode
         weighted = features.class_weights(train.drop("weight"), col, mode="ratio")
         _, scored, _ = fit_score("boosting", weighted, test, numeric, categorical, label=col, weight="weight",
                                  maxDepth=4, minInstancesPerNode=5, **params)
-        parts.append(scored.select(id_col, F.col(col).alias("y"), "score", F.lit(code).alias("failure_code"),
-                                   F.lit(int(pos[code])).cast("bigint").alias("train_failures")))
+        return scored.select(id_col, F.col(col).alias("y"), "score", F.lit(code).alias("failure_code"),
+                             F.lit(int(pos[code])).cast("bigint").alias("train_failures"))
+
+    modes = [(code, col) for code, col in flag_cols.items() if (pos[code] or 0) >= min_positives]
+    parts = side_by_side(train.sparkSession, one, modes)
     if not parts:
         return train.sparkSession.createDataFrame([], "failure_code string")
     allp = parts[0]
@@ -109,12 +112,13 @@ def robustness(df: DataFrame, numeric: list[str], categorical: list[str], seeds:
                label: str = "machine_failure", id_col: str = "product_id", **params):
     """M2: refit on independent stratified splits; the scored holdouts of all seeds are
     unioned (seed as a column) and evaluated in one grouped pass; A17 mean / population std."""
-    seeds = seeds or C.ROBUSTNESS_SEEDS
-    scored_all = None
-    for seed in seeds:
+    def one(seed):
         train, test = split_frames(df, label, seed)
         _, scored, _ = fit_score("boosting", train, test, numeric, categorical, label, None, **params)
-        part = scored.select(id_col, label, "score", F.lit(seed).alias("split_seed"))
+        return scored.select(id_col, label, "score", F.lit(seed).alias("split_seed"))
+
+    scored_all = None
+    for part in side_by_side(df.sparkSession, one, seeds or C.ROBUSTNESS_SEEDS):
         scored_all = part if scored_all is None else scored_all.unionByName(part)
     per = metrics.model_metrics(scored_all, label, "score", by=["split_seed"]).select("split_seed", "roc_auc",
                                                                                        "pr_auc", "f1")
@@ -124,11 +128,13 @@ def robustness(df: DataFrame, numeric: list[str], categorical: list[str], seeds:
 def feature_delta(train: DataFrame, test: DataFrame, raw: list[str], enhanced: list[str],
                   categorical: list[str], label: str = "machine_failure", **params) -> DataFrame:
     """Same parameters, raw vs enhanced features; delta = enhanced - raw."""
-    out = []
-    for name, cols in (("raw_features", raw), ("enhanced_features", enhanced)):
+    def one(named):
+        name, cols = named
         _, scored, _ = fit_score("boosting", train, test, cols, categorical, label, None, **params)
         m = metrics.model_metrics(scored, label, "score", by=[])
-        out.append(m.select(F.lit(name).alias("feature_set"), "roc_auc", "pr_auc", "f1"))
+        return m.select(F.lit(name).alias("feature_set"), "roc_auc", "pr_auc", "f1")
+
+    out = side_by_side(train.sparkSession, one, [("raw_features", raw), ("enhanced_features", enhanced)])
     both = out[0].unionByName(out[1])
     wide = both.agg(*[F.max(F.when(F.col("feature_set") == s, F.col(c))).alias(f"{s}_{c}")
                       for s in ("raw_features", "enhanced_features") for c in ("roc_auc", "pr_auc", "f1")])

@@ -17,24 +17,57 @@ from wearline.ml import estimators as P
 from wearline.ml import workflows as W
 from wearline.ml.evaluate import AveragePrecisionEvaluator
 from wearline.ml.importance import permutation_importance
-from wearline.ml.search import random_search
+from wearline.ml.search import best, random_search
 from wearline.ml.split import group_fold, group_folds, stratified_folds
 from wearline.operators import features, metrics, rul
 from wearline.plans.registry import register
 from wearline.plans.views import CYCLES, READINGS, with_
-from wearline.session import ensure_checkpoint_dir
+from wearline.session import ensure_checkpoint_dir, stage
 from wearline.sources.adapters import (CATEGORICAL_FEATURES, DERIVED_FEATURES, NUMERIC_FEATURES, SENSOR_COLUMNS,
                                        cycles, readings)
 
 ENHANCED = NUMERIC_FEATURES + DERIVED_FEATURES
-#: the registered queries that fit many models run fewer draws and rounds than the library's defaults
-#: (20 draws, 100 rounds), which stay the reference's; see README
-SEARCH_DRAWS = 3
-SHORT = {"maxIter": 20}
+#: the registered searches run fewer draws and rounds than the library's defaults (20 draws, 100 rounds),
+#: which stay the reference's; every other fit runs all rounds, see README
+SEARCH_DRAWS, SEARCH_ROUNDS = 3, 10
+_DONE: dict = {}
+
+
+def _once(spark, sf_dir, name, make):
+    """One search, split and final model per session and table folder, shared by the queries that need
+    them as in one study (a table rewritten in place needs a new session)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DONE:
+        _DONE[key] = make()
+    return _DONE[key]
 
 
 def _frames(spark, sf_dir):
-    return W.split_frames(features.add_derived_features(readings(spark, sf_dir)))
+    return _once(spark, sf_dir, "frames", lambda: W.split_frames(features.add_derived_features(readings(spark, sf_dir))))
+
+
+def _search(spark, sf_dir):
+    def make():
+        est = P.classifier("boosting", weight=None, maxIter=SEARCH_ROUNDS)
+        folded = stratified_folds(_frames(spark, sf_dir)[0])
+        return random_search(P.build(ENHANCED, CATEGORICAL_FEATURES, est), folded, AveragePrecisionEvaluator(), n_iter=SEARCH_DRAWS)
+    return _once(spark, sf_dir, "search", make)
+
+
+def _final(spark, sf_dir):
+    """The final model with the search's best parameters, and its scored holdout."""
+    def make():
+        train, test = _frames(spark, sf_dir)
+        return W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None, **best(_search(spark, sf_dir)))[:2]
+    return _once(spark, sf_dir, "final", make)
+
+
+def _draw_rows(spark, results, metric):
+    rows = [(i, str(p["max_depth"]), float(p["learning_rate"]), float(p["l2_regularization"]),
+             int(p["max_leaf_nodes"]), float(m)) for i, (p, m) in enumerate(results)]
+    df = spark.createDataFrame(rows, "draw int, max_depth string, learning_rate double, l2_regularization double, "
+                                     f"max_leaf_nodes int, {metric} double")
+    return df.withColumn(metric, round4(metric))
 
 
 @register("model_benchmark", ids="A26 M5 M6 M7 M8 M9 M11 M14 U3")
@@ -45,8 +78,7 @@ def q_model_benchmark(spark, sf_dir):
 
 @register("final_model_metrics", ids="M9 M14 A4 A5 A6 A7 P4 J8")
 def q_final_model_metrics(spark, sf_dir):
-    train, test = _frames(spark, sf_dir)
-    _, scored, _ = W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None)
+    _, scored = _final(spark, sf_dir)
     rm = metrics.binary_metrics_from_confusion(metrics.ranking_metrics(scored, "machine_failure", "score"))
     return rm.select("tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1",
                      round4("roc_auc").alias("roc_auc"), round4("average_precision").alias("pr_auc"))
@@ -54,28 +86,19 @@ def q_final_model_metrics(spark, sf_dir):
 
 @register("search", ids="M12 M3 A7")
 def q_search(spark, sf_dir):
-    train, _ = _frames(spark, sf_dir)
-    folded = stratified_folds(train)
-    est = P.classifier("boosting", weight=None, maxIter=10)
-    pipe = P.build(ENHANCED, CATEGORICAL_FEATURES, est)
-    _, results = random_search(pipe, est, folded, AveragePrecisionEvaluator(), n_iter=SEARCH_DRAWS)
-    rows = [(i, str(p["max_depth"]), float(p["learning_rate"]), float(p["l2_regularization"]),
-             int(p["max_leaf_nodes"]), float(m)) for i, (p, m) in enumerate(results)]
-    df = spark.createDataFrame(rows, "draw int, max_depth string, learning_rate double, l2_regularization double, "
-                                     "max_leaf_nodes int, cv_pr_auc double")
-    return df.withColumn("cv_pr_auc", round4("cv_pr_auc"))
+    return _draw_rows(spark, _search(spark, sf_dir), "cv_pr_auc")
 
 
 @register("per_mode_models", ids="M13 M11 A5 A6 A7 W5 P6")
 def q_per_mode_models(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
-    return W.per_mode_models(train, test, ENHANCED, CATEGORICAL_FEATURES, **SHORT)
+    return W.per_mode_models(train, test, ENHANCED, CATEGORICAL_FEATURES)
 
 
 @register("permutation_importance", ids="M15 A7 T4")
 def q_permutation_importance(spark, sf_dir):
-    train, test = _frames(spark, sf_dir)
-    model, _, _ = W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None, **SHORT)
+    _, test = _frames(spark, sf_dir)
+    model, _ = _final(spark, sf_dir)
     holdout = test.select("product_id", "machine_failure", *CATEGORICAL_FEATURES, *ENHANCED)
     imp = permutation_importance(model, holdout, CATEGORICAL_FEATURES + ENHANCED)
     return imp.select("feature", round4("importance").alias("importance")).orderBy(F.col("importance").desc(), "feature")
@@ -84,14 +107,14 @@ def q_permutation_importance(spark, sf_dir):
 @register("robustness", ids="M2 A17")
 def q_robustness(spark, sf_dir):
     df = features.add_derived_features(readings(spark, sf_dir))
-    per, summary = W.robustness(df, ENHANCED, CATEGORICAL_FEATURES, **SHORT)
+    per, summary = W.robustness(df, ENHANCED, CATEGORICAL_FEATURES, **best(_search(spark, sf_dir)))
     return per.crossJoin(F.broadcast(summary))  # one summary row: proven bound
 
 
 @register("feature_delta", ids="A25 P1")
 def q_feature_delta(spark, sf_dir):
     train, test = _frames(spark, sf_dir)
-    return W.feature_delta(train, test, NUMERIC_FEATURES, ENHANCED, CATEGORICAL_FEATURES, **SHORT)
+    return W.feature_delta(train, test, NUMERIC_FEATURES, ENHANCED, CATEGORICAL_FEATURES, **best(_search(spark, sf_dir)))
 
 
 FINGERPRINT = ["product_id", "machine_type", "machine_failure", *NUMERIC_FEATURES]
@@ -127,6 +150,10 @@ HELD_GROUP, KEEP = 0, 0.8
 
 
 def _rul_frames(spark, sf_dir):
+    return _once(spark, sf_dir, "rul_frames", lambda: _make_rul_frames(spark, sf_dir))
+
+
+def _make_rul_frames(spark, sf_dir):
     cyc = cycles(spark, sf_dir)
     sensors = features.informative_columns(cyc, SENSOR_COLUMNS)
     feats = sensors + [f"{s}_roll_{k}" for s in sensors for k in ("mean", "std")]
@@ -134,7 +161,7 @@ def _rul_frames(spark, sf_dir):
     held = group_fold("unit_number") == HELD_GROUP
     train = rul.add_train_rul(rul.add_rolling_features(cyc.filter(~held), sensors))
     test = rul.last_cycle_rows(rul.add_rolling_features(rul.truncate_units(cyc.filter(held), KEEP), sensors))
-    return feats, train, test
+    return feats, stage(train, "rul-train"), stage(test, "rul-test")  # read by every fit
 
 
 def _rul_pipeline(feats, estimator):
@@ -143,11 +170,29 @@ def _rul_pipeline(feats, estimator):
     return Pipeline(stages=stages)
 
 
+def _rul_search(spark, sf_dir):
+    def make():
+        feats, train, _ = _rul_frames(spark, sf_dir)
+        pipe = _rul_pipeline(feats, P.regressor("rul", maxIter=SEARCH_ROUNDS))
+        ev = RegressionEvaluator(labelCol="rul", predictionCol="prediction", metricName="rmse")
+        return random_search(pipe, group_folds(train, "unit_number"), ev, n_iter=SEARCH_DRAWS)
+    return _once(spark, sf_dir, "rul_search", make)
+
+
+def _rul_model(spark, sf_dir, raw=False):
+    """The RUL regressor with the search's best parameters, on all features or on the raw sensors."""
+    def make():
+        feats, train, _ = _rul_frames(spark, sf_dir)
+        cols = [f for f in feats if "_roll_" not in f] if raw else feats
+        tuned = best(_rul_search(spark, sf_dir), larger_is_better=False)
+        return _rul_pipeline(cols, P.regressor("rul", **tuned)).fit(train)
+    return _once(spark, sf_dir, f"rul_model_{raw}", make)
+
+
 @register("rul_model_eval", ids="M10 M18 W2 P5 W4 A9 A10")
 def q_rul_model_eval(spark, sf_dir):
-    feats, train, test = _rul_frames(spark, sf_dir)
-    model = _rul_pipeline(feats, P.regressor("rul", maxDepth=4)).fit(train)
-    pred = model.transform(test).select("unit_number", "true_rul", F.col("prediction").alias("predicted_rul"))
+    _, _, test = _rul_frames(spark, sf_dir)
+    pred = _rul_model(spark, sf_dir).transform(test).select("unit_number", "true_rul", F.col("prediction").alias("predicted_rul"))
     s = metrics.regression_scores(pred, "true_rul", "predicted_rul")
     return s.select("n_units", round4("rmse").alias("rmse"), round4("phm08_score").alias("phm08_score"))
 
@@ -166,12 +211,10 @@ def q_rul_split(spark, sf_dir):
 @register("rul_feature_delta", ids="A25 M10")
 def q_rul_feature_delta(spark, sf_dir):
     """A25 for the regressor: raw sensors against sensors with rolling features, same parameters."""
-    feats, train, test = _rul_frames(spark, sf_dir)
-    raw = [f for f in feats if "_roll_" not in f]
+    _, _, test = _rul_frames(spark, sf_dir)
     out = None
-    for name, cols in (("raw", raw), ("enhanced", feats)):
-        model = _rul_pipeline(cols, P.regressor("rul", maxDepth=4, **SHORT)).fit(train)
-        s = metrics.regression_scores(model.transform(test), "true_rul", "prediction")
+    for name in ("raw", "enhanced"):
+        s = metrics.regression_scores(_rul_model(spark, sf_dir, name == "raw").transform(test), "true_rul", "prediction")
         s = s.select(F.col("rmse").alias(f"{name}_rmse"), F.col("phm08_score").alias(f"{name}_phm08"))
         out = s if out is None else out.crossJoin(F.broadcast(s))  # one row each
     return out.select(*[round4(c).alias(c) for c in out.columns], round4(F.col("enhanced_rmse") - F.col("raw_rmse")).alias("delta_rmse"),
@@ -182,31 +225,20 @@ def q_rul_feature_delta(spark, sf_dir):
 def q_fitted_trajectories(spark, sf_dir):
     """One record per sample unit: three aligned arrays with the fitted model's predictions."""
     cyc = cycles(spark, sf_dir)
-    feats, train, _ = _rul_frames(spark, sf_dir)
+    feats, _, _ = _rul_frames(spark, sf_dir)
     sensors = [f for f in feats if "_roll_" not in f]
     test = rul.add_rolling_features(rul.truncate_units(cyc.filter(group_fold("unit_number") == HELD_GROUP), KEEP), sensors)
     units = test.select("unit_number").distinct().orderBy("unit_number").limit(3)  # the sample is the feature
     rows = test.join(F.broadcast(units), "unit_number", "left_semi")
     final = rul.last_cycle_rows(rows).select("unit_number", F.col("time_cycles").alias("final_cycle"), "true_rul")
-    model = _rul_pipeline(feats, P.regressor("rul", maxDepth=4, **SHORT)).fit(train)
-    pred = model.transform(rows.drop("true_rul")).withColumn("predicted_rul", round4(F.greatest(F.col("prediction"), F.lit(0.0))))
+    pred = _rul_model(spark, sf_dir).transform(rows.drop("true_rul")).withColumn("predicted_rul", round4(F.greatest(F.col("prediction"), F.lit(0.0))))
     return rul.trajectories(rul.back_projected_truth(pred, final))
 
 
 @register("rul_group_search", ids="M4 M12 M10 A9")
 def q_rul_group_search(spark, sf_dir):
     """Random search for the RUL regressor with group folds: a unit never spans folds."""
-    feats, train, _ = _rul_frames(spark, sf_dir)
-    folded = group_folds(train, "unit_number")
-    est = P.regressor("rul", maxIter=10)
-    pipe = _rul_pipeline(feats, est)
-    ev = RegressionEvaluator(labelCol="rul", predictionCol="prediction", metricName="rmse")
-    _, results = random_search(pipe, est, folded, ev, n_iter=SEARCH_DRAWS)
-    rows = [(i, str(p["max_depth"]), float(p["learning_rate"]), float(p["l2_regularization"]),
-             int(p["max_leaf_nodes"]), float(m)) for i, (p, m) in enumerate(results)]
-    df = spark.createDataFrame(rows, "draw int, max_depth string, learning_rate double, l2_regularization double, "
-                                     "max_leaf_nodes int, cv_rmse double")
-    return df.withColumn("cv_rmse", round4("cv_rmse"))
+    return _draw_rows(spark, _rul_search(spark, sf_dir), "cv_rmse")
 
 
 SHAPLEY_SAMPLES = 64
@@ -218,8 +250,8 @@ def q_sampled_shapley(spark, sf_dir):
     from wearline.ml.shapley import sampled_shapley
     from wearline.ml.split import background_sample
     from wearline.operators.attribution import top_k_per_row
-    train, test = _frames(spark, sf_dir)
-    model, scored, _ = W.fit_score("boosting", train, test, ENHANCED, CATEGORICAL_FEATURES, weight=None, **SHORT)
+    train, _ = _frames(spark, sf_dir)
+    model, scored = _final(spark, sf_dir)
     top = scored.orderBy(F.col("score").desc(), "product_id").limit(C.TOP_RISK_ROWS).drop("score", "probability",
                                                                                           "rawPrediction", "prediction")
     top = top.select("product_id", *CATEGORICAL_FEATURES, *ENHANCED)
