@@ -43,14 +43,14 @@ def stratified_folds(train: DataFrame, label: str = "machine_failure", id_col: s
     return ranked.withColumn("fold", ((F.col("_wl_r") - 1) % k).cast("int")).drop("_wl_hk", "_wl_r")
 
 
-def group_fold(unit_col: str, k: int = C.CV_FOLDS) -> Column:
-    """M4: fold from the unit key alone, so a unit never spans folds."""
-    h = F.substring(F.md5(F.col(unit_col).cast("string")), 1, 8)
+def group_fold(unit_col: str, k: int = C.CV_FOLDS, salt: str = "") -> Column:
+    """M4: fold from the unit key alone, so a unit never spans folds; folds of different salts are independent."""
+    h = F.substring(F.md5(F.concat(F.col(unit_col).cast("string"), F.lit(salt))), 1, 8)
     return (F.conv(h, 16, 10).cast("bigint") % k).cast("int")
 
 
-def group_folds(df: DataFrame, unit_col: str = "unit_number", k: int = C.CV_FOLDS) -> DataFrame:
-    return df.withColumn("fold", group_fold(unit_col, k))
+def group_folds(df: DataFrame, unit_col: str = "unit_number", k: int = C.CV_FOLDS, salt: str = "") -> DataFrame:
+    return df.withColumn("fold", group_fold(unit_col, k, salt))
 
 
 def background_sample(df: DataFrame, n: int = C.BACKGROUND_SIZE, id_col: str = "product_id",
