@@ -133,6 +133,23 @@ def test_telling_terms(spark):
     assert clean[10] == (data[5][1], 0)
 
 
+def test_terms_of_single_values_and_every_use(spark):
+    """A name beside an address of one text tells, wherever it is used; copies are no further evidence."""
+    filler = lambda i: " ".join(f"w{'abcdefghij'[(i * 7 + k * k) % 10]}" for k in range(40))
+    data = [(i, f"{filler(i)} {i}", None, None, 0) for i in range(6000)]
+    data += [(9000, f"Quorvex anna@corp.org {filler(1)}", None, None, 0), (9001, f"{filler(2)} said QUORVEX and {filler(3)} \\E(x quorvex", None, None, 0)]
+    data += [(9002 + i, f"\\E(x {filler(4)} {filler(5)} tom@corp.org from {'xyz'[i]}. {filler(6)} {filler(7)} zarnik", None, None, 0) for i in range(3)]
+    data += [(9010 + i, f"pelmor {filler(8)} {filler(9)} ann@other.org", None, None, 0) for i in range(9)]
+    data += [(9020, "pelmor and w", None, None, 0)]
+    df = docs(spark, data=data)
+    got = {r.doc_id: r for r in privacy.detect(df).collect()}
+    words = {i: [t[x.s:x.e] for x in got[i].added] for i, t, *_ in data}
+    assert words[9000] == ["Quorvex"] and [w for w in words[9001] if "uo" in w.lower()] == ["QUORVEX", "quorvex"]
+    assert all(words[9002 + i][-1] == "zarnik" for i in range(3))  # in the text of its value, 120 characters away
+    assert not any(words[9010 + i] for i in range(9)) and not words[9020]
+    assert not any(words[i] for i in range(6000))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

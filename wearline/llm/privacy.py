@@ -4,14 +4,18 @@ Base spans are the leftmost non-overlapping matches of four patterns. The patter
 possessive quantifiers and look-behinds that skip starts which cannot match, so a long run of like
 characters costs linear time and no deep recursion; the matches are those of the plain patterns.
 
-The method: every base match is a protected entity e. Words near its occurrences are candidate terms.
-From corpus counts, a term t gives away the share
+The method: every base match is a protected entity e, however seldom it occurs. From the corpus, a term t
+gives away the share
 
-    disclosure(t, e) = log2(P(e | t) / P(e)) / -log2 P(e),   P(e | t) = c(t near e) / c(t)
+    disclosure(t, e) = log2(P(e | t) / P(e)) / -log2 P(e),   P(e | t) = (k + m P(e)) / (k / r + m)
 
-of e's information. Terms seen near e in ``support`` different texts whose disclosure reaches
-``generalise`` become spans of kind ``term`` wherever they stand near e; at ``remove`` or above they are
-removed from sanitised text, below it they are generalised.
+of e's information: r is the share of t's documents that hold it with e, k the number of different texts
+among these (copies are no further evidence). "With e" is counted twice: within ``near`` characters of e
+(m = ``PRIOR``), and anywhere in the same text (m = ``TEXT_PRIOR``: being in one text says less than being
+side by side); the larger disclosure counts. No count is cut: m draws a rate seen in few texts towards P(e).
+Every use in the corpus of a term whose disclosure reaches ``generalise`` for any entity becomes a
+span of kind ``term``; at ``remove`` or above it is removed from sanitised text, below it is generalised.
+Terms are words without digits; uses that overlap a base span are part of it.
 
 Defined results: null texts are empty and have no spans; rows repeated with equal id and text get the same
 spans; a null id is a value of its own; columns other than the id and the text are never read.
@@ -25,7 +29,12 @@ from pyspark.sql import functions as F
 from wearline.llm.common import WORD, stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.9, 0.97
+NEAR, GENERALISE, REMOVE = 48, 0.9, 0.97
+PRIOR, TEXT_PRIOR = 0.25, 2.0
+#: terms in more than this share of the texts number at most 256 times a text's mean distinct words
+COMMON = 1 / 256
+#: rows that a join sends to every executor (tens of MB); larger tables are shuffled
+SMALL = 1 << 18
 
 #: kind -> (pattern, a character or sequence without which it cannot match)
 PATTERNS = {
@@ -106,8 +115,9 @@ def entity(span: Column) -> Column:
 
 
 def find(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """``(doc_id, th, base, around)``: base spans of each row, and around each the text within ``near``
-    characters on both sides, cut at the next base span's edge by the terms' own check later."""
+    """``(doc_id, th, base, around, terms)``: base spans of each row, around each the text within ``near``
+    characters on both sides, cut at the next base span's edge by the terms' own check later, and the terms of
+    rows with base spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text", *[c.alias(f"b{i}") for i, c in enumerate(base_spans(F.col("text")))])
@@ -121,22 +131,22 @@ def find(docs: DataFrame, near: int = NEAR) -> DataFrame:
         # one character more on each side shows whether the outermost word is whole
         return F.struct(entity(x).alias("entity"), side(F.greatest(left - 1, F.lit(0)), x["s"] - F.greatest(left - 1, F.lit(0))).alias("l"), side(x["e"], F.lit(near + 1)).alias("r"))
 
-    return rows.select("doc_id", "th", "base", F.transform("base", around).alias("around"))
+    return rows.select("doc_id", "th", "base", F.transform("base", around).alias("around"), F.when(F.size("base") > 0, terms_of(F.col("text"))).alias("terms"))
 
 
 def contexts(found: DataFrame, near: int = NEAR) -> DataFrame:
-    """``(doc_id, th, entity, term, s, e)``: whole words near an entity that hold no digit and overlap no base
-    span; terms are the words with A-Z in lower case."""
-    x = found.where(F.size("base") > 0).select("doc_id", "th", "base", F.explode("around").alias("a"))
-    x = x.select("doc_id", "th", "base", "a.entity", F.explode(F.array(
+    """``(th, entity, term)``: whole words near an entity that hold no digit and overlap no base span; terms are
+    the words with A-Z in lower case."""
+    x = found.select("th", "base", F.explode("around").alias("a"))
+    x = x.select("th", "base", "a.entity", F.explode(F.array(
         F.struct(F.col("a.l.at").alias("at"), F.col("a.l.c").alias("c"), F.lit(True).alias("left")),
         F.struct(F.col("a.r.at").alias("at"), F.col("a.r.c").alias("c"), F.lit(False).alias("left")))).alias("z"))
-    x = x.select("doc_id", "th", "base", "entity", "z.*").withColumn("w", F.explode(spans_of(F.col("c"), WORD, 4)))
+    x = x.select("th", "base", "entity", "z.*").withColumn("w", F.explode(spans_of(F.col("c"), WORD, 4)))
     cut = F.when(F.col("left"), (F.col("w.s") == 0) & (F.col("at") > 0)).otherwise((F.col("w.e") == near + 1) & (F.length("c") == near + 1))
     s, e = (F.col("at") + F.col("w.s")), (F.col("at") + F.col("w.e"))
-    x = x.where(~cut & ~F.col("w.v").rlike("[0-9]")).select("doc_id", "th", "base", "entity", fold(F.col("w.v")).alias("term"), s.alias("s"), e.alias("e"))
+    x = x.where(~cut & ~F.col("w.v").rlike("[0-9]")).select("th", "base", "entity", fold(F.col("w.v")).alias("term"), s.alias("s"), e.alias("e"))
     clear = ~F.exists("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
-    return x.where(clear).select("doc_id", "th", "entity", "term", "s", "e")
+    return x.where(clear).select("th", "entity", "term")
 
 
 def fold(c: Column) -> Column:
@@ -144,33 +154,71 @@ def fold(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` of every pair that ``support`` different texts hold. Words are counted over
-    the whole corpus; pairs and words are counted partially before they are shuffled."""
-    texts = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).join(texts.where(F.col("texts") >= support), ["entity", "term"])
-    words = docs.select(F.explode(F.split(fold(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")).alias("term"))
-    words = stage(words.where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("uses")), "uses")
-    total = words.agg(F.sum("uses")).first()[0] or 0
-    entities = found.select(F.explode("around.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("seen"))
-    p_e = F.col("seen") / F.lit(float(max(total, 1)))
-    # near several mentions of e a use is seen more than once
-    p_given = F.least(F.col("both") / F.col("uses"), F.lit(1.0))
-    return pairs.join(words, "term").join(entities, "entity").select(
-        "entity", "term", (F.log2(p_given / p_e) / -F.log2(p_e)).alias("disclosure"))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text that hold no digit."""
+    return F.filter(F.array_distinct(F.split(fold(text), r"[\x20\x09-\x0D]+")), lambda t: (t != "") & ~t.rlike("[0-9]"))
 
 
-def detect(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def given_away(k: Column, both: Column, uses: Column, p: Column, prior: float) -> Column:
+    return F.log2((k + prior * p) / (k * uses / both + prior) / p) / -F.log2(p)
+
+
+def disclosures(words: DataFrame, common: DataFrame, holders: DataFrame, entities: DataFrame, near: int = NEAR, generalise: float = GENERALISE) -> DataFrame:
+    """``(entity, term, disclosure)`` of the pairs that reach ``generalise``. ``words (term, uses)`` counts the
+    documents of each term, ``common`` are terms too frequent to reach it, ``holders`` the distinct texts with
+    base spans and their ``copies``."""
+    tally = [F.count("*").alias("k"), F.sum("copies").alias("both")]
+    copies = holders.select("th", "copies")
+    side = contexts(holders, near).distinct().join(copies, "th").groupBy("entity", "term").agg(*tally).join(words, "term").join(entities, "entity")
+    score = lambda m: given_away(F.col("k"), F.col("both"), F.col("uses"), F.col("p"), m).alias("disclosure")
+    # a term in more than ``most`` documents cannot reach it, even where all of the entity's documents hold it
+    held = holders.select("th", F.explode(F.array_distinct("around.entity")).alias("entity")).join(entities, "entity")
+    held = held.groupBy("th").agg(F.collect_list(F.struct("entity", "most")).alias("held")).join(copies, "th")
+    own = holders.select("th", F.explode("terms").alias("term")).join(F.broadcast(common), "term", "left_anti").join(words, "term").join(held, "th")
+    pairs = own.select("term", "uses", "copies", F.explode(F.filter("held", lambda x: x["most"] >= F.col("uses"))).alias("x"))
+    whole = pairs.groupBy(F.col("x.entity").alias("entity"), "term").agg(*tally, F.first("uses").alias("uses")).join(entities, "entity")
+    return side.select("entity", "term", score(PRIOR)).unionByName(whole.select("entity", "term", score(TEXT_PRIOR))).where(F.col("disclosure") >= generalise)
+
+
+def uses_of(text: Column, marks: Column) -> Column:
+    """Spans ``(s, e, d)`` of all uses in a text of the terms of a map from terms to disclosures."""
+    quoted = F.transform(F.map_keys(marks), lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    edge = r"[^\x20\x09-\x0D]"
+    found = spans_of(text, F.concat(F.lit(f"(?i)(?<!{edge})(?:"), F.array_join(quoted, "|"), F.lit(f")(?!{edge})")), 4)
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(marks, fold(x["v"])).alias("d")))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def detect(docs: DataFrame, near: int = NEAR, generalise: float = GENERALISE) -> DataFrame:
     """One row per document: ``doc_id, th, base, added``; ``added`` holds the spans of revealing terms."""
     found = stage(find(docs, near), "found")
-    around = contexts(found, near)
-    telling = disclosures(docs, found, around, support).where(F.col("disclosure") >= generalise)
-    spans = around.join(telling, ["entity", "term"]).groupBy("doc_id", "th", "s", "e").agg(F.max("disclosure").alias("d")).groupBy("doc_id", "th").agg(
-        F.sort_array(F.collect_list(F.struct("s", "e", "d"))).alias("added"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "added")
+    total = found.count()
+    copies = found.where(F.size("base") > 0).groupBy("th").agg(F.count("*").alias("copies"))
+    holders = stage(found.where(F.size("base") > 0).select("th", "base", "around", "terms").dropDuplicates(["th"]).join(copies, "th"), "holders")
+    entities = holders.select("copies", F.explode(F.array_distinct("around.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("seen"))
+    p = F.col("seen") / F.lit(total + 1.0)
+    entities = stage(entities.select("entity", p.alias("p"), (F.col("seen") * F.pow(p, F.lit(generalise - 1.0)) + 1e-6).alias("most")), "entities")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    words = stage(rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("uses")), "uses")
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+    common = words.where(F.col("uses") > max(most, total * COMMON)).select("term")
+    telling = stage(disclosures(words, common, holders, entities, near, generalise).groupBy("term").agg(F.max("disclosure").alias("d")), "telling")
+    # every use in the corpus: first the texts of each telling term, then the places in them
+    used = rows.select("th", F.explode(terms_of(F.col("text"))).alias("term"))
+    n = telling.count()
+    if n > SMALL:
+        used = used.join(F.broadcast(common), "term", "left_anti")
+    used = stage(used.join(_small(telling, n), "term").groupBy("th", "term").agg(F.first("d").alias("d")), "used")
+    marks = used.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("marks"))
+    spans = rows.join(_small(marks, used.count()), "th").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), uses_of(F.col("text"), F.col("marks")).alias("added")).dropDuplicates(["_id", "_th"])
     none = F.array().cast("array<struct<s:int,e:int,d:double>>")
+    clear = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return found.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select(
-        "doc_id", "th", "base", F.coalesce("added", none).alias("added"))
+        "doc_id", "th", "base", F.coalesce(clear, none).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:
