@@ -86,6 +86,28 @@ def test_minhash_groups_of_several_blocks(spark, monkeypatch):
     assert by_id(minhash.classes(df), *NEAR) == brute_sets(rows, 2)
 
 
+def test_minhash_last_round_bounds_both_sides(spark, monkeypatch):
+    """A candidate group in which hardly anything links: nearly all members are outside its largest class."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    seen, blocks = [], minhash._blocks
+
+    def spy(members, *args, cross=False):
+        if cross:
+            keys = [c for c in ("component", "block", "other") if c in members.columns]
+            seen.extend(r["count"] for r in members.groupBy(*keys, "foreign").count().collect())
+        return blocks(members, *args, cross=cross)
+
+    monkeypatch.setattr(minhash, "_blocks", spy)
+    rnd = random.Random(2)
+    rows = []
+    for i in range(160):  # two pages share about half of their words' pairs
+        rows.append((i, " ".join([f"w{k}" for k in range(70)] + [f"z{rnd.randrange(10**6)}" for _ in range(28)])))
+    rows += [(200 + i, rows[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash.classes(df), *NEAR) == brute_sets(rows, 2)
+    assert seen and max(seen) < 3 * 16
+
+
 def test_keep_one_leaves_one_of_each_class(spark):
     df = docs(spark, extra=True)
     kept = minhash.keep_one(df)

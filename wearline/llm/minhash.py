@@ -9,7 +9,9 @@ group by group on their full sets, so neither buckets nor groups are expanded in
 Inside a group one pivot is compared with all members; members linked to it need no more comparisons with
 each other, and every other member is compared with all. Groups of more than ``BLOCK`` members are cut into
 blocks: links within blocks first, then among the blocks' pivots, and at last every member outside the
-group's largest class against all blocks. All three together find every link that joins two classes.
+group's largest class against all blocks. All three together find every link that joins two classes. In the
+last round both sides are blocked: a block of members outside meets one block of all at a time, so neither side
+of a task's group grows with the candidate group.
 
 Defined results: null texts are empty; a document without words has no shingles, links with nothing and is
 kept; a document with fewer words than a shingle has its whole sequence as the only one; rows with one id
@@ -129,16 +131,16 @@ class Group:
 
 
 def _blocks(members: DataFrame, docs: DataFrame, width: int, num: int, den: int, kind: str, cross: bool = False) -> DataFrame:
-    """Links ``(a, b)`` within the blocks of ``members (rep, component, block[, foreign, cls])``; the rows of a block
-    come to one task in order. With ``cross``, members marked foreign are compared with the others, and linked
-    once with each class of theirs."""
+    """Links ``(a, b)`` within the blocks of ``members (rep, component, block[, other, foreign, cls])``; the rows of
+    a block come to one task in order. With ``cross``, members marked foreign, a block ``other`` of them at a time,
+    are compared with the others, and linked once with each class of theirs."""
     spark = docs.sparkSession
     schema = arrow_schema(f"a {kind}, b {kind}")
     rows = members.join(docs.select(F.col("doc_id").alias("rep"), text_column(docs).alias("text")), "rep")
     parts = partitions(spark)
-    to = F.pmod(F.xxhash64("component") + F.col("block"), F.lit(parts)).cast("int")
-    names = ["component", "block", "rep", "foreign", "cls", "text"]
-    rows = rows.withColumns({} if cross else {"foreign": F.lit(False), "cls": F.col("rep")}).select(*names)
+    names = ["component", "block", "other", "rep", "foreign", "cls", "text"]
+    rows = rows.withColumns({} if cross else {"other": F.lit(0).cast("long"), "foreign": F.lit(False), "cls": F.col("rep")}).select(*names)
+    to = F.pmod(F.pmod(F.xxhash64("component"), F.lit(parts)) + F.col("block") + 31 * F.col("other"), F.lit(parts)).cast("int")
 
     def work(ids: list, foreign: list, cls: list, data: list[bytes]) -> dict:
         sets = shingle_sets(data, width)
@@ -158,17 +160,17 @@ def _blocks(members: DataFrame, docs: DataFrame, width: int, num: int, den: int,
         key, group = None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:2] != key:
+                if row[:3] != key:
                     if len(group) > 1:
-                        yield to_batch(work(*(list(c) for c in list(zip(*group))[2:])), schema)
-                    key, group = row[:2], []
+                        yield to_batch(work(*(list(c) for c in list(zip(*group))[3:])), schema)
+                    key, group = row[:3], []
                 group.append(row)
         if len(group) > 1:
-            yield to_batch(work(*(list(c) for c in list(zip(*group))[2:])), schema)
+            yield to_batch(work(*(list(c) for c in list(zip(*group))[3:])), schema)
 
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    return rows.repartitionById(parts, to).sortWithinPartitions("component", "block", "rep").mapInArrow(run, from_arrow_schema(schema))
+    return rows.repartitionById(parts, to).sortWithinPartitions("component", "block", "other", "rep").mapInArrow(run, from_arrow_schema(schema))
 
 
 def verified(candidates: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -197,10 +199,21 @@ def verified(candidates: DataFrame, docs: DataFrame, width: int, num: int, den:
     now = classed(links)
     largest = now.groupBy("grp", "cls").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("largest"))
     now = stage(now.join(largest, "grp"), "classes")
-    out = now.where("cls <> largest")
-    foreign = out.select("rep", F.col("grp").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("foreign"), "cls")
-    own = now.join(out.select("grp").distinct(), "grp", "left_semi").select("rep", F.col("grp").alias("component"), "block", F.lit(False).alias("foreign"), "cls")
-    return stage(links.unionByName(_blocks(own.unionByName(foreign), docs, width, num, den, kind, cross=True)), "links")
+    meet = meetings(now)
+    return stage(links.unionByName(_blocks(meet, docs, width, num, den, kind, cross=True)), "links")
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """``(rep, component, block, other, foreign, cls)``: who meets whom in the last round. ``members (grp, rep, block,
+    blocks, cls, largest)`` outside their group's largest class form blocks ``other`` of about ``BLOCK``; each of
+    these meets each block of all members under a key of its own."""
+    out = members.where("cls <> largest")
+    sides = out.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("others"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("others"))
+    foreign = out.join(sides, "grp").select("rep", F.col("grp").alias("component"), every("blocks").alias("block"), part.alias("other"), F.lit(True).alias("foreign"), "cls")
+    own = members.join(sides, "grp").select("rep", F.col("grp").alias("component"), "block", every("others").alias("other"), F.lit(False).alias("foreign"), "cls")
+    return own.unionByName(foreign)
 
 
 def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
