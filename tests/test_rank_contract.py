@@ -92,3 +92,17 @@ def test_nan_in_psi_counts_as_null(spark):
         return base.withColumn("x", F.when(F.rand(1) < 0.25, F.lit(v).cast("double")).otherwise(F.col("x")))
     a, b = (drift.numeric_psi(base, with_(v), ["x"]).first().psi for v in (NAN, None))
     assert a == b < 0.05
+
+
+def test_null_groups_and_null_keys_at_every_size(spark):
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2], None if i == 7 else float(i), i % 4 == 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, y boolean").withColumn("y", F.col("y").cast("int"))
+    def ops(p):
+        return {
+            "quantiles": rank.exact_quantiles(df, "v", [0.0, 0.3, 1.0], by=["g"], n_buckets=p),
+            "calibration": calibration.calibration_bins(df, "v", "y", 3, ["g"], n_buckets=p).select("g", "bin", "n"),
+            "rolling": rank.rolling_window(df, "v", lambda w: {"s": F.sum("id").over(w)}, 3, ["g"], n_buckets=p).select("id", "g", "s"),
+        }
+    want = {k: sorted(map(repr, v.collect())) for k, v in ops(1).items()}
+    assert [sum("g=None" in r for r in want[k]) for k in want] == [1, 3, 30] and any("id=7, g='b', s=181" in r for r in want["rolling"])
+    assert {k: sorted(map(repr, v.collect())) for k, v in ops(8).items()} == want

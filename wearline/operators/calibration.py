@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions.columns import round4
-from wearline.operators.rank import cleaned, exact_quantiles, quantile_grid
+from wearline.operators.rank import cleaned, exact_quantiles, join_groups, quantile_grid
 
 
 def calibration_bins(scored: DataFrame, score: str = "risk", label: str = "machine_failure",
@@ -24,7 +24,7 @@ def calibration_bins(scored: DataFrame, score: str = "risk", label: str = "machi
     interior = F.slice("_edges", 2, n_bins - 1)
     e = edges.select(*by, interior.alias("_int"))
     scored = scored.withColumn(score, cleaned(scored, score)).filter(F.col(score).isNotNull())
-    joined = scored.join(e, by, "inner") if by else scored.crossJoin(F.broadcast(e))  # one row
+    joined = join_groups(scored, e, by) if by else scored.crossJoin(F.broadcast(e))  # one row
     binned = joined.withColumn("bin", F.size(F.filter("_int", lambda x: x < F.col(score))))
     return (binned.groupBy(*by, "bin")
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(score)).alias("predicted_probability_bin"),

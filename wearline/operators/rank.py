@@ -103,6 +103,15 @@ def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: list[str]) -> Dat
     return bucketed.join(F.broadcast(off) if not by else off, on, "inner").drop("_wl_j", *[f"_wl_j_{c}" for c in by])
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], on: list[str] | tuple = (), how: str = "inner") -> DataFrame:
+    """Join on the groups ``by``, where NULL is a group, and on the plain columns ``on``."""
+    right = right.select(*[F.col(c).alias(f"_wl_j_{c}") if c in (*by, *on) else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in (*by, *on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_wl_j_{c}"))
+    return left.join(right, cond, how).drop(*[f"_wl_j_{c}" for c in (*by, *on)])
+
+
 def global_row_number(df: DataFrame, key: str, *, descending: bool = False, tie: str | None = None,
                       by: list[str] | tuple = (), out: str = "rn", n_buckets: int | None = None,
                       n_rows: int | None = None) -> DataFrame:
@@ -236,14 +245,14 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_p")),
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_p")))).alias("_s")).select(*by, "n", "_i", "_h", "_lo", "_s.*")
     # targets (2F rows per group) against bucket stats (<= P rows per group): small tables only
-    loc = pos.join(per.drop("n"), on=by, how="inner") if by else pos.crossJoin(F.broadcast(per.drop("n")))
+    loc = join_groups(pos, per.drop("n"), by) if by else pos.crossJoin(F.broadcast(per.drop("n")))
     loc = stage(loc.filter((F.col("_p") > F.col("_off")) & (F.col("_p") <= F.col("_off") + F.col("_c")))
                 .withColumn("_k", F.col("_p") - F.col("_off")), "targets")
     # rank only the buckets that hold a target and more than one value
     need = loc.filter(F.col("_mn") != F.col("_mx"))
-    hot = b.join(need.select(*by, BUCKET).distinct(), on=[*by, BUCKET], how="left_semi")
+    hot = join_groups(b, need.select(*by, BUCKET).distinct(), by, [BUCKET], "left_semi")
     hot = hot.withColumn("_k", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY)).cast("bigint"))
-    picked = need.join(hot.select(*by, BUCKET, "_k", F.col(KEY).alias("_v")), on=[*by, BUCKET, "_k"], how="inner")
+    picked = join_groups(need, hot.select(*by, BUCKET, "_k", F.col(KEY).alias("_v")), by, [BUCKET, "_k"])
     cols = [*by, "n", "_i", "_h", "_lo", "_side", "_v"]
     vals = loc.filter(F.col("_mn") == F.col("_mx")).withColumn("_v", F.col("_mn")).select(*cols).unionByName(picked.select(*cols))
     lohi = vals.groupBy(*by, "n", "_i", "_h", "_lo").agg(
@@ -269,7 +278,7 @@ def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] |
     by = list(by)
     b = add_order_buckets(df, key, by=by, n_buckets=n_buckets)
     if _one_bucket(b):
-        return df.withColumns(exprs(Window.partitionBy(*by).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)))
+        return b.withColumns(exprs(Window.partitionBy(*by).orderBy(*_order(False, None)).rowsBetween(-(window - 1), Window.currentRow))).drop(BUCKET, KEY)
     per = stage(_offsets(b, by, {"n": F.count(F.lit(1))}), "offsets")
     ranked = _join_offsets(b, per, by).withColumn(
         "_wl_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(F.col(KEY).asc_nulls_last())) + F.col("_wl_off_n")).drop("_wl_off_n")
@@ -283,5 +292,5 @@ def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] |
     halo = (ranked.drop(BUCKET).join(halo_pos, on, "inner").drop("_wl_at", *[f"_wl_j_{c}" for c in by])
             .withColumnRenamed("_wl_target", BUCKET).withColumn("_wl_halo", F.lit(True)))
     both = ranked.withColumn("_wl_halo", F.lit(False)).unionByName(halo)
-    wb = Window.partitionBy(*by, BUCKET).orderBy(key).rowsBetween(-(window - 1), Window.currentRow)
+    wb = Window.partitionBy(*by, BUCKET).orderBy(*_order(False, None)).rowsBetween(-(window - 1), Window.currentRow)
     return both.withColumns(exprs(wb)).filter(~F.col("_wl_halo")).drop(BUCKET, KEY, "_wl_rn", "_wl_halo")
