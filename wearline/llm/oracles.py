@@ -55,3 +55,70 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM w
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+#: unsigned CRC-32 (of decimal numbers): ``key(id)`` in, ``crc(id, c)`` out
+_CRC = """
+byte AS (SELECT id, unnest(list_transform(split(id::VARCHAR, ''), lambda x: ascii(x))) AS b, unnest(range(length(id::VARCHAR))) AS i FROM key),
+step AS (SELECT n, list_reduce(range(8), lambda acc, k: CASE WHEN acc & 1 = 1 THEN xor(3988292384::BIGINT, acc >> 1) ELSE acc >> 1 END, n::BIGINT) AS v FROM (SELECT unnest(range(256)) AS n)),
+steps AS (SELECT list(v ORDER BY n) AS t FROM step),
+crc AS (
+  SELECT id, xor(4294967295::BIGINT, list_reduce(list(b ORDER BY i), lambda acc, x: xor(acc >> 8, t[(xor(acc, x::BIGINT) & 255) + 1]), 4294967295::BIGINT)) AS c
+  FROM byte, steps GROUP BY id, t)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+OP12 = f"""
+WITH RECURSIVE key AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL), {_CRC},
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} AS head, text,
+         CASE WHEN coalesce(c % 2 = 0, false) THEN replace(text, chr(10), '') ELSE text END AS seen FROM documents LEFT JOIN crc ON id = doc_id),
+leaf AS (SELECT r, doc_id, source, sha256(head || {_field('text')}) AS leaf, sha256(head || {_field('seen')}) AS found FROM doc),
+pos AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+low AS (
+  SELECT source, 0 AS lvl, idx, leaf AS d, n FROM pos
+  UNION ALL
+  SELECT source, lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY source, lvl, idx // 3, n),
+sub AS (SELECT source, d, lvl AS h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, idx, d, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, idx // 3, n),
+root AS (SELECT d AS root, lvl AS h FROM high WHERE n = 1),
+near AS (
+  SELECT a.source, a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM low a JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL),
+far AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM high a JOIN high b ON a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL),
+path AS (
+  SELECT pos.r, near.lvl AS k, near.l, near.r AS t FROM pos JOIN near ON near.source IS NOT DISTINCT FROM pos.source AND near.idx = pos.idx // (3 ** near.lvl)::BIGINT
+  UNION ALL
+  SELECT pos.r, sub.h + far.lvl, far.l, far.r FROM pos JOIN sub ON sub.source IS NOT DISTINCT FROM pos.source JOIN far ON far.idx = sub.idx // (3 ** far.lvl)::BIGINT),
+steps_ AS (SELECT r, list(l || '|' || t ORDER BY k) AS p FROM path GROUP BY r),
+done AS (
+  SELECT pos.*, sub.d AS subroot, root, coalesce(p, []) AS p,
+         list_reduce(coalesce(p, []), lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2)), found) AS folded_root
+  FROM pos JOIN sub ON sub.source IS NOT DISTINCT FROM pos.source CROSS JOIN root LEFT JOIN steps_ ON steps_.r = pos.r)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(p, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
+OP13 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(strlen(r) || ':' || r || x)) AS s FROM t GROUP BY conv_id),
+key AS (SELECT conv_id AS id FROM own), {_CRC},
+seq AS (
+  SELECT o.conv_id, list_concat(coalesce(b.s, [])[1:c % 4], o.s[c % 4 + 1:]) AS s FROM own o JOIN crc ON id = o.conv_id LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+member AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE len({WORDS.format("coalesce(p[d].x, '')")}) END AS w FROM member GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT u.p, sum((v.n_convs - 1) * v.w)::BIGINT AS saved_tokens, count(*) FILTER (k.k IS NULL) AS n_leaves
+  FROM node u JOIN node v ON v.d >= u.d AND v.p[1:u.d] = u.p LEFT JOIN kids k ON k.p = v.p GROUP BY u.p)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(k.k, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.p = node.p LEFT JOIN kids k ON k.p = node.p LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]
+"""

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wearline.llm import edit_fingerprint, hmm, lattice, minhash, mixing, oracles, prefix_free, privacy, quality, suffix_trees
+from wearline.llm import (
+    conversations,
+    edit_fingerprint,
+    hmm,
+    lattice,
+    merkle,
+    minhash,
+    mixing,
+    oracles,
+    prefix_free,
+    privacy,
+    quality,
+    suffix_trees,
+    toxicity,
+)
 from wearline.llm import sentencepiece_backend as pieces
 from wearline.sources.tables import table
 
@@ -71,4 +85,20 @@ def op2_lattice_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_classes(table(spark, sf_dir, "embeddings"))
 
 
+@register
+def op11_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_prefix_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(conversations.rebuild(table(spark, sf_dir, "conversations")))
+
+
+ORACLE |= {"op12_postorder_manifest": oracles.OP12, "op13_prefix_collapse": oracles.OP13}
 ORACLE |= {"op2_lattice_neighbours": oracles.OP2, "op4_circulant_minhash": oracles.OP4, "op6_prefix_free_parse": oracles.OP6, "op8_prefix_suffix_trees": oracles.OP8}
