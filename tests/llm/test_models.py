@@ -12,6 +12,7 @@ from tests.conftest import SF01, SF001
 from tests.llm.cases import docs, empty, null_id
 from wearline.llm import hmm, quality
 from wearline.llm import sentencepiece_backend as pieces
+from wearline.llm.common import arrow_map
 from wearline.sources.tables import table
 
 
@@ -160,6 +161,41 @@ def test_encoding_equals_the_other_library(spark, model, monkeypatch):
     assert all((a[0] == b[0]).all() for a, b in zip(got, again, strict=True))
 
 
+def test_wrong_ids_fail_the_round_trip(spark, model, monkeypatch):
+    """The decoded text comes from the ids, not from the input; bytes that are no UTF-8 take the library's way."""
+    codec = pieces.Codec(model)
+    (ids, _), (other, _) = codec.encode(["every id of this text counts", "x"])
+    assert codec.decode([np.concatenate([ids, other]), ids[:-1]]) != ["every id of this text counts"] * 2
+    torn = np.array([codec.tokenizer.token_to_id("<0xE2>")], np.int32)
+    assert codec.decode([torn, ids]) == [codec.tokenizer.decode(torn.tolist()), "every id of this text counts"]
+
+    encode = pieces.Codec.encode
+    monkeypatch.setattr(pieces.Codec, "encode", lambda self, t: [(x[::-1], ok) for x, ok in encode(self, t)])
+    rows = pieces.encode(docs(spark, data=[(1, "the ids of this one are turned round", None, None, None)]), model).collect()
+    assert [r.round_trip for r in rows] == [False]
+
+
+def test_later_tasks_find_the_codec(spark, model):
+    import os
+
+    def of(batch):
+        tool = pieces.codec(model)
+        tool.tasks = getattr(tool, "tasks", 0) + 1
+        yield {"pid": [os.getpid()], "tasks": [tool.tasks]}
+
+    got = arrow_map(spark.range(0, 120, 1, 60), of, "pid long, tasks long").collect()
+    workers = {r.pid for r in got}
+    assert sum(r.tasks == 1 for r in got) <= len(workers) and max(r.tasks for r in got) > 1
+
+
+def test_memory_of_units_is_bounded(model, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 200_000)
+    codec = pieces.Codec(model)
+    for k in range(6):
+        codec.encode([" ".join(f"u{k}x{i}" for i in range(800))])
+        assert codec.held <= 200_000 + 800 * (pieces.ENTRY + 60) and codec.flat.n <= len(codec.flat.rows)
+
+
 def test_encode_and_decode_tables(spark, model):
     for df in (docs(spark, extra=True), null_id(spark), empty(spark)):
         out = pieces.encode(df, model)

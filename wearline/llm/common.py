@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,6 +29,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(kind: str, key, make: Callable[[], object]):
+    """The one object of its kind that a Python worker keeps from task to task. This package travels by value, so
+    every task has globals of its own; a module of the worker itself outlives them. Another key replaces the object."""
+    name = "_wearline_worker"
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if held.get(kind, (None,))[0] != key:
+        held.pop(kind, None)  # the old one goes before the new one is made
+        held[kind] = (key, make())
+    return held[kind][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import Words, arrow_map, arrow_schema, components, mix, partitions, sliced, stage, text_column, texts, to_batch
+from wearline.llm.common import Words, arrow_map, arrow_schema, components, mix, partitions, per_worker, sliced, stage, text_column, texts, to_batch
 
 BANDS, ROWS, CIRCLE, BLOCK = 40, 6, 1 << 20, 512
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,17 +74,12 @@ class Signer:
         return mix((least.reshape(self.bands, self.rows).astype(np.uint64) * self.salt).sum(1)).view(np.int64)
 
 
-_signers: dict = {}
-
-
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, n_shingles, s1, s2, bands)``; ``s1, s2`` name the shingle set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batch: pa.RecordBatch):
-        if (bands, rows) not in _signers:
-            _signers[bands, rows] = Signer(bands, rows)
-        signer = _signers[bands, rows]
+        signer = per_worker("signer", (bands, rows), lambda: Signer(bands, rows))
         data = texts(batch)
         for a, b in sliced(data):
             sets = shingle_sets(data[a:b], width)

@@ -2,7 +2,7 @@
 
 The model's protobuf is parsed on the driver; its bytes (a fixed file) travel to the tasks, where
 the normaliser, the metaspace marker, the piece model (unigram scores, or merges ranked by the
-scores of a BPE model) and the byte fallback are rebuilt once per worker.
+scores of a BPE model) and the byte fallback are rebuilt once per worker and kept from task to task.
 
 A piece never holds a marker after another character (checked when the model is read), so no
 segmentation crosses from a character to a marker. Texts are cut there into units; every distinct
@@ -12,6 +12,10 @@ Without that property the unit is the whole text.
 Parity with the sentencepiece library is verified for every document: each of its units is encoded
 by both libraries, must get the same ids, and must be given back by decoding them.
 
+Every document's own ids are decoded, from a table of the bytes that each piece stands for (ids whose bytes are no
+UTF-8, and models with cleaning rules of their own, go through the library's decoder); the digest and the round trip
+are of that text.
+
 Defined results: null and empty texts have no ids and decode to the empty text; characters without
 a piece become byte pieces; texts of any length are processed whole in bounded slices; columns
 other than the id and the text are never read.
@@ -29,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import arrow_map
+from wearline.llm.common import arrow_map, per_worker
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: characters worked on at once, distinct units a worker remembers
-SLICE, REMEMBER = 1 << 20, 500_000
+#: characters worked on at once, bytes of units and their ids that a worker remembers
+SLICE, REMEMBER = 1 << 19, 24 << 20
+#: bytes that one remembered unit takes besides its characters and ids (dictionary entry, string, offsets)
+ENTRY = 180
 #: units encoded as one pre-split text, and at once
 GROUP, BATCH = 1000, 20_000
 _UNIGRAM, _BPE = 1, 2
@@ -105,8 +111,13 @@ class Codec:
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=model)
         bytes_ = np.array([p.type == _BYTE for p in proto.pieces])
         self.is_byte = bytes_
-        #: UTF-8 bytes that each piece stands for
+        #: UTF-8 bytes of each piece, as it is cut from a normalised text
         self.width = np.where(bytes_, 1, [len(p.piece.encode()) for p in proto.pieces])
+        #: bytes that each piece is decoded to, one after another, and where they begin
+        plain = [bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+        self.bytes = np.frombuffer(b"".join(plain), np.uint8)
+        self.size = np.array([len(x) for x in plain], np.int64)
+        self.at = np.cumsum(self.size) - self.size
         self.prefix = MARK if proto.normalizer_spec.add_dummy_prefix else ""
         plain = not (proto.normalizer_spec.remove_extra_whitespaces or proto.normalizer_spec.precompiled_charsmap)
         inside = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
@@ -119,9 +130,11 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        #: unit -> its number; by number: where its ids start in ``flat``, and whether both libraries agree and decoding gives it back
+        #: unit -> its number; by number: where its ids end in ``flat``, and whether both libraries agree and decoding gives it back
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.good = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
+        self.flat, self.end, self.good = Column(np.int32), Column(np.int64), Column(bool)
+        self.end.add(np.zeros(1, np.int64))
+        self.held = 0
 
     def normalise(self, text: str) -> str:
         if self.units is None:
@@ -141,7 +154,7 @@ class Codec:
     def _learn(self, units: set[str]) -> None:
         """Encode the units not known yet: groups of them in one multithreaded batch, checked group by group
         (units one after another are a text too), a group that differs unit by unit."""
-        if len(self.known) > REMEMBER:
+        if self.held > REMEMBER:
             self._forget()
         new = [u for u in units if u not in self.known]
         for at in range(0, len(new), BATCH):
@@ -165,14 +178,10 @@ class Codec:
     def _add(self, units: list[str], ids: np.ndarray, ends: np.ndarray, good: np.ndarray) -> None:
         n = len(self.known)
         self.known.update(zip(units, range(n, n + len(units)), strict=True))
-        self.start.append(self.start[-1][-1] + ends)
-        self.flat.append(ids)
-        self.good.append(good)
-
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        for name in ("flat", "start", "good"):
-            setattr(self, name, [np.concatenate(getattr(self, name))])
-        return self.flat[0], self.start[0], self.good[0]
+        self.end.add(self.end.rows[self.end.n - 1] + ends)
+        self.flat.add(ids)
+        self.good.add(good)
+        self.held += ENTRY * len(units) + sum(map(len, units)) + 4 * len(ids)
 
     def _cut(self, text: str) -> list[str]:
         """A normalised text in slices that end where a unit does."""
@@ -196,7 +205,7 @@ class Codec:
         for a, b in slices([len(p) for _, p in pieces]):
             units = [self.units(p) for _, p in pieces[a:b]]
             self._learn(set(chain.from_iterable(units)))
-            flat, start, good = self._tables()
+            flat, start, good = self.flat.rows, self.end.rows, self.good.rows
             at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64)
             n = start[at + 1] - start[at]
             ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -207,17 +216,41 @@ class Codec:
         return [(p[0][0] if len(p) == 1 else np.concatenate([x for x, _ in p]), all(ok for _, ok in p)) for p in out]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        if self.units is None:
+            return self._library(ids)
+        every = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        size = self.size[every]
+        ends = np.cumsum(size)
+        data = self.bytes[np.repeat(self.at[every] - (ends - size), size) + np.arange(size.sum())].tobytes()
+        edge = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])]
+        out = []
+        for x, a, b in zip(ids, edge, edge[1:], strict=False):
+            try:
+                out.append(data[a:b].decode().removeprefix(" " if self.prefix else ""))
+            except UnicodeDecodeError:
+                out += self._library([x])
+        return out
+
+    def _library(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
-_codecs: dict[bytes, Codec] = {}
+class Column:
+    """Rows of one type that grow in place."""
+
+    def __init__(self, kind):
+        self.rows, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros(max(len(more), len(self.rows) // 2), self.rows.dtype)])
+        self.rows[self.n:self.n + len(more)] = more
+        self.n += len(more)
 
 
 def codec(model: bytes) -> Codec:
-    key = hashlib.sha256(model).digest()
-    if key not in _codecs:
-        _codecs[key] = Codec(model)
-    return _codecs[key]
+    """The worker's codec: made by its first task, found by all later ones."""
+    return per_worker("codec", hashlib.sha256(model).digest(), lambda: Codec(model))
 
 
 def slices(lengths: list[int], limit: int = SLICE):
@@ -247,8 +280,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             texts = column.slice(a, b - a).to_pylist()
             got = tool.encode(texts)
             arrays = [g[0] for g in got]
-            # where every unit decodes to itself, so does the text
-            decoded = [tool.plain(t) if g[1] else tool.decode([g[0]])[0] for g, t in zip(got, texts, strict=True)]
+            decoded = tool.decode(arrays)
             cols = {
                 "doc_id": ids_of.slice(a, b - a), "n_tokens": [len(x) for x in arrays],
                 "n_fallback": [int(tool.is_byte[x].sum()) for x in arrays],
