@@ -47,12 +47,22 @@ def test_top_queue_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in p
 
 
-def test_queue_sorts_only_cut_buckets(spark):
+def test_selections_do_not_shuffle_the_table(spark, monkeypatch):
+    """M1 is a scan with literals; queues exchange one row a task; no range shuffle is left in either."""
+    from wearline.ml.split import stratified_split
+    from wearline.operators import rank
     from wearline.operators.queue import queue_counts_by_selection
-    q = queue_counts_by_selection(readings(spark, SF01), [0.1], n_buckets=8)
-    p = plan(q, "simple")
-    assert "LeftSemi" in p  # only rows of the cut bucket reach the ranking window
-    assert "BroadcastExchange" in p  # the P-row bucket table and the cut table are broadcast
+
+    def never(*_, **__):
+        raise AssertionError("rows dealt to range buckets")
+
+    monkeypatch.setattr(rank, "add_order_buckets", never)
+    r = readings(spark, SF01)
+    assert "Exchange" not in plan(stratified_split(r, n_buckets=8), "simple")
+    q = plan(queue_counts_by_selection(r, [0.05, 0.1], n_buckets=8), "simple")
+    assert q.count("Exchange") == q.count("Exchange SinglePartition") > 0 and "Sort" not in q and "Window" not in q
+    D.drift.breakpoints(r, ["torque_nm", "tool_wear_min"], n_buckets=8)
+    assert D.drift.bootstrap_sample(r, 50, n_buckets=8).count() == 50
 
 
 def test_no_python_udf_on_batch_path(spark):

@@ -1,17 +1,21 @@
 """M1 stratified holdout, M3 stratified folds, M4 group folds — reproducible in SQL.
 
 Order inside a stratum is ``(substr(md5(id || ':' || seed), 1, 15), id)``; Spark and
-DuckDB agree on md5, so the oracle SQL reproduces the split row for row. The
-per-stratum rank is the bucketed exact rank: a class holding 97 % of the rows is
-spread over many tasks.
+DuckDB agree on md5, so the oracle SQL reproduces the split row for row. The holdout is a
+threshold found by counting; folds need every rank, by the bucketed exact rank: a class
+holding 97 % of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
+from wearline.operators import rank
+from wearline.operators import selection as S
 from wearline.operators.rank import global_row_number
 
 
@@ -24,12 +28,35 @@ def hash_key(id_col: str, seed: int) -> Column:
 def stratified_split(df: DataFrame, label: str = "machine_failure", id_col: str = "product_id",
                      test_size: float = C.TEST_SIZE, seed: int = C.RANDOM_SEED,
                      n_buckets: int | None = None) -> DataFrame:
-    """Add ``is_test`` (int): the first round(test_size * n_class) rows of each class by hash order."""
+    """Add ``is_test`` (int): the first round(test_size * n_class) rows of each class by hash order.
+
+    The last such row of every class is found by counting (``selection.cut``) and stands as a literal threshold in the
+    plan: the table is neither shuffled nor sorted. Rows without a label are a class; rows that share an id fall on
+    the same side. More than 64 classes, or ids that counting has no intervals for, are ranked."""
     keyed = df.withColumn("_wl_hk", hash_key(id_col, seed))
+    keys = S.order_keys(keyed, "_wl_hk", tie=id_col)
+    found = S.group_slots(keyed, [label]) if keys else None
+    if found is None:
+        return _ranked_split(keyed, df, label, id_col, test_size, n_buckets)
+    classes, slot = found
+    budget = rank.ROWS_PER_BUCKET if not n_buckets else max(1, -(-df.count() // n_buckets))
+
+    def sizes_of_test(sizes):
+        return [int(Decimal(repr(float(test_size) * n)).quantize(Decimal(1), ROUND_HALF_UP)) for n in sizes]
+
+    ends = S.cut(keyed, keys, lambda sizes: [[k] for k in sizes_of_test(sizes)], slot=slot, n_slots=len(classes), budget=budget)
+    inside = F.lit(False)
+    for n, k in enumerate(sizes_of_test(ends.sizes)):
+        if k:
+            inside = F.when(slot == n, ends.before(n, k) | ends.level(n, k)).otherwise(inside)
+    return keyed.withColumn("is_test", inside.cast("int")).drop("_wl_hk")
+
+
+def _ranked_split(keyed: DataFrame, df: DataFrame, label: str, id_col: str, test_size: float, n_buckets: int | None) -> DataFrame:
     ranked = global_row_number(keyed, "_wl_hk", tie=id_col, by=[label], out="_wl_r", n_buckets=n_buckets)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_wl_nc"))  # one row per class
     n_test = F.round(F.lit(float(test_size)) * F.col("_wl_nc"), 0).cast("bigint")
-    sizes = sizes.withColumnRenamed(label, "_wl_class")  # rows without a label are a class of their own
+    sizes = sizes.withColumnRenamed(label, "_wl_class")
     return (ranked.join(sizes, ranked[label].eqNullSafe(F.col("_wl_class")), "inner").drop("_wl_class")
             .withColumn("is_test", (F.col("_wl_r") <= n_test).cast("int"))
             .drop("_wl_hk", "_wl_r", "_wl_nc"))

@@ -8,6 +8,7 @@ partial-and-final aggregate over both sides then counts every bin of every featu
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import psi_verdict, round4
+from wearline.operators import rank
+from wearline.operators import selection as S
 from wearline.operators.rank import exact_quantiles, global_row_number, quantile_grid
 
 REF, CUR = 0, 1
@@ -165,16 +168,24 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = C.RANDOM_SEED, id_col: s
                      n_buckets: int | None = None) -> DataFrame:
     """U4: exactly ``n`` rows drawn with replacement, reproducible (and in SQL).
 
-    Draw j = 0..n-1 picks ordinal (md5(j:seed) prefix mod N) + 1 of the id order;
-    the ordinals are joined to an exact bucketed row number (no driver collect).
+    Draw j = 0..n-1 picks ordinal (md5(j:seed) prefix mod N) + 1 of the id order. The drawn rows are found by counting
+    (``selection.locate``): only the neighbours of a drawn row are ranked, the table is not shuffled.
     """
     spark = df.sparkSession
-    total = df.count()
-    ranked = global_row_number(df, id_col, out="_wl_ord", n_buckets=n_buckets, n_rows=total)
-    h = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
-    draws = spark.range(n).select(
-        (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.lit(max(total, 1)) + 1).alias("_wl_ord"))
-    return ranked.join(draws, "_wl_ord", "inner").drop("_wl_ord")
+
+    def ordinals(total: int) -> list[int]:
+        return [int(hashlib.md5(f"{j}:{seed}".encode()).hexdigest()[:15], 16) % max(total, 1) + 1 for j in range(n)]
+
+    keys = S.order_keys(df, id_col)
+    if keys is None:  # ids of a type that counting has no intervals for
+        total = df.count()
+        rows = global_row_number(df, id_col, out="_wl_ord", n_buckets=n_buckets, n_rows=total)
+    else:
+        budget = rank.ROWS_PER_BUCKET if not n_buckets else max(1, -(-df.count() // n_buckets))
+        at = S.locate(df, keys, lambda sizes: [ordinals(sizes[0])], budget=budget)
+        total, rows = at.sizes[0], S.rows_at(at, df.columns, "_wl_ord").drop("slot")
+    draws = spark.createDataFrame([(k,) for k in ordinals(total)], "_wl_ord bigint")  # n rows, a parameter
+    return rows.join(F.broadcast(draws), "_wl_ord", "inner").drop("_wl_ord")
 
 
 def reference_histogram(reference: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,

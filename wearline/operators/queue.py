@@ -65,56 +65,42 @@ def queue_counts(ranked: DataFrame, n_rows: int, fractions: list[float], label:
 def queue_counts_by_selection(scored: DataFrame, fractions: list[float], score: str = "risk",
                               label: str = "machine_failure", id_col: str = "product_id",
                               extra_flags: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
-    """Same output as ``queue_counts`` without ranking every row.
-
-    The order (score desc, id asc) is cut into range buckets; one aggregate gives each
-    bucket's row count and failure counts (a P-row table). An empty input gives no rows. A budget of n rows takes
-    whole buckets up to the one holding position n, and only that "cut" bucket (at most
-    one per fraction) is sorted to take its first n - offset rows. At scale this is one
-    scan plus a tiny aggregate plus sorting <= len(fractions) buckets, instead of a full
-    shuffle and sort of all rows.
-    """
-    from pyspark.sql import Window
+    """Same output as ``queue_counts`` without ranking every row. An empty input gives no rows.
 
+    The order is (score desc, id asc). ``selection.cut`` finds the row at every budget's end by counting; its score and id
+    then stand as literals in one aggregate over the rows, whose result is one row. The table is scanned
+    and never shuffled or sorted. Of rows equal in score and id those without a flag come first.
+    """
     from wearline.operators import rank
-    from wearline.operators.rank import BUCKET, KEY, add_order_buckets
+    from wearline.operators import selection as S
+
     cols = [label, *extra_flags]
-    n_rows = scored.count()
-    p = n_buckets or rank._default_buckets(scored, n_rows, rank.ROWS_PER_BUCKET)
-    if p <= 1 or not n_rows:  # nothing to review: no rows
-        ranked = global_row_number(scored, score, descending=True, tie=id_col, out=QUEUE_RANK, n_buckets=1)
-        counts = queue_counts(ranked, n_rows, fractions, label, extra_flags)
-        return counts if n_rows else counts.limit(0)
-    b = add_order_buckets(scored.select(id_col, score, *cols), score, descending=True, tie=id_col, n_buckets=p)
-    per = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).cast("bigint").alias(f"_s_{c}") for c in cols])
-    w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # over <= P rows
-    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    budgets = b.sparkSession.createDataFrame(
-        [(i, float(f), budget_size(n_rows, f)) for i, f in enumerate(fractions)], "_i int, review_fraction double, _b long")
-    grid = budgets.crossJoin(F.broadcast(per))  # fractions x buckets: both tiny, bounded by P
-    full = (grid.filter(F.col("_off") + F.col("_n") <= F.col("_b"))
-            .groupBy("_i").agg(*[F.sum(f"_s_{c}").alias(f"_f_{c}") for c in cols]))
-    cut = grid.filter((F.col("_off") < F.col("_b")) & (F.col("_off") + F.col("_n") > F.col("_b"))).select(
-        "_i", BUCKET, (F.col("_b") - F.col("_off")).alias("_k"))
-    # sort only the cut buckets (semi join on a table of <= len(fractions) rows)
-    hot = b.join(F.broadcast(cut.select(BUCKET).distinct()), BUCKET, "left_semi")
-    wr = Window.partitionBy(BUCKET).orderBy(F.col(KEY).desc_nulls_last(), F.col(id_col).asc_nulls_last())
-    hot = hot.withColumn("_r", F.row_number().over(wr))
-    part = (hot.join(F.broadcast(cut), BUCKET, "inner").filter(F.col("_r") <= F.col("_k"))
-            .groupBy("_i").agg(*[F.sum(c).alias(f"_c_{c}") for c in cols]))
-    totals = per.agg(*[F.sum(f"_s_{c}").cast("bigint").alias(f"total_{c}") for c in cols])
-    out = (budgets.join(full, "_i", "left").join(part, "_i", "left").crossJoin(F.broadcast(totals)))
-    got = {c: (F.coalesce(F.col(f"_f_{c}"), F.lit(0)) + F.coalesce(F.col(f"_c_{c}"), F.lit(0))).cast("bigint")
-           for c in cols}
-    return out.select(
-        F.lit(n_rows).cast("bigint").alias("total_rows"),
-        F.col(f"total_{label}").alias("total_failures"),
-        *[F.col(f"total_{fl}") for fl in extra_flags],
-        "review_fraction",
-        F.least(F.col("_b"), F.lit(n_rows)).cast("bigint").alias("reviewed_assets"),
-        got[label].alias("captured_failures"),
-        *[got[fl].alias(f"captured_{fl}") for fl in extra_flags],
-    )
+    d = scored.select(id_col, score, *cols)
+    keys = S.order_keys(d, score, descending=True, tie=id_col)
+    if keys is None:  # keys of a type that counting has no intervals for
+        ranked, n_rows = rank_queue(d, score, id_col, n_buckets)
+        return queue_counts(ranked, n_rows, fractions, label, extra_flags)
+    budget = rank.ROWS_PER_BUCKET if not n_buckets else max(1, -(-d.count() // n_buckets))
+    ends = S.cut(d, keys, lambda sizes: [[min(budget_size(sizes[0], f), sizes[0]) for f in fractions]], budget=budget)
+    n_rows = ends.sizes[0]
+    if not n_rows:  # nothing to review: no rows
+        return queue_counts(d.withColumn(QUEUE_RANK, F.lit(0)), 0, fractions, label, extra_flags).limit(0)
+    sizes = [min(budget_size(n_rows, f), n_rows) for f in fractions]
+    aggs = [F.sum(c).cast("bigint").alias(f"total_{c}") for c in cols]
+    for i, b in enumerate(sizes):
+        inside, level = ends.before(0, b), ends.level(0, b)
+        aggs += [F.count_if(inside).alias(f"_n{i}"), F.count_if(level).alias(f"_e{i}")]
+        aggs += [F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).cast("bigint").alias(f"_{x}{i}_{c}") for c in cols for x, w in (("s", inside), ("t", level))]
+
+    def taken(i: int, b: int, c: str):
+        """Flags before the cut and those of its level rows that still fit."""
+        return F.col(f"_s{i}_{c}") + F.greatest(F.lit(0), F.lit(b) - F.col(f"_n{i}") - F.col(f"_e{i}") + F.col(f"_t{i}_{c}"))
+
+    budgets = [F.struct(F.lit(float(f)).alias("review_fraction"), F.lit(b).cast("bigint").alias("reviewed_assets"),
+                        *[taken(i, b, c).cast("bigint").alias(f"captured_{c}") for c in cols]) for i, (f, b) in enumerate(zip(fractions, sizes, strict=True))]
+    out = d.agg(*aggs).select(*[f"total_{c}" for c in cols], F.inline(F.array(*budgets)))
+    return out.select(F.lit(n_rows).cast("bigint").alias("total_rows"), F.col(f"total_{label}").alias("total_failures"), *[f"total_{c}" for c in extra_flags],
+                      "review_fraction", "reviewed_assets", F.col(f"captured_{label}").alias("captured_failures"), *[f"captured_{c}" for c in extra_flags])
 
 
 def review_queue(scored: DataFrame, score: str = "risk", label: str = "machine_failure",

@@ -22,6 +22,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wearline.session import stage
 
@@ -208,9 +209,8 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
                     out: str = "q", n_buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles by selection; NULL and NaN are ignored.
 
-    No full sort: bucket counts locate each target position; a bucket holding a single value
-    answers directly; only the at most ``2 * len(fractions)`` buckets per group that hold a
-    target are ranked. Returns one row per group: ``by..., n, <out> array<double>``.
+    Above one bucket of rows nothing is sorted or shuffled but the few values around the wanted positions.
+    Returns one row per group: ``by..., n, <out> array<double>``.
     """
     by = list(by)
     d = df.select(*by, F.col(col).cast("double").alias("_wl_x")).filter(F.col("_wl_x").isNotNull() & ~F.isnan("_wl_x"))
@@ -226,42 +226,53 @@ def exact_quantiles(df: DataFrame, col: str, fractions: list[float], *, by: list
 
         # a global aggregate of no rows is one row: none as for groups
         return s.filter(F.col("n") > 0).select(*by, "n", F.transform(fr, at).alias(out))
-    # equal values may be dealt to several buckets: any order among them serves
-    b = add_order_buckets(d.withColumn("_wl_any", F.monotonically_increasing_id()), "_wl_x", tie="_wl_any", by=by, n_buckets=p).drop("_wl_any")
-    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_c"), F.min(KEY).alias("_mn"), F.max(KEY).alias("_mx"))
-    w = Window.partitionBy(*by).orderBy(BUCKET)
-    per = per.select(*by, BUCKET, "_c", "_mn", "_mx",
-                     (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-                     F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                     .alias("n"))
-    per = stage(per.withColumn("_off", F.coalesce("_off", F.lit(0))), "bucket-counts")
-    # target 1-based positions per fraction: lo = floor(h) + 1, hi = lo + 1 (capped at n)
-    groups = per.select(*by, "n").distinct()
-    targets = groups.select(*by, "n", F.posexplode(fr).alias("_i", "_f"))
-    targets = targets.withColumn("_h", (F.col("n") - 1).cast("double") * F.col("_f"))
-    targets = targets.withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-    targets = targets.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("n")))
-    pos = targets.select(*by, "n", "_i", "_h", "_lo", F.explode(F.array(
-        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_p")),
-        F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_p")))).alias("_s")).select(*by, "n", "_i", "_h", "_lo", "_s.*")
-    # targets (2F rows per group) against bucket stats (<= P rows per group): small tables only
-    loc = join_groups(pos, per.drop("n"), by) if by else pos.crossJoin(F.broadcast(per.drop("n")))
-    loc = stage(loc.filter((F.col("_p") > F.col("_off")) & (F.col("_p") <= F.col("_off") + F.col("_c")))
-                .withColumn("_k", F.col("_p") - F.col("_off")), "targets")
-    # rank only the buckets that hold a target and more than one value
-    need = loc.filter(F.col("_mn") != F.col("_mx"))
-    hot = join_groups(b, need.select(*by, BUCKET).distinct(), by, [BUCKET], "left_semi")
-    hot = hot.withColumn("_k", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(KEY)).cast("bigint"))
-    picked = join_groups(need, hot.select(*by, BUCKET, "_k", F.col(KEY).alias("_v")), by, [BUCKET, "_k"])
-    cols = [*by, "n", "_i", "_h", "_lo", "_side", "_v"]
-    vals = loc.filter(F.col("_mn") == F.col("_mx")).withColumn("_v", F.col("_mn")).select(*cols).unionByName(picked.select(*cols))
-    lohi = vals.groupBy(*by, "n", "_i", "_h", "_lo").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"))
-    frac = F.col("_h") - (F.col("_lo") - 1).cast("double")
-    res = lohi.withColumn("_q", _between(F.col("_vlo"), F.col("_vhi"), frac))
-    return (res.groupBy(*by, "n")
-            .agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_qs"))
-            .select(*by, "n", F.transform("_qs", lambda s: s["_q"]).alias(out)))
+    return _selected_quantiles(d, by, fractions, out, p)
+
+
+def _selected_quantiles(d: DataFrame, by: list[str], fractions: list[float], out: str, p: int) -> DataFrame:
+    """Quantiles of ``_wl_x`` without a shuffle of the rows, by counting (``selection.locate``); groups above the number
+    that stands as literals in a plan are ranked instead."""
+    from wearline.operators import selection as S
+
+    spark = d.sparkSession
+    found = S.group_slots(d, by) if by else ([()], F.lit(0))
+    if found is None:
+        return _ranked_quantiles(d, by, fractions, out, p)
+    groups, slot = found
+
+    def places(n: int) -> list[tuple[int, int, float]]:
+        h = [(n - 1) * f for f in fractions]
+        return [(math.floor(x) + 1, min(math.floor(x) + 2, n), x - math.floor(x)) for x in h]
+
+    def wanted(sizes):
+        return [[k for lo, hi, _ in places(n) for k in (lo, hi)] if n else [] for n in sizes]
+
+    budget = max(1, math.ceil(d.count() / p))
+    at = S.cut(d, [F.col("_wl_x") + F.lit(0.0)], wanted, slot=slot, n_slots=len(groups), budget=budget)
+    value = {k: v[0] for k, v in at.values.items()}
+    rows = []
+    for s, (g, n) in enumerate(zip(groups, at.sizes, strict=True)):
+        if n:
+            rows.append((*g, n, [_between(value[s, lo], value[s, hi], frac) for lo, hi, frac in places(n)]))
+    kinds = [d.schema[c] for c in by] + StructType.fromDDL(f"n bigint, {out} array<double>").fields
+    return spark.createDataFrame(rows, StructType(kinds))  # one row per group
+
+
+def _ranked_quantiles(d: DataFrame, by: list[str], fractions: list[float], out: str, p: int) -> DataFrame:
+    """For very many groups: every value's rank in its group, and the groups' few rows of interest."""
+    b = global_row_number(d.withColumn("_wl_any", F.monotonically_increasing_id()), "_wl_x", tie="_wl_any", by=by, out="_k", n_buckets=p)
+    sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    h = F.transform(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: (F.col("n") - 1).cast("double") * f)
+    sizes = sizes.withColumn("_lo", F.transform(h, lambda x: F.floor(x) + 1)).withColumn("_frac", F.transform(h, lambda x: x - F.floor(x).cast("double")))
+    ends = F.concat("_lo", F.transform("_lo", lambda k: F.least(k + 1, F.col("n"))))
+    want = sizes.select(*by, F.explode(F.array_distinct(ends)).alias("_k"))
+    kept = join_groups(b, want, by, ["_k"], "left_semi").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_wl_x"))).alias("_at"))
+    both = join_groups(sizes, kept, by)
+
+    def value(lo, frac):
+        return _between(F.element_at("_at", lo), F.element_at("_at", F.least(lo + 1, F.col("n"))), frac)
+
+    return both.select(*by, "n", F.zip_with("_lo", "_frac", value).alias(out))
 
 
 def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] | tuple,
