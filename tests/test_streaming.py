@@ -107,13 +107,6 @@ def _closed(spark, t):
     return t.unionByName(last.select(*t.columns))
 
 
-def _latest(spark, out):
-    from pyspark.sql import Window
-    res = spark.read.parquet(out)
-    newest = F.max("batch_id").over(Window.partitionBy("window_start", "feature"))
-    return {(r.window_start, r.feature): round(r.psi, 9) for r in res.withColumn("_m", newest).filter("batch_id = _m").collect()}
-
-
 def test_wear_stream_takes_late_ticks_and_nulls(spark, scratch):
     """One second late inside the watermark, a NULL increment, an empty file."""
     cols = [f.name for f in TELEMETRY_SCHEMA.fields]
@@ -134,17 +127,80 @@ def test_wear_stream_takes_late_ticks_and_nulls(spark, scratch):
 
 
 def test_drift_monitor_one_window_over_three_files(spark, scratch):
-    from wearline.operators import drift
+    """Cells that a batch does not touch keep their count; categories the reference lacks, NULLs and NaN are in their place."""
     batch_in, _ = _land_daily_files(spark, scratch)
     feats = ["torque_nm", "rpm"]
-    edges, shares = drift.reference_histogram(batch_in, feats)
-    want = jobs.psi_per_window(jobs.windowed_bin_counts(batch_in, edges, window="1 day"), edges, shares)
-    want = {(r.window_start, r.feature): round(r.psi, 9) for r in want.collect()}
+    odd = F.when(F.col("tick_id") % 11 == 0, F.lit(None)).when(F.col("tick_id") % 13 == 0, F.lit("new")).otherwise(F.col("machine_type"))
+    edges, frozen = jobs.frozen_histogram(batch_in, feats, ["machine_type"])
+    live = batch_in.withColumns({"machine_type": odd, "rpm": F.when(F.col("tick_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("rpm"))})
+
+    def rounded(df):
+        return {(r.window_start, r.feature): round(r.psi, 9) for r in df.collect()}
+
+    want = rounded(jobs.psi_of_cells(jobs.windowed_cells(live, edges, ["machine_type"]), frozen))
     for name, order in (("in", [0, 1, 2]), ("out", [2, 0, 1])):
         src = os.path.join(scratch, f"thirds-{name}")
         for i, part in enumerate(order):
-            batch_in.filter(F.floor(F.hour("ts") / 8) == part).coalesce(1).write.parquet(os.path.join(src, f"day={i}"))
+            live.filter(F.floor(F.hour("ts") / 8) == part).coalesce(1).write.parquet(os.path.join(src, f"day={i}"))
         out = os.path.join(scratch, f"psi-{name}")
-        q = jobs.start_drift_monitor(_flat_source(spark, src), edges, shares, out, os.path.join(scratch, f"ckd-{name}"), watermark="30 days")
+        q = jobs.start_drift_monitor(_flat_source(spark, src), edges, frozen, ["machine_type"], out, os.path.join(scratch, f"ckd-{name}"), watermark="30 days")
         q.awaitTermination(300)
-        assert _latest(spark, out) == want and len(want) == 12
+        assert rounded(jobs.current_drift(spark.read.parquet(out), frozen)) == want and len(want) == 18
+
+
+def _feed(spark, folder, *files):
+    cols = {f.name: f.dataType for f in TELEMETRY_SCHEMA.fields}
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "tick_id long, ts string, machine_id long, machine_type string, production_inc int, scrap_inc int, downtime_s double, wear_inc double, tool_change boolean")
+        df = df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in cols.items()])
+        df.coalesce(1).write.parquet(os.path.join(folder, f"day={i}"))
+    return read_telemetry_stream(spark, os.path.join(folder, "day=*"), 1)
+
+
+BIG = 9007199254740993
+ODD = [[(BIG, "2024-01-01 00:00:00", 1, "a", 2, 0, 1.5, 1.0, False), (None, "2024-01-01 00:00:00", 1, "b", 1, 1, None, 2.0, None), (7, None, 1, "c", 9, 9, 9.0, 9.0, True)],
+       [(BIG + 2, "2024-01-01 00:30:00", 1, "a", None, None, 0.5, None, True), (5, "2024-01-01 00:40:00", None, "n", 3, 0, 0.0, 4.0, False), (6, "2024-01-01 00:50:00", 1, "d", 0, 2, 0.0, 0.25, False)],
+       [(1, "2024-03-01 00:00:00", 2, "late", 0, 0, 0.0, 1.0, False)],
+       [(8, "2024-03-02 00:00:00", 1, "again", 4, 0, 0.0, 3.0, False)], [(9, "2024-06-01 00:00:00", -1, "end", 0, 0, 0.0, 0.0, False)]]
+
+
+def test_null_ids_and_times(spark, scratch):
+    """NULL ids stay NULL and come last of their time, ids keep all digits, ticks without time are left out."""
+    q = write_stream(jobs.wear_tracking(_feed(spark, scratch + "/w", *ODD)), "memory", "odd_wear", scratch + "/ckw")
+    q.awaitTermination(300)
+    got = [(r.machine_id, r.tick_id, r.tool_wear_min) for r in spark.table("odd_wear").where("machine_id is null or machine_id > 0").orderBy("machine_id", "ts", F.col("tick_id").asc_nulls_last()).collect()]
+    assert got == [(None, 5, 4.0), (1, BIG, 1.0), (1, None, 3.0), (1, BIG + 2, 0.0), (1, 6, 0.25), (1, 8, 3.25), (2, 1, 1.0)]
+
+
+def test_last_readings_and_board_forget_silent_machines(spark, scratch):
+    """After 30 silent days (of event time) a machine starts anew; NULL ids are in the lists."""
+    q = write_stream(jobs.recent_readings(_feed(spark, scratch + "/r", *ODD), n=3), "memory", "odd_recent", scratch + "/ckr", mode="update")
+    q.awaitTermination(300)
+    rows = spark.table("odd_recent").where("machine_id = 1").collect()
+    assert sorted((r.batch_seq, r.recency, repr(r.tick_id)) for r in rows) == [
+        (1, 1, "8"), (1, 1, repr(BIG)), (1, 2, "None"), (2, 1, "6"), (2, 2, repr(BIG + 2)), (2, 3, repr(BIG))]
+    q = write_stream(jobs.live_board(_feed(spark, scratch + "/b", *ODD), n=2), "memory", "odd_board", scratch + "/ckb", mode="update")
+    q.awaitTermination(300)
+    rows = spark.table("odd_board").where("machine_id = 1").orderBy("ts").collect()
+    assert [(r.batch_seq, r.tick_id, r.production, r.scrap, r.downtime_s) for r in rows] == [(1, BIG, 3, 1, 1.5), (2, 6, 3, 3, 2.0), (1, 8, 4, 0, 0.0)]
+    assert [[(e.tick_id, e.event) for e in r.events] for r in rows] == [[(None, "b")], [(6, "d"), (BIG + 2, "a")], []]
+    assert rows[1].kinds == {"b": 1, "a": 1, "d": 1} and rows[2].kinds == {}
+
+
+def test_a_model_published_between_batches_takes_over(spark, scratch):
+    from wearline.plans.streams import closed_form_pipeline
+
+    feed = _feed(spark, scratch + "/m", *[[(i, "2024-01-01 00:00:00", 1, "a", 0, 0, 0.0, 1.0, False)] for i in range(2)]).withColumns(
+        {"torque_nm": F.lit(55.0), "tool_wear_min": F.lit(200.0), "air_temp_k": F.lit(300.0), "process_temp_k": F.lit(309.0), "rpm": F.lit(1.0)})
+    args = (f"{scratch}/models", f"{scratch}/out", f"{scratch}/ck", ["tick_id", "risk"])
+    import pytest
+
+    with pytest.raises(Exception, match="no published model"):
+        jobs.start_scoring(feed, f"{scratch}/none", f"{scratch}/o", f"{scratch}/c", ["tick_id"]).awaitTermination()
+    jobs.publish_model(closed_form_pipeline(11000.0), args[0], 1)
+    jobs.start_scoring(feed, *args).awaitTermination()
+    (spark.read.schema(TELEMETRY_SCHEMA).parquet(scratch + "/m/day=0").withColumn("tick_id", F.lit(5).cast("long")).coalesce(1).write.parquet(scratch + "/m/day=7"))
+    jobs.publish_model(closed_form_pipeline(5500.0), args[0], 2)
+    jobs.start_scoring(feed, *args).awaitTermination()
+    got = {r.tick_id: (r.model_version, r.risk) for r in spark.read.parquet(args[1]).collect()}
+    assert got == {0: (1, 0.5), 1: (1, 0.5), 5: (2, 2 / 3)}

@@ -203,17 +203,28 @@ wcells AS (
 )"""
 
 
+#: A15 per window: shares of all rows of the window, NULL categories in the totals only
+WINDOW_CATEGORICAL_SQL = """ckat AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, machine_type FROM curd),
+cat_win AS (SELECT window_start, count(*) AS total FROM ckat GROUP BY 1),
+cat_ref AS (SELECT machine_type AS category, count(*) / (SELECT count(*) FROM refd)::DOUBLE AS share FROM refd WHERE machine_type IS NOT NULL GROUP BY 1),
+cat_all AS (SELECT category FROM cat_ref UNION SELECT machine_type FROM ckat WHERE machine_type IS NOT NULL),
+cat_w AS (
+    SELECT w.window_start, coalesce(r.share, 0.0) AS ref_share, (SELECT count(*) FROM ckat k WHERE k.window_start = w.window_start AND k.machine_type = a.category) / w.total::DOUBLE AS cur_share,
+           r.share IS NULL AS fresh
+    FROM cat_win w CROSS JOIN cat_all a LEFT JOIN cat_ref r ON r.category = a.category
+)"""
+
+
 @register("drift_by_window", ids="A13 A14 W1", oracle=with_(READINGS, SIDES_SQL, psi_sql(), WINDOW_SQL) + """
 SELECT window_start, feature,
        round(sum((greatest(cur_share, 1e-4::DOUBLE) - greatest(ref_share, 1e-4::DOUBLE))
                  * ln(greatest(cur_share, 1e-4::DOUBLE) / greatest(ref_share, 1e-4::DOUBLE))), 4) AS psi
 FROM wcells GROUP BY window_start, feature""")
 def q_drift_by_window(spark, sf_dir):
-    from wearline.streaming.jobs import psi_per_window, windowed_bin_counts
+    from wearline.streaming.jobs import frozen_histogram, psi_of_cells, windowed_cells
     ref, cur = sides(spark, sf_dir)
-    edges, shares = drift.reference_histogram(ref, NUMERIC)
-    counts = windowed_bin_counts(cur, edges, window="1 day")  # the streaming job's step, run in batch
-    out = psi_per_window(counts, edges, shares)
+    edges, frozen = frozen_histogram(ref, NUMERIC, [])
+    out = psi_of_cells(windowed_cells(cur, edges, [], window="1 day"), frozen)  # the streaming job's steps, run in batch
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "feature",
                       F.round("psi", 4).alias("psi"))
 

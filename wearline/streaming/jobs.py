@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType,
-                               TimestampType)
 
 from wearline.functions import constants as C
 from wearline.functions.columns import heuristic_rul, risk_band
-from wearline.operators.drift import bin_counts
+from wearline.operators.drift import bin_of, reference_histogram
 from wearline.operators.features import add_derived_features
 from wearline.operators.telemetry import oee_columns
+from wearline.session import stage
+from wearline.streaming.state import keep_state_on_disk, live_board, production_stats, recent_readings, wear_tracking
+
+__all__ = ["current_drift", "frozen_histogram", "keep_state_on_disk", "live_board", "live_scoring", "newest_version", "production_stats", "psi_of_cells",
+           "publish_model", "recent_readings", "start_drift_monitor", "start_scoring", "wear_tracking", "windowed_cells", "windowed_oee"]
 
 # --- R1 live scoring (stateless) ---------------------------------------------------------
 
@@ -53,137 +51,108 @@ def windowed_oee(stream: DataFrame, window: str = "1 hour", watermark: str = "10
                     *[v.alias(k) for k, v in oee_columns("production", "scrap", "downtime_s", elapsed).items()])
 
 
-# --- R3 wear with reset (keyed state) ----------------------------------------------------------
-
-WEAR_OUT = StructType([
-    StructField("machine_id", LongType()), StructField("tick_id", LongType()), StructField("ts", TimestampType()),
-    StructField("tool_change", BooleanType()), StructField("tool_wear_min", DoubleType()),
-])
-WEAR_STATE = StructType([
-    StructField("wear", DoubleType()),
-    StructField("ticks", ArrayType(LongType())), StructField("micros", ArrayType(LongType())),
-    StructField("changes", ArrayType(BooleanType())), StructField("incs", ArrayType(DoubleType())),
-])
-
-
-def _wear_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ticks wait in the state until the watermark has passed them, then they are taken in (ts, tick) order:
-    whatever is late within the watermark is in its place. NULL increments count 0."""
-    wear, held = 0.0, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, float)]
-    if state.exists:
-        wear, *lists = state.get
-        held = [np.array(x, d) for x, d in zip(lists, (np.int64, np.int64, bool, float))]
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            new = [pdf["tick_id"].to_numpy(np.int64), pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(),
-                   pdf["tool_change"].fillna(False).to_numpy(bool), pdf["wear_inc"].fillna(0.0).to_numpy(float)]
-            held = [np.concatenate(x) for x in zip(held, new)]
-    mark = state.getCurrentWatermarkMs() * 1000
-    order = np.lexsort((held[0], held[1]))
-    held = [x[order] for x in held]
-    n = int(np.searchsorted(held[1], mark, side="right"))
-    if n:
-        out = np.empty(n)
-        for i in range(n):
-            wear = 0.0 if held[2][i] else wear + held[3][i]
-            out[i] = wear
-        yield pd.DataFrame({"machine_id": key[0], "tick_id": held[0][:n], "ts": held[1][:n].astype("datetime64[us]"),
-                            "tool_change": held[2][:n], "tool_wear_min": out})
-    rest = [x[n:] for x in held]
-    state.update((float(wear), *[x.tolist() for x in rest]))
-    if len(rest[1]):  # come back when the watermark has passed the first that waits
-        state.setTimeoutTimestamp(max(int(rest[1][0] // 1000) - 1, state.getCurrentWatermarkMs() + 1))
-
-
-def wear_tracking(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Wear per machine that accumulates and resets on a tool change; equals batch W9 on all ticks that
-    are not later than the watermark. A tick is emitted when the watermark has passed it; a machine's state
-    is its wear and the ticks of one watermark delay."""
-    s = stream.withWatermark("ts", watermark).select("machine_id", "tick_id", "ts", "tool_change", "wear_inc")
-    return s.groupBy("machine_id").applyInPandasWithState(
-        _wear_state_fn, WEAR_OUT, WEAR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# --- R4 last-N readings (keyed state holding at most N rows) ----------------------------------------
-
-RECENT_OUT = StructType([
-    StructField("machine_id", LongType()), StructField("tick_id", LongType()), StructField("ts", TimestampType()),
-    StructField("recency", IntegerType()), StructField("batch_seq", LongType()),
-])
-RECENT_STATE = StructType([
-    StructField("ticks", ArrayType(LongType())),
-    StructField("stamps", ArrayType(TimestampType())),
-    StructField("seq", LongType()),
-])
-
-
-def _recent_fn_factory(n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)[["tick_id", "ts"]]
-        if state.exists:
-            ticks, stamps, seq = state.get
-            prev = pd.DataFrame({"tick_id": list(ticks), "ts": pd.to_datetime(list(stamps))})
-            pdf = pd.concat([prev, pdf], ignore_index=True)
-        else:
-            seq = 0
-        top = pdf.sort_values(["ts", "tick_id"], ascending=False, kind="mergesort").head(n)
-        seq += 1
-        state.update(([int(t) for t in top["tick_id"]], [pd.Timestamp(t).to_pydatetime() for t in top["ts"]], seq))
-        yield pd.DataFrame({"machine_id": key[0], "tick_id": top["tick_id"].to_numpy(), "ts": top["ts"].to_numpy(),
-                            "recency": np.arange(1, len(top) + 1, dtype="int32"), "batch_seq": seq})
-    return fn
-
-
-def recent_readings(stream: DataFrame, n: int = C.RECENT_READINGS) -> DataFrame:
-    """After each micro-batch, the current last ``n`` ticks of every machine seen in it
-    (update mode; ``batch_seq`` orders the emissions). State holds at most n rows per key."""
-    s = stream.select("machine_id", "tick_id", "ts")
-    return s.groupBy("machine_id").applyInPandasWithState(
-        _recent_fn_factory(n), RECENT_OUT, RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
+# --- R1 with a saved, replaceable model ------------------------------------------------------------
+
+
+def publish_model(model, folder: str, version: int) -> None:
+    """Save a fitted pipeline as ``version`` of the folder; it counts from the moment its mark is written."""
+    from wearline.ml import estimators
+
+    estimators.save(model, f"{folder}/version={version}")
+    spark = SparkSession.active()
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ready/{version}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The highest published version (a listing of the folder's marks, one a version)."""
+    ready = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ready")
+    fs = ready.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [int(f.getPath().getName()) for f in fs.listStatus(ready)] if fs.exists(ready) else []
+    if not versions:
+        raise FileNotFoundError(f"no published model in {folder}")
+    return max(versions)
+
+
+def start_scoring(stream: DataFrame, models: str, out_path: str, checkpoint: str, columns: list[str], wear_col: str = "tool_wear_min",
+                  available_now: bool = True):
+    """Every micro-batch is scored by the version that is newest when it begins, and keeps it to its end; a version
+    published meanwhile serves the next one. Rows carry ``model_version``; a repeated batch replaces its own rows."""
+    from wearline.ml import estimators
+
+    held: dict = {}
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        version = newest_version(batch.sparkSession, models)
+        if held.get("version") != version:
+            held.update(version=version, model=estimators.load(f"{models}/version={version}"))
+        scored = live_scoring(batch, held["model"], wear_col).withColumn("model_version", F.lit(version))
+        scored.select(*columns, "model_version").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(per_batch)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 # --- R5 windowed drift against a frozen reference ------------------------------------------------
 
 
-def windowed_bin_counts(stream: DataFrame, edges: dict[str, list[float]], window: str = "1 day",
-                        watermark: str = "1 hour") -> DataFrame:
-    """R5 step 1: one row per window with the counts of every bin of every feature (breakpoints of the
-    frozen reference as literals). The row is the window's whole state, so an update of a window
-    carries all its bins, also those that did not change."""
+def frozen_histogram(reference: DataFrame, numeric: list[str], categorical: list[str], n_buckets: int | None = None) -> tuple[dict[str, list[float]], DataFrame]:
+    """The reference's interior breakpoints per numeric feature, and its histogram ``(feature, bin, ref_share)``: all bins of
+    numeric features (empty ones share 0), every category of categorical ones (shares of all rows, NULL included)."""
+    edges, shares = reference_histogram(reference, numeric, n_buckets=n_buckets)
+    spark = reference.sparkSession
+    rows = [(f, str(i), float(v)) for f, vs in shares.items() for i, v in enumerate(vs)]  # features x bins
+    table = spark.createDataFrame(rows, "feature string, bin string, ref_share double")
+    if categorical:
+        wide = reference.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], categorical, "feature", "bin")
+        counts = wide.groupBy("feature", "bin").agg(F.count("*").alias("n"))
+        total = F.sum("n").over(Window.partitionBy("feature"))  # over the categories
+        counts = counts.withColumn("ref_share", F.col("n") / total.cast("double")).where("bin is not null")
+        table = table.unionByName(counts.select("feature", "bin", "ref_share"))
+    return edges, stage(table, "frozen-histogram")
+
+
+def windowed_cells(stream: DataFrame, edges: dict[str, list[float]], categorical: list[str], window: str = "1 day",
+                   watermark: str = "1 hour") -> DataFrame:
+    """R5 step 1: ``(w, feature, bin, n)``, one row per window, feature and bin or category. Values of numeric features without
+    a bin (NULL, NaN) are not counted, NULL categories are, as the batch form does."""
     src = stream.withWatermark("ts", watermark) if stream.isStreaming else stream  # batch twin: no watermark
-    return src.groupBy(F.window("ts", window).alias("w")).agg(*bin_counts(edges, {"n": None}))
-
-
-def psi_per_window(counts: DataFrame, edges: dict[str, list[float]], shares: dict[str, list[float]]) -> DataFrame:
-    """R5 step 2 (batch, e.g. inside ``foreachBatch``): PSI per (window, feature) against the frozen
-    reference shares; empty bins count with epsilon, features without values in a window give no row."""
-    eps = C.PSI_EPS
-    rows = []
-    for f, interior in edges.items():
-        n = [F.col(f"n__{f}__{i}") for i in range(len(interior) + 1)]
-        total = sum(n[1:], n[0])
-        psi = F.lit(0.0)
-        for c, r in zip(n, shares[f]):
-            cur, ref = F.greatest(c / F.greatest(total, F.lit(1)).cast("double"), F.lit(eps)), F.lit(max(float(r), eps))
-            psi = psi + (cur - ref) * F.log(cur / ref)
-        rows.append(F.struct(F.lit(f).alias("feature"), total.alias("n"), psi.alias("psi")))
-    out = counts.select(F.col("w.start").alias("window_start"), F.inline(F.array(*rows)))
-    return out.filter(F.col("n") > 0).select("window_start", "feature", "psi")
-
-
-def start_drift_monitor(stream: DataFrame, edges: dict[str, list[float]], shares: dict[str, list[float]],
-                        out_path: str, checkpoint: str, window: str = "1 day", watermark: str = "1 hour",
-                        available_now: bool = True):
-    """R5 end to end: windowed bin counts as a stateful stream (update mode); in each
-    micro-batch (``foreachBatch``) the updated windows' PSI against the frozen reference
-    shares is written to ``out_path`` under the batch id (a repeated batch replaces its own rows).
-    The latest row per (window_start, feature) is the current PSI of that window."""
-    counts = windowed_bin_counts(stream, edges, window, watermark)
-
-    def per_batch(batch_df: DataFrame, batch_id: int) -> None:
-        psi = psi_per_window(batch_df, edges, shares)
-        psi.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    cells = [F.struct(F.lit(f).alias("feature"), bin_of(F.col(f).cast("double"), interior).cast("string").alias("bin"), F.lit(True).alias("numeric")) for f, interior in edges.items()]
+    cells += [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin"), F.lit(False).alias("numeric")) for c in categorical]
+    long = src.select("ts", F.inline(F.array(*cells))).where("bin is not null or not numeric")
+    return long.groupBy(F.window("ts", window).alias("w"), "feature", "bin").agg(F.count("*").alias("n"))
+
+
+def psi_of_cells(cells: DataFrame, frozen: DataFrame) -> DataFrame:
+    """R5 step 2 over the cells of whole windows: PSI per (window, feature) against the frozen shares; bins and categories that
+    one side lacks count with epsilon."""
+    total = cells.groupBy("w", "feature").agg(F.sum("n").alias("total"))
+    grid = total.join(frozen, "feature").select("w", "feature", "bin", "total", "ref_share")
+    known = cells.where("bin is not null").select("w", "feature", "bin", "n")
+    new = known.join(frozen.select("feature", "bin"), ["feature", "bin"], "left_anti").join(total, ["w", "feature"])  # categories the reference has not
+    both = grid.join(known, ["w", "feature", "bin"], "left").select("w", "feature", "total", "ref_share", "n").unionByName(
+        new.select("w", "feature", "total", F.lit(0.0).alias("ref_share"), "n"))
+    cur = F.greatest(F.coalesce("n", F.lit(0)) / F.col("total").cast("double"), F.lit(C.PSI_EPS))
+    ref = F.greatest("ref_share", F.lit(C.PSI_EPS))
+    return both.groupBy(F.col("w.start").alias("window_start"), "feature").agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
+
+
+def start_drift_monitor(stream: DataFrame, edges: dict[str, list[float]], frozen: DataFrame, categorical: list[str], out_path: str, checkpoint: str,
+                        window: str = "1 day", watermark: str = "1 hour", available_now: bool = True):
+    """R5 end to end: windowed counts as a stateful stream (update mode: a batch gives out the cells it changed), joined to the
+    frozen histogram as the static side, written under the batch id (a repeated batch replaces its own rows).
+    ``current_drift`` reads the sink."""
+    keep_state_on_disk(stream.sparkSession)
+    counts = windowed_cells(stream, edges, categorical, window, watermark).join(frozen, ["feature", "bin"], "left")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(per_batch)
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def current_drift(sink: DataFrame, frozen: DataFrame) -> DataFrame:
+    """PSI per (window, feature) of all that a monitor has written: each cell's last count, against the frozen shares."""
+    cells = sink.groupBy("w", "feature", "bin").agg(F.max_by("n", "batch_id").alias("n"))
+    return psi_of_cells(cells, frozen)
