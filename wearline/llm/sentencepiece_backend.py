@@ -38,7 +38,7 @@ from wearline.llm.common import arrow_map, per_worker
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: characters worked on at once, bytes of units and their ids that a worker remembers
-SLICE, REMEMBER = 1 << 19, 24 << 20
+SLICE, REMEMBER = 1 << 19, 64 << 20
 #: bytes that one remembered unit takes besides its characters and ids (dictionary entry, string, offsets)
 ENTRY = 180
 #: units encoded as one pre-split text, and at once
