@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
 from wearline.functions.columns import failure_label, round4, safe_div0
+from wearline.ml import boosting
 from wearline.ml import estimators as P
 from wearline.ml.parallel import side_by_side
 from wearline.ml.split import stratified_split
 from wearline.operators import features, metrics
 from wearline.operators.rank import global_row_number
-from wearline.session import ensure_checkpoint_dir
+from wearline.session import ensure_checkpoint_dir, stage
 
 
 def split_frames(df: DataFrame, label: str = "machine_failure", seed: int = C.RANDOM_SEED,
@@ -36,7 +37,13 @@ def split_frames(df: DataFrame, label: str = "machine_failure", seed: int = C.RA
 
 def fit_score(kind: str, train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str],
               label: str = "machine_failure", weight: str | None = "weight", **params):
-    """Fit one pipeline and score the test rows; returns (model, scored, seconds)."""
+    """Fit one model and score the test rows; returns (model, scored, seconds). ``histogram`` is the library's own booster
+    (``params`` are those of ``boosting.Spec``), every other kind a Spark pipeline."""
+    if kind == "histogram":
+        t0 = time.perf_counter()
+        (model,) = boosting.fit(train, numeric, categorical, [boosting.Spec(label, weight=weight, **params)])
+        secs = time.perf_counter() - t0
+        return model, P.positive_probability(model.transform(test)), secs
     est = P.classifier(kind, label=label, weight=weight, **params)
     pipe = P.build(numeric, categorical, est)
     t0 = time.perf_counter()
@@ -52,9 +59,9 @@ def benchmark(train: DataFrame, test: DataFrame, numeric: list[str], categorical
     prior = P.prior_scores(train, test, label)
     parts.append(prior.select(id_col, label, "score", F.lit("dummy_baseline").alias("model")))
     secs["dummy_baseline"] = 0.0
-    for name, kind, w in (("logistic_regression", "logistic", "weight"), ("random_forest", "forest", "weight"),
-                          ("hist_gradient_boosting", "boosting", None)):
-        _, scored, s = fit_score(kind, train, test, numeric, categorical, label, w)
+    for name, kind, w, params in (("logistic_regression", "logistic", "weight", {}), ("random_forest", "forest", "weight", {}),
+                                  ("hist_gradient_boosting", "histogram", None, {"max_depth": 5})):
+        _, scored, s = fit_score(kind, train, test, numeric, categorical, label, w, **params)
         parts.append(scored.select(id_col, label, "score", F.lit(name).alias("model")))
         secs[name] = s
     allp = parts[0]
@@ -73,21 +80,26 @@ def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categ
     flag_cols = flag_cols or {c: c.lower() for c in C.FAILURE_CODES}
     pos = train.agg(*[F.sum(F.col(c)).cast("bigint").alias(code) for code, c in flag_cols.items()]).first()
 
-    def one(mode):
-        code, col = mode
-        weighted = features.class_weights(train.drop("weight"), col, mode="ratio")
-        _, scored, _ = fit_score("boosting", weighted, test, numeric, categorical, label=col, weight="weight",
-                                 maxDepth=4, minInstancesPerNode=5, **params)
-        return scored.select(id_col, F.col(col).alias("y"), "score", F.lit(code).alias("failure_code"),
-                             F.lit(int(pos[code])).cast("bigint").alias("train_failures"))
-
     modes = [(code, col) for code, col in flag_cols.items() if (pos[code] or 0) >= min_positives]
-    parts = side_by_side(train.sparkSession, one, modes)
-    if not parts:
+    if not modes:
         return train.sparkSession.createDataFrame([], "failure_code string")
+    weighted = train.drop("weight")
+    for _, col in modes:
+        weighted = features.class_weights(weighted, col, mode="ratio").withColumnRenamed("weight", f"_weight_{col}")
+    specs = [boosting.Spec(col, weight=f"_weight_{col}", **{"max_depth": 4, "min_leaf": 5, **params}) for _, col in modes]
+    models = boosting.fit(weighted, numeric, categorical, specs)  # all modes together
+    parts = [P.positive_probability(model.transform(test)).select(id_col, F.col(col).alias("y"), "score", F.lit(code).alias("failure_code"),
+                                                                  F.lit(int(pos[code])).cast("bigint").alias("train_failures"))
+             for (code, col), model in zip(modes, models, strict=True)]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
+    return mode_report(allp, id_col, fraction)
+
+
+def mode_report(allp: DataFrame, id_col: str = "product_id", fraction: float = C.PRIMARY_REVIEW_FRACTION) -> DataFrame:
+    """M13's table for scored holdouts ``failure_code, id, y, score, train_failures`` of all modes: metrics and the
+    capture of each mode's own queue."""
     rm = metrics.binary_metrics_from_confusion(metrics.ranking_metrics(allp, "y", "score", by=["failure_code"]))
     # capture at the budget: exact per-mode rank by score (bucketed), n = max(1, ceil(N f))
     ranked = global_row_number(allp, "score", descending=True, tie=id_col, by=["failure_code"], out="_r")
@@ -110,18 +122,24 @@ def per_mode_models(train: DataFrame, test: DataFrame, numeric: list[str], categ
 
 def robustness(df: DataFrame, numeric: list[str], categorical: list[str], seeds: list[int] | None = None,
                label: str = "machine_failure", id_col: str = "product_id", **params):
-    """M2: refit on independent stratified splits; the scored holdouts of all seeds are
-    unioned (seed as a column) and evaluated in one grouped pass; A17 mean / population std."""
-    def one(seed):
-        train, test = split_frames(df, label, seed)
-        _, scored, _ = fit_score("boosting", train, test, numeric, categorical, label, None, **params)
-        return scored.select(id_col, label, "score", F.lit(seed).alias("split_seed"))
-
+    """M2: refit on independent stratified splits, all of them in one fit (a seed's holdout has no label in that seed's
+    model); the scored holdouts are unioned (seed as a column) and evaluated in one grouped pass; A17 mean / population std."""
+    seeds = seeds or C.ROBUSTNESS_SEEDS
+    d = df
+    for seed in seeds:
+        d = stratified_split(d, label=label, id_col=id_col, seed=seed).withColumnRenamed("is_test", f"_test_{seed}")
+    d = stage(d.withColumns({f"_y_{s}": F.when(F.col(f"_test_{s}") == 0, F.col(label)) for s in seeds}), "splits")
+    models = boosting.fit(d, numeric, categorical, [boosting.Spec(f"_y_{s}", **params) for s in seeds])
     scored_all = None
-    for part in side_by_side(df.sparkSession, one, seeds or C.ROBUSTNESS_SEEDS):
+    for seed, model in zip(seeds, models, strict=True):
+        part = P.positive_probability(model.transform(d.where(f"_test_{seed} = 1"))).select(id_col, label, "score", F.lit(seed).alias("split_seed"))
         scored_all = part if scored_all is None else scored_all.unionByName(part)
-    per = metrics.model_metrics(scored_all, label, "score", by=["split_seed"]).select("split_seed", "roc_auc",
-                                                                                       "pr_auc", "f1")
+    return seed_metrics(scored_all, label)
+
+
+def seed_metrics(scored_all: DataFrame, label: str = "machine_failure", score: str = "score"):
+    """The metrics of every split, and A17 over them."""
+    per = metrics.model_metrics(scored_all, label, score, by=["split_seed"]).select("split_seed", "roc_auc", "pr_auc", "f1")
     return per, metrics.mean_and_pop_std(per, ["roc_auc", "pr_auc"])
 
 
@@ -130,12 +148,16 @@ def feature_delta(train: DataFrame, test: DataFrame, raw: list[str], enhanced: l
     """Same parameters, raw vs enhanced features; delta = enhanced - raw."""
     def one(named):
         name, cols = named
-        _, scored, _ = fit_score("boosting", train, test, cols, categorical, label, None, **params)
+        _, scored, _ = fit_score("histogram", train, test, cols, categorical, label, None, **params)
         m = metrics.model_metrics(scored, label, "score", by=[])
         return m.select(F.lit(name).alias("feature_set"), "roc_auc", "pr_auc", "f1")
 
     out = side_by_side(train.sparkSession, one, [("raw_features", raw), ("enhanced_features", enhanced)])
-    both = out[0].unionByName(out[1])
+    return metric_delta(out[0].unionByName(out[1]))
+
+
+def metric_delta(both: DataFrame) -> DataFrame:
+    """Two rows of metrics (``feature_set``) side by side with their differences."""
     wide = both.agg(*[F.max(F.when(F.col("feature_set") == s, F.col(c))).alias(f"{s}_{c}")
                       for s in ("raw_features", "enhanced_features") for c in ("roc_auc", "pr_auc", "f1")])
     return wide.select(*[round4(F.col(f"enhanced_features_{c}") - F.col(f"raw_features_{c}")).alias(f"delta_{c}")
