@@ -106,3 +106,17 @@ def test_null_groups_and_null_keys_at_every_size(spark):
     want = {k: sorted(map(repr, v.collect())) for k, v in ops(1).items()}
     assert [sum("g=None" in r for r in want[k]) for k in want] == [1, 3, 30] and any("id=7, g='b', s=181" in r for r in want["rolling"])
     assert {k: sorted(map(repr, v.collect())) for k, v in ops(8).items()} == want
+
+
+@pytest.mark.parametrize("p", [1, 8])
+def test_sums_of_any_size(spark, p):
+    """Values beyond decimals count in running and in segmented sums, at every size."""
+    rows = [(i, v) for i, v in enumerate([1.0, 1e27, 2.0, None, 1e-15, NAN, -1e27, 0.25, float("inf")])]
+    df = spark.createDataFrame(rows, "k long, v double").withColumn("r", F.col("k") == -1)
+    run = [r.s for r in rank.running_sums(df, "k", {"s": "v"}, n_buckets=p).orderBy("k").collect()]
+    seg = [r.s for r in rank.segmented_sum(df, "k", "v", "r", "s", n_buckets=p).orderBy("k").collect()]
+    assert run == seg == [1.0, 1e27, 1e27, 1e27, 1e27, 1e27, 3.0, 3.25, float("inf")]
+    tiny = spark.createDataFrame([(i, 1e-15) for i in range(20)], "k long, v double")
+    assert max(r.s for r in rank.running_sums(tiny, "k", {"s": "v"}, n_buckets=p).collect()) == pytest.approx(2e-14)
+    late = spark.createDataFrame([(0, None), (1, 4.0)], "k long, v double")
+    assert [r.s for r in rank.running_sums(late, "k", {"s": "v"}, n_buckets=p).orderBy("k").collect()] == [None, 4.0]

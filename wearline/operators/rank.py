@@ -12,7 +12,9 @@ buckets, with the same result to the last bit:
 2. exact per-bucket counts and sums (a P-row table) give each bucket its offset;
 3. ``row_number`` / running sums inside each bucket plus the offset.
 
-Sums of doubles run over decimals (12 places), so they do not depend on the buckets.
+Sums of doubles run over decimals (12 places), so they do not depend on the buckets; values that decimals do not
+hold (beyond 1e24, between 0 and 1e-3, infinities) are summed as doubles beside them and added, in running and in
+segmented sums alike.
 """
 
 from __future__ import annotations
@@ -84,12 +86,12 @@ def add_order_buckets(df: DataFrame, key: str, *, descending: bool = False, tie:
     return stage(ranged.withColumn(BUCKET, F.spark_partition_id().cast("bigint")), "ranges")
 
 
-def _offsets(bucketed: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Exact per-bucket totals turned into exclusive prefix offsets (small table)."""
+def _offsets(bucketed: DataFrame, by: list[str], sums: dict[str, Column], zero: bool = True) -> DataFrame:
+    """Exact per-bucket totals turned into exclusive prefix offsets (small table): 0, or NULL, where nothing precedes."""
     per = bucketed.groupBy(*by, BUCKET).agg(*[v.alias(k) for k, v in sums.items()])
     w = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*by, BUCKET, *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_wl_off_{k}")
-                                     for k in sums])
+    before = {k: F.sum(k).over(w) for k in sums}
+    return per.select(*by, BUCKET, *[(F.coalesce(c, F.lit(0)) if zero else c).alias(f"_wl_off_{k}") for k, c in before.items()])
 
 
 def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
@@ -134,12 +136,34 @@ def _one_bucket(bucketed: DataFrame) -> bool:
     return not bucketed.schema[BUCKET].nullable
 
 
-def _summand(df: DataFrame, col: str) -> tuple[Column, str | None]:
-    """What is summed, and the type the sum goes back to: doubles are summed as decimals."""
-    kind = df.schema[col].dataType.simpleString()
-    if kind in ("double", "float"):
-        return F.when(~F.isnan(col), F.col(col)).try_cast(EXACT), "double"
-    return F.col(col), None
+#: sizes of doubles that decimals of 26 + 12 places hold well
+LEAST_EXACT, MOST_EXACT = 1e-3, 1e24
+
+
+def _exact_part(x: Column) -> Column:
+    """The value as a decimal, where its size allows it; NULL otherwise (and for NaN and NULL)."""
+    return F.when((x == 0) | F.abs(x).between(LEAST_EXACT, MOST_EXACT), x).try_cast(EXACT)
+
+
+def _other_part(x: Column) -> Column:
+    """Very large, very small and infinite values, which are summed as doubles; NULL for all others."""
+    return F.when(~F.isnan(x) & (x != 0) & ~F.abs(x).between(LEAST_EXACT, MOST_EXACT), x)
+
+
+def _summands(df: DataFrame, col: str) -> list[Column]:
+    """What is summed: a double as its exact part and the rest."""
+    if df.schema[col].dataType.simpleString() in ("double", "float"):
+        x = F.col(col).cast("double")
+        return [_exact_part(x), _other_part(x)]
+    return [F.col(col)]
+
+
+def _total(parts: list[Column]) -> Column:
+    """A sum put together from those of its parts: NULL where nothing has been summed."""
+    if len(parts) == 1:
+        return parts[0]
+    exact, rest = parts[0].cast("double"), parts[1]
+    return F.when(exact.isNull(), rest).when(rest.isNull(), exact).otherwise(exact + rest)
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: bool = False,
@@ -147,24 +171,26 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], *, descending: b
                  n_rows: int | None = None) -> DataFrame:
     """Exact running sums (rows frame, inclusive) in ``(key, tie)`` order.
 
-    ``sums`` maps output column -> input column.
+    ``sums`` maps output column -> input column. NaN counts as NULL; a sum is NULL before its first value.
     """
     by = list(by)
     b = add_order_buckets(df, key, descending=descending, tie=tie, by=by, n_buckets=n_buckets, n_rows=n_rows)
-    what = {o: _summand(df, src) for o, src in sums.items()}
+    what = {o: _summands(df, src) for o, src in sums.items()}
     frame = (Window.unboundedPreceding, Window.currentRow)
     if _one_bucket(b):
         w = Window.partitionBy(*by).orderBy(*_order(descending, tie)).rowsBetween(*frame)
-        return b.withColumns({o: _back(F.sum(c).over(w), t) for o, (c, t) in what.items()}).drop(BUCKET, KEY)
-    off = _offsets(b, by, {o: F.sum(c) for o, (c, _) in what.items()})
+        return b.withColumns({o: _total([F.sum(c).over(w) for c in cs]) for o, cs in what.items()}).drop(BUCKET, KEY)
+    parts = {f"{o}_{i}": c for o, cs in what.items() for i, c in enumerate(cs)}
+    off = _offsets(b, by, {k: F.sum(c) for k, c in parts.items()}, zero=False)
     w = Window.partitionBy(*by, BUCKET).orderBy(*_order(descending, tie)).rowsBetween(*frame)
     res = _join_offsets(b, off, by)
-    total = {o: _back(F.sum(c).over(w) + F.col(f"_wl_off_{o}"), t) for o, (c, t) in what.items()}
-    return res.withColumns(total).drop(BUCKET, KEY, *[f"_wl_off_{o}" for o in sums])
 
+    def both(k: str) -> Column:
+        here, before = F.sum(parts[k]).over(w), F.col(f"_wl_off_{k}")
+        return F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before)
 
-def _back(c: Column, kind: str | None) -> Column:
-    return c.cast(kind) if kind else c
+    total = {o: _total([both(f"{o}_{i}") for i in range(len(cs))]) for o, cs in what.items()}
+    return res.withColumns(total).drop(BUCKET, KEY, *[f"_wl_off_{k}" for k in parts])
 
 
 def segmented_sum(df: DataFrame, key: str, value: str, reset: str, out: str, *, tie: str | None = None,
@@ -183,21 +209,28 @@ def segmented_sum(df: DataFrame, key: str, value: str, reset: str, out: str, *,
     is_reset = F.coalesce(F.col(reset), F.lit(False))
     part = [*by, BUCKET]
     rows = b.withColumn("_wl_seg", F.sum(is_reset.cast("int")).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)))
-    inc = F.when(is_reset | F.isnan(value), F.lit(0)).otherwise(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).cast(EXACT)
-    rows = rows.withColumn("_wl_inc", inc).withColumn(
-        "_wl_sum", F.sum("_wl_inc").over(Window.partitionBy(*part, "_wl_seg").orderBy(*order).rowsBetween(*frame)))
+    x = F.when(~is_reset, F.col(value).cast("double"))
+    parts = {"_wl_a": F.coalesce(_exact_part(x), F.lit(0).cast(EXACT)), "_wl_b": F.coalesce(_other_part(x), F.lit(0.0))}
+    inside = Window.partitionBy(*part, "_wl_seg").orderBy(*order).rowsBetween(*frame)
+    rows = rows.withColumns(parts).withColumns({f"{p}_sum": F.sum(p).over(inside) for p in parts})
+    temporary = ["_wl_seg", *parts, *[f"{p}_sum" for p in parts], BUCKET, KEY]
     if _one_bucket(b):
-        return rows.withColumn(out, F.col("_wl_sum").cast("double")).drop("_wl_seg", "_wl_inc", "_wl_sum", BUCKET, KEY)
-    per = rows.groupBy(*part, "_wl_seg").agg(F.sum("_wl_inc").alias("_wl_t")).groupBy(*part).agg(
-        F.max("_wl_seg").alias("_wl_last"), F.max_by("_wl_t", "_wl_seg").alias("_wl_tail"))
+        return rows.withColumn(out, F.col("_wl_a_sum").cast("double") + F.col("_wl_b_sum")).drop(*temporary)
+    per = rows.groupBy(*part, "_wl_seg").agg(*[F.sum(p).alias(p) for p in parts]).groupBy(*part).agg(
+        F.max("_wl_seg").alias("_wl_last"), *[F.max_by(p, "_wl_seg").alias(p) for p in parts])
     before = Window.partitionBy(*by).orderBy(BUCKET)
     # stretches of buckets that begin with one that has a reset; what such a stretch has gathered so far
     per = per.withColumn("_wl_run", F.sum((F.col("_wl_last") > 0).cast("int")).over(before.rowsBetween(*frame)))
-    so_far = F.sum("_wl_tail").over(Window.partitionBy(*by, "_wl_run").orderBy(BUCKET).rowsBetween(*frame))
-    per = per.withColumn("_wl_so_far", so_far).withColumn("_wl_off_c", F.coalesce(F.lag("_wl_so_far").over(before), F.lit(0).cast(EXACT)))
-    res = _join_offsets(rows, per.select(*by, BUCKET, "_wl_off_c"), by)
-    carried = F.when(F.col("_wl_seg") == 0, F.col("_wl_off_c")).otherwise(F.lit(0).cast(EXACT))
-    return res.withColumn(out, (F.col("_wl_sum") + carried).cast("double")).drop("_wl_seg", "_wl_inc", "_wl_sum", "_wl_off_c", BUCKET, KEY)
+    stretch = Window.partitionBy(*by, "_wl_run").orderBy(BUCKET).rowsBetween(*frame)
+    per = per.withColumns({f"{p}_so": F.sum(p).over(stretch) for p in parts})
+    per = per.select(*by, BUCKET, *[F.lag(f"{p}_so").over(before).alias(f"_wl_off{p}") for p in parts])
+    res = _join_offsets(rows, per, by)
+
+    def carried(p: str) -> Column:
+        return F.coalesce(F.when(F.col("_wl_seg") == 0, F.col(f"_wl_off{p}")), F.lit(0))
+
+    return res.withColumn(out, (F.col("_wl_a_sum") + carried("_wl_a")).cast("double") + (F.col("_wl_b_sum") + carried("_wl_b"))).drop(
+        *temporary, *[f"_wl_off{p}" for p in parts])
 
 
 def _between(lo: Column, hi: Column, frac: Column) -> Column:
