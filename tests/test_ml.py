@@ -57,6 +57,28 @@ def test_fingerprint_order_free(spark):
     assert a.rows == b.rows and a.sha256 == b.sha256
 
 
+def test_fingerprint_tells_rows_apart(spark):
+    def of(*rows):
+        return W.fingerprint(spark.createDataFrame(list(rows), "a string, b string, x double, n long")).first().sha256
+
+    one = ("a", "b", 1.0000001, 1)
+    others = [("a|b", "", 1.0000001, 1), ("ab", "", 1.0000001, 1), ("", "ab", 1.0000001, 1), ("a", "b", 1.0000004, 1), ("a", "b", 1.0000001 + 2**-52, 1), ("a", None, 1.0000001, 1),
+              ("a", "", 1.0000001, 1), ("a", "b", -1.0000001, 1), ("a", "b", None, 1), ("a", "b", float("nan"), 1), ("a", "b", float("inf"), 1), ("a", "b", 5e-324, 1), ("a", "b", 1e308, 1),
+              ("a", "b", 0.0, 1), ("a", "b", 1.0, 1), ("a", "b", 2.0, 1), ("a", "b", 1.0000001, None), ("1", "b", 1.0000001, 1), ("é", "b", 1.0000001, 1)]
+    seen = [of(one), *[of(o) for o in others], of(one, one), of(one, others[0])]
+    assert len(set(seen)) == len(seen) and of(one, others[0]) == of(others[0], one) and of(("a", "b", -0.0, 1)) == of(("a", "b", 0.0, 1))
+
+
+def test_group_folds_are_of_even_size(spark):
+    sizes = [1, 40, 3, 3, 17, 8, 8, 8, 2, 29, 5, 5, 11, 1, 1, 6, 30, 9, 4, 12, 13]
+    df = spark.createDataFrame([(u if u else None, i) for u, n in enumerate(sizes) for i in range(n)], "unit_number long, t long")
+    out = group_folds(df)
+    assert out.count() == sum(sizes) and out.groupBy("unit_number").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
+    rows = [r["count"] for r in out.groupBy("fold").count().collect()]
+    assert len(rows) == 5 and max(rows) - min(rows) <= max(sizes)
+    assert group_folds(df.limit(0)).count() == 0
+
+
 def test_sampled_shapley_sums_to_score_gap(spark):
     from wearline.ml.shapley import sampled_shapley
     from wearline.ml.split import background_sample

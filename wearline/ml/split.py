@@ -77,7 +77,18 @@ def group_fold(unit_col: str, k: int = C.CV_FOLDS, salt: str = "") -> Column:
 
 
 def group_folds(df: DataFrame, unit_col: str = "unit_number", k: int = C.CV_FOLDS, salt: str = "") -> DataFrame:
-    return df.withColumn("fold", group_fold(unit_col, k, salt))
+    """M4: ``fold`` per unit, a unit never in two folds, folds of nearly equal row counts.
+
+    The units (a row each, with their row counts) are ordered by size, the largest first, ties by a hash of unit and salt, and
+    dealt in serpentine order 0 .. k-1, k-1 .. 0 and so on, so folds differ by at most one largest unit. Rows of a NULL unit
+    are a unit. Only the unit table is ranked; the rows are joined to it."""
+    sizes = df.groupBy(unit_col).agg(F.count(F.lit(1)).alias("_wl_n"))
+    h = F.md5(F.concat(F.coalesce(F.col(unit_col).cast("string"), F.lit("")), F.lit(salt)))
+    order = F.struct((-F.col("_wl_n")).alias("n"), h.alias("h"), F.col(unit_col).alias("u"))
+    dealt = global_row_number(sizes.withColumn("_wl_at", order), "_wl_at", out="_wl_r")
+    place = (F.col("_wl_r") - 1) % (2 * k)
+    fold = F.when(place < k, place).otherwise(2 * k - 1 - place).cast("int")
+    return rank.join_groups(df, dealt.select(unit_col, fold.alias("fold")), [unit_col])
 
 
 def background_sample(df: DataFrame, n: int = C.BACKGROUND_SIZE, id_col: str = "product_id",

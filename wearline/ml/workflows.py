@@ -4,10 +4,11 @@ dataset fingerprint (A27)."""
 
 from __future__ import annotations
 
+import math
 import platform
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.functions import constants as C
@@ -164,15 +165,37 @@ def metric_delta(both: DataFrame) -> DataFrame:
                          for c in ("roc_auc", "pr_auc", "f1")], *wide.columns)
 
 
+def encoded_value(df: DataFrame, c: str) -> Column:
+    """One value as text that no other value has: ``n`` for NULL, otherwise a letter for its kind, the length of its text, a colon
+    and the text. A double is its exact significand (53 bits) and exponent of two, so that equal texts are equal bits."""
+    kind, x = df.schema[c].dataType.simpleString(), F.col(c)
+    if kind in ("double", "float"):
+        x, size = x.cast("double"), F.abs(F.col(c).cast("double"))
+        guess = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
+        scaled = _times_two_to(size, -guess)
+        e = guess + (scaled >= 2).cast("int") - (scaled < 1).cast("int")
+        digits = _times_two_to(size, F.lit(52) - e).cast("bigint").cast("string")
+        text = F.when(F.isnan(x), F.lit("nan")).when(size == math.inf, F.lit("inf")).when(x == 0, F.lit("0")).otherwise(F.concat(digits, F.lit("p"), e.cast("string")))
+        letter, text = F.lit("d"), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)
+    else:
+        letter, text = F.lit("s" if kind == "string" else "t" if kind.startswith(("date", "timestamp")) else "i"), x.cast("string")
+    return F.when(x.isNull(), F.lit("n")).otherwise(F.concat(letter, F.octet_length(text).cast("string"), F.lit(":"), text))
+
+
+def _times_two_to(x: Column, k: Column) -> Column:
+    """x * 2**k in two exact steps, neither of which over- or underflows where the result does not."""
+    half = F.floor(k / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), k - half)
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row count and an order-free dataset hash: SHA-256 of the sum, over all rows, of the first 60
-    bits of the MD5 of the row's text (numbers as decimals of six places), which any engine can repeat."""
+    """Row count and an order-free dataset hash, which any engine can repeat: SHA-256 of ``rows:a:b``, where a and b are the
+    sums over all rows of two disjoint 60-bit parts of the MD5 of the row's encoded values."""
     columns = columns or df.columns
-    text = [F.coalesce((F.col(c).cast("decimal(30,6)") if df.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint")
-                        else F.col(c)).cast("string"), F.lit("")) for c in columns]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("decimal(38,0)")
-    agg = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("_h"))
-    return agg.select("rows", F.sha2(F.col("_h").cast("string"), 256).alias("sha256"))
+    h = F.md5(F.concat(*[encoded_value(df, c) for c in columns]).cast("binary"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).alias(n) for n, at in (("_a", 1), ("_b", 16))]
+    agg = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    return agg.select("rows", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("rows", "_a", "_b")]).cast("binary"), 256).alias("sha256"))
 
 
 def model_card(df: DataFrame, columns: list[str], dataset: str, seed: int = C.RANDOM_SEED) -> DataFrame:

@@ -122,10 +122,25 @@ def q_feature_delta(spark, sf_dir):
 FINGERPRINT = ["product_id", "machine_type", "machine_failure", *NUMERIC_FEATURES]
 
 
+def _encoded_sql(c: str) -> str:
+    """``workflows.encoded_value`` in SQL."""
+    if c in ("product_id", "machine_failure", "machine_type"):
+        letter = "s" if c == "machine_type" else "i"
+        return f"CASE WHEN {c} IS NULL THEN 'n' ELSE '{letter}' || strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    return f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'd' || strlen(t_{c}) || ':' || t_{c} END"
+
+
+def _double_sql(c: str) -> str:
+    guess = f"floor(log2(CASE WHEN {c} = 0 THEN 1.0::DOUBLE ELSE abs({c}) END))"
+    e = f"CAST({guess} + CAST(abs({c}) * pow(2.0::DOUBLE, -{guess}) >= 2 AS INTEGER) - CAST(abs({c}) * pow(2.0::DOUBLE, -{guess}) < 1 AS INTEGER) AS BIGINT)"
+    return (f"CASE WHEN {c} < 0 THEN '-' ELSE '' END || CASE WHEN {c} = 0 THEN '0' ELSE CAST(CAST(abs({c}) * pow(2.0::DOUBLE, 52 - {e}) AS BIGINT) AS VARCHAR) || 'p' || {e} END AS t_{c}")
+
+
 @register("fingerprint", ids="A27 F13", oracle=with_(READINGS) + f"""
-SELECT count(*) AS rows, sha256(coalesce(sum(('0x' || substr(md5(concat_ws('|', {', '.join(
-    f"coalesce(CAST({c} AS VARCHAR), '')" if c == "machine_type" else f"coalesce(CAST(CAST({c} AS DECIMAL(30,6)) AS VARCHAR), '')" for c in FINGERPRINT)})), 1, 15))::BIGINT), 0)::VARCHAR) AS sha256
-FROM readings""")
+, text AS (SELECT *, {', '.join(_double_sql(c) for c in NUMERIC_FEATURES)} FROM readings),
+h AS (SELECT md5({' || '.join(_encoded_sql(c) for c in FINGERPRINT)}) AS h FROM text)
+SELECT count(*) AS rows, sha256(count(*) || ':' || coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0) || ':' || coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0)) AS sha256
+FROM h""")
 def q_fingerprint(spark, sf_dir):
     return W.fingerprint(readings(spark, sf_dir), FINGERPRINT)
 

@@ -163,10 +163,12 @@ def q_trajectories(spark, sf_dir):
 
 
 @register("group_folds", ids="M4", oracle=with_(CYCLES) + f"""
-SELECT DISTINCT unit_number, CAST(('0x' || substr(md5(CAST(unit_number AS VARCHAR)), 1, 8))::BIGINT % {C.CV_FOLDS}
-       AS INTEGER) AS fold FROM cycles""")
+, unit AS (SELECT unit_number, count(*) AS n FROM cycles GROUP BY 1),
+dealt AS (SELECT *, (row_number() OVER (ORDER BY n DESC, md5(CAST(unit_number AS VARCHAR)), unit_number) - 1) % {2 * C.CV_FOLDS} AS p FROM unit)
+SELECT unit_number, n AS cycles, CAST(least(p, {2 * C.CV_FOLDS - 1} - p) AS INTEGER) AS fold FROM dealt""")
 def q_group_folds(spark, sf_dir):
-    return group_folds(cycles(spark, sf_dir).select("unit_number").distinct())
+    folded = group_folds(cycles(spark, sf_dir))
+    return folded.groupBy("unit_number", "fold").agg(F.count(F.lit(1)).alias("cycles"))
 
 
 @register("distinct_units", ids="A3", oracle=with_(CYCLES, EVAL_SQL) + """
