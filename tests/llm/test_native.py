@@ -150,6 +150,83 @@ def test_terms_of_single_values_and_every_use(spark):
     assert not any(words[i] for i in range(6000))
 
 
+def test_the_size_of_the_corpus_does_not_move_the_threshold(spark):
+    """The same texts among 7,000 and 64,000 others get the same spans."""
+    own = [(1, "Quorvex anna@corp.org " + "far away " * 20 + "zarnik", None, None, 0), (2, "tamtam " + "so it goes " * 9 + "bo@corp.org", None, None, 0), (3, "tamtam " + "so it went " * 9 + "bo@corp.org", None, None, 0)]
+    own += [(4 + i, f"plinth {i} " + "and so on " * 12 + "+1 555 123 4567 " + "xyz"[i], None, None, 0) for i in range(3)]
+    got = []
+    for n in (7_000, 64_000):
+        others = spark.range(100, 100 + n).selectExpr("id AS doc_id", "concat('far away so it goes and went on ', id) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")
+        rows = privacy.detect(docs(spark, data=own).unionByName(others)).where("doc_id < 100").collect()
+        got.append({r.doc_id: [(x.s, x.e, x.removed) for x in r.added] for r in rows})
+    assert got[0] == got[1] and [x[:2] for x in got[0][1]] == [(0, 7)] and not got[0][2] and [x[:2] for x in got[0][4]][0] == (0, 6)
+
+
+def brute_telling(texts: dict[int, str], near=privacy.NEAR) -> dict[str, bool]:
+    """term -> removed, straight from the definition; every text held once."""
+    import math
+
+    fold = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    words = {i: [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    uses = Counter(w for ws in words.values() for w in {fold(w) for w, _, _ in ws})
+    side, whole, seen = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in texts.items():
+        base = brute_spans(t)
+        for _, a, b in base:
+            e = t[a:b]
+            seen[e].add(i)
+            for w, s, f in words[i]:
+                if re.search("[0-9]", w):
+                    continue
+                whole[e, fold(w)].add(i)
+                left, right = max(a - near, 0), b + near
+                if ((left <= s and f <= a) or (b <= s and f <= right)) and not any(x < f and s < y for _, x, y in base):
+                    side[e, fold(w)].add(i)
+    out = {}
+    for held, m, most in ((side, privacy.PRIOR, privacy.NEAR_BITS), (whole, privacy.TEXT_PRIOR, privacy.TEXT_BITS)):
+        for (e, w), at in held.items():
+            p, k = len(seen[e]) / (len(texts) + 1), len(at)
+            left = -math.log2((k + m * p) / (uses[w] + m))
+            if left <= min(most, -privacy.SHARE * math.log2(p)):
+                out[w] = out.get(w, False) or left <= min(privacy.REMOVE_BITS, -privacy.REMOVE_SHARE * math.log2(p))
+    return out
+
+
+def test_telling_terms_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    texts = {}
+    for i in range(700):
+        ws = [f"w{'abcdefgh'[rnd.randrange(8)]}{'ijklm'[rnd.randrange(5)]}" for _ in range(30)]
+        if i % 9 == 0:
+            who = rnd.randrange(12)
+            ws.insert(rnd.randrange(31), ["ann@x.org", "bob@y.de", "10.0.0.7", "+44 20 7946 0958", "4111 1111 1111 1111", "c.d@e.fr"][who % 6])
+            ws.insert(rnd.randrange(31), ["Alpha", "beta", "GAMMA", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lamda", "mu"][who])
+        texts[i] = " ".join(ws)
+    want = {w: removed for w, removed in brute_telling(texts).items() if "@" not in w}  # uses inside a base span are part of it
+    found = privacy.detect(docs(spark, data=[(i, t, None, None, 0) for i, t in texts.items()])).collect()
+    got = {}
+    for r in found:
+        for x in r.added:
+            w = texts[r.doc_id][x.s:x.e].lower()
+            assert got.setdefault(w, x.removed) == x.removed
+    assert got == want and len(want) > 4
+
+
+def test_pages_of_many_matches(spark):
+    """Ten thousand addresses in one text cost seconds."""
+    import time
+
+    page = " ".join(f"user{i}@host{i}.org" for i in range(10_000))
+    df = docs(spark, data=[(1, page, None, None, 0)])
+    start = time.perf_counter()
+    (r,) = privacy.report(privacy.detect(df)).collect()
+    (clean,) = privacy.sanitise(df).collect()
+    assert r.n_email == 10_000 and r.spans.endswith(f"email:{len(page) - 20}:{len(page)}") and clean.text == " ".join(["[EMAIL]"] * 10_000)
+    assert time.perf_counter() - start < 120
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
