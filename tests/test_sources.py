@@ -74,3 +74,25 @@ def test_contract(spark):
     assert rep["ok"]
     with pytest.raises(AssertionError):
         assert_contract(df, ["roc_auc", "f1"], {"pr_auc": (0.8, 1.0)})
+
+
+def test_truth_in_byte_ranges_and_numbered_parts(spark, scratch):
+    """Lines are numbered over several splits of a file and over parts whose numbers outgrow their width."""
+    import os
+
+    values = [(i * 7919) % 300 for i in range(4000)]
+    os.makedirs(scratch + "/parts")
+    bounds = [0, 900, 901, 901, 2500, 4000]
+    for name, a, b in zip(["part-00007-x", "part-99999-x", "part-100000-x", "part-100001-x", "part-1000000-x"], bounds, bounds[1:]):
+        with open(f"{scratch}/parts/{name}", "w") as f:
+            f.write("".join(f"{v} \n" + ("\n" if k % 50 == 0 else "") for k, v in enumerate(values[a:b])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = files.read_truth(spark, scratch + "/parts")
+        assert spark.read.text(scratch + "/parts").select("_metadata.file_block_start").distinct().count() > 3
+        assert [(r.unit_ordinal, r.rul) for r in out.orderBy("unit_ordinal").collect()] == list(enumerate(values, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -56,17 +56,20 @@ def read_cycles_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one number per line; line n (1-based) belongs to the n-th unit in unit order.
-
-    Each file is read as one text and its lines are numbered in it; files follow each other by name, as
-    Spark writes the parts of a sorted frame. Offsets of files come from their line counts (a row a file)."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_f"), "value")
-    lines = text.select("_f", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("_i", "_v"))
-    counts = lines.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1))  # over files
-    offsets = counts.select(F.col("_f").alias("_g"), F.coalesce(before, F.lit(0)).alias("_o"))
-    return lines.join(offsets, F.col("_f") == F.col("_g")).select(
-        (F.col("_o") + F.col("_i") + 1).cast("long").alias("unit_ordinal"), F.trim("_v").cast("double").cast("int").alias("rul"))
+    """S3: one number per line; line n (1-based, blank lines not counted) belongs to the n-th unit in unit order.
+
+    Files are read in byte ranges, as Spark cuts them; lines are numbered within their range, and a range begins after the
+    lines of all ranges before it (a row a range). Files follow each other by the first number in their names, as Spark numbers
+    the parts of a sorted frame (part-99999 comes before part-100000), then by name."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                                         F.monotonically_increasing_id().alias("_at")).where(F.length(F.trim("value")) > 0)
+    ranges = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.try_to_number(F.nullif(F.regexp_extract("_f", "([0-9]+)", 1), F.lit("")), F.lit("9" * 38))
+    before = F.sum("_n").over(Window.orderBy(F.regexp_extract("_f", "^[^0-9]*", 0), number.asc_nulls_first(), "_f", "_b").rowsBetween(Window.unboundedPreceding, -1))  # over ranges
+    offsets = ranges.select(F.col("_f").alias("_g"), F.col("_b").alias("_h"), F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_at"))  # one byte range
+    return lines.withColumn("_i", inside).join(offsets, (F.col("_f") == F.col("_g")) & (F.col("_b") == F.col("_h"))).select(
+        (F.col("_o") + F.col("_i")).cast("long").alias("unit_ordinal"), F.trim("value").cast("double").cast("int").alias("rul"))
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
