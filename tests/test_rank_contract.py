@@ -120,3 +120,14 @@ def test_sums_of_any_size(spark, p):
     assert max(r.s for r in rank.running_sums(tiny, "k", {"s": "v"}, n_buckets=p).collect()) == pytest.approx(2e-14)
     late = spark.createDataFrame([(0, None), (1, 4.0)], "k long, v double")
     assert [r.s for r in rank.running_sums(late, "k", {"s": "v"}, n_buckets=p).orderBy("k").collect()] == [None, 4.0]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 40])
+def test_rolling_frames_over_short_buckets(spark, window):
+    """Frames longer than the buckets they reach into, over groups of one row and of many."""
+    rows = [(g, i) for g, n in (("a", 60), ("b", 1), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    want = {(g, i): sum(range(max(0, i - window + 1), i + 1)) for g, i in rows}
+    for p in (1, 7, 64):
+        out = rank.rolling_window(df, "k", lambda w: {"s": F.sum("k").over(w)}, window, ["g"], n_buckets=p)
+        assert {(r.g, r.k): r.s for r in out.collect()} == want and out.columns == ["g", "k", "s"]

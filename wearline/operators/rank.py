@@ -314,27 +314,28 @@ def rolling_window(df: DataFrame, key: str, exprs, window: int, by: list[str] |
 
     ``exprs(w)`` returns ``{name: Column}`` over the window spec ``w``. Inputs above one bucket are
     cut into key ranges; each bucket also receives the ``window - 1`` rows that precede it in its
-    group (its halo, found by exact row numbers and an equi-join), the frame is evaluated per
-    bucket and halo rows are dropped, so a unit holding a third of all rows is spread over
+    group (its halo: the last rows of the buckets before it, so that only those few rows move), the frame is
+    evaluated per bucket and halo rows are dropped, so a unit holding a third of all rows is spread over
     many tasks and every frame still sees exactly its preceding rows. ``key`` must be
     unique within a group (a cycle number, a timestamp with tie-free ticks).
     """
     by = list(by)
     b = add_order_buckets(df, key, by=by, n_buckets=n_buckets)
-    if _one_bucket(b):
-        return b.withColumns(exprs(Window.partitionBy(*by).orderBy(*_order(False, None)).rowsBetween(-(window - 1), Window.currentRow))).drop(BUCKET, KEY)
-    per = stage(_offsets(b, by, {"n": F.count(F.lit(1))}), "offsets")
-    ranked = _join_offsets(b, per, by).withColumn(
-        "_wl_rn", F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(F.col(KEY).asc_nulls_last())) + F.col("_wl_off_n")).drop("_wl_off_n")
-    # halo: the window - 1 rows before each bucket's first row, relabelled to that bucket
-    halo_pos = per.filter(F.col("_wl_off_n") > 0).select(
-        *[F.col(c).alias(f"_wl_j_{c}") for c in by], F.col(BUCKET).alias("_wl_target"),
-        F.explode(F.sequence(F.greatest(F.col("_wl_off_n") - (window - 2), F.lit(1)), F.col("_wl_off_n"))).alias("_wl_at"))
-    on = F.col("_wl_rn") == F.col("_wl_at")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_wl_j_{c}"))
-    halo = (ranked.drop(BUCKET).join(halo_pos, on, "inner").drop("_wl_at", *[f"_wl_j_{c}" for c in by])
-            .withColumnRenamed("_wl_target", BUCKET).withColumn("_wl_halo", F.lit(True)))
-    both = ranked.withColumn("_wl_halo", F.lit(False)).unionByName(halo)
+    if _one_bucket(b) or window < 2:  # a frame of one row needs no neighbours
+        part = [] if _one_bucket(b) else [BUCKET]
+        return b.withColumns(exprs(Window.partitionBy(*by, *part).orderBy(*_order(False, None)).rowsBetween(-(window - 1), Window.currentRow))).drop(BUCKET, KEY)
+    # groups x buckets: where each bucket begins, and the later buckets of its group whose first frames reach back into it
+    per = b.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("_wl_n"))
+    order = Window.partitionBy(*by).orderBy(BUCKET)
+    per = per.withColumn("_wl_off", F.coalesce(F.sum("_wl_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    later = F.collect_list(F.struct(F.col(BUCKET).alias("b"), F.col("_wl_off").alias("o"))).over(order.rowsBetween(1, window - 1))
+    per = stage(per.withColumn("_wl_to", later), "offsets")
+    # halo: the last window - 1 rows of a bucket, relabelled to the buckets that need them
+    rows = b.columns
+    last = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*_order(False, None))) + F.col("_wl_off")
+    halo = join_groups(b, per, by, [BUCKET]).withColumn("_wl_rn", last).filter(F.col("_wl_rn") > F.col("_wl_off") + F.col("_wl_n") - (window - 1))
+    halo = halo.withColumn("_wl_t", F.explode("_wl_to")).filter(F.col("_wl_rn") > F.col("_wl_t.o") - (window - 1))
+    halo = halo.withColumn(BUCKET, F.col("_wl_t.b")).select(*rows).withColumn("_wl_halo", F.lit(True))
+    both = b.withColumn("_wl_halo", F.lit(False)).unionByName(halo)
     wb = Window.partitionBy(*by, BUCKET).orderBy(*_order(False, None)).rowsBetween(-(window - 1), Window.currentRow)
-    return both.withColumns(exprs(wb)).filter(~F.col("_wl_halo")).drop(BUCKET, KEY, "_wl_rn", "_wl_halo")
+    return both.withColumns(exprs(wb)).filter(~F.col("_wl_halo")).drop(BUCKET, KEY, "_wl_halo")
