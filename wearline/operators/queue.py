@@ -124,15 +124,13 @@ def review_queue(scored: DataFrame, score: str = "risk", label: str = "machine_f
 
 def queue_roi(budgets: DataFrame) -> DataFrame:
     """Q3: review-queue ROI per budget level, in percent presentation."""
-    return budgets.select(
-        F.round(F.col("review_fraction") * 100, 0).alias("review_budget_pct"),
-        "reviewed_assets",
-        "captured_failures",
-        F.round(F.col("failure_capture_rate") * 100, 1).alias("failure_capture_rate_pct"),
-        F.round("yield_lift_vs_random", 2).alias("yield_lift_vs_random"),
-        F.round(safe_div(F.col("reviewed_assets").cast("double"), F.col("captured_failures")), 1)
-        .alias("assets_per_failure_caught"),
-    )
+    def percent(c: str, places: int):
+        return F.round(100 * F.col(c), places)
+
+    per_catch = safe_div(F.col("reviewed_assets").cast("double"), F.col("captured_failures"))
+    return budgets.select(percent("review_fraction", 0).alias("review_budget_pct"), "reviewed_assets", "captured_failures",
+                          percent("failure_capture_rate", 1).alias("failure_capture_rate_pct"),
+                          F.round("yield_lift_vs_random", 2).alias("yield_lift_vs_random"), F.round(per_catch, 1).alias("assets_per_failure_caught"))
 
 
 def capture_curve(scored: DataFrame, fractions: list[float], score: str = "risk",

@@ -136,7 +136,7 @@ def q_median_baseline(spark, sf_dir):
         round4("rmse").alias("baseline_rmse"), round4("phm08_score").alias("baseline_phm08"))
 
 
-@register("trajectories", ids="M17 P17 F14 J6", oracle=with_(CYCLES, EVAL_SQL) + f"""
+@register("trajectories", ids="M17 P17 F14 J3 J6", oracle=with_(CYCLES, EVAL_SQL) + f"""
 , units AS (SELECT DISTINCT unit_number FROM test ORDER BY unit_number LIMIT 3),
 final AS (SELECT unit_number, time_cycles AS final_cycle, true_rul FROM last),
 rows_ AS (
