@@ -96,3 +96,15 @@ def test_truth_in_byte_ranges_and_numbered_parts(spark, scratch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_staged_folders_can_be_cleared(spark, scratch):
+    from wearline.session import clear_staged, path_exists, stage, staged_so_far
+
+    kept = stage(spark.range(5), "kept")
+    mark = staged_so_far(spark)
+    gone = stage(spark.range(7), "gone")
+    path = gone.inputFiles()[0].rsplit("/", 1)[0]
+    assert gone.count() == 7 and path_exists(spark, path)
+    assert clear_staged(spark, mark) == 1 and not path_exists(spark, path)
+    assert kept.count() == 5 and clear_staged(spark, mark) == 0

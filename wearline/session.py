@@ -63,15 +63,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: folders that this program has staged, by application, until they are cleared
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, cut lineage, files that
-    survive a lost executor."""
+    survive a lost executor. Results that read it need the files; ``clear_staged`` removes them."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wearline-{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far(spark: SparkSession) -> int:
+    """A mark for ``clear_staged``: how many folders this application has staged."""
+    return len(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def clear_staged(spark: SparkSession, since: int = 0) -> int:
+    """Remove the folders staged by this application after the mark ``since``, once the results that read them have been written;
+    returns their number. Nothing else in the shared folder is touched."""
+    held = _STAGED.get(spark.sparkContext.applicationId, [])
+    gone, held[since:] = held[since:], []
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(gone)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on its own file system (the default one for a path without scheme)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
