@@ -17,6 +17,7 @@ from wearline.operators import metrics
 from wearline.plans.registry import register
 from wearline.plans.snapshot import SPLIT_SQL, auc_ap_sql
 from wearline.plans.views import READINGS, with_
+from wearline.session import stage
 from wearline.sources.adapters import CATEGORICAL_FEATURES, NUMERIC_FEATURES, readings
 
 
@@ -31,8 +32,13 @@ def _risk_sql(torque: str, wear: str) -> str:
     return f"{x} / (1.0 + {x})"
 
 
-def _split(spark, sf_dir, seed: int = C.RANDOM_SEED):
-    s = stratified_split(readings(spark, sf_dir), seed=seed)
+def _rows(spark, sf_dir):
+    """The readings, staged: splits and quantiles read them many times, and the parsing of the events stays out of their plans."""
+    return stage(readings(spark, sf_dir), "readings")
+
+
+def _split(spark, sf_dir):
+    s = stage(stratified_split(_rows(spark, sf_dir)), "split")
     return s.where("is_test = 0"), s.where("is_test = 1")
 
 
@@ -76,8 +82,9 @@ SELECT CAST(split_seed AS INTEGER) AS split_seed, roc_auc, pr_auc, round(avg(roc
 FROM per""")
 def q_closed_form_robustness(spark, sf_dir):
     """The holdouts of five independent stratified splits, scored and summarised as the refitted models are."""
-    parts = [_split(spark, sf_dir, seed)[1].select("product_id", "machine_failure", F.col("risk").alias("score"), F.lit(seed).alias("split_seed")) for seed in C.ROBUSTNESS_SEEDS]
-    per, summary = W.seed_metrics(reduce(lambda a, b: a.unionByName(b), parts))
+    rows = _rows(spark, sf_dir)
+    parts = [stratified_split(rows, seed=seed).where("is_test = 1").select("product_id", "machine_failure", F.col("risk").alias("score"), F.lit(seed).alias("split_seed")) for seed in C.ROBUSTNESS_SEEDS]
+    per, summary = W.seed_metrics(stage(reduce(lambda a, b: a.unionByName(b), parts), "holdouts"))
     return per.drop("f1").crossJoin(F.broadcast(summary))  # one row
 
 
@@ -136,7 +143,7 @@ FROM holed, med, st WHERE is_test = 1""")
 def q_preprocessed(spark, sf_dir):
     """Imputed, standardised and one-hot encoded holdout rows; every fiftieth row has lost its numbers."""
     holes = {f: F.when(F.col("product_id") % 50 != 0, F.col(f)) for f in NUMERIC_FEATURES}
-    s = stratified_split(readings(spark, sf_dir)).withColumns(holes)
+    s = stage(stratified_split(_rows(spark, sf_dir)).withColumns(holes), "split")
     out = P.preprocess(s.where("is_test = 0"), s.where("is_test = 1"), NUMERIC_FEATURES, CATEGORICAL_FEATURES)
     encoded = [c for c in out.columns if any(c.startswith(f"{k}_") for k in CATEGORICAL_FEATURES)]
     return out.select("product_id", *[F.round(f, 6).alias(f) for f in NUMERIC_FEATURES], *encoded)
