@@ -30,14 +30,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def per_worker(kind: str, key, make: Callable[[], object]):
-    """The one object of its kind that a Python worker keeps from task to task. This package travels by value, so
-    every task has globals of its own; a module of the worker itself outlives them. Another key replaces the object."""
+    """The one object that a Python worker keeps from task to task. This package travels by value, so every task has globals
+    of its own; a module of the worker itself outlives them. Another kind or key replaces the object: a worker lives
+    through all stages of a program, and what an earlier stage remembered (the codec's units) would stay beside a later one's."""
     name = "_wearline_worker"
-    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    if held.get(kind, (None,))[0] != key:
-        held.pop(kind, None)  # the old one goes before the new one is made
-        held[kind] = (key, make())
-    return held[kind][1]
+    module = sys.modules.setdefault(name, types.ModuleType(name))
+    if getattr(module, "held", (None,))[0] != (kind, key):
+        module.held = (None,)  # the old one goes before the new one is made
+        pa.default_memory_pool().release_unused()
+        module.held = ((kind, key), make())
+    return module.held[1]
 
 
 def partitions(spark: SparkSession) -> int:
