@@ -1,5 +1,6 @@
 """What large tables must not pay for twice: staged rows and splits, variants that are not scored to be counted."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
@@ -7,6 +8,7 @@ from wearline.ml import importance
 from wearline.ml import workflows as W
 from wearline.plans import closed_form
 from wearline.sources.adapters import NUMERIC_FEATURES, readings
+from wearline.streaming import state
 
 
 def reads_events(df) -> bool:
@@ -43,3 +45,11 @@ def test_split_frames_keep_all_rows_and_columns(spark):
     train, test = W.split_frames(whole)
     assert train.count() + test.count() == whole.count()
     assert train.drop("weight", "is_test").columns == whole.columns and test.where(F.col("is_test") != 1).count() == 0
+
+
+def test_waiting_ticks_are_entries_of_many():
+    ticks = np.zeros(2 * state.TICKS_AN_ENTRY + 1, state.TICK)
+    ticks["tick"] = np.arange(len(ticks))
+    entries = state._entries(ticks)
+    assert [len(np.frombuffer(e, state.TICK)) for (e,) in entries] == [state.TICKS_AN_ENTRY] * 2 + [1]
+    assert (np.concatenate([np.frombuffer(e, state.TICK) for (e,) in entries]) == ticks).all() and state._entries(ticks[:0]) == []

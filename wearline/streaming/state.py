@@ -86,17 +86,30 @@ class _Expiring(StatefulProcessor):
         pass
 
 
+#: a tick that waits, in the order in which ticks are given out; ticks of one list entry at most
+TICK = np.dtype([("micros", "<i8"), ("unnamed", "?"), ("tick", "<i8"), ("change", "?"), ("inc", "<f8")])
+TICKS_AN_ENTRY = 10_000
+
+
+def _entries(ticks: np.ndarray) -> list[tuple[bytes]]:
+    """Ticks as list entries of bounded size."""
+    return [(ticks[at:at + TICKS_AN_ENTRY].tobytes(),) for at in range(0, len(ticks), TICKS_AN_ENTRY)]
+
+
 class Wear(StatefulProcessor):
-    """R3. Value state: the wear so far. List state: the ticks that the watermark has not passed."""
+    """R3. Value state: the wear so far. List state: the ticks that the watermark has not passed, many an entry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.wear = handle.getValueState("wear", "wear double")
-        self.waiting = handle.getListState("waiting", f"{AT}, change boolean, inc double")
+        self.waiting = handle.getListState("waiting", "ticks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            self.waiting.appendList(list(zip(pdf.micros.tolist(), pdf.unnamed.tolist(), pdf.tick.tolist(), pdf.change.tolist(), pdf.inc.tolist(), strict=True)))
+            new = np.empty(len(pdf), TICK)
+            for name in TICK.names:
+                new[name] = pdf[name]
+            self.waiting.appendList(_entries(new))
         yield from self._settle(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -104,19 +117,18 @@ class Wear(StatefulProcessor):
 
     def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
         """Give out, in order, the ticks that the watermark has passed, and come back for the first that has to wait."""
-        held = list(self.waiting.get())
+        held = np.concatenate([np.zeros(0, TICK), *(np.frombuffer(entry[0], TICK) for entry in self.waiting.get())])
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        passed = sorted(t for t in held if t[0] <= mark)
-        rest = [t for t in held if t[0] > mark]
-        if passed:
-            micros, unnamed, tick, change, inc = (np.array(c) for c in zip(*passed, strict=True))
+        passed, rest = np.sort(held[held["micros"] <= mark], order=TICK.names), held[held["micros"] > mark]
+        if len(passed):
+            micros, unnamed, tick, change, inc = (passed[name] for name in TICK.names)
             wear = wear_after(self.wear.get()[0] if self.wear.exists() else 0.0, change, inc)
             self.wear.update((float(wear[-1]),))
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put(_entries(rest)) if len(rest) else self.waiting.clear()
             yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(passed), dtype="Int64"), "tick_id": _ids(unnamed, tick), "ts": _times(micros),
                                 "tool_change": change, "tool_wear_min": wear})
-        if rest:
-            first = min(t[0] for t in rest)
+        if len(rest):
+            first = int(rest["micros"].min())
             self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 
     def close(self) -> None:
