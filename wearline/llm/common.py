@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +126,17 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def text_slices(batch: pa.RecordBatch, limit: int = 1 << 20, name: str = "text"):
+    """``(a, b, texts)`` of consecutive ranges of rows of about ``limit`` bytes, so that of a batch only one range is held as Python objects."""
+    column = batch.column(name).cast(pa.binary())
+    start, held = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(column).to_pylist(), 1):
+        held += n or 0
+        if held >= limit or i == len(column):
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, held = i, 0
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

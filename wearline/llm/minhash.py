@@ -26,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import Words, arrow_map, arrow_schema, components, mix, partitions, per_worker, sliced, stage, text_column, texts, to_batch
+from wearline.llm.common import Words, arrow_map, arrow_schema, components, mix, partitions, per_worker, sliced, stage, text_column, text_slices, to_batch
 
 BANDS, ROWS, CIRCLE, BLOCK = 40, 6, 1 << 20, 512
+#: bytes of text hashed at once: a byte takes some 50 more in sums and powers, in every worker
+HASHED = 1 << 18
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: list[bytes], width: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
     out: list[np.ndarray] = []
-    for a, b in sliced(data):
+    for a, b in sliced(data, HASHED):
         w = Words(data[a:b], lower=True)
         h = w.hashes()
         n = len(h)
@@ -69,8 +71,8 @@ class Signer:
     def bands_of(self, shingles: np.ndarray) -> np.ndarray:
         place = self.scatter[shingles & np.uint64(CIRCLE - 1)]
         least = np.full(self.bands * self.rows, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(place), 4096):
-            np.minimum(least, self.windows[place[i:i + 4096]].min(0), out=least)
+        for i in range(0, len(place), 1024):
+            np.minimum(least, self.windows[place[i:i + 1024]].min(0), out=least)
         return mix((least.reshape(self.bands, self.rows).astype(np.uint64) * self.salt).sum(1)).view(np.int64)
 
 
@@ -80,9 +82,8 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def of(batch: pa.RecordBatch):
         signer = per_worker("signer", (bands, rows), lambda: Signer(bands, rows))
-        data = texts(batch)
-        for a, b in sliced(data):
-            sets = shingle_sets(data[a:b], width)
+        for a, b, data in text_slices(batch):
+            sets = shingle_sets(data, width)
             yield {"doc_id": batch.column("doc_id").slice(a, b - a), "n_shingles": [len(s) for s in sets],
                    "s1": [int(s.sum().view(np.int64)) if len(s) else 0 for s in sets],
                    "s2": [int(mix(s ^ _ODD[62]).sum().view(np.int64)) if len(s) else 0 for s in sets],
@@ -153,7 +154,7 @@ def _blocks(members: DataFrame, docs: DataFrame, width: int, num: int, den: int,
 
     def run(batches):
         key, group = None, []
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if row[:3] != key:
                     if len(group) > 1:
