@@ -1,6 +1,7 @@
 """What large tables must not pay for twice: staged rows and splits, variants that are not scored to be counted."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
@@ -53,3 +54,106 @@ def test_waiting_ticks_are_entries_of_many():
     entries = state._entries(ticks)
     assert [len(np.frombuffer(e, state.TICK)) for (e,) in entries] == [state.TICKS_AN_ENTRY] * 2 + [1]
     assert (np.concatenate([np.frombuffer(e, state.TICK) for (e,) in entries]) == ticks).all() and state._entries(ticks[:0]) == []
+
+
+class Kept:
+    """A state or a handle as a processor sees it, in memory."""
+
+    def __init__(self):
+        self.value, self.states, self.timers = None, {}, []
+
+    def _state(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = _state
+
+    def getListState(self, name, *_):
+        self.states.setdefault(name, KeptList())
+        return self.states[name]
+
+    def getMapState(self, name, *_):
+        self.states.setdefault(name, KeptMap())
+        return self.states[name]
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers = sorted({*self.timers, at})
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class KeptList(Kept):
+    def get(self):
+        return iter(self.value or [])
+
+    def put(self, rows):
+        self.value = list(rows)
+
+    def appendList(self, rows):
+        self.value = [*(self.value or []), *rows]
+
+
+class KeptMap(Kept):
+    def iterator(self):
+        return iter((self.value or {}).items())
+
+    def updateValue(self, key, value):
+        self.value = {**(self.value or {}), key: value}
+
+    def removeKey(self, key):
+        self.value.pop(key)
+
+
+class Mark:
+    def __init__(self, millis):
+        self.millis = millis
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.millis
+
+
+def block(*ticks):
+    rows = pd.DataFrame(ticks, columns=["machine", "micros", "tick", "event"])
+    nobody, unnamed = rows.machine.isna(), rows.tick.isna()
+    return rows.assign(nobody=nobody, unnamed=unnamed, machine=rows.machine.astype("Int64").fillna(0).astype("int64"), tick=rows.tick.astype("Int64").fillna(0).astype("int64"),
+                       production=1, scrap=2, downtime=0.5, is_event=rows.event != "", event=rows.event)
+
+
+def test_one_call_serves_all_machines_of_a_group():
+    """Machines of a group keep apart: their lists, totals, counts and silences; one timer a group."""
+    first = [block((1, 1000, 10, "x"), (2, 1000, 20, "y"), (None, 3000, None, "x")), block((1, 2000, 11, "z"), (1, 2000, None, ""), (2, 500, 21, "y"))]
+    second = [block((2, 90_000_000, 22, "x"), (-3, 90_000_000, 30, ""))]
+    for kind, after in ((state.Recent, lambda p: {(m, q): t for m, q, t in p.groupby(["machine_id", "batch_seq"], dropna=False).tick_id.apply(list).reset_index().astype(object).itertuples(index=False)}),
+                        (state.Board, None)):
+        handle, job = Kept(), kind(2, 50_000)
+        job.init(handle)
+        one, = job.handleInputRows((0,), iter(first), Mark(0))
+        two, = job.handleInputRows((0,), iter(second), Mark(40_000))
+        assert list(one.machine_id.fillna(-9).drop_duplicates()) == [1, 2, -9] and list(two.machine_id.drop_duplicates()) == [-3, 2] and handle.timers == [50_002]
+        if after:
+            got = {(None if m is pd.NA else m, q): [None if x is pd.NA else x for x in t] for (m, q), t in {**after(one), **after(two)}.items()}
+            assert got == {(1, 1): [11, None], (2, 1): [20, 21], (None, 1): [None], (-3, 1): [30], (2, 2): [22, 20]}
+            assert list(one.recency) == [1, 2, 1, 2, 1]
+        else:
+            assert one.production.tolist() == [3, 2, 1] and one.scrap.tolist() == [6, 4, 2] and one.downtime_s.tolist() == [1.5, 1.0, 0.5]
+            assert [[(e["tick_id"], e["event"]) for e in r] for r in one.events] == [[(11, "z"), (10, "x")], [(20, "y"), (21, "y")], [(None, "x")]]
+            assert list(one.kinds) == [{"x": 1, "z": 1}, {"y": 2}, {"x": 1}] and list(two.kinds) == [{}, {"x": 1, "y": 2}]
+            assert two.production.tolist() == [1, 3] and two.batch_seq.tolist() == [1, 2]
+        assert not list(job.handleExpiredTimer((0,), Mark(60_000), Mark(50_002)))  # 1 and the one without id are forgotten
+        three, = job.handleInputRows((0,), iter([block((1, 91_000_000, 12, "z"), (2, 91_000_000, 23, ""))]), Mark(60_000))
+        assert sorted(set(zip(three.machine_id.tolist(), three.batch_seq.tolist(), strict=True))) == [(1, 1), (2, 3)] and 140_000 in handle.timers
+        assert not list(job.handleExpiredTimer((0,), Mark(999_999_999), Mark(140_000))) and not handle.states["heads"].exists()

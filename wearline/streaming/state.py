@@ -1,7 +1,8 @@
 """Keyed state of the live jobs: value, list and map state in RocksDB, event-time timers, expiry.
 
-A state is a few rows a machine, never one growing array: a tick is appended to a list, read back when the watermark has
-passed it, and a machine that has been silent for ``idle`` is forgotten by a timer.
+Wear keeps a few rows a machine: a tick is appended to a list and read back when the watermark has passed it. Readings and boards
+keep the machines of a group together, a few rows a machine packed many an entry, so that a batch costs a call a group and not
+one a machine; a machine that has been silent for ``idle`` is forgotten by its group's timer.
 
 Defined results: ticks without ``ts`` cannot be ordered and are left out; a NULL ``tick_id`` stays NULL and comes after all ids
 of its time; a NULL ``machine_id`` is a machine; NULL increments count 0. Ids keep all 64 bits: they reach the state
@@ -21,8 +22,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wearline.functions import constants as C
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: a tick as the state orders it: time, then ids ascending, NULL ids last
-AT = "micros bigint, unnamed boolean, tick bigint"
 WEAR_SCHEMA = "machine_id bigint, tick_id bigint, ts timestamp, tool_change boolean, tool_wear_min double"
 RECENT_SCHEMA = "machine_id bigint, tick_id bigint, ts timestamp, recency int, batch_seq bigint"
 BOARD_SCHEMA = ("machine_id bigint, batch_seq bigint, tick_id bigint, ts timestamp, first_ts timestamp, production bigint, scrap bigint, downtime_s double, "
@@ -65,23 +64,105 @@ def wear_after(wear: float, change: np.ndarray, inc: np.ndarray) -> np.ndarray:
     return out
 
 
+#: readings and boards keep their machines in this many groups (by a hash of the id): a group, not a machine, costs a call a batch
+GROUPS = 1024
+_WHO = [("nobody", "?"), ("machine", "<i8")]
+_AT = [("micros", "<i8"), ("unnamed", "?"), ("tick", "<i8")]
+LAST = np.dtype([*_WHO, *_AT])
+EVENT = np.dtype([*_WHO, *_AT, ("kind", "<i8")])
+COUNT = np.dtype([*_WHO, ("n", "<i8")])
+#: one row a machine: its newest tick, how often it was given out, whether this batch has ticks of it
+HEAD = np.dtype([*_WHO, *_AT, ("seq", "<i8"), ("seen", "?")])
+TOTALS = np.dtype([*HEAD.descr, ("first", "<i8"), ("production", "<i8"), ("scrap", "<i8"), ("downtime", "<f8")])
+_JOINED = {"seq": np.maximum, "seen": np.logical_or, "first": np.minimum, "production": np.add, "scrap": np.add, "downtime": np.add, "n": np.add}
+
+
+def _grouped(s: DataFrame):
+    """Ticks by group of machines; a machine's id is (is it NULL, number), as the tick's is."""
+    who = {"nobody": F.col("machine_id").isNull(), "machine": F.coalesce("machine_id", F.lit(0).cast("bigint"))}
+    return s.withColumns({"part": F.pmod(F.xxhash64("machine_id"), F.lit(GROUPS).cast("bigint")), **who}).drop("machine_id").groupBy("part")
+
+
+def _filled(shape: np.dtype, pdf: pd.DataFrame, **more) -> np.ndarray:
+    out = np.zeros(len(pdf), shape)
+    for name in shape.names:
+        if name in more or name in pdf:
+            out[name] = more.get(name, pdf.get(name))
+    return out
+
+
+def _by_machine(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by machine, and where each machine's begin; of a machine the newest first, of one time the greatest id first, a NULL
+    id last, as ``ORDER BY ts DESC, tick_id DESC NULLS LAST``."""
+    place = (~rows["tick"], rows["unnamed"], ~rows["micros"]) if "tick" in rows.dtype.names else ()
+    rows = rows[np.lexsort((*place, rows["machine"], rows["nobody"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["machine"][1:] != rows["machine"][:-1]) | (rows["nobody"][1:] != rows["nobody"][:-1])
+    return rows, np.flatnonzero(new)
+
+
+def _top(rows: np.ndarray, n: int) -> np.ndarray:
+    """The newest ``n`` rows of each machine."""
+    rows, at = _by_machine(rows)
+    return rows[_places(at, len(rows)) < n]
+
+
+def _places(at: np.ndarray, n: int) -> np.ndarray:
+    """Each row's place among its machine's rows."""
+    return np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """One row a machine: its newest tick, its figures joined."""
+    rows, at = _by_machine(rows)
+    out = rows[at]
+    for name, how in _JOINED.items():
+        if name in rows.dtype.names:
+            out[name] = how.reduceat(rows[name], at)
+    return out
+
+
+def _index(heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The place of each row's machine in ``heads``, which come from ``_joined``."""
+    named = int((~heads["nobody"]).sum())
+    return np.where(rows["nobody"], named, np.searchsorted(heads["machine"][:named], rows["machine"]))
+
+
+def _held(state, kind: np.dtype) -> np.ndarray:
+    """The rows of a list state's entries, or of a value."""
+    entries = list(state.get()) if hasattr(state, "appendList") else ([state.get()] if state.exists() else [])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(e[0], kind) for e in entries)])
+
+
 class _Expiring(StatefulProcessor):
-    """Forgets a machine whose last tick lies ``idle_ms`` behind the watermark."""
+    """Groups of machines; forgets a machine whose last tick lies ``idle_ms`` behind the watermark, before ticks of the batch are taken."""
 
     idle_ms: int
+    kind: np.dtype
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.heads = handle.getValueState("heads", "machines binary")
 
-    def _watch(self, last_micros: int) -> None:
-        """One timer a machine: at the end of its silence, counted from its last tick."""
-        at = last_micros // 1000 + self.idle_ms
+    def _alive(self, timerValues) -> tuple[np.ndarray, np.ndarray]:
+        """The group's machines, and which of them are not overdue."""
+        heads = _held(self.heads, self.kind)
+        return heads, heads["micros"] // 1000 + self.idle_ms > timerValues.getCurrentWatermarkInMs()
+
+    def _keep(self, heads: np.ndarray, fired: int | None = None) -> None:
+        """Keep the machines, with one timer a group: at the end of the first silence."""
+        at = int(heads["micros"].min()) // 1000 + self.idle_ms if len(heads) else None
         for old in list(self.handle.listTimers()):
-            if old != at:
+            if old not in (at, fired):
                 self.handle.deleteTimer(old)
+        if at is None:
+            self.heads.clear()
+            return
+        heads = heads.copy()
+        heads["seen"] = False
+        self.heads.update((heads.tobytes(),))
         self.handle.registerTimer(at)
 
-    def _overdue(self, last_micros: int, timerValues) -> bool:
-        """Whether the silence was over before these ticks came, its timer being due in this very batch."""
-        return last_micros // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs()
-
     def close(self) -> None:
         pass
 
@@ -146,45 +227,46 @@ def wear_tracking(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 class Recent(_Expiring):
-    """R4, readings. List state: the last ``n`` ticks. Value state: how often the machine was given out."""
+    """R4, readings. List state: the last ``n`` ticks of a group's machines, many an entry. Value state: the machines and how often
+    each was given out."""
+
+    kind = HEAD
 
     def __init__(self, n: int, idle_ms: int):
         self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getListState("last", AT)
-        self.seq = handle.getValueState("seq", "seq bigint")
+        super().init(handle)
+        self.last = handle.getListState("last", "ticks binary")
+
+    def _load(self, timerValues) -> tuple[np.ndarray, np.ndarray]:
+        heads, alive = self._alive(timerValues)
+        last = _held(self.last, LAST)
+        return heads[alive], last[alive[_index(heads, last)]] if len(heads) else last
+
+    def _save(self, heads: np.ndarray, last: np.ndarray, fired: int | None = None) -> None:
+        self.last.put(_entries(last)) if len(last) else self.last.clear()
+        self._keep(heads, fired)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        top = list(self.last.get())
-        if top and self._overdue(top[0][0], timerValues):
-            self._forget()
-            top = []
-        for pdf in rows:  # never more than n rows and one block at once
-            top = sorted([*top, *zip(pdf.micros.tolist(), pdf.unnamed.tolist(), pdf.tick.tolist(), strict=True)], key=_newest)[:self.n]
-        self.last.put(top)
-        seq = self.seq.get()[0] + 1 if self.seq.exists() else 1
-        self.seq.update((seq,))
-        self._watch(top[0][0])
-        micros, unnamed, tick = zip(*top, strict=True)
-        yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(top), dtype="Int64"), "tick_id": _ids(unnamed, tick), "ts": _times(micros),
-                            "recency": np.arange(1, len(top) + 1, dtype=np.int32), "batch_seq": seq})
-
-    def _forget(self) -> None:
-        self.last.clear()
-        self.seq.clear()
+        heads, last = self._load(timerValues)
+        for pdf in rows:  # never more than n rows a machine and one block at once
+            heads = _joined(np.concatenate([heads, _filled(HEAD, pdf, seen=True)]))
+            last = _top(np.concatenate([last, _filled(LAST, pdf)]), self.n)
+        heads["seq"] += heads["seen"]
+        self._save(heads, last)
+        of = _index(heads, last)
+        place = _places(np.flatnonzero(np.diff(of, prepend=-1)), len(of)) + 1
+        out = heads["seen"][of]
+        last, of, place = last[out], of[out], place[out]
+        yield pd.DataFrame({"machine_id": _ids(last["nobody"], last["machine"]), "tick_id": _ids(last["unnamed"], last["tick"]), "ts": _times(last["micros"]),
+                            "recency": place.astype(np.int32), "batch_seq": heads["seq"][of]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._forget()
+        self._save(*self._load(timerValues), expiredTimerInfo.getExpiryTimeInMs())
         yield from ()
 
 
-def _newest(t: tuple) -> tuple:
-    """Newest first; of one time the greatest id first, a NULL id last, as ``ORDER BY ts DESC, tick_id DESC NULLS LAST``."""
-    return (-t[0], t[1], -t[2])
-
-
 def _millis(spark: SparkSession, idle: str) -> int:
     return int(spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {idle}")) / 1000).first()[0])
 
@@ -194,53 +276,73 @@ def recent_readings(stream: DataFrame, n: int = C.RECENT_READINGS, watermark: st
     orders what is given out). A machine silent for ``idle`` is forgotten."""
     keep_state_on_disk(stream.sparkSession)
     s = ticks(stream.withWatermark("ts", watermark))
-    return s.groupBy("machine_id").transformWithStateInPandas(Recent(n, _millis(stream.sparkSession, idle)), RECENT_SCHEMA, "update", "eventTime")
+    return _grouped(s).transformWithStateInPandas(Recent(n, _millis(stream.sparkSession, idle)), RECENT_SCHEMA, "update", "eventTime")
 
 
 class Board(_Expiring):
-    """R4, the rest of the live board. Value state: totals and latest tick. List state: the last ``n`` events. Map state:
-    events by kind."""
+    """R4, the rest of the live board. Value state: totals and latest tick of a group's machines. List state: their last ``n`` events,
+    many an entry. Map state: a kind's number, by which events name it, and its events by machine."""
+
+    kind = TOTALS
 
     def __init__(self, n: int, idle_ms: int):
         self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.totals = handle.getValueState("totals", f"seq bigint, first bigint, production bigint, scrap bigint, downtime double, {AT}")
-        self.events = handle.getListState("events", f"{AT}, event string")
-        self.kinds = handle.getMapState("kinds", "kind string", "n bigint")
+        super().init(handle)
+        self.events = handle.getListState("events", "events binary")
+        self.kinds = handle.getMapState("kinds", "kind string", "number bigint, counts binary")
+
+    def _load(self, timerValues) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Totals, events, and of each kind: its number, its counts and whether they have changed."""
+        heads, alive = self._alive(timerValues)
+        events, kinds = _held(self.events, EVENT), {}
+        for (kind,), (number, packed) in list(self.kinds.iterator()):
+            counts = np.frombuffer(packed, COUNT)
+            kept = counts[alive[_index(heads, counts)]]
+            kinds[kind] = (number, kept, len(kept) < len(counts))
+        return heads[alive], events[alive[_index(heads, events)]] if len(events) else events, kinds
+
+    def _save(self, heads: np.ndarray, events: np.ndarray, kinds: dict, fired: int | None = None) -> None:
+        self.events.put(_entries(events)) if len(events) else self.events.clear()
+        for kind, (number, counts, changed) in kinds.items():
+            if changed and len(counts):
+                self.kinds.updateValue((kind,), (number, counts.tobytes()))
+            elif changed:
+                self.kinds.removeKey((kind,))
+        self._keep(heads, fired)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.totals.exists() and self._overdue(self.totals.get()[5], timerValues):
-            self._forget()
-        seq, first, production, scrap, downtime, *latest = self.totals.get() if self.totals.exists() else (0, None, 0, 0, 0.0, None, None, None)
-        latest = None if latest[0] is None else tuple(latest)
-        events, new = list(self.events.get()), {}
+        heads, events, kinds = self._load(timerValues)
         for pdf in rows:
-            production, scrap, downtime = production + int(pdf.production.sum()), scrap + int(pdf.scrap.sum()), downtime + float(pdf.downtime.sum())
-            first = min(x for x in (first, int(pdf.micros.min())) if x is not None)
-            latest = min([*([latest] if latest else []), *zip(pdf.micros.tolist(), pdf.unnamed.tolist(), pdf.tick.tolist(), strict=True)], key=_newest)
+            heads = _joined(np.concatenate([heads, _filled(TOTALS, pdf, first=pdf.micros, seen=True)]))
             of = pdf[pdf.is_event]
-            events = sorted([*events, *zip(of.micros.tolist(), of.unnamed.tolist(), of.tick.tolist(), of.event.tolist(), strict=True)], key=_newest)[:self.n]
-            for kind, n in of.event.value_counts().items():
-                new[kind] = new.get(kind, 0) + int(n)
-        self.totals.update((seq + 1, first, production, scrap, downtime, *latest))
-        if events:
-            self.events.put(events)
-        for kind, n in new.items():
-            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + n,))
-        self._watch(latest[0])
-        listed = [{"tick_id": None if u else t, "ts": pd.Timestamp(m, unit="us"), "event": e} for m, u, t, e in events]
-        yield pd.DataFrame({"machine_id": pd.Series([key[0]], dtype="Int64"), "batch_seq": [seq + 1], "tick_id": _ids([latest[1]], [latest[2]]), "ts": _times([latest[0]]),
-                            "first_ts": _times([first]), "production": [production], "scrap": [scrap], "downtime_s": [downtime], "events": [listed],
-                            "kinds": [{k[0]: v[0] for k, v in self.kinds.iterator()}]})
-
-    def _forget(self) -> None:
-        for state in (self.totals, self.events, self.kinds):
-            state.clear()
+            if not len(of):
+                continue
+            numbers = np.zeros(len(of), np.int64)
+            for kind in of.event.unique():
+                number, counts, _ = kinds.get(kind) or (max((k[0] for k in kinds.values()), default=-1) + 1, np.zeros(0, COUNT), True)
+                mine = (of.event == kind).to_numpy()
+                numbers[mine] = number
+                kinds[kind] = (number, _joined(np.concatenate([counts, _filled(COUNT, of[mine], n=1)])), True)
+            events = _top(np.concatenate([events, _filled(EVENT, of, kind=numbers)]), self.n)
+        heads["seq"] += heads["seen"]
+        self._save(heads, events, kinds)
+        listed, counted = [[] for _ in heads], [{} for _ in heads]
+        named = {number: kind for kind, (number, _, _) in kinds.items()}
+        for i, micros, unnamed, tick, number in zip(_index(heads, events).tolist(), *(events[c].tolist() for c in ("micros", "unnamed", "tick", "kind")), strict=True):
+            if heads["seen"][i]:
+                listed[i].append({"tick_id": None if unnamed else tick, "ts": pd.Timestamp(micros, unit="us"), "event": named[number]})
+        for kind, (_, counts, _) in kinds.items():
+            for i, n in zip(_index(heads, counts).tolist(), counts["n"].tolist(), strict=True):
+                counted[i][kind] = n
+        out, seen = heads[heads["seen"]], np.flatnonzero(heads["seen"]).tolist()
+        yield pd.DataFrame({"machine_id": _ids(out["nobody"], out["machine"]), "batch_seq": out["seq"], "tick_id": _ids(out["unnamed"], out["tick"]), "ts": _times(out["micros"]),
+                            "first_ts": _times(out["first"]), "production": out["production"], "scrap": out["scrap"], "downtime_s": out["downtime"],
+                            "events": [listed[i] for i in seen], "kinds": [counted[i] for i in seen]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._forget()
+        self._save(*self._load(timerValues), expiredTimerInfo.getExpiryTimeInMs())
         yield from ()
 
 
@@ -252,7 +354,7 @@ def live_board(stream: DataFrame, n: int = C.RECENT_EVENTS, watermark: str = "1
     downtime = F.coalesce(F.when(~F.isnan("downtime_s"), F.col("downtime_s")), F.lit(0.0)).alias("downtime")
     event = F.coalesce(F.col("tool_change") | (F.col("scrap_inc") > 0), F.lit(False)).alias("is_event")
     s = ticks(stream.withWatermark("ts", watermark), *number, downtime, event, F.coalesce("machine_type", F.lit("")).alias("event"))
-    return s.groupBy("machine_id").transformWithStateInPandas(Board(n, _millis(stream.sparkSession, idle)), BOARD_SCHEMA, "update", "eventTime")
+    return _grouped(s).transformWithStateInPandas(Board(n, _millis(stream.sparkSession, idle)), BOARD_SCHEMA, "update", "eventTime")
 
 
 def production_stats(board: DataFrame) -> DataFrame:
