@@ -157,3 +157,17 @@ def test_one_call_serves_all_machines_of_a_group():
         three, = job.handleInputRows((0,), iter([block((1, 91_000_000, 12, "z"), (2, 91_000_000, 23, ""))]), Mark(60_000))
         assert sorted(set(zip(three.machine_id.tolist(), three.batch_seq.tolist(), strict=True))) == [(1, 1), (2, 3)] and 140_000 in handle.timers
         assert not list(job.handleExpiredTimer((0,), Mark(999_999_999), Mark(140_000))) and not handle.states["heads"].exists()
+
+
+def test_wear_of_a_group_keeps_machines_apart():
+    """Ticks of several machines in one call: each adds to its own wear, one timer a group brings back what waits."""
+    def ticks(*rows):
+        return block(*[r[:3] + ("",) for r in rows]).assign(inc=[r[3] for r in rows], change=[r[4] for r in rows])
+
+    handle, job = Kept(), state.Wear()
+    job.init(handle)
+    got = list(job.handleInputRows((0,), iter([ticks((1, 3000, 12, 2.0, False), (2, 1000, 20, 5.0, False), (1, 1000, 11, 1.0, False), (None, 2000, None, 7.0, False), (2, 9000, 21, 1.0, False))]), Mark(3)))
+    assert [(None if m is pd.NA else m, w) for m, w in zip(got[0].machine_id, got[0].tool_wear_min, strict=True)] == [(1, 1.0), (1, 3.0), (2, 5.0), (None, 7.0)]
+    assert handle.timers == [10] and not list(job.handleInputRows((0,), iter([ticks((1, 9500, 13, 4.0, True), (1, 9600, 14, 0.5, False))]), Mark(3)))
+    late, = job.handleExpiredTimer((0,), Mark(20), Mark(10))
+    assert list(zip(late.machine_id, late.tick_id, late.tool_wear_min, strict=True)) == [(1, 13, 0.0), (1, 14, 0.5), (2, 21, 6.0)]

@@ -1,8 +1,8 @@
 """Keyed state of the live jobs: value, list and map state in RocksDB, event-time timers, expiry.
 
-Wear keeps a few rows a machine: a tick is appended to a list and read back when the watermark has passed it. Readings and boards
-keep the machines of a group together, a few rows a machine packed many an entry, so that a batch costs a call a group and not
-one a machine; a machine that has been silent for ``idle`` is forgotten by its group's timer.
+The machines of a group are kept together, a few rows a machine packed many an entry, so that a batch costs a call a group and
+not one a machine. A tick whose wear is wanted is appended to a list and read back when the watermark has passed it; of
+readings and boards a machine that has been silent for ``idle`` is forgotten by its group's timer.
 
 Defined results: ticks without ``ts`` cannot be ordered and are left out; a NULL ``tick_id`` stays NULL and comes after all ids
 of its time; a NULL ``machine_id`` is a machine; NULL increments count 0. Ids keep all 64 bits: they reach the state
@@ -64,7 +64,7 @@ def wear_after(wear: float, change: np.ndarray, inc: np.ndarray) -> np.ndarray:
     return out
 
 
-#: readings and boards keep their machines in this many groups (by a hash of the id): a group, not a machine, costs a call a batch
+#: machines are kept in this many groups (by a hash of the id): a group, not a machine, costs a call a batch
 GROUPS = 1024
 _WHO = [("nobody", "?"), ("machine", "<i8")]
 _AT = [("micros", "<i8"), ("unnamed", "?"), ("tick", "<i8")]
@@ -168,7 +168,7 @@ class _Expiring(StatefulProcessor):
 
 
 #: a tick that waits, in the order in which ticks are given out; ticks of one list entry at most
-TICK = np.dtype([("micros", "<i8"), ("unnamed", "?"), ("tick", "<i8"), ("change", "?"), ("inc", "<f8")])
+TICK = np.dtype([*_WHO, ("micros", "<i8"), ("unnamed", "?"), ("tick", "<i8"), ("change", "?"), ("inc", "<f8")])
 TICKS_AN_ENTRY = 10_000
 
 
@@ -177,20 +177,21 @@ def _entries(ticks: np.ndarray) -> list[tuple[bytes]]:
     return [(ticks[at:at + TICKS_AN_ENTRY].tobytes(),) for at in range(0, len(ticks), TICKS_AN_ENTRY)]
 
 
+#: a machine's wear so far
+WORN = np.dtype([*_WHO, ("wear", "<f8")])
+
+
 class Wear(StatefulProcessor):
-    """R3. Value state: the wear so far. List state: the ticks that the watermark has not passed, many an entry."""
+    """R3. Value state: the wear so far of a group's machines. List state: their ticks that the watermark has not passed, many an entry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wear = handle.getValueState("wear", "wear double")
+        self.wear = handle.getValueState("wear", "machines binary")
         self.waiting = handle.getListState("waiting", "ticks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            new = np.empty(len(pdf), TICK)
-            for name in TICK.names:
-                new[name] = pdf[name]
-            self.waiting.appendList(_entries(new))
+            self.waiting.appendList(_entries(_filled(TICK, pdf)))
         yield from self._settle(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -198,16 +199,21 @@ class Wear(StatefulProcessor):
 
     def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
         """Give out, in order, the ticks that the watermark has passed, and come back for the first that has to wait."""
-        held = np.concatenate([np.zeros(0, TICK), *(np.frombuffer(entry[0], TICK) for entry in self.waiting.get())])
+        held = _held(self.waiting, TICK)
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        passed, rest = np.sort(held[held["micros"] <= mark], order=TICK.names), held[held["micros"] > mark]
+        passed, rest = held[held["micros"] <= mark], held[held["micros"] > mark]
         if len(passed):
-            micros, unnamed, tick, change, inc = (passed[name] for name in TICK.names)
-            wear = wear_after(self.wear.get()[0] if self.wear.exists() else 0.0, change, inc)
-            self.wear.update((float(wear[-1]),))
+            passed = passed[np.lexsort([passed[name] for name in reversed(TICK.names)])]  # by machine, then in order
+            worn = _held(self.wear, WORN)
+            last, at = _by_machine(passed[["nobody", "machine"]])
+            before = {(n, m): wear for n, m, wear in worn.tolist()}
+            now, ends = last[at].tolist(), [*at[1:].tolist(), len(passed)]
+            wear = np.concatenate([wear_after(before.get(who, 0.0), passed["change"][a:b], passed["inc"][a:b]) for who, a, b in zip(now, at.tolist(), ends, strict=True)])
+            before.update((who, float(wear[b - 1])) for who, b in zip(now, ends, strict=True))
+            self.wear.update((np.array([(*who, w) for who, w in before.items()], WORN).tobytes(),))
             self.waiting.put(_entries(rest)) if len(rest) else self.waiting.clear()
-            yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(passed), dtype="Int64"), "tick_id": _ids(unnamed, tick), "ts": _times(micros),
-                                "tool_change": change, "tool_wear_min": wear})
+            yield pd.DataFrame({"machine_id": _ids(passed["nobody"], passed["machine"]), "tick_id": _ids(passed["unnamed"], passed["tick"]), "ts": _times(passed["micros"]),
+                                "tool_change": passed["change"], "tool_wear_min": wear})
         if len(rest):
             first = int(rest["micros"].min())
             self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
@@ -223,7 +229,7 @@ def wear_tracking(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     keep_state_on_disk(stream.sparkSession)
     inc = F.coalesce(F.when(~F.isnan("wear_inc"), F.col("wear_inc")), F.lit(0.0)).alias("inc")
     s = ticks(stream.withWatermark("ts", watermark), F.coalesce("tool_change", F.lit(False)).alias("change"), inc)
-    return s.groupBy("machine_id").transformWithStateInPandas(Wear(), WEAR_SCHEMA, "append", "eventTime")
+    return _grouped(s).transformWithStateInPandas(Wear(), WEAR_SCHEMA, "append", "eventTime")
 
 
 class Recent(_Expiring):
