@@ -204,3 +204,14 @@ def test_a_model_published_between_batches_takes_over(spark, scratch):
     jobs.start_scoring(feed, *args).awaitTermination()
     got = {r.tick_id: (r.model_version, r.risk) for r in spark.read.parquet(args[1]).collect()}
     assert got == {0: (1, 0.5), 1: (1, 0.5), 5: (2, 2 / 3)}
+
+
+def test_ticks_of_no_machine_stay_with_it(spark, scratch):
+    """A NULL machine among many in one batch: no other machine's list holds its ticks."""
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:00", None if i % 10 == 0 else i % 10, "a", 1, 0, 0.0, 1.0, False) for i in range(400)]
+    q = write_stream(jobs.recent_readings(_feed(spark, scratch + "/n", rows), n=3), "memory", "null_recent", scratch + "/ckn", mode="update")
+    q.awaitTermination(300)
+    got = {}
+    for r in spark.table("null_recent").collect():
+        got.setdefault(r.machine_id or 0, []).append(r.tick_id)
+    assert got.keys() == set(range(10)) and all(t % 10 == m for m, ticks in got.items() for t in ticks) and {len(t) for t in got.values()} == {3}
