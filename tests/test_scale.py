@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
-from wearline.ml import importance
+from wearline.ml import estimators, importance
 from wearline.ml import workflows as W
 from wearline.plans import closed_form
 from wearline.sources.adapters import NUMERIC_FEATURES, readings
@@ -171,3 +171,14 @@ def test_wear_of_a_group_keeps_machines_apart():
     assert handle.timers == [10] and not list(job.handleInputRows((0,), iter([ticks((1, 9500, 13, 4.0, True), (1, 9600, 14, 0.5, False))]), Mark(3)))
     late, = job.handleExpiredTimer((0,), Mark(20), Mark(10))
     assert list(zip(late.machine_id, late.tick_id, late.tool_wear_min, strict=True)) == [(1, 13, 0.0), (1, 14, 0.5), (2, 21, 6.0)]
+
+
+def test_a_forest_works_on_every_core_and_keeps_its_nodes(spark, monkeypatch):
+    train = spark.range(1000).coalesce(1)
+    assert W.spread(train) is train  # few rows stay as they are
+    monkeypatch.setattr(W, "PART_ROWS", 250)
+    dealt = W.spread(train)
+    want = min(4, spark.sparkContext.defaultParallelism)
+    assert dealt.rdd.getNumPartitions() == want and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    forest = estimators.classifier("forest")
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == estimators.FOREST_MB and forest.getNumTrees() == 300
