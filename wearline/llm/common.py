@@ -236,11 +236,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # staged, so that either side of the joins is an exchange of its own and a hub's rows can be split
         low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v")
         large = stage(large.distinct(), "large")
         low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         link = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = mark(link)
         if now == seen:

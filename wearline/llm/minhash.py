@@ -132,7 +132,7 @@ def _blocks(members: DataFrame, docs: DataFrame, width: int, num: int, den: int,
     are compared with the others, and linked once with each class of theirs."""
     spark = docs.sparkSession
     schema = arrow_schema(f"a {kind}, b {kind}")
-    rows = members.join(docs.select(F.col("doc_id").alias("rep"), text_column(docs).alias("text")), "rep")
+    rows = members.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), text_column(docs).alias("text")), "rep")
     parts = partitions(spark)
     names = ["component", "block", "other", "rep", "foreign", "cls", "text"]
     rows = rows.withColumns({} if cross else {"other": F.lit(0).cast("long"), "foreign": F.lit(False), "cls": F.col("rep")}).select(*names)
@@ -225,12 +225,14 @@ def classes(docs: DataFrame, width: int = 2, num: int = 80, den: int = 100, band
     groups = components(pairs)
     candidates = groups.select(F.col("node").alias("rep"), "component")
     links = verified(candidates, docs.where("doc_id is not null"), width, num, den)
-    # equal sets under several ids of one representative need no link; ids with several sets join them
-    same = named.select("s1", "s2", "n_shingles", "doc_id").join(reps.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"])
-    node = components(links).select("node", "component")
-    final = stage(same.join(node, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")), "components")
+    # equal sets under several ids of one representative need no link; ids with several sets join them. Tables with a row a document or a
+    # set are never broadcast: their files may be small, the rows that the driver would gather are not
+    node = components(links).select(F.col("node").alias("rep"), "component")
+    named_sets = reps.select("s1", "s2", "n_shingles", "rep").join(node.hint("merge"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    same = named.select("s1", "s2", "n_shingles", "doc_id").join(named_sets.hint("merge"), ["s1", "s2", "n_shingles"])
+    final = stage(same.select("doc_id", "component_id"), "components")
     final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = marks.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    out = marks.select("doc_id", "n_shingles").join(final.hint("merge"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
