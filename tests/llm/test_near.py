@@ -73,6 +73,11 @@ def test_minhash_edges(spark):
         assert by_id(minhash.classes(df), *NEAR) == brute_sets([(r.doc_id, r.text) for r in df.collect()], 2)
 
 
+def test_minhash_broadcasts_no_table_with_a_row_a_document(spark):
+    plan = minhash.classes(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_minhash_groups_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     rnd = random.Random(1)
